@@ -12,4 +12,17 @@ SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(length('<|im_start|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') || chr(10) || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op8_decontaminate": r"""
+        WITH low AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        d AS (SELECT rid, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+        b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+        bl AS (SELECT item, w, least(13, len(w)) AS m FROM b WHERE len(w) > 0),
+        bw AS (SELECT DISTINCT item, m, array_to_string(w[i : i + m - 1], ' ') AS win FROM bl, unnest(range(1, len(w) - m + 2)) AS r(i)),
+        dw AS (SELECT rid, m, i, array_to_string(w[i : i + m - 1], ' ') AS win FROM d, (SELECT DISTINCT m FROM bl) AS s, unnest(range(1, len(w) - m + 2)) AS r(i) WHERE len(w) >= m),
+        h AS (SELECT dw.rid, dw.i, dw.m, bw.item FROM dw JOIN bw USING (m, win)),
+        n AS (SELECT rid, count(DISTINCT j) AS n_hit FROM h, unnest(range(i, i + m)) AS r(j) GROUP BY rid),
+        k AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN n USING (rid) LEFT JOIN k USING (rid)""",
 }
