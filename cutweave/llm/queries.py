@@ -8,9 +8,11 @@ from cutweave.llm import oracle
 from cutweave.llm.chat_format import chat_digest, format_chats, text_messages
 from cutweave.llm.decontaminate import contamination_digest, find_contamination
 from cutweave.llm.license_scan import scan_licenses
+from cutweave.llm.packing import pack
 from cutweave.llm.quality import THRESHOLD, fit_quality, held_out, score_quality
 from cutweave.llm.secret_scan import find_secrets, secrets_digest
 from cutweave.llm.text import documents
+from cutweave.llm.token_codec import token_digest
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chats(text_messages(rows)))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(documents(spark, sf_dir))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(find_secrets(documents(spark, sf_dir)))
 
@@ -38,6 +44,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
