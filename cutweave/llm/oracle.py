@@ -12,6 +12,15 @@ SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(length('<|im_start|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') || chr(10) || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op5_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT rid, i, md5(array_to_string(w[i : i + 34], ' ')) AS h FROM d, unnest(range(1, len(w) - 33)) AS r(i) WHERE len(w) >= 35),
+        rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+        hit AS (SELECT DISTINCT rid, j FROM win JOIN rep USING (h), unnest(range(i, i + 35)) AS r(j)),
+        words AS (SELECT rid, j, w[j] AS word FROM d, unnest(range(1, len(w) + 1)) AS r(j)),
+        kept AS (SELECT rid, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM words ANTI JOIN hit USING (rid, j) GROUP BY rid)
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (rid)""",
     "op8_decontaminate": r"""
         WITH low AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         d AS (SELECT rid, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),

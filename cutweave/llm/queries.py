@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cutweave.llm import oracle
 from cutweave.llm.chat_format import chat_digest, format_chats, text_messages
 from cutweave.llm.decontaminate import contamination_digest, find_contamination
+from cutweave.llm.fingerprint import edited_fingerprints
 from cutweave.llm.license_scan import scan_licenses
 from cutweave.llm.packing import pack
 from cutweave.llm.quality import THRESHOLD, fit_quality, held_out, score_quality
 from cutweave.llm.secret_scan import find_secrets, secrets_digest
+from cutweave.llm.substring_dedup import remove_repeats
 from cutweave.llm.text import documents
 from cutweave.llm.token_codec import token_digest
 
@@ -32,6 +34,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chats(text_messages(rows)))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(documents(spark, sf_dir))
 
@@ -44,6 +51,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
