@@ -43,9 +43,21 @@ def new_path(spark: SparkSession, what: str = "table") -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, and survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, and survives lost executors.
+
+    The shuffle files that made it are dropped once it is written, so a chain of tables never holds more disk than its
+    longest step.
+    """
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
