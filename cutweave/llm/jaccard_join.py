@@ -2,9 +2,9 @@
 
 1. Every text becomes the sorted array of its distinct shingle hashes; equal sets are one class.
 2. Signatures. In a size band, two sets within the threshold differ in at most k elements. The hash space is cut into
-   k + 1 ranges, so at least one range has the same elements in both: each set shows a hash of every range, for its own
-   band and the next larger. Sets that share none can't link. (A range that is empty shows the ranges of a second hash
-   instead, and so on.)
+   more than k ranges, so some range has the same elements in both: each set shows a hash of every range that isn't
+   empty, for its own band and the next larger. Sets that share none can't link. (There are spare ranges against empty
+   ones, and a set with too many of those shows the ranges of a second hash as well, and so on.)
 3. Sets joined by shared signatures form clusters. A cluster's sets are cut into tiles by size band, and within a band by
    salt where a tile would grow too large; only tiles of the same or neighbouring bands meet.
 4. In a tile, bitmap signatures are compared: the bits in which two bitmaps differ bound the overlap from above. Pairs
@@ -29,6 +29,7 @@ from cutweave.session import materialise
 SHINGLE, PERCENT = 3, 90
 #: Shingles that one side of a tile holds, about: 8 bytes each.
 TILE_SHINGLES = 2_000_000
+SHARES = 4
 
 
 def shingle_sets(w: Words, n: int) -> list[np.ndarray]:
@@ -62,39 +63,51 @@ def most_differences(percent: int, size: int) -> int:
     return (100 - percent) * 2 * size // (100 + percent)
 
 
-_cuts: dict[int, np.ndarray] = {}
+LEVELS = 6
+_plans: dict[tuple, tuple] = {}
 
 
-def _ranges(m: int) -> np.ndarray:
-    if m not in _cuts:
-        if len(_cuts) > 512:
-            _cuts.clear()
-        _cuts[m] = np.array([(j << 64) // m for j in range(1, m)], np.uint64)
-    return _cuts[m]
+def _plan(percent: int, band: int, edges: list[int]) -> tuple[np.ndarray, int]:
+    """Borders of a band's ranges, and how many of them may be empty.
 
-
-def _signs(h: np.ndarray, m: int, seed: int, depth: int, out: list[np.ndarray]) -> None:
-    at = np.concatenate([[0], np.searchsorted(h, _ranges(m)), [len(h)]])
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h + np.uint64(seed & (2**64 - 1))), dtype=np.uint64)])
-    sums = total[at[1:]] - total[at[:-1]]
-    full = at[1:] > at[:-1]
-    tags = mix(sums + mix(np.arange(m, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed & (2**64 - 1))))
-    out.append(tags[full])
-    for j in np.flatnonzero(~full).tolist():
-        deeper = (seed * 6364136223846793005 + 2 * j + 1442695040888963407) & (2**64 - 1)
-        if depth < 3:
-            _signs(np.sort(mix(h ^ np.uint64(deeper))), m, deeper, depth + 1, out)
-        else:
-            out.append(mix(np.array([deeper], np.uint64)))
+    With k differences at most and k + 1 + c ranges, c + 1 ranges agree; they are all empty in both sets only if each
+    set has more than c empty ones. c is a little over what the least sets of the band will have.
+    """
+    key = (percent, band)
+    if key not in _plans:
+        size = lambda i: edges[i] if i < len(edges) else -(-size(i - 1) * 100 // percent)
+        k, least = most_differences(percent, size(band)), edges[band - 2] + 1 if band > 1 else 1
+        spare = 0
+        for _ in range(3 if k else 0):
+            m = k + 1 + spare
+            empty = m * np.exp(-least / m)
+            spare = int(np.ceil(empty + 2 * np.sqrt(empty)))
+        m = k + 1 + spare
+        if len(_plans) > 256:
+            _plans.clear()
+        _plans[key] = np.array([(j << 64) // m for j in range(1, m)], np.uint64), spare
+    return _plans[key]
 
 
 def signatures(h: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
-    """Signatures of a set for its band and the next; for the top band of the table, its own."""
+    """Signatures of a sorted set for its band and the next: a hash of each range that isn't empty. A set with too many
+    empty ranges shows those of a further hash as well, up to LEVELS, and then a signature of that plight."""
     b = int(np.searchsorted(edges, len(h)))
     out: list[np.ndarray] = []
     for band in (b, b + 1):
-        top = edges[band] if band < len(edges) else max(edges[-1] + 1, -(-edges[-1] * 100 // percent))
-        _signs(h, most_differences(percent, top) + 1, band * 0x9E3779B9 + 1, 0, out)
+        borders, spare = _plan(percent, band, edges)
+        for level in range(LEVELS):
+            seed = mix(np.array([band * LEVELS + level + 1], np.uint64))
+            x = h if level == 0 else np.sort(mix(h ^ seed))
+            at = np.concatenate([[0], np.searchsorted(x, borders), [len(x)]])
+            total = np.concatenate([[np.uint64(0)], np.cumsum(mix(x + seed), dtype=np.uint64)])
+            full = at[1:] > at[:-1]
+            tags = mix(total[at[1:]] - total[at[:-1]] + mix(np.arange(len(full), dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + seed))
+            out.append(tags[full])
+            if len(full) - int(full.sum()) <= spare:
+                break
+        else:
+            out.append(mix(seed + np.uint64(1)))
     return np.unique(np.concatenate(out))
 
 
@@ -160,12 +173,19 @@ def _sketch(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, signs array<long>")
 
 
-def _clusters(classes: DataFrame) -> DataFrame:
-    """rep, cluster of the classes that share a signature with another: components of stars about each signature's least."""
-    shown = classes.select("rep", F.explode("signs").alias("sign"))
-    shared = shown.groupBy("sign").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("sign", "least")
-    stars = shown.join(shared, "sign").where("rep <> least").select(F.col("rep").alias("src"), F.col("least").alias("dst")).distinct()
-    return star_components(stars).select(F.col("node").alias("rep"), F.col("comp").alias("cluster"))
+def _clusters(sketch: DataFrame) -> DataFrame:
+    """lo, cluster of the sets that share a signature with another: components of stars about each signature's least.
+
+    Signatures are taken in SHARES disjoint shares, one after the other, so that only one share's shuffles stand at a
+    time. Sets go by 64 bits of their hash here; should two share them, a cluster is larger than it need be.
+    """
+    stars = None
+    for i in range(SHARES):
+        shown = sketch.select("lo", F.explode("signs").alias("sign")).where(F.pmod("sign", F.lit(SHARES)) == i)
+        shared = shown.groupBy("sign").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).where("least < most").select("sign", "least")
+        some = materialise(shown.join(shared, "sign").where("lo <> least").select(F.col("lo").alias("src"), F.col("least").alias("dst")).distinct(), "stars")
+        stars = some if stars is None else stars.union(some)
+    return star_components(stars).select(F.col("node").alias("lo"), F.col("comp").alias("cluster"))
 
 
 def _tiles(members: DataFrame, percent: int, tile: int) -> DataFrame:
@@ -225,9 +245,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     """
     sketch = materialise(_sketch(docs, shingle, percent), "sketch")
     named = sketch.where("doc_id is not null and n_shingles > 0")
-    classes = materialise(named.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signs").alias("signs")), "classes")
-    clusters = _clusters(classes)
-    members = materialise(classes.select("rep", "n_shingles").join(clusters, "rep"), "members")
+    classes = materialise(named.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")), "classes")
+    members = materialise(classes.select("rep", "n_shingles", "lo").join(_clusters(named), "lo").drop("lo"), "members")
     links = materialise(_links(docs, _tiles(members, percent, tile_shingles), shingle, percent), "links")
     own = named.select("doc_id", "hi", "lo").join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).select("doc_id", "rep").distinct()
     several = own.groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where("size(reps) > 1").select(F.array_min("reps").alias("src"), F.explode("reps").alias("dst"))

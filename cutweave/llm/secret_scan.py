@@ -96,6 +96,11 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, int, float]]:
             yield m.start(), m.end(), kind, length_band(len(token)), battery(token, kind)
 
 
+def p_bin(p: float) -> int:
+    """Tenths of -log10 p, in whole numbers up to BINS."""
+    return min(BINS, int(-10 * math.log10(max(p, 1e-300))))
+
+
 _SPAN = "array<struct<start:long,kind:int,end:long>>"
 _CAND = "array<struct<start:long,end:long,enc:string,band:int,bin:int>>"
 
@@ -109,12 +114,12 @@ def _scan(docs: DataFrame, keep: list[str]) -> DataFrame:
             for part in slices(batch):
                 texts = as_str(part)
                 base = [[{"start": s, "kind": k, "end": e} for s, k, e in base_spans(t)] for t in texts]
-                more = [[{"start": s, "end": e, "enc": c, "band": b, "bin": min(BINS, int(-10 * math.log10(max(p, 1e-300))))} for s, e, c, b, p in candidates(t)] for t in texts]
+                more = [[{"start": s, "end": e, "enc": c, "band": b, "bin": p_bin(p)} for s, e, c, b, p in candidates(t)] for t in texts]
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), pa.array(base, span), pa.array(more, cand)], names=[*keep, "base", "cands"])
 
     kept = docs.select(*keep, *(["text"] if "text" not in keep else []))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return kept.mapInArrow(run, f"{schema}, base {_SPAN}, cands {_CAND}")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
+    return kept.mapInArrow(run, f"{schema}base {_SPAN}, cands {_CAND}")
 
 
 def rejection_bins(scanned: DataFrame, fdr: float = FDR) -> dict[str, int]:
@@ -175,6 +180,36 @@ def mask_spans(text: str | None, spans: list[tuple[int, int]], mask: str = "[SEC
     return "".join(out) + text[at:]
 
 
+def mask_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with every secret in text masked; n_chars, where there is one, is
+    counted anew in documents that changed. The text is read twice, once to gather p-values, and not shuffled."""
+    reject = rejection_bins(materialise(_scan(docs, []).select("cands"), "secrets"), fdr)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                cols = {c: part[c] for c in names}
+                texts = part["text"].to_pylist()
+                new = [mask_spans(t, [(s, e) for s, _, e in base_spans(t)] + [c[:2] for c in randoms(t, reject)]) if t else t for t in texts]
+                changed = [a != b for a, b in zip(texts, new)]
+                if any(changed):
+                    cols["text"] = pa.array(new, part["text"].type)
+                    if "n_chars" in cols and pa.types.is_integer(cols["n_chars"].type):
+                        cols["n_chars"] = pa.array([len(t) if c else n for t, c, n in zip(new, changed, cols["n_chars"].to_pylist())], cols["n_chars"].type)
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def randoms(text: str, reject: dict[str, int]) -> Iterator[tuple[int, int]]:
+    """Candidates whose uniformity isn't rejected and that no base span meets."""
+    base = base_spans(text)
+    for s, e, kind, band, p in candidates(text):
+        if p_bin(p) < reject.get(f"{kind}:{band}", BINS + 1) and not any(a < e and s < b for a, _, b in base):
+            yield s, e
+
+
 def brute_digest(text: str | None) -> tuple[int, int, int, str]:
     """Base columns by the plain definition, for tests."""
     text = text or ""
