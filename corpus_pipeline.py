@@ -1,12 +1,66 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: documents pass five stages, each written as Parquet and read again by the next.
+
+Rejected documents go, near-duplicates keep one of each group, contaminated documents go, secrets are masked, and what
+is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from cutweave.llm.decontaminate import find_contamination
+from cutweave.llm.jaccard_join import jaccard_components
+from cutweave.llm.packing import pack
+from cutweave.llm.quality import THRESHOLD, fit_quality, score_quality
+from cutweave.llm.secret_scan import mask_secrets
+from cutweave.session import materialise
+
+#: Near-duplicates here share 80 in 100 of their shingles of five words.
+SHINGLE, PERCENT = 5, 80
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them, scores at its threshold or more."""
+    weights = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, weights, keep=docs.columns).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the least id. Of rows that repeat an id the one with
+    the least text stays; rows without an id all stay."""
+    groups = jaccard_components(docs, SHINGLE, PERCENT).where("component_id = doc_id").select("doc_id").distinct()
+    one = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
+    kept = docs.join(groups, "doc_id", "left_semi").withColumn("_n", one).where("_n = 1").select(*docs.columns)
+    return kept.union(docs.where("doc_id is null").select(*docs.columns))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark passage contaminates."""
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
+    return found.where("not contaminated").select(*docs.columns)
+
+
+def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret found in their texts replaced by a mask."""
+    return mask_secrets(docs).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    return pack(docs)
+
+
+STAGES = [("quality", quality_filter), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", mask), ("packing", packing)]
 
-STAGES: list = []
+#: Training, hashing and tokenising are beyond SQL; tests/llm holds each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the whole table of documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialise(docs, name)
+    return docs
