@@ -144,7 +144,7 @@ def scan_text(text: bytes) -> tuple:
                 told = m[1].decode("utf-8", "replace").strip().rstrip("*/-> \t").strip()
                 got = evaluate(told)
                 if got is None:  # prose may follow the tag on its line: then its first name alone
-                    head = re.match(r"[\w.+-]+", told)
+                    head = re.match(r"[\w+-]+(?:\.[\w+-]+)*", told)
                     got, told = (evaluate(head[0]), head[0]) if head else (None, told)
                 if got:
                     expressions.append(told)

@@ -108,7 +108,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
                 got.append((label, np.append(np.frombuffer(i, "<i4"), bias[0]), np.append(np.frombuffer(x, "<f4"), bias[1])))
         yield pa.RecordBatch.from_arrays([pa.array([ftrl(got).astype("<f4").tobytes()], pa.binary())], names=["weights"])
 
-    return np.frombuffer(rows.mapInArrow(run, "weights binary").first()["weights"], "<f4")
+    fitted = rows.mapInArrow(run, "weights binary").first()
+    return np.frombuffer(fitted["weights"], "<f4") if fitted else np.zeros((1 << BITS) + 1, np.float32)
 
 
 def score_quality(docs: DataFrame, weights: np.ndarray, keep: list[str] | None = None) -> DataFrame:
