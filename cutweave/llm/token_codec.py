@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cutweave.llm.text import slices
 from cutweave.llm.tokens import default_path, encoder
-from cutweave.session import new_path
+from cutweave.session import materialise, new_path
 
 MAGIC, VERSION = b"RANS", 1
 SCALE_BITS, LOW = 20, 1 << 31
@@ -135,51 +135,10 @@ def decode_block(block: bytes, table: Table, segments: range | None = None) -> t
     return (np.concatenate(out) if out else np.zeros(0, np.uint32)), counts
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian 32-bit, end id included) of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        for batch in batches:
-            for part in slices(batch):
-                ids, count = enc.texts(part["text"], end_id)
-                stop = np.concatenate([[0], np.cumsum(count * 4)]).astype(np.int32)
-                data = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(stop), pa.py_buffer(ids.astype("<u4"))])
-                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), data], names=["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
-
-
-def count_ids(docs: DataFrame, tokenizer: str, end_id: int) -> Table:
-    """The shared table: how often each id occurs, over all documents. Its rows are bounded by the vocabulary."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, total = encoder(tokenizer), np.zeros(0, np.int64)
-        for batch in batches:
-            for part in slices(batch):
-                seen = np.bincount(enc.texts(part["text"], end_id)[0])
-                if len(seen) > len(total):
-                    total = np.pad(total, (0, len(seen) - len(total)))
-                total[: len(seen)] += seen
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    return Table(rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
-
-
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, shards: int | None = None) -> Table:
-    """Encode all documents and write the token files at ``path``; returns the shared table, also kept there.
-
-    Two passes over the texts: one counts ids, one sorts the texts by range of doc_id (ties by text, null ids first)
-    into ``shards`` and codes each shard's documents in order. A task holds one block's tokens at a time. Null text is
-    empty and has the end id alone; repeated rows are coded once each; an empty table gives an empty file.
-    """
-    tokenizer = tokenizer or default_path()
-    spark = docs.sparkSession
-    table = count_ids(docs, tokenizer, end_id)
-    shared = spark.sparkContext.broadcast(table)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, shards: int) -> DataFrame:
+    """Uncoded blocks of all documents in order: shard, block, before (ids before it in its shard), n_tokens, doc_ids,
+    counts (ids of each document) and ids, of 16 or 32 bits."""
+    width = id_type(tokenizer, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
@@ -190,8 +149,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
         def flush():
             nonlocal ids, names, counts, before, held, block
-            made = encode_block(np.concatenate(ids), np.array(counts), shared.value)
-            out = pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((shard, pa.int32()), (block, pa.int32()), (before, pa.int64()), (held, pa.int64()), (names, pa.list_(pa.int64())), (made, pa.binary()))], names=["shard", "block", "before", "n_tokens", "doc_ids", "payload"])
+            row = ((shard, pa.int32()), (block, pa.int32()), (before, pa.int64()), (held, pa.int64()), (names, pa.list_(pa.int64())), (counts, pa.list_(pa.int64())), (np.concatenate(ids).astype(width).tobytes(), pa.binary()))
+            out = pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in row], names=["shard", "block", "before", "n_tokens", "doc_ids", "counts", "ids"])
             before, block, ids, names, counts, held = before + held, block + 1, [], [], [], 0
             return out
 
@@ -213,8 +172,56 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         if held:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    ordered.mapInArrow(run, "shard int, block int, before long, n_tokens long, doc_ids array<long>, payload binary").write.option("compression", "uncompressed").parquet(path + "/blocks")
+    first = (F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, *first).sortWithinPartitions(*first, "text")
+    return ordered.mapInArrow(run, "shard int, block int, before long, n_tokens long, doc_ids array<long>, counts array<long>, ids binary")
+
+
+def id_type(tokenizer: str, end_id: int) -> str:
+    return "<u2" if max(encoder(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def count_ids(blocks: DataFrame, width: str) -> Table:
+    """The shared table: how often each id occurs, over all documents. Its rows are bounded by the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for ids in batch["ids"]:
+                seen = np.bincount(np.frombuffer(ids.as_buffer(), width))
+                if len(seen) > len(total):
+                    total = np.pad(total, (0, len(seen) - len(total)))
+                total[: len(seen)] += seen
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+
+    rows = blocks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    return Table(rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, shards: int | None = None) -> Table:
+    """Encode all documents and write the token files at ``path``; returns the shared table, also kept there.
+
+    The texts are sorted by range of doc_id (null first, ties by text) into ``shards``, tokenised once, and written as
+    uncoded blocks; ids are counted over all of these, and each is coded by itself. A task holds one block at a time.
+    Null text is empty and has the end id alone; repeated rows are coded once each; an empty table gives an empty file.
+    """
+    tokenizer = tokenizer or default_path()
+    spark = docs.sparkSession
+    width = id_type(tokenizer, end_id)
+    blocks = materialise(token_blocks(docs, tokenizer, end_id, shards or int(spark.conf.get("spark.sql.shuffle.partitions"))), "token-blocks")
+    table = count_ids(blocks, width)
+    shared = spark.sparkContext.broadcast(table)
+    names = ["shard", "block", "before", "n_tokens", "doc_ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                made = encode_block(np.frombuffer(row["ids"][0].as_buffer(), width), row["counts"][0].values.to_numpy(), shared.value)
+                yield pa.RecordBatch.from_arrays([*(row[c] for c in names), pa.array([made], pa.binary())], names=[*names, "payload"])
+
+    blocks.mapInArrow(run, "shard int, block int, before long, n_tokens long, doc_ids array<long>, payload binary").write.option("compression", "uncompressed").parquet(path + "/blocks")
     spark.createDataFrame([(table.ids.astype("<u4").tobytes(), table.freq.astype("<u8").tobytes())], "ids binary, freq binary").coalesce(1).write.parquet(path + "/table")
     return table
 
