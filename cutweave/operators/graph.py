@@ -186,7 +186,7 @@ def greedy_degree_peel(edges: DataFrame, keep: int, which: str = "min", max_edge
             out.append((k, len(out)))
         return pd.DataFrame(out, columns=["node", "step"], dtype="int64")
 
-    return edges.select("src", "dst").groupBy(F.lit(0)).applyInPandas(run, "node long, step long")
+    return edges.select("src", "dst", F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, "node long, step long")
 
 
 def batch_peel(edges: DataFrame, keep: int, batch: int, which: str = "min") -> DataFrame:
