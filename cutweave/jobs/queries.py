@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cutweave.functions.rand import u
+from cutweave.jobs import evolution as J
 from cutweave.operators import community as C, evolve as V, graph as G, linkpred as L, nodeclass as N, perturb as P, reach as R, reports as H
 from cutweave.session import materialise, new_path
 from cutweave.sources import readers as A
@@ -357,7 +358,7 @@ def components(s, d):
 
 
 @query
-def components_small(s, d):
+def componentssparse(s, d):
     return R.components_by_candidate(*perturbed(s, sparse(s, d)))
 
 
@@ -965,5 +966,42 @@ def stream_upsert(s, d):
     e = table(s, d, "events").select((F.col("user_id") * 10 + F.length("event_type")).alias("id"), F.col("event_id").alias("created_at"), F.col("value").alias("best_score"))
     e.repartition(6).write.parquet(path)
     S.stream_upsert_history(s.readStream.schema(e.schema).option("maxFilesPerTrigger", 3).parquet(path), out, new_path(s, "cp")).awaitTermination()
-    last = s.read.schema(e.schema.add("batch", "int")).parquet(out).agg(F.max("batch")).first()[0]
+    last = s.read.schema(T.StructType([*e.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out).agg(F.max("batch")).first()[0]
     return s.read.schema(e.schema).parquet(f"{out}/batch={last}")
+
+
+# F: the search itself, and the named jobs. Each query runs a few generations and reports the history of the run.
+
+
+@query
+def evolve_cnd(s, d):
+    """Two generations from a start, then resumed for two more: the run's whole history."""
+    e = sparse(s, d)
+    problem = J.cutoff_problem(s, e, pop=8)
+    first = J.evolve(problem, 2, seed=1)
+    return J.evolve(problem, 2, seed=1, resume=first).history
+
+
+@query
+def custom_problem(s, d):
+    """A user's own fitness: the sum of degrees, by a pandas function over each candidate's nodes."""
+    e = sparse(s, d)
+    deg = G.degrees(e)
+
+    def fitness(pdf):
+        return float(pdf["degree"].sum())
+
+    p = J.Problem("degree-sum", "max", N.rank_by(deg, F.desc("degree"), F.asc("node")).select((F.col("rank") - 1).alias("idx"), "node", "degree"), 10, 8, J.fitness_from_pandas(fitness))
+    return J.evolve(p, 3, seed=4).history
+
+
+def _job(name, **more):
+    def run(s, d):
+        return J.JOBS[name](s, d, **more).history
+
+    run.__name__ = f"job_{name}"
+    return query(run)
+
+
+for _name in J.JOBS:
+    _job(_name, generations=2, pop=6)
