@@ -60,4 +60,13 @@ def materialise(df: DataFrame, what: str = "table") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote and that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._written_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
