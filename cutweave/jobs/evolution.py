@@ -31,6 +31,7 @@ class Problem:
     mutation_rate: float = 0.2
     repair: bool = True
     select: str = "roulette"
+    report_every: int = 50
 
 
 @dataclass
@@ -62,13 +63,13 @@ def score(p: Problem, pop: DataFrame) -> DataFrame:
     return materialise(p.fitness(decode(pop, p.pool)).select("cand_id", F.round(F.col("fitness").cast("double"), 9).alias("fitness")), "fitness")
 
 
-def _row(p: Problem, pop: DataFrame, fit: DataFrame, generation: int, seed: int) -> DataFrame:
+def _row(p: Problem, pop: DataFrame, fit: DataFrame, generation: int, seed: int, report: bool) -> DataFrame:
     by = F.struct(F.col("fitness") if p.side == "min" else (-F.col("fitness")).alias("fitness"), "cand_id")
     best = fit.agg(F.min_by("cand_id", by).alias("cand_id"), (F.min if p.side == "min" else F.max)("fitness").alias("best_fitness"))
     genes = pop.join(F.broadcast(best), "cand_id")
     g = genes.agg(F.first("best_fitness").alias("best_fitness"), F.array_join(F.transform(F.array_sort(F.collect_list("gene")), lambda x: x.cast("string")), ",").alias("best_gene"))
     row = g.select(F.lit(f"{p.name}-{seed}").alias("run_id"), F.lit(generation).alias("generation"), "best_fitness", "best_gene")
-    if p.metrics:
+    if p.metrics and report:
         row = row.crossJoin(p.metrics(decode(genes.select("cand_id", "pos", "gene"), p.pool)).select(F.to_json(F.struct("*")).alias("metrics")))
     else:
         row = row.withColumn("metrics", F.lit(None).cast("string"))
@@ -80,8 +81,8 @@ def _picked(p: Problem, pop: DataFrame, fit: DataFrame, seed: int, generation: i
     return sel.join(pop, "cand_id").select(F.col("draw").alias("cand_id"), "pos", "gene")
 
 
-def single_step(run: Run, seed: int) -> Run:
-    """Selection, crossover, mutation, repair, score, elitism: one generation."""
+def single_step(run: Run, seed: int, report: bool = False) -> Run:
+    """Selection, crossover, mutation, repair, score, elitism: one generation; ``report``: with the problem's metrics."""
     p, g = run.problem, run.generation + 1
     size = p.pool.count()
     if p.select == "eda":
@@ -95,7 +96,7 @@ def single_step(run: Run, seed: int) -> Run:
     both = run.population.select(F.lit(0).alias("origin"), "cand_id", "pos", "gene").union(new.select(F.lit(1), "cand_id", "pos", "gene"))
     pop = materialise(both.join(F.broadcast(kept), ["origin", "cand_id"]).select(F.col("rank").alias("cand_id"), "pos", "gene"), "population")
     fitness = materialise(kept.select(F.col("rank").alias("cand_id"), "fitness"), "fitness")
-    row = _row(p, pop, fitness, g, seed)
+    row = _row(p, pop, fitness, g, seed, report)
     return Run(p, pop, fitness, g, run.history.union(row))
 
 
@@ -107,14 +108,15 @@ def init_state(p: Problem, seed: int) -> Run:
         pop = V.init_population(p.pool, p.pop, p.budget, seed)
     pop = materialise(pop, "population")
     fit = score(p, pop)
-    return Run(p, pop, fit, 0, _row(p, pop, fit, 0, seed))
+    return Run(p, pop, fit, 0, _row(p, pop, fit, 0, seed, False))
 
 
 def evolve(p: Problem, generations: int, seed: int = 1024, resume: Run | None = None) -> Run:
-    """Run ``generations`` more; from ``resume`` if given. The same seed gives the same run, however it is cut up."""
+    """Run ``generations`` more; from ``resume`` if given. The same seed gives the same candidates, however a run is cut
+    up. Metrics are reported every ``report_every`` generations and at the last of a call."""
     run = resume or init_state(p, seed)
-    for _ in range(generations):
-        run = single_step(run, seed)
+    for left in range(generations, 0, -1):
+        run = single_step(run, seed, left == 1 or (run.generation + 1) % p.report_every == 0)
     return run
 
 
@@ -135,7 +137,10 @@ def _cut(edges: DataFrame, nodes: DataFrame, decoded: DataFrame) -> tuple[DataFr
 
 
 def _pcg(edges, nodes):
-    return lambda c: R.pairwise_connectivity(R.components(*_cut(edges, nodes, c)))
+    """Connected pairs of each candidate's graph: union-find, a candidate a task, where the whole graph is counted to be
+    small; star rounds over all candidates beyond that."""
+    find = R.components_by_candidate if edges.count() <= R.HELPER_EDGES else R.components
+    return lambda c: R.pairwise_connectivity(find(*_cut(edges, nodes, c)))
 
 
 def cutoff_problem(spark: SparkSession, edges: DataFrame, pop: int = 40, rate: float = 0.1) -> Problem:
@@ -143,8 +148,9 @@ def cutoff_problem(spark: SparkSession, edges: DataFrame, pop: int = 40, rate: f
     nodes = materialise(G.node_set(edges), "nodes")
     k = _budget(edges, rate)
     pool = materialise(G.degree_rank(edges).where(F.col("rank") <= 4 * k).select((F.col("rank") - 1).alias("idx"), "node"), "pool")
+    pcg = _pcg(edges, nodes)
     reach = lambda c: R.max_reach(R.reach_within(*_cut(edges, nodes, c), 17)).select("max_reach")
-    return Problem("cutoff", "min", pool, k, pop, lambda c: _pcg(edges, nodes)(c).select("cand_id", F.col("pcg").alias("fitness")), reach, 0.7, 0.2)
+    return Problem("cutoff", "min", pool, k, pop, lambda c: pcg(c).select("cand_id", F.col("pcg").alias("fitness")), reach, 0.7, 0.2)
 
 
 def sixdst(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 80, rate: float = 0.1, seed: int = 1024) -> Run:
@@ -183,7 +189,7 @@ def tde(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40,
         both = run.population.select(F.lit(0).alias("origin"), "cand_id", "pos", "gene").union(new.select(F.lit(1), "cand_id", "pos", "gene"))
         population = materialise(both.join(kept, ["origin", "cand_id"]).select(F.col("rank").alias("cand_id"), "pos", "gene"), "population")
         fitness = materialise(kept.select(F.col("rank").alias("cand_id"), "fitness"), "fitness")
-        run = Run(p, population, fitness, g, run.history.union(_row(p, population, fitness, g, seed)))
+        run = Run(p, population, fitness, g, run.history.union(_row(p, population, fitness, g, seed, g == generations)))
     return run
 
 

@@ -54,15 +54,17 @@ def louvain(edges: DataFrame, seed: int = 0, rounds: int = 6, levels: int = 4, s
 
     In a round a node whose hash falls under one half moves to the neighbouring community of the greatest gain, if that
     beats staying by 1e-12; ties go to the lesser community. After each level communities become nodes. A level whose
-    modularity isn't better is undone. ``start``: node, comm to begin from.
+    modularity isn't better is undone. ``start``: node, comm to begin from; without it a few rounds of label propagation,
+    so the result is never worse than theirs.
     """
+    if start is None:
+        start = label_propagation(edges, 4)
     w = materialise(adjacency(edges.where("src <> dst")).withColumn("w", F.lit(1.0)), "louvain")
-    member = materialise((start.select("node", "comm") if start is not None else w.select(F.col("src").alias("node")).distinct().withColumn("comm", F.col("node"))), "louvain")
+    member = materialise(start.select("node", "comm"), "louvain")
     m2 = w.agg(F.sum("w")).first()[0] or 0.0
     if not m2:
         return member
-    if start is not None:
-        w = _contract(w, member)
+    w = _contract(w, member)
     best = _quality(w, w.select(F.col("src").alias("node")).distinct().withColumn("comm", F.col("node")), m2)
     for level in range(levels):
         degree = materialise(w.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "louvain")
