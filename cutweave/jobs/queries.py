@@ -174,7 +174,7 @@ def report_roundtrip(s, d):
     A.append_run_report(rows.where("remote"), path, ["day"])
     A.append_run_report(rows.where("not remote"), path, ["day"])
     back = s.read.parquet(path)
-    return back.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("runs"), F.round(F.sum("iter_seconds"), 4).alias("seconds"))
+    return back.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("runs"), F.round(F.sum("iter_seconds"), 6).alias("seconds"))
 
 
 # B: graph tables
@@ -358,7 +358,7 @@ def components(s, d):
 
 
 @query
-def componentssparse(s, d):
+def components_small(s, d):
     return R.components_by_candidate(*perturbed(s, sparse(s, d)))
 
 
@@ -460,7 +460,7 @@ def q_fitness(s, d):
 
 @query
 def walk_matrix(s, d):
-    return C.walk_matrix(disc(s, d)).withColumns(r6("value"))
+    return C.walk_matrix(disc(s, d)).withColumn("value", F.round("value", 9))
 
 
 @query

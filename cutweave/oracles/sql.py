@@ -112,7 +112,7 @@ SQL["node_split"] = f"WITH k AS (SELECT p_partkey AS node, row_number() OVER (OR
 REG = "reg AS (SELECT p_brand AS name, count(*) AS nodes, min(p_type) AS task, max(p_type) AS top FROM part GROUP BY p_brand)"
 SQL["list_datasets"] = f"WITH {REG} SELECT name, task, nodes, CASE WHEN nodes % 2 = 0 THEN task || ',' || top || '+' ELSE task END AS tasks FROM reg"
 SQL["datasets_for"] = f"WITH {REG} SELECT name, nodes FROM reg WHERE name IN (SELECT p_brand FROM part WHERE p_size % 5 = 1)"
-SQL["report_roundtrip"] = f"WITH {REPORTS} SELECT strftime(started_at, '%Y%m%d') AS day, count(*) AS runs, round(sum(iter_seconds), 4) AS seconds FROM rep GROUP BY 1"
+SQL["report_roundtrip"] = f"WITH {REPORTS} SELECT strftime(started_at, '%Y%m%d') AS day, count(*) AS runs, round(sum(iter_seconds), 6) AS seconds FROM rep GROUP BY 1"
 # B
 SQL["canonical_edges"] = f"WITH {LOOPED} SELECT DISTINCT src, dst FROM lo"
 SQL["symmetric_edges"] = f"WITH {LOOPED} SELECT src, dst FROM lo WHERE f = 'R' UNION SELECT dst, src FROM lo WHERE f = 'R'"
@@ -178,7 +178,7 @@ SQL["modularity_candidates"] = f"WITH {graph('disc')}, {CUT}, {BRANDS}, {QMOD('s
 LP = ", ".join(f"l{i} AS (SELECT node, comm FROM (SELECT a.src AS node, l.comm, count(*) AS k FROM adj a JOIN l{i - 1} l ON l.node = a.dst GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY node ORDER BY k DESC, comm) = 1)" for i in (1, 2, 3))
 SQL["label_propagation"] = f"WITH {graph('disc')}, l0 AS (SELECT node, node AS comm FROM n), {LP} SELECT * FROM l3"
 SQL["nmi"] = f"WITH {BRANDS}, {TYPES}, t AS (SELECT cb.comm AS x, ct.comm AS y, count(*) / (SELECT count(*) FROM part) AS p FROM cb JOIN ct USING (node) GROUP BY ALL), hx AS (SELECT -sum(p * ln(p)) AS h FROM (SELECT x, sum(p) AS p FROM t GROUP BY x)), hy AS (SELECT -sum(p * ln(p)) AS h FROM (SELECT y, sum(p) AS p FROM t GROUP BY y)), hj AS (SELECT -sum(p * ln(p)) AS h FROM t) SELECT round(2 * (hx.h + hy.h - hj.h) / (hx.h + hy.h), 6) AS nmi FROM hx, hy, hj"
-SQL["walk_matrix"] = f"WITH {graph('disc')}, p AS (SELECT src, dst, 1.0 / (degree + 1) AS p FROM adj JOIN deg ON node = src), q AS (FROM p UNION ALL SELECT a.src, b.dst, a.p * b.p FROM p a JOIN p b ON a.dst = b.src) SELECT src AS row, dst AS col, round(sum(p) / 2, 6) AS value FROM q GROUP BY ALL"
+SQL["walk_matrix"] = f"WITH {graph('disc')}, p AS (SELECT src, dst, 1.0 / (degree + 1) AS p FROM adj JOIN deg ON node = src), q AS (FROM p UNION ALL SELECT a.src, b.dst, a.p * b.p FROM p a JOIN p b ON a.dst = b.src) SELECT src AS row, dst AS col, round(sum(p) / 2, 9) AS value FROM q GROUP BY ALL"
 SQL["distance_corr"] = "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 = 0), d AS (SELECT list_distance(a.v[1:8], b.v[1:8]) AS x, list_distance(a.v[1:16], b.v[1:16]) AS y FROM v a, v b) SELECT round(1 - abs(corr(x, y)), 6) AS shift FROM d"
 SQL["resource_allocation"] = f"WITH {graph('ret')}, {ra('e')} SELECT src, dst, round(score, 6) AS score FROM ra"
 SQL["precision_at_l"] = f"WITH {SPLIT}, {ra('train')}, top AS (SELECT src, dst FROM ra ANTI JOIN train USING (src, dst) ORDER BY round(score, 9) DESC, src, dst LIMIT (SELECT count(*) FROM test)) SELECT (SELECT count(*) FROM test) AS l, count(*) AS hits, round(count(*) / (SELECT count(*) FROM test), 6) AS precision FROM top SEMI JOIN test USING (src, dst)"
