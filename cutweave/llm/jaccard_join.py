@@ -3,7 +3,7 @@
 1. Every text becomes the sorted array of its distinct shingle hashes; equal sets are one class.
 2. Signatures. In a size band, two sets within the threshold differ in at most k elements. The hash space is cut into
    more than k ranges, so some range has the same elements in both: each set shows a hash of every range that isn't
-   empty, for its own band and the next larger. Sets that share none can't link. (There are spare ranges against empty
+   thin, for its own band and the next larger. Sets that share none can't link. (There are spare ranges against thin
    ones, and a set with too many of those shows the ranges of a second hash as well, and so on.)
 3. Sets joined by shared signatures form clusters. A cluster's sets are cut into tiles by size band, and within a band by
    salt where a tile would grow too large; only tiles of the same or neighbouring bands meet.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cutweave.llm.text import SPACE, Words, as_bytes, mix, slices
 from cutweave.operators.components import star_components
-from cutweave.session import materialise
+from cutweave.session import discard, materialise
 
 SHINGLE, PERCENT = 3, 90
 #: Shingles that one side of a tile holds, about: 8 bytes each.
@@ -67,41 +67,51 @@ LEVELS = 6
 _plans: dict[tuple, tuple] = {}
 
 
-def _plan(percent: int, band: int, edges: list[int]) -> tuple[np.ndarray, int]:
-    """Borders of a band's ranges, and how many of them may be empty.
+def _plan(percent: int, band: int, edges: list[int]) -> tuple[np.ndarray, int, int]:
+    """A band's range borders, the fewest elements of a range that is shown, and how many thinner ranges a set may have.
 
-    With k differences at most and k + 1 + c ranges, c + 1 ranges agree; they are all empty in both sets only if each
-    set has more than c empty ones. c is a little over what the least sets of the band will have.
+    With k differences at most and k + 1 + c ranges, c + 1 ranges agree; they are all thin in both sets only if each set
+    has more than c thin ones. c is a little over what the least sets of the band will have. Fuller ranges are shared by
+    chance less often: the fewest is the greatest of 4 to 1 that takes no more than half as many ranges again.
     """
     key = (percent, band)
     if key not in _plans:
         size = lambda i: edges[i] if i < len(edges) else -(-size(i - 1) * 100 // percent)
         k, least = most_differences(percent, size(band)), edges[band - 2] + 1 if band > 1 else 1
-        spare = 0
-        for _ in range(3 if k else 0):
-            m = k + 1 + spare
-            empty = m * np.exp(-least / m)
-            spare = int(np.ceil(empty + 2 * np.sqrt(empty)))
+        for fewest in (4, 3, 2, 1) if k else (1,):
+            spare = 0
+            for _ in range(8 if k else 0):
+                m = k + 1 + spare
+                mean = least / m
+                term, share = np.exp(-mean), 0.0
+                for i in range(fewest):
+                    share += term
+                    term *= mean / (i + 1)
+                spare = int(np.ceil(m * share + 2 * np.sqrt(m * share)))
+                if spare > (k + 1) // 2 and fewest > 1:
+                    break
+            else:
+                break
         m = k + 1 + spare
         if len(_plans) > 256:
             _plans.clear()
-        _plans[key] = np.array([(j << 64) // m for j in range(1, m)], np.uint64), spare
+        _plans[key] = np.array([(j << 64) // m for j in range(1, m)], np.uint64), fewest, spare
     return _plans[key]
 
 
 def signatures(h: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
-    """Signatures of a sorted set for its band and the next: a hash of each range that isn't empty. A set with too many
-    empty ranges shows those of a further hash as well, up to LEVELS, and then a signature of that plight."""
+    """Signatures of a sorted set for its band and the next: a hash of each range that isn't thin. A set with too many
+    thin ranges shows those of a further hash as well, up to LEVELS, and then one that says no more than this."""
     b = int(np.searchsorted(edges, len(h)))
     out: list[np.ndarray] = []
     for band in (b, b + 1):
-        borders, spare = _plan(percent, band, edges)
+        borders, fewest, spare = _plan(percent, band, edges)
         for level in range(LEVELS):
             seed = mix(np.array([band * LEVELS + level + 1], np.uint64))
             x = h if level == 0 else np.sort(mix(h ^ seed))
             at = np.concatenate([[0], np.searchsorted(x, borders), [len(x)]])
             total = np.concatenate([[np.uint64(0)], np.cumsum(mix(x + seed), dtype=np.uint64)])
-            full = at[1:] > at[:-1]
+            full = at[1:] >= at[:-1] + fewest
             tags = mix(total[at[1:]] - total[at[:-1]] + mix(np.arange(len(full), dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + seed))
             out.append(tags[full])
             if len(full) - int(full.sum()) <= spare:
@@ -121,8 +131,8 @@ def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def link(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``sets`` (of side 0 with side 1 only, if sides are given)."""
+def link(sets: list[np.ndarray], side: np.ndarray, within: bool, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between ``sets`` of side 0 and side 1, and, if ``within``, among those of side 0."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     bits = 1 << min(16, max(7, int(2 * size.max()).bit_length()))
@@ -130,14 +140,13 @@ def link(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[
     root = np.arange(n)
     order = np.argsort(size, kind="stable")
     size, maps = size[order], maps[order]
-    side = None if side is None else side[order]
+    side = side[order]
     links = []
     for i in range(n):
         hi = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
         todo = np.arange(i + 1, hi)
         todo = todo[root[i + 1 : hi] != root[i]]
-        if side is not None:
-            todo = todo[side[todo] != side[i]]
+        todo = todo[(side[todo] != side[i]) | (within & (side[todo] + side[i] == 0))]
         for a in range(0, len(todo), 8192):
             part = todo[a : a + 8192]
             differ = np.bitwise_count(maps[part] ^ maps[i]).sum(1).astype(np.int64)
@@ -204,33 +213,33 @@ def _tiles(members: DataFrame, percent: int, tile: int) -> DataFrame:
     me = name(F.col("band"), F.col("salt"))
     tile_of = lambda a, b, side: F.struct(a.alias("ta"), b.alias("tb"), F.lit(side).alias("side"))
     seq = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda x: x < n)
-    own = F.transform(seq(F.col("mine")), lambda x: F.when(x == F.col("salt"), tile_of(me, me, 0)).when(x > F.col("salt"), tile_of(me, name(F.col("band"), x), 0)).otherwise(tile_of(name(F.col("band"), x), me, 1)))
+    one = F.col("mine") == 1  # then the band's own pairs are looked at in its first tile with the next band
+    inner = F.transform(seq(F.col("mine")), lambda x: F.when(x == F.col("salt"), tile_of(me, me, 0)).when(x > F.col("salt"), tile_of(me, name(F.col("band"), x), 0)).otherwise(tile_of(name(F.col("band"), x), me, 1)))
+    own = F.when(one & (F.col("above") > 0), F.slice(inner, 1, 0)).otherwise(inner)
     up = F.transform(seq(F.col("above")), lambda x: tile_of(me, name(F.col("band") + 1, x), 0))
     down = F.transform(seq(F.col("below")), lambda x: tile_of(name(F.col("band") - 1, x), me, 1))
     whole = F.array(tile_of(F.lit("*"), F.lit("*"), 0))
-    return m.select("rep", "cluster", F.explode(F.when(F.col("mine") == 0, whole).otherwise(F.concat(own, up, down))).alias("t")).select("rep", "cluster", "t.ta", "t.tb", "t.side")
+    out = m.select("rep", "cluster", "mine", F.explode(F.when(F.col("mine") == 0, whole).otherwise(F.concat(own, up, down))).alias("t")).select("rep", "cluster", "t.ta", "t.tb", "t.side", "mine")
+    # a tile looks within its lower side if that is all it has, or if it stands for a band of one tile
+    return out.withColumn("within", (F.col("ta") == F.col("tb")) | (F.col("side") == 0) & (F.col("mine") == 1) & F.col("tb").endswith("/0")).drop("mine")
 
 
 def _links(docs: DataFrame, tiles: DataFrame, shingle: int, percent: int) -> DataFrame:
     """src, dst: a spanning forest of each tile's links. Only texts of members are read past the join."""
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                sets = shingle_sets(Words(as_bytes(part), SPACE, lower=True), shingle)
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in ("rep", "cluster", "ta", "tb", "side")), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["rep", "cluster", "ta", "tb", "side", "set"])
-
     def solve(key, table):
-        sets = [np.frombuffer(x, "<u8") for x in table["set"].to_pylist()]
+        sets = []
+        for part in slices(table.select(["text"]).combine_chunks().to_batches()[0]):
+            sets += shingle_sets(Words(as_bytes(part), SPACE, lower=True), shingle)
         rep = table["rep"].to_numpy()
         some = [i for i, s in enumerate(sets) if len(s)]
-        side = None if key[1].as_py() == key[2].as_py() else table["side"].to_numpy()[some]
-        got = link([sets[i] for i in some], side, percent) if some else []
+        within = any(table["within"].to_pylist())
+        got = link([sets[i] for i in some], table["side"].to_numpy()[some], within, percent) if some else []
         pairs = [(int(rep[some[a]]), int(rep[some[b]])) for a, b in got]
         return pa.table({"src": pa.array([a for a, _ in pairs], pa.int64()), "dst": pa.array([b for _, b in pairs], pa.int64())})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("text is not null")
-    rows = texts.join(tiles, "rep").select("rep", "cluster", "ta", "tb", "side", "text").mapInArrow(again, "rep long, cluster long, ta string, tb string, side int, set binary")
+    rows = texts.join(tiles, "rep").select("rep", "cluster", "ta", "tb", "side", "within", "text")
     return rows.groupBy("cluster", "ta", "tb").applyInArrow(solve, "src long, dst long")
 
 
@@ -243,15 +252,18 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     64-bit hashes. Hot groups: equal sets combine before the shuffle, stars about a signature replace its pairs, and
     clusters are cut into tiles of bounded size.
     """
-    sketch = materialise(_sketch(docs, shingle, percent), "sketch")
+    signed = materialise(_sketch(docs, shingle, percent), "sketch")
+    sketch = materialise(signed.drop("signs"), "sets")
+    clusters = materialise(_clusters(signed.where("signs is not null")), "clusters")
+    discard(signed)
     named = sketch.where("doc_id is not null and n_shingles > 0")
     classes = materialise(named.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")), "classes")
-    members = materialise(classes.select("rep", "n_shingles", "lo").join(_clusters(named), "lo").drop("lo"), "members")
+    members = materialise(classes.select("rep", "n_shingles", "lo").join(clusters, "lo").drop("lo"), "members")
     links = materialise(_links(docs, _tiles(members, percent, tile_shingles), shingle, percent), "links")
     own = named.select("doc_id", "hi", "lo").join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).select("doc_id", "rep").distinct()
     several = own.groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where("size(reps) > 1").select(F.array_min("reps").alias("src"), F.explode("reps").alias("dst"))
     comps = star_components(links.union(several))
-    named_rows = sketch.drop("signs").join(classes.select("hi", "lo", "rep"), ["hi", "lo"], "left")
+    named_rows = sketch.join(classes.select("hi", "lo", "rep"), ["hi", "lo"], "left")
     out = named_rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     empty = F.col("n_shingles") == 0
     class_id = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.when(empty, F.col("doc_id")).otherwise(F.col("rep")))
