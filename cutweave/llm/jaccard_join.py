@@ -259,7 +259,12 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     named = sketch.where("doc_id is not null and n_shingles > 0")
     classes = materialise(named.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")), "classes")
     members = materialise(classes.select("rep", "n_shingles", "lo").join(clusters, "lo").drop("lo"), "members")
-    links = materialise(_links(docs, _tiles(members, percent, tile_shingles), shingle, percent), "links")
+    tiles = materialise(_tiles(members, percent, tile_shingles), "tiles")
+    links = None
+    for i in range(SHARES):  # as for signatures: a share of the tiles at a time, so that only its texts are held twice
+        some = tiles.where(F.pmod(F.xxhash64("cluster", "ta", "tb"), F.lit(SHARES)) == i)
+        got = materialise(_links(docs, some, shingle, percent), "links")
+        links = got if links is None else links.union(got)
     own = named.select("doc_id", "hi", "lo").join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).select("doc_id", "rep").distinct()
     several = own.groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where("size(reps) > 1").select(F.array_min("reps").alias("src"), F.explode("reps").alias("dst"))
     comps = star_components(links.union(several))
