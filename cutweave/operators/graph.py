@@ -72,7 +72,7 @@ def degree_rank(edges: DataFrame) -> DataFrame:
     n = d.agg(F.count("*").alias("n"))
     hist = d.groupBy("degree").count().withColumn("before", F.coalesce(F.sum("count").over(W.orderBy(F.desc("degree")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("degree", "before")
     r = d.withColumn("_r", F.row_number().over(W.partitionBy("degree").orderBy("node"))).join(hist, "degree")
-    return r.crossJoin(F.broadcast(n)).select("node", "degree", F.round(F.col("degree") / (F.col("n") - 1), 6).alias("centrality"), (F.col("before") + F.col("_r")).cast("long").alias("rank"))
+    return r.crossJoin(F.broadcast(n)).select("node", "degree", F.round(F.try_divide("degree", F.col("n") - 1), 6).alias("centrality"), (F.col("before") + F.col("_r")).cast("long").alias("rank"))
 
 
 def minmax_degree(edges: DataFrame) -> DataFrame:

@@ -50,10 +50,10 @@ def run_trends(rows: DataFrame, last_n: int = 20) -> DataFrame:
 
 def benchmark_compare(rows: DataFrame, threshold: float = 0.25) -> DataFrame:
     """run_id, key, current, best_before, ratio, regressed: mean milliseconds (seconds where null) against the best of
-    the key's earlier runs; a first run has no ratio and is no regression."""
+    the key's earlier runs; a first run, or one after a best of 0, has no ratio and is no regression."""
     r = rows.withColumn("key", _key()).withColumn("current", F.coalesce("iter_avg_ms", "iter_seconds"))
     w = W.partitionBy("key").orderBy("started_at", "run_id").rowsBetween(W.unboundedPreceding, -1)
-    r = r.withColumn("best_before", F.min("current").over(w)).withColumn("ratio", (F.col("current") - F.col("best_before")) / F.col("best_before"))
+    r = r.withColumn("best_before", F.min("current").over(w)).withColumn("ratio", F.try_divide(F.col("current") - F.col("best_before"), F.col("best_before")))
     return r.select("run_id", "key", "current", "best_before", "ratio", F.coalesce(F.col("ratio") > threshold, F.lit(False)).alias("regressed"))
 
 
@@ -103,7 +103,7 @@ def overhead_guard(iters: DataFrame, window: int = 5, ratio: float = 1.5, least_
     """iter, ratio, tripped: overhead over compute in the last ``window`` iterations. Rows are iterations, a small table;
     windows go by run where there is a run_id."""
     by = W.partitionBy("run_id" if "run_id" in iters.columns else F.lit(0)).orderBy("iter").rowsBetween(-(window - 1), 0)
-    r = iters.withColumn("ratio", F.sum("overhead").over(by) / F.sum("compute").over(by)).withColumn("n", F.sum("calls").over(by))
+    r = iters.withColumn("ratio", F.try_divide(F.sum("overhead").over(by), F.sum("compute").over(by))).withColumn("n", F.sum("calls").over(by))
     return r.select("iter", "ratio", ((F.col("ratio") > ratio) & (F.col("n") >= least_calls)).alias("tripped"))
 
 

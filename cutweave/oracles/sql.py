@@ -267,8 +267,8 @@ SQL["curves"] = f"WITH {RUNS} SELECT run_id, string_agg(fitness::VARCHAR, ',' OR
 SQL["run_summary"] = f"WITH {RUNS} SELECT run_id, count(*) AS iterations, round(sum(iter_ms) / 1000, 6) AS seconds, round(sum(iter_ms) / count(*), 6) AS avg_ms, round(count(*) / (sum(iter_ms) / 1000), 6) AS throughput FROM runs GROUP BY run_id"
 SQL["load_run_reports"] = f"WITH {REPORTS} SELECT * EXCLUDE (started_at) FROM rep"
 SQL["run_trends"] = f"WITH {REPORTS}, l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY started_at DESC, run_id DESC) AS k FROM repk QUALIFY k <= 5) SELECT key, count(*) AS runs, round(avg(iter_avg_ms), 6) AS mean_ms, round(avg(best_fitness), 6) AS mean_fitness, 0::BIGINT AS regressions, arg_min(run_id, k) AS last_run FROM l GROUP BY key"
-SQL["benchmark_compare"] = f"WITH {REPORTS} SELECT run_id, key, round(current, 6) AS current, round(best_before, 6) AS best_before, round((current - best_before) / best_before, 6) AS ratio, coalesce((current - best_before) / best_before > 0.25, false) AS regressed FROM cmp"
-SQL["trends_with_regressions"] = f"WITH {REPORTS}, l AS (SELECT repk.key, run_id, row_number() OVER (PARTITION BY repk.key ORDER BY started_at DESC, run_id DESC) AS k FROM repk QUALIFY k <= 20) SELECT l.key, count(*) AS runs, count(*) FILTER ((current - best_before) / best_before > 0.25) AS regressions FROM l JOIN cmp USING (run_id) GROUP BY l.key"
+SQL["benchmark_compare"] = f"WITH {REPORTS} SELECT run_id, key, round(current, 6) AS current, round(best_before, 6) AS best_before, round((current - best_before) / nullif(best_before, 0), 6) AS ratio, coalesce((current - best_before) / nullif(best_before, 0) > 0.25, false) AS regressed FROM cmp"
+SQL["trends_with_regressions"] = f"WITH {REPORTS}, l AS (SELECT repk.key, run_id, row_number() OVER (PARTITION BY repk.key ORDER BY started_at DESC, run_id DESC) AS k FROM repk QUALIFY k <= 20) SELECT l.key, count(*) AS runs, count(*) FILTER ((current - best_before) / nullif(best_before, 0) > 0.25) AS regressions FROM l JOIN cmp USING (run_id) GROUP BY l.key"
 SQL["upsert_history"] = f"SELECT * FROM (SELECT 0 AS o, * FROM {HIST(0)} UNION ALL SELECT 1, * FROM {HIST(1)}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC, o DESC) = 1".replace("SELECT * FROM (SELECT 0", "SELECT id, created_at, best_score FROM (SELECT 0", 1)
 SQL["page_history"] = f"SELECT * FROM {HIST(0)} ORDER BY created_at, id LIMIT 20 OFFSET 40"
 SQL["delete_history"] = f"SELECT * FROM {HIST(0)} WHERE id NOT IN (SELECT id FROM {HIST(1)} WHERE id % 3 = 0)"
