@@ -224,8 +224,8 @@ def _tiles(members: DataFrame, percent: int, tile: int) -> DataFrame:
     return out.withColumn("within", (F.col("ta") == F.col("tb")) | (F.col("side") == 0) & (F.col("mine") == 1) & F.col("tb").endswith("/0")).drop("mine")
 
 
-def _links(docs: DataFrame, tiles: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """src, dst: a spanning forest of each tile's links. Only texts of members are read past the join."""
+def _links(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """src, dst: a spanning forest of each tile's links; ``rows`` has a text once for every tile it is in."""
 
     def solve(key, table):
         sets = []
@@ -238,11 +238,17 @@ def _links(docs: DataFrame, tiles: DataFrame, shingle: int, percent: int) -> Dat
         pairs = [(int(rep[some[a]]), int(rep[some[b]])) for a, b in got]
         return pa.table({"src": pa.array([a for a, _ in pairs], pa.int64()), "dst": pa.array([b for _, b in pairs], pa.int64())})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("text is not null")
-    rows = texts.join(tiles, "rep").select("rep", "cluster", "ta", "tb", "side", "within", "text")
     return rows.groupBy("cluster", "ta", "tb").applyInArrow(solve, "src long, dst long")
 
 
+def _dealt(docs: DataFrame, tiles: DataFrame) -> DataFrame:
+    """rep, text and all tiles of each member: texts of documents are shuffled once, for all shares of the tiles."""
+    share = F.pmod(F.xxhash64("cluster", "ta", "tb"), F.lit(SHARES)).cast("int").alias("share")
+    own = tiles.groupBy("rep").agg(F.collect_list(F.struct(share, "cluster", "ta", "tb", "side", "within")).alias("tiles"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("text is not null")
+    return texts.join(own, "rep")
+
+
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, class_id (least doc_id with the same set), component_id (least doc_id reachable by links).
 
@@ -260,11 +266,12 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     classes = materialise(named.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")), "classes")
     members = materialise(classes.select("rep", "n_shingles", "lo").join(clusters, "lo").drop("lo"), "members")
     tiles = materialise(_tiles(members, percent, tile_shingles), "tiles")
-    links = None
+    dealt, links = materialise(_dealt(docs, tiles), "dealt"), None
     for i in range(SHARES):  # as for signatures: a share of the tiles at a time, so that only its texts are held twice
-        some = tiles.where(F.pmod(F.xxhash64("cluster", "ta", "tb"), F.lit(SHARES)) == i)
-        got = materialise(_links(docs, some, shingle, percent), "links")
+        some = dealt.withColumn("tile", F.explode(F.filter("tiles", lambda x: x["share"] == i))).select("rep", "text", "tile.cluster", "tile.ta", "tile.tb", "tile.side", "tile.within")
+        got = materialise(_links(some, shingle, percent), "links")
         links = got if links is None else links.union(got)
+    discard(dealt)
     own = named.select("doc_id", "hi", "lo").join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).select("doc_id", "rep").distinct()
     several = own.groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where("size(reps) > 1").select(F.array_min("reps").alias("src"), F.explode("reps").alias("dst"))
     comps = star_components(links.union(several))
