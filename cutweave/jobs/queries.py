@@ -680,10 +680,10 @@ def rotary_table(s, d):
 
 
 def event_population(s, d, shift=0):
-    """cand_id, pos, gene: users' first ten events."""
+    """cand_id, pos, gene: all events of each user, in order."""
     from pyspark.sql import Window as W
 
-    e = table(s, d, "events").withColumn("pos", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1).where("pos < 10")
+    e = table(s, d, "events").withColumn("pos", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1)
     return e.select(F.col("user_id").cast("int").alias("cand_id"), "pos", (F.col("event_id") + shift).alias("gene"))
 
 
@@ -736,7 +736,7 @@ def encode_genotype(s, d):
 
 @query
 def decode_phenotype(s, d):
-    x = event_population(s, d).where("cand_id < 20").select("cand_id", "pos", (F.col("gene") % 100 / 100).alias("x"))
+    x = event_population(s, d).select("cand_id", "pos", (F.col("gene") % 100 / 100).alias("x"))
     return V.decode_phenotype(x, G.minmax_degree(sparse(s, d)))
 
 
@@ -767,7 +767,7 @@ def sga_elitism(s, d):
 @query
 def resolve_conflicts(s, d):
     pool = table(s, d, "supplier").select((F.col("s_suppkey") % 12).alias("idx")).distinct()
-    return V.resolve_conflicts(event_population(s, d).where("pos < 3").withColumn("gene", F.col("gene") % 4), pool, 2)
+    return V.resolve_conflicts(event_population(s, d).withColumn("gene", F.col("gene") % 4), pool, 2)
 
 
 @query

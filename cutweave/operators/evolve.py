@@ -153,7 +153,8 @@ def encode_genotype(candidates: DataFrame, minmax: DataFrame) -> DataFrame:
 
 def decode_phenotype(genotypes: DataFrame, minmax: DataFrame) -> DataFrame:
     """cand_id, pos, node: for each position in turn the nearest value's node not yet used, least id on ties. Sequential
-    within a candidate, whose group has ``budget`` rows; the pool goes along with each, so it must fit a task."""
+    within a candidate, whose group has ``budget`` rows; the pool goes along with each, so it must fit a task. A candidate
+    with more positions than there are nodes uses each node again only after all of them."""
     pool = minmax.orderBy("x", "node").toPandas()
     shared = genotypes.sparkSession.sparkContext.broadcast((pool["x"].to_numpy(), pool["node"].to_numpy()))
 
@@ -164,6 +165,8 @@ def decode_phenotype(genotypes: DataFrame, minmax: DataFrame) -> DataFrame:
         used = np.zeros(len(xs), bool)
         out = []
         for cand, pos, x in sorted(zip(pdf["cand_id"], pdf["pos"], pdf["x"]), key=lambda r: r[1]):
+            if used.all():
+                used[:] = False
             d = np.abs(xs - x)
             d[used] = np.inf
             best = d.min()
