@@ -468,13 +468,13 @@ def embedding(s, d):
     return C.lowrank_embedding(disc(s, d), rounds=4)
 
 
-def vectors(s, d, end: int):
-    return table(s, d, "embeddings").where("vec_id % 5 = 0").select(F.col("vec_id").alias("node"), F.transform(F.slice("embedding", 1, end), lambda x: x.cast("double")).alias("vec"))
-
-
 @query
 def distance_corr(s, d):
-    return C.distance_shift(C.pairwise_distance(vectors(s, d, 8)), C.pairwise_distance(vectors(s, d, 16))).withColumns(r6("shift"))
+    """The embedding of a changed graph against the base graph's, over all ordered pairs of nodes."""
+    e = disc(s, d)
+    changed = materialise(P.apply_edge_changes(e, materialise(edge_changes(s, e, 1), "changes")).select("src", "dst"), "changed")
+    base, emb = materialise(C.lowrank_embedding(e, rounds=4), "embedding"), materialise(C.lowrank_embedding(changed, rounds=4), "embedding")
+    return C.distance_shift_blocks(emb, base).withColumns(r6("shift"))
 
 
 @query

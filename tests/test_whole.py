@@ -47,3 +47,37 @@ def test_decode_phenotype_starts_again_when_all_nodes_are_used(spark):
     mm = spark.createDataFrame([(10, 0.0), (11, 1.0)], "node long, x double")
     g = spark.createDataFrame([(0, i, 0.9) for i in range(5)], "cand_id int, pos int, x double")
     assert [r["node"] for r in V.decode_phenotype(g, mm).orderBy("pos").collect()] == [11, 10, 11, 10, 11]
+
+
+# distances of embeddings: all ordered pairs, of the changed graph against the base
+
+
+def test_distance_shift_blocks_is_distance_shift_of_all_pairs(spark):
+    import random
+
+    from cutweave.operators import community as C
+
+    r = random.Random(3)
+    base = spark.createDataFrame([(i, [r.random() for _ in range(6)]) for i in range(90)], "node long, vec array<double>")
+    emb = spark.createDataFrame([(i, [r.random() for _ in range(6)]) for i in range(90) if i != 40], "node long, vec array<double>")
+    full = emb.union(spark.createDataFrame([(40, [0.0] * 6)], "node long, vec array<double>"))
+    want = C.distance_shift(C.pairwise_distance(full), C.pairwise_distance(base)).first()[0]
+    for block in (7, 1000):
+        assert C.distance_shift_blocks(emb, base, block).first()[0] == pytest.approx(want, abs=1e-9)
+    assert C.distance_shift_blocks(base, base, 20).first()[0] == pytest.approx(0, abs=1e-9)
+
+
+def test_distance_corr_compares_the_graphs_embeddings(spark, sf, monkeypatch):
+    from cutweave.operators import community as C
+
+    taken = []
+    monkeypatch.setattr(C, "distance_shift_blocks", lambda emb, base, f=C.distance_shift_blocks: taken.extend([emb, base]) or f(emb, base))
+    got = QUERIES["distance_corr"](spark, sf).first()[0]
+    emb, base = taken
+    from cutweave.sources.fixtures import copart
+
+    e = copart(spark, sf, "disc")
+    assert base.count() == e.select("src").union(e.select("dst")).distinct().count()  # no node is left out
+    assert 0 < got < 1
+    want = C.distance_shift(C.pairwise_distance(base.select("node").join(emb, "node", "left").select("node", F.coalesce("vec", F.array(*[F.lit(0.0)] * 6)).alias("vec"))), C.pairwise_distance(base)).first()[0]
+    assert got == pytest.approx(want, abs=2e-6)
