@@ -119,9 +119,9 @@ def parse_gml(s, d):
 
 @query
 def adjacency_to_edges(s, d):
-    """Rows of 64 columns of the part graph's matrix, from the diagonal block of each node."""
-    a = G.adjacency(copart(s, d, "all")).where("src div 64 = dst div 64")
-    rows = a.groupBy(F.col("src").alias("idx")).agg(F.collect_set("dst").alias("n")).withColumn("base", F.expr("(idx div 64) * 64"))
+    """Every block of 64 columns of the part graph's matrix that isn't all zero, row by row."""
+    a = G.adjacency(copart(s, d, "all"))
+    rows = a.groupBy(F.col("src").alias("idx"), F.expr("(dst div 64) * 64").alias("base")).agg(F.collect_set("dst").alias("n"))
     rows = rows.select("idx", "base", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.array_contains("n", F.col("base") + i).cast("int")).alias("row"))
     return A.adjacency_rows_to_edges(rows)
 
@@ -220,7 +220,7 @@ def minmax_degree(s, d):
 
 @query
 def neighbor_lists(s, d):
-    return G.neighbor_lists(disc(s, d), hub_cap=6).select("node", "degree", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), ",").alias("nbrs"))
+    return G.neighbor_lists(disc(s, d), hub_cap=6).select("node", "degree", "chunk", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), ",").alias("nbrs"))
 
 
 @query

@@ -82,13 +82,15 @@ def minmax_degree(edges: DataFrame) -> DataFrame:
 
 
 def neighbor_lists(edges: DataFrame, hub_cap: int | None = None) -> DataFrame:
-    """node, degree, nbrs (sorted). With ``hub_cap`` nodes of a greater degree have a null list: they are named, not cut."""
+    """node, degree, nbrs (sorted). With ``hub_cap`` also chunk: a node of a greater degree has several rows, each with
+    its neighbours in one of ceil(degree / hub_cap) equal ranges of their ids (ranges without any have no row); in order
+    of chunk they are the whole sorted list."""
     a = adjacency(edges)
-    d = a.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
     if hub_cap is None:
         return a.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"), F.array_sort(F.collect_set("dst")).alias("nbrs"))
-    small = a.join(d.where(F.col("degree") <= hub_cap), F.col("src") == F.col("node"), "left_semi").groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_set("dst")).alias("nbrs"))
-    return d.join(small, "node", "left")
+    d = a.groupBy("src").agg(F.count("*").alias("degree"), F.min("dst").alias("lo"), F.max("dst").alias("hi")).withColumn("parts", F.ceil(F.col("degree") / hub_cap))
+    c = a.join(d, "src").withColumn("chunk", F.expr("cast((dst - lo) * parts div (hi - lo + 1) as int)"))
+    return c.groupBy(F.col("src").alias("node"), "degree", "chunk").agg(F.array_sort(F.collect_set("dst")).alias("nbrs"))
 
 
 def gene_pool_nodes(edges: DataFrame, nodes: DataFrame | None = None, allow_self: bool = False) -> DataFrame:

@@ -81,3 +81,34 @@ def test_distance_corr_compares_the_graphs_embeddings(spark, sf, monkeypatch):
     assert 0 < got < 1
     want = C.distance_shift(C.pairwise_distance(base.select("node").join(emb, "node", "left").select("node", F.coalesce("vec", F.array(*[F.lit(0.0)] * 6)).alias("vec"))), C.pairwise_distance(base)).first()[0]
     assert got == pytest.approx(want, abs=2e-6)
+
+
+# every entry of the matrix, every neighbour of a hub
+
+
+def test_adjacency_to_edges_has_every_entry(spark, sf, duck):  # noqa: F811
+    got = QUERIES["adjacency_to_edges"](spark, sf)
+    assert rows(got) == sql_rows(duck, SQL["adjacency_to_edges"].replace(" WHERE src // 64 = dst // 64", ""))
+    assert got.where("src div 64 <> dst div 64").count() > 0
+
+
+def test_neighbor_lists_name_every_neighbour(spark, sf):
+    from cutweave.operators.graph import adjacency
+    from cutweave.sources.fixtures import copart
+
+    lists = {}
+    for r in QUERIES["neighbor_lists"](spark, sf).orderBy("node", "chunk").collect():
+        lists.setdefault((r["node"], r["degree"]), []).extend(int(x) for x in r["nbrs"].split(","))
+    want = {}
+    for r in adjacency(copart(spark, sf, "disc")).collect():
+        want.setdefault(r["src"], []).append(r["dst"])
+    assert lists == {(n, len(x)): sorted(x) for n, x in want.items()}
+    assert max(d for _, d in lists) > 6
+
+
+def test_neighbor_lists_of_a_star(spark):
+    from cutweave.operators.graph import neighbor_lists
+
+    star = spark.range(1, 1001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    hub = [r["nbrs"] for r in neighbor_lists(star, 50).where("node = 0").orderBy("chunk").collect()]
+    assert sum(hub, []) == list(range(1, 1001)) and len(hub) == 20 and max(map(len, hub)) == 50
