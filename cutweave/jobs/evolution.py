@@ -245,31 +245,25 @@ def qattack(spark: SparkSession, edges: DataFrame, generations: int, pop: int =
     return evolve(Problem("qattack", "max", pool, _budget(edges, rate), pop, fit, metrics, 0.8, 0.1), generations, seed)
 
 
-def cda_eda(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024, share: float = 0.05) -> Run:
-    """Delete edges: greatest shift of distances in the walk matrix's embedding, over a hash share of pairs. Candidates
+def cda_eda(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024) -> Run:
+    """Delete edges: greatest shift of distances in the walk matrix's embedding, over all pairs of nodes. Candidates
     share the base graph's leading vectors: each is scored by one more product with its own walk matrix."""
     emb = materialise(C.lowrank_embedding(edges, 6, 4, seed), "embedding")
     pool = _pool(edges.select("src", "dst"), F.asc("src"), F.asc("dst"))
-    nodes = emb.select("node")
-    pairs = materialise(nodes.select(F.col("node").alias("a")).crossJoin(nodes.select(F.col("node").alias("b"))).where((F.col("a") < F.col("b")) & (V.u(seed, F.col("a"), F.col("b"), "pair") < share)), "pairs")
 
     def moved(e: DataFrame) -> DataFrame:
         a = G.adjacency(e, ("cand_id",))
         d = a.groupBy("cand_id", "src").agg(F.count("*").alias("d"))
         x = a.join(emb.select(F.col("node").alias("dst"), F.posexplode("vec").alias("i", "x")), "dst").join(d, ["cand_id", "src"])
         v = x.groupBy("cand_id", F.col("src").alias("node"), "i").agg(F.sum(F.col("x") / (F.col("d") + 1)).alias("x"))
-        return v.groupBy("cand_id", "node").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("v"))
+        return v.groupBy("cand_id", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vec"))
 
-    def dist(v: DataFrame) -> DataFrame:
-        j = v.select("cand_id", F.col("node").alias("a"), F.col("v").alias("va")).join(pairs, "a").join(v.select("cand_id", F.col("node").alias("b"), F.col("v").alias("vb")), ["cand_id", "b"])
-        sq = sum((F.coalesce(F.element_at("va", i), F.lit(0.0)) - F.coalesce(F.element_at("vb", i), F.lit(0.0))) ** 2 for i in range(6))
-        return j.select("cand_id", "a", "b", F.sqrt(sq).alias("dist"))
-
-    base = materialise(dist(moved(edges.select(F.lit(0).alias("cand_id"), "src", "dst"))).select("a", "b", F.col("dist").alias("dist0")), "base")
+    base = materialise(moved(edges.select(F.lit(0).alias("cand_id"), "src", "dst")).select("node", "vec"), "base")
 
     def fit(c: DataFrame) -> DataFrame:
         e = materialise(P.delete_edges(edges, c), "changed")
-        return dist(moved(e)).join(base, ["a", "b"]).groupBy("cand_id").agg((1 - F.abs(F.coalesce(F.corr("dist", "dist0"), F.lit(1.0)))).alias("fitness"))
+        shift = C.distance_shift_blocks(materialise(moved(e), "moved"), base, keys=("cand_id",))
+        return shift.select("cand_id", F.coalesce("shift", F.lit(0.0)).alias("fitness"))
 
     return evolve(Problem("cda_eda", "max", pool, _budget(edges, rate), pop, fit, None, 0.6, 0.2), generations, seed)
 
@@ -278,8 +272,7 @@ def _lpa(name: str, edges: DataFrame, generations: int, pop: int, rate: float, s
     split = materialise(G.edge_train_test_split(edges, 0.2, seed), "split")
     train, test = (materialise(split.where(F.col("split") == s).select("src", "dst"), s) for s in ("train", "test"))
     n = G.node_set(edges).count()
-    adds = V.order(seed, F.col("src"), F.col("dst"))
-    non = G.top_share(G.non_edges(train), adds, 0.2).where("chosen").select("src", "dst")
+    non = G.non_edges(train).select("src", "dst")
     pool = _pool(train.select(F.lit("del").alias("op"), "src", "dst").union(non.select(F.lit("add"), "src", "dst")), F.asc("op"), F.asc("src"), F.asc("dst"))
 
     def fit(c: DataFrame) -> DataFrame:

@@ -1004,4 +1004,4 @@ def _job(name, **more):
 
 
 for _name in J.JOBS:
-    _job(_name, generations=2, pop=6)
+    _job(_name, generations=2)

@@ -171,15 +171,19 @@ def distance_shift(dist: DataFrame, base: DataFrame) -> DataFrame:
     return j.agg((1 - F.abs(F.corr("dist", "dist0"))).alias("shift"))
 
 
-def distance_shift_blocks(emb: DataFrame, base: DataFrame, block: int = 2048) -> DataFrame:
-    """``distance_shift`` of all ordered pairs of the base's nodes, the diagonal too, from the two tables of node, vec:
-    nodes are cut into blocks, each pair of blocks is one task's work, and only its sums leave it. A node that ``emb``
-    lacks is at 0."""
-    both = base.select("node", F.col("vec").alias("v0")).join(emb.select("node", "vec"), "node", "left")
-    both = both.select("node", "v0", F.coalesce("vec", F.transform("v0", lambda x: F.lit(0.0))).alias("v1"))
-    blocks = max(1, -(-both.count() // block))
+def distance_shift_blocks(emb: DataFrame, base: DataFrame, block: int = 2048, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, shift: ``distance_shift`` of all ordered pairs of the base's nodes, the diagonal too, from the two tables of
+    node, vec (``emb`` with keys): nodes are cut into blocks, each pair of blocks is one task's work, and only its sums
+    leave it. A node that ``emb`` lacks is at 0."""
+    every = base.select("node", F.col("vec").alias("v0"))
+    n = every.count()
+    both = every.crossJoin(F.broadcast(emb.select(*keys).distinct())) if keys else every
+    both = both.join(emb.select(*keys, "node", "vec"), [*keys, "node"], "left")
+    both = both.select(*keys, "node", "v0", F.coalesce("vec", F.transform("v0", lambda x: F.lit(0.0))).alias("v1"))
+    blocks = max(1, -(-n // block))
     own = both.withColumn("own", F.pmod(F.xxhash64("node"), F.lit(blocks)))
-    dealt = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "v0", "v1")
+    dealt = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*keys, F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "v0", "v1")
+    names = ["n", "x", "y", "xx", "yy", "xy"]
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
@@ -190,11 +194,13 @@ def distance_shift_blocks(emb: DataFrame, base: DataFrame, block: int = 2048) ->
         for at in range(0, len(rows), 256):
             x, y = (np.sqrt(sum((v[rows[at : at + 256], None, c] - v[None, cols, c]) ** 2 for c in range(v.shape[1]))) for v in vecs)
             out += [x.size, x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum()]
-        return pd.DataFrame([times * out], columns=["n", "x", "y", "xx", "yy", "xy"])
+        return pd.DataFrame([[pdf[k].iloc[0] for k in keys] + (times * out).tolist()], columns=[*keys, *names])
 
-    s = dealt.groupBy("i", "j").applyInPandas(sums, "n double, x double, y double, xx double, yy double, xy double").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")))
+    kinds = dict(dealt.dtypes)
+    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{c} double" for c in names])
+    s = dealt.groupBy(*keys, "i", "j").applyInPandas(sums, schema).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in names))
     corr = F.try_divide(F.expr("n * xy - x * y"), F.sqrt(F.expr("(n * xx - x * x) * (n * yy - y * y)")))
-    return s.select((1 - F.abs(corr)).alias("shift"))
+    return s.select(*keys, (1 - F.abs(corr)).alias("shift"))
 
 
 def community_edge_pools(edges: DataFrame, comms: DataFrame, seed: int, per_node: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -112,3 +112,39 @@ def test_neighbor_lists_of_a_star(spark):
     star = spark.range(1, 1001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
     hub = [r["nbrs"] for r in neighbor_lists(star, 50).where("node = 0").orderBy("chunk").collect()]
     assert sum(hub, []) == list(range(1, 1001)) and len(hub) == 20 and max(map(len, hub)) == 50
+
+
+# jobs: the whole pool of additions, and distances of all pairs
+
+
+def test_lpa_pool_has_every_distance_two_non_edge(spark):
+    from cutweave.jobs import evolution as J
+    from cutweave.operators import graph as G
+
+    ring = [(i, j) for i in range(12) for j in (i + 1, i + 2) if j < 12]
+    e = spark.createDataFrame(ring, "src long, dst long")
+    run = J.lpa_ga(spark, e, 1, pop=3)
+    train = G.edge_train_test_split(e, 0.2, 1024).where("split = 'train'").select("src", "dst")
+    adds = run.problem.pool.where("op = 'add'").select("src", "dst")
+    assert rows(adds) == rows(G.non_edges(train).select("src", "dst")) and adds.count() > 3
+
+
+def test_cda_eda_scores_all_pairs(spark):
+    """Two nodes' distances move on the smallest graphs too, where 5 in 100 of the pairs were none."""
+    from cutweave.jobs import evolution as J
+    from cutweave.operators import community as C
+
+    seen, whole = [], C.distance_shift_blocks
+    C.distance_shift_blocks = lambda emb, base, **k: seen.append((emb, base)) or whole(emb, base, **k)
+    try:
+        run = J.cda_eda(spark, spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (4, 0), (1, 3)], "src long, dst long"), 1, pop=3)
+    finally:
+        C.distance_shift_blocks = whole
+    emb, base = seen[0]
+    assert base.count() == 5
+    at = {(r["cand_id"], r["node"]): r["vec"] for r in emb.collect()}
+    zero = [0.0] * 6
+    for cand, shift in whole(emb, base, keys=("cand_id",)).collect():
+        mine = spark.createDataFrame([(i, at.get((cand, i), zero)) for i in range(5)], "node long, vec array<double>")
+        assert shift == pytest.approx(C.distance_shift(C.pairwise_distance(mine), C.pairwise_distance(base)).first()[0], abs=1e-9)
+    assert max(r["fitness"] for r in run.fitness.collect()) > 0
