@@ -153,26 +153,29 @@ def encode_genotype(candidates: DataFrame, minmax: DataFrame) -> DataFrame:
 
 def decode_phenotype(genotypes: DataFrame, minmax: DataFrame) -> DataFrame:
     """cand_id, pos, node: for each position in turn the nearest value's node not yet used, least id on ties. Sequential
-    within a candidate, whose group has ``budget`` rows; the pool goes along with each, so it must fit a task. A candidate
-    with more positions than there are nodes uses each node again only after all of them."""
-    pool = minmax.orderBy("x", "node").toPandas()
-    shared = genotypes.sparkSession.sparkContext.broadcast((pool["x"].to_numpy(), pool["node"].to_numpy()))
+    within a candidate, whose group has ``budget`` rows. A candidate takes the nodes of one value in order of their ids, so
+    the first ``budget`` ids of each distinct value go along, not all nodes: min-max degrees have as many values as there are
+    degrees. A candidate with more positions than there are nodes uses each node again only after all of them."""
+    most = genotypes.groupBy("cand_id").count().agg(F.max("count")).first()[0] or 0
+    first = minmax.withColumn("_n", F.row_number().over(W.partitionBy("x").orderBy("node"))).where(F.col("_n") <= most)
+    pool = first.groupBy("x").agg(F.array_sort(F.collect_list("node")).alias("nodes")).orderBy("x").collect()
+    shared = genotypes.sparkSession.sparkContext.broadcast(([r["x"] for r in pool], [r["nodes"] for r in pool]))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        xs, ids = shared.value
-        used = np.zeros(len(xs), bool)
+        xs, ids = np.array(shared.value[0]), shared.value[1]
+        size = np.array([len(i) for i in ids])
+        used = np.zeros(len(xs), int)
         out = []
         for cand, pos, x in sorted(zip(pdf["cand_id"], pdf["pos"], pdf["x"]), key=lambda r: r[1]):
-            if used.all():
-                used[:] = False
+            if (used == size).all():
+                used[:] = 0
             d = np.abs(xs - x)
-            d[used] = np.inf
-            best = d.min()
-            i = min(np.flatnonzero(d <= best + 1e-12), key=lambda k: ids[k])
-            used[i] = True
-            out.append((cand, pos, ids[i]))
+            d[used == size] = np.inf
+            i = min(np.flatnonzero(d <= d.min() + 1e-12), key=lambda k: ids[k][used[k]])
+            out.append((cand, pos, ids[i][used[i]]))
+            used[i] += 1
         return pd.DataFrame(out, columns=["cand_id", "pos", "node"])
 
     return genotypes.groupBy("cand_id").applyInPandas(run, "cand_id int, pos int, node long")

@@ -148,3 +148,26 @@ def test_cda_eda_scores_all_pairs(spark):
         mine = spark.createDataFrame([(i, at.get((cand, i), zero)) for i in range(5)], "node long, vec array<double>")
         assert shift == pytest.approx(C.distance_shift(C.pairwise_distance(mine), C.pairwise_distance(base)).first()[0], abs=1e-9)
     assert max(r["fitness"] for r in run.fitness.collect()) > 0
+
+
+def test_decode_phenotype_keeps_the_node_table_off_the_driver(spark, monkeypatch):
+    """30 candidates' rows against 20000 nodes of 4 values: the result of looking at all nodes, without collecting them."""
+    import numpy as np
+
+    mm = spark.range(20000).select("id", (F.col("id") * 7919 % 4 / 3).alias("x")).withColumnRenamed("id", "node")
+    g = spark.range(90).select((F.col("id") % 3).cast("int").alias("cand_id"), F.floor(F.col("id") / 3).cast("int").alias("pos"), (F.col("id") * 37 % 100 / 100).alias("x"))
+    xs = np.array([i * 7919 % 4 / 3 for i in range(20000)])
+    want = {}
+    for c in range(3):
+        free = np.ones(20000, bool)
+        for r in sorted((r for r in g.collect() if r["cand_id"] == c), key=lambda r: r["pos"]):
+            d = np.where(free, np.abs(xs - r["x"]), np.inf)
+            i = int(np.flatnonzero(d <= d.min() + 1e-12)[0])
+            free[i], want[c, r["pos"]] = False, i
+    taken = []
+    frame = type(mm)
+    for name in ("toPandas", "collect"):
+        monkeypatch.setattr(frame, name, lambda self, f=getattr(frame, name): [taken.append(out := f(self)), out][1])
+    got = V.decode_phenotype(g, mm)
+    assert sum(sum(len(r["nodes"]) if "nodes" in r else 1 for r in out) if isinstance(out, list) else len(out) for out in taken) < 1000
+    assert {(r["cand_id"], r["pos"]): r["node"] for r in got.collect()} == want
