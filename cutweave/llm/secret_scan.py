@@ -3,23 +3,26 @@ control."""
 
 from __future__ import annotations
 
-import hashlib
+import bisect
+import itertools
 import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from cutweave.llm.text import as_str, slices
-from cutweave.session import materialise
+from cutweave.llm.text import as_str, carried, released, slices, with_fields
+from cutweave.session import discard, materialise
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a maximal run of 32 or more: runs never overlap, so shorter ones need no dropping
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Runs of the symbols of any encoding; = pads an end, and elsewhere parts a name from its value.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 #: Alphabets by inferred encoding, each in its usual order.
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 MIN_BITS, FDR = 80.0, 0.05
@@ -27,7 +30,8 @@ BINS = 400  # of -log10 p, a tenth each
 
 
 def infer_encoding(token: str) -> str | None:
-    """The narrowest encoding that a token's characters fit. Letters alone, or digits alone, are no encoding."""
+    """The narrowest encoding that all of a token's characters fit, padding at its end aside; else null. Letters alone, or
+    digits alone, are no encoding."""
     body = token.rstrip("=")
     if body.isalpha() or not any(c.isalpha() for c in body):
         return None
@@ -38,7 +42,7 @@ def infer_encoding(token: str) -> str | None:
         return "base32"
     body = body.replace("-", "+").replace("_", "/")
     if any(c.islower() for c in body) and any(c.isupper() for c in body) and any(c.isdigit() for c in body):
-        return "base64"
+        return "base64" if all(c in ALPHABETS["base64"] for c in body) else None
     return None
 
 
@@ -54,7 +58,7 @@ def battery(token: str, encoding: str) -> float:
     alphabet = ALPHABETS[encoding]
     body = token.rstrip("=")
     body = body.lower() if encoding == "hex" else body.replace("-", "+").replace("_", "/")
-    v = np.array([alphabet.index(c) for c in body], float)
+    v = np.array([alphabet.index(c) for c in body], float)  # ``infer_encoding`` has seen to it that all are there
     n, size = len(v), len(alphabet)
     groups = size
     while groups > 4 and n / groups < 4:
@@ -96,30 +100,45 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, int, float]]:
             yield m.start(), m.end(), kind, length_band(len(token)), battery(token, kind)
 
 
+def clear_of(base: list[tuple[int, int, int]]):
+    """A test of whether a span meets none of ``base``, by a search among their starts and the furthest ends so far."""
+    starts = [s for s, _, _ in base]
+    ends = list(itertools.accumulate((e for _, _, e in base), max))
+
+    def clear(start: int, end: int) -> bool:
+        at = bisect.bisect_left(starts, end)
+        return not at or ends[at - 1] <= start
+
+    return clear
+
+
 def p_bin(p: float) -> int:
     """Tenths of -log10 p, in whole numbers up to BINS."""
     return min(BINS, int(-10 * math.log10(max(p, 1e-300))))
 
 
 _SPAN = "array<struct<start:long,kind:int,end:long>>"
-_CAND = "array<struct<start:long,end:long,enc:string,band:int,bin:int>>"
+_CAND = "array<struct<start:long,end:long,enc:string,band:int,bin:int,clear:boolean>>"
 
 
 def _scan(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """kept (a struct of those columns), base (spans of the fixed patterns) and cands (encoded-looking tokens)."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-    cand = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("enc", pa.string()), ("band", pa.int32()), ("bin", pa.int32())]))
+    cand = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("enc", pa.string()), ("band", pa.int32()), ("bin", pa.int32()), ("clear", pa.bool_())]))
+    rows, text = carried(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                texts = as_str(part)
-                base = [[{"start": s, "kind": k, "end": e} for s, k, e in base_spans(t)] for t in texts]
-                more = [[{"start": s, "end": e, "enc": c, "band": b, "bin": p_bin(p)} for s, e, c, b, p in candidates(t)] for t in texts]
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), pa.array(base, span), pa.array(more, cand)], names=[*keep, "base", "cands"])
+            for part in slices(batch, text):
+                base, more = [], []
+                for t in as_str(part, text):
+                    found = base_spans(t)
+                    clear = clear_of(found)
+                    base.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
+                    more.append([{"start": s, "end": e, "enc": c, "band": b, "bin": p_bin(p), "clear": clear(s, e)} for s, e, c, b, p in candidates(t)])
+                yield pa.RecordBatch.from_arrays([part["kept"], pa.array(base, span), pa.array(more, cand)], names=["kept", "base", "cands"])
 
-    kept = docs.select(*keep, *(["text"] if "text" not in keep else []))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    return kept.mapInArrow(run, f"{schema}base {_SPAN}, cands {_CAND}")
+    return rows.mapInArrow(run, with_fields(rows, ("base", _SPAN), ("cands", _CAND)))
 
 
 def rejection_bins(scanned: DataFrame, fdr: float = FDR) -> dict[str, int]:
@@ -144,17 +163,16 @@ def find_secrets(docs: DataFrame, keep: list[str] | None = None, fdr: float = FD
     points, end exclusive. A random span is a candidate, outside every base span, whose uniformity isn't rejected.
 
     Two jobs: the scan, narrow and written once, and a histogram of p-values of bounded size. Null text is empty and
-    has no spans; repeated rows repeat; an empty table gives an empty one; other columns are ignored.
+    has no spans; repeated rows repeat; an empty table gives an empty one; other columns are ignored, and a kept one
+    named spans gives way to the result. Time is linear in a text.
     """
-    keep = keep or ["doc_id"]
-    scanned = materialise(_scan(docs, keep), "secrets")
+    scanned = materialise(_scan(docs, keep or ["doc_id"]), "secrets")
     reject = rejection_bins(scanned, fdr)
     key = lambda c: F.concat(c["enc"], F.lit(":"), c["band"].cast("string"))
     table = F.create_map(*(F.lit(x) for kv in reject.items() for x in kv)) if reject else None
     passes = lambda c: (F.lit(True) if table is None else F.coalesce(c["bin"] < F.element_at(table, key(c)), F.lit(True)))
-    clear = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    extra = F.transform(F.filter("cands", lambda c: passes(c) & clear(c)), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
-    return scanned.select(*keep, F.array_sort(F.concat("base", extra)).alias("spans"))
+    extra = F.transform(F.filter("cands", lambda c: passes(c) & c["clear"]), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
+    return released(scanned, {"spans": F.array_sort(F.concat("base", extra))})
 
 
 def spans_text(spans, kinds: int):
@@ -181,40 +199,38 @@ def mask_spans(text: str | None, spans: list[tuple[int, int]], mask: str = "[SEC
 
 
 def mask_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """``docs`` (doc_id, text and any other columns) with every secret in text masked; n_chars, where there is one, is
-    counted anew in documents that changed. The text is read twice, once to gather p-values, and not shuffled."""
-    reject = rejection_bins(materialise(_scan(docs, []).select("cands"), "secrets"), fdr)
+    """``docs`` (text and any other columns) with every secret in text masked; n_chars, where there is one, is counted anew
+    in documents that changed. The text is read twice, once to gather p-values, and not shuffled.
+
+    Null and empty texts, and all other columns, stay as they are; repeated rows repeat; an empty table gives an empty
+    one.
+    """
+    scanned = materialise(_scan(docs, []).select("cands"), "secrets")
+    reject = rejection_bins(scanned, fdr)
+    discard(scanned)
+    rows = docs.select(F.struct("*").alias("row"))  # one column, so that any names pass
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                cols = {c: part[c] for c in names}
-                texts = part["text"].to_pylist()
-                new = [mask_spans(t, [(s, e) for s, _, e in base_spans(t)] + [c[:2] for c in randoms(t, reject)]) if t else t for t in texts]
+            for part in slices(batch, "row.text"):
+                row = part["row"]
+                cols = {c: pc.struct_field(row, [i]) for i, c in enumerate(names)}
+                texts = cols["text"].to_pylist()
+                new = [mask_spans(t, [(s, e) for s, _, e in base_spans(t)] + list(randoms(t, reject))) if t else t for t in texts]
                 changed = [a != b for a, b in zip(texts, new)]
                 if any(changed):
-                    cols["text"] = pa.array(new, part["text"].type)
+                    cols["text"] = pa.array(new, cols["text"].type)
                     if "n_chars" in cols and pa.types.is_integer(cols["n_chars"].type):
                         cols["n_chars"] = pa.array([len(t) if c else n for t, c, n in zip(new, changed, cols["n_chars"].to_pylist())], cols["n_chars"].type)
-                yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(list(cols.values()), fields=list(row.type))], names=["row"])
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).select("row.*")
 
 
 def randoms(text: str, reject: dict[str, int]) -> Iterator[tuple[int, int]]:
     """Candidates whose uniformity isn't rejected and that no base span meets."""
-    base = base_spans(text)
+    clear = clear_of(base_spans(text))
     for s, e, kind, band, p in candidates(text):
-        if p_bin(p) < reject.get(f"{kind}:{band}", BINS + 1) and not any(a < e and s < b for a, _, b in base):
+        if p_bin(p) < reject.get(f"{kind}:{band}", BINS + 1) and clear(s, e):
             yield s, e
-
-
-def brute_digest(text: str | None) -> tuple[int, int, int, str]:
-    """Base columns by the plain definition, for tests."""
-    text = text or ""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 8]
-    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
-    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
-    told = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(found))
-    return *(sum(k == x for _, k, _ in found) for x in range(3)), hashlib.sha256(told.encode()).hexdigest()

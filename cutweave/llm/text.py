@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Bytes of text handled at once inside a task. A longer single text is still taken whole.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def word_table(kind: str) -> np.ndarray:
@@ -102,12 +102,43 @@ class Words:
         return at, mix(spans_hash(self.hash, at, at + size) + np.uint64(size))
 
 
+def values(batch: pa.RecordBatch, column: str) -> pa.Array:
+    """A column, or, dotted, a field of a struct column."""
+    first, *rest = column.split(".")
+    out = batch[first]
+    for name in rest:
+        out = pc.struct_field(out, name)
+    return out
+
+
+def carried(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` with its kept columns in one struct, ``kept``, so that no name of theirs can meet one of an operator's; and
+    the path of ``text`` (a column, or a field of a struct column) in it: text that is kept travels once."""
+    first = text.split(".")[0]
+    own = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept")
+    if first in keep:
+        return docs.select(own), f"kept.{text}"
+    return docs.select(own, F.col(text).alias("body")), "body"
+
+
+def released(found: DataFrame, results: dict[str, Column]) -> DataFrame:
+    """The kept columns and the results. A kept column that is named like a result gives way to it."""
+    taken = {x.lower() for x in results}
+    kept = [F.col("kept").getField(f.name).alias(f.name) for f in found.schema["kept"].dataType.fields if f.name.lower() not in taken]
+    return found.select(*kept, *(c.alias(name) for name, c in results.items()))
+
+
+def with_fields(rows: DataFrame, *fields: tuple[str, str]) -> T.StructType:
+    """The schema of ``kept`` and the fields (name, type) that a task adds."""
+    return T.StructType([rows.schema["kept"], *T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in fields)).fields])
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts take ``limit`` bytes at most, or a single row."""
     n = batch.num_rows
     if not n:
         return
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values(batch, column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0
     while i < n:
         base = ends[i - 1] if i else 0
@@ -118,11 +149,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
 
 def as_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The texts as UTF-8; null is empty."""
-    return [x or b"" for x in pc.cast(batch[column], pa.large_binary()).to_pylist()]
+    return [x or b"" for x in pc.cast(values(batch, column), pa.large_binary()).to_pylist()]
 
 
 def as_str(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    return [x or "" for x in batch[column].to_pylist()]
+    return [x or "" for x in values(batch, column).to_pylist()]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
