@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cutweave.llm.text import SPACE, Words, as_bytes, mix, slices
+from cutweave.llm.text import SPACE, Words, as_bytes, carried, mix, released, slices, with_fields
 
 BITS = 18
 #: At most so many labelled documents are fitted on, the first in the order of a hash of their ids.
@@ -93,7 +93,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
     """Fit on ``max_train`` labelled documents at most that aren't held out, in one task bounded by that parameter.
 
     ``labels``: doc_id, quality; null in either is no label, and of several for a document the largest counts. Only
-    the text of a document makes features. Without labels the weights are all 0, and every score 0.5.
+    the text of a document makes features; null and empty texts have none but the bias. Rows that repeat an id are
+    fitted on each. Without labels, or with an empty table of documents, the weights are all 0, and every score 0.5.
+    Other columns of either table are ignored. Rows come in the order of a hash of their id, then of their features, so
+    neither partitioning nor retries change the weights.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     ids = ids.withColumn("ord", F.xxhash64("doc_id")).orderBy("ord", "doc_id").limit(max_train)
@@ -112,20 +115,27 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
     return np.frombuffer(fitted["weights"], "<f4") if fitted else np.zeros((1 << BITS) + 1, np.float32)
 
 
-def score_quality(docs: DataFrame, weights: np.ndarray, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (default doc_id) and score, the probability of label 1. Narrow; the weights, of fixed size,
-    are broadcast. Null and empty texts get the score of the bias alone."""
-    keep = keep or ["doc_id"]
+def score_quality(docs: DataFrame, weights: np.ndarray, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """The kept columns (default doc_id) and score, the probability of label 1, rounded to 9 places. Narrow; the weights, of
+    fixed size, are broadcast.
+
+    A text's score comes of its own words alone. Null and empty texts get the score of the bias; very long texts are
+    scored whole; repeated rows repeat; a null id stays null; an empty table gives an empty one. A kept column named
+    score gives way to the result; to keep all columns whatever their names, pass them as one struct (``text`` may be a
+    path in it).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
+    rows, path = carried(docs, keep or ["doc_id"], text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value.astype(np.float64)
         for batch in batches:
-            for part in slices(batch):
-                w = Words(as_bytes(part), SPACE, lower=False)
-                total = np.concatenate([[0.0], np.cumsum(weight[features(w)].sum(1))])
-                dot = (total[w.first + w.count] - total[w.first]) * (SCALE / np.maximum(w.count, 1)) + weight[-1]
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), pa.array(np.round(1 / (1 + np.exp(-np.clip(dot, -35, 35))), 9))], names=[*keep, "score"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, f"{schema}, score double")
+            for part in slices(batch, path):
+                w = Words(as_bytes(part, path), SPACE, lower=False)
+                dot, some = np.zeros(len(w.count)), w.count > 0
+                if some.any():
+                    dot[some] = np.add.reduceat(weight[features(w)].sum(1), w.first[some])
+                dot = dot * (SCALE / np.maximum(w.count, 1)) + weight[-1]
+                yield pa.RecordBatch.from_arrays([part["kept"], pa.array(np.round(1 / (1 + np.exp(-np.clip(dot, -35, 35))), 9))], names=["kept", "score"])
+
+    return released(rows.mapInArrow(run, with_fields(rows, ("score", "double"))), {"score": F.col("score")})
