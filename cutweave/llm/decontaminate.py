@@ -7,9 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from cutweave.llm.text import ALNUM, Words, as_bytes, slices
+from cutweave.llm.text import ALNUM, Words, as_bytes, carried, released, slices
+from cutweave.session import discard, materialise
 
 WINDOW = 13
 #: Words of test items that one pass holds; a larger benchmark takes more passes.
@@ -94,9 +95,10 @@ def build(items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[di
     return vocabulary, [Patterns(s, [list(x) for x in ws], list(ws.values()), vocabulary) for s, ws in sorted(by_size.items())], names
 
 
-def _scan(docs: DataFrame, keep: list[str], items: list[tuple[str, str | None]], window: int) -> DataFrame:
-    """The kept columns, n_words, spans (merged, of hit words) and items (ids that occur)."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _scan(rows: DataFrame, text: str, items: list[tuple[str, str | None]], window: int, more: bool) -> DataFrame:
+    """kept, n_words, spans (merged, of hit words) and items (ids that occur). With ``more``, ``rows`` are those of an
+    earlier pass, whose spans and items are added to and whose text goes on."""
+    shared = rows.sparkSession.sparkContext.broadcast(items)
     built: list = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,29 +110,29 @@ def _scan(docs: DataFrame, keep: list[str], items: list[tuple[str, str | None]],
         known, value = v.hash[order], np.arange(1, len(vocabulary) + 1)[order]
         spelled = list(vocabulary)
         for batch in batches:
-            for part in slices(batch):
-                w = Words(as_bytes(part), ALNUM, lower=True)
+            for part in slices(batch, text):
+                w = Words(as_bytes(part, text), ALNUM, lower=True)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, w.hash), len(known) - 1)
                     ids = np.where(known[at] == w.hash, value[at], 0)
                 else:
                     ids = np.zeros(len(w.hash), np.int64)
                 doc = w.doc_of_word()
-                spans = [[] for _ in range(part.num_rows)]
-                owners: list[set] = [set() for _ in range(part.num_rows)]
+                spans = [list(zip(x[::2], x[1::2])) for x in part["spans"].to_pylist()] if more else [[] for _ in range(part.num_rows)]
+                owners: list[set] = [set(x) for x in part["items"].to_pylist()] if more else [set() for _ in range(part.num_rows)]
                 for p in patterns:
                     for s, i in p.search(ids, w.first, w.count):
                         if all(w.word(j) == spelled[ids[j] - 1] for j in range(s, s + p.size)):  # the words themselves
                             d = doc[s]
                             spans[d].append((int(s - w.first[d]), int(s - w.first[d]) + p.size))
-                            owners[d].update(p.items[i])
+                            owners[d].update(names[x] for x in p.items[i])
                 flat = [[x for se in merge(a) for x in se] for a in spans]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part[c] for c in keep), pa.array(w.count.astype(np.int64)), pa.array(flat, pa.list_(pa.int64())), pa.array([sorted(names[x] for x in o) for o in owners], pa.list_(pa.string()))], names=[*keep, "n_words", "spans", "items"]
-                )
+                told = {c: part[c] for c in through} | {"n_words": pa.array(w.count.astype(np.int64)), "spans": pa.array(flat, pa.list_(pa.int64())), "items": pa.array([sorted(o) for o in owners], pa.list_(pa.string()))}
+                yield pa.RecordBatch.from_arrays(list(told.values()), names=list(told))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, f"{schema}, n_words long, spans array<long>, items array<string>")
+    through = [c for c in rows.columns if c in ("kept", "body")]
+    passed = T.StructType([rows.schema[c] for c in through])
+    return rows.mapInArrow(run, T.StructType([*passed.fields, *T.StructType.fromDDL("n_words long, spans array<long>, items array<string>").fields]))
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -144,59 +146,49 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, pass_words: int) -> list[list[tuple[str, str | None]]]:
-    """The items in runs of bounded size. Sizes are counted in Spark; each run is fetched by itself."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null").withColumn("size", F.coalesce(F.length("text"), F.lit(0)))
-    total = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    n = max(1, -(-total // (pass_words * 6)))
-    part = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    return [sorted({(r["item_id"], r["text"]) for r in items.where(part == i).select("item_id", "text").toLocalIterator()}, key=lambda r: (r[0], r[1] or "")) for i in range(n)]
+WORD_BYTES = 6  # of a benchmark's text, about
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
+def _blocks(benchmark: DataFrame, window: int, pass_words: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The items in blocks of bounded size, one at a time. Sizes are counted in Spark. An item over a sixteenth of a block
+    goes in pieces that overlap by a window less one word, so no window is lost and no block outgrows its bound by much."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    most = max(pass_words // 16, 2 * window)
+    words = F.expr(r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', 0)")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(most - window + 1))
+    long = items.where(F.length("text") > most * WORD_BYTES).withColumn("words", words).withColumn("at", F.explode(starts))
+    items = items.where(F.length("text") <= most * WORD_BYTES).union(long.select("item_id", F.concat_ws(" ", F.slice("words", F.col("at") + 1, most))))
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-total // (pass_words * WORD_BYTES)))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    for i in range(n):
+        yield sorted({(r["item_id"], r["text"]) for r in items.where(part == i).toLocalIterator()})
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, pass_words: int = PASS_WORDS, text: str = "text") -> DataFrame:
     """The kept columns (default doc_id), n_words, n_hit, items (sorted ids of items with a window in the text) and
     contaminated (n_hit > 0 and 20 * n_hit >= n_words).
 
     A benchmark within ``pass_words`` takes one narrow pass and no shuffle; its items, of that proven size, are
-    broadcast. A larger one is searched in as many passes, whose spans meet on the row's id and text hash. Null text
-    has no words; items without words or id give no window; items that share an id are one; repeated rows repeat; an
-    empty table on either side gives no hits.
+    broadcast. A larger one takes as many passes, each over the table that the one before has written, each with one
+    block in the driver and in the tasks; texts are written again for each, and never shuffled. Null text has no words;
+    very long texts are searched whole; items without words or id give no window; items that share an id are one;
+    repeated rows repeat; an empty table on either side gives no hits. A kept column that is named like a result gives
+    way to it; to keep all columns whatever their names, pass them as one struct (``text`` may be a path in it).
     """
-    keep = keep or ["doc_id"]
-    blocks = _blocks(benchmark, pass_words)
-    if len(blocks) == 1:
-        found = _scan(docs, keep, blocks[0], window)
-    else:
-        keyed = docs.select(*keep, *([] if "text" in keep else ["text"])).withColumn("_h", F.sha2(F.coalesce("text", F.lit("")), 256))
-        passes = [_scan(keyed, [*keep, "_h"], b, window).withColumn("_pass", F.lit(i)) for i, b in enumerate(blocks)]
-        found = passes[0]
-        for p in passes[1:]:
-            found = found.unionByName(p)
-        found = found.groupBy(*keep, "_h", "n_words").agg(F.sum((F.col("_pass") == 0).cast("int")).alias("_rows"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-        found = found.withColumn("_one", F.explode(F.sequence(F.lit(1), "_rows"))).drop("_one", "_rows", "_h")
-        whole = F.udf(lambda a: [x for se in merge(list(zip(a[::2], a[1::2]))) for x in se], "array<long>")
-        found = found.withColumn("spans", whole("spans"))
+    rows, path = carried(docs, keep or ["doc_id"], text)
+    found, before = None, None
+    for block in _blocks(benchmark, window, pass_words):
+        if found is not None:
+            rows = materialise(found, "pass")
+            if before is not None:
+                discard(before)
+            before = rows
+        found = _scan(rows, path, block, window, before is not None)
     hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
     out = found.withColumn("n_hit", hit)
-    return out.select(*keep, "n_words", "n_hit", F.array_distinct("items").alias("items"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return released(out, {"n_words": F.col("n_words"), "n_hit": F.col("n_hit"), "items": F.col("items"), "contaminated": (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))})
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
-
-
-def brute(text: str | None, items: list[tuple[str, str]], window: int = WINDOW) -> tuple[int, int, list[str]]:
-    """n_words, n_hit and items by the plain definition, for tests."""
-    split = lambda t: bytes(b if ALNUM[b] else 32 for b in (t or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))).split()
-    words, hit, found = split(text), set(), set()
-    for name, t in items:
-        ws = split(t)
-        m = min(window, len(ws))
-        wins = {tuple(ws[i : i + m]) for i in range(len(ws) - m + 1)} if m else set()
-        for i in range(len(words) - m + 1 if m else 0):
-            if tuple(words[i : i + m]) in wins:
-                hit.update(range(i, i + m))
-                found.add(name)
-    return len(words), len(hit), sorted(found)
-
-
