@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cutweave.llm.text import SPACE, Words, as_bytes, mix, slices
-from cutweave.session import materialise
+from cutweave.llm.text import SPACE, Words, as_bytes, carried, mix, released, slices, with_fields
+from cutweave.session import discard, materialise
 
 WINDOW, ANCHOR = 35, 8
 
@@ -85,13 +85,24 @@ def _suspects(listed: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def _again(rows: DataFrame, name: str) -> DataFrame:
-    """The hashes in more than one text, or twice in one. Least and greatest key tell, and combine before the shuffle."""
-    return rows.groupBy(name).agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("twice").alias("t")).where("a < b or t").select(name)
+    """The hashes in more than one text, or twice in one, and their rows. Least and greatest key tell, and combine before
+    the shuffle."""
+    return rows.groupBy(name).agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("twice").alias("t"), F.count("*").alias("n")).where("a < b or t").select(name, "n")
+
+
+#: A hash with over one in HOT of all rows is hot: there are fewer than HOT of them, so their table is broadcast.
+HOT = 2000
 
 
 def _lists(rows: DataFrame, name: str) -> DataFrame:
-    """For each text's key the hashes of its that occur again; of bounded size, a text's own."""
-    return rows.join(_again(rows, name), name).groupBy("key").agg(F.collect_set(name).alias(name + "s"))
+    """For each text's key the hashes of its that occur again; of bounded size, a text's own. ``rows`` is a written table.
+    Only rows of hashes that aren't hot meet on their hash."""
+    bound = F.lit(rows.count() // HOT)
+    again = materialise(_again(rows, name), "again")
+    hot = F.broadcast(again.where(F.col("n") > bound).select(name))
+    common = rows.join(hot, name)
+    others = rows.join(hot, name, "left_anti").join(again.where(F.col("n") <= bound).select(name), name)
+    return common.union(others).groupBy("key").agg(F.collect_set(name).alias(name + "s"))
 
 
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -101,21 +112,24 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, window: int =
     A window repeats if its words also start anywhere else in ``docs``, the same row included; all windows are judged
     on the input. Null text has no words; texts under ``window`` words lose none; rows that repeat a text go whole; an
     empty table gives none. Keys and hashes have 64 bits. The texts are shuffled twice, on their key; every count
-    combines map-side, so a passage that a third of all texts have reaches a shuffle once a task.
+    combines map-side, so a passage that a third of all texts have reaches a shuffle once a task, and such hot hashes
+    find their rows by broadcast, as there are fewer than HOT. A kept column that is named like a result gives way to it.
     """
-    keep = keep or ["doc_id"]
-    keyed = docs.select(*keep, *([] if "text" in keep else ["text"])).withColumn("key", F.xxhash64("text"))
-    texts = keyed.where("text is not null").select("text", "key")
-    listed = materialise(_lists(materialise(_anchors(texts, window, anchor), "anchors"), "mh"), "anchor-lists")
+    rows, path = carried(docs, keep or ["doc_id"])
+    keyed = rows.withColumn("key", F.xxhash64(path))
+    texts = keyed.select(F.col(path).alias("text"), "key").where("text is not null")
+    anchors = materialise(_anchors(texts, window, anchor), "anchors")
+    listed = materialise(_lists(anchors, "mh"), "anchor-lists")
+    discard(anchors)
     suspects = materialise(_suspects(texts.join(listed, "key"), window, anchor), "windows")
     copies = texts.groupBy("key", F.md5(F.col("text").cast("binary")).alias("md5")).count().where("count > 1").groupBy("key").agg(F.collect_set("md5").alias("copied"))
     found = materialise(_lists(suspects, "wh").join(copies, "key", "full"), "repeats")
-    rows = keyed.join(found, "key", "left").withColumn("copy", F.coalesce(F.array_contains("copied", F.md5(F.col("text").cast("binary"))), F.lit(False)))
+    told = keyed.join(found, "key", "left").withColumn("copy", F.coalesce(F.array_contains("copied", F.md5(F.col(path).cast("binary"))), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                w = Words(as_bytes(part), SPACE, lower=False)
+            for part in slices(batch, path):
+                w = Words(as_bytes(part, path), SPACE, lower=False)
                 at, wh = w.windows(window)
                 bounds = np.searchsorted(at, np.append(w.first, len(w.starts)))
                 spans, kept, removed = [], [], []
@@ -133,9 +147,9 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, window: int =
                     removed.append(int(out.sum()))
                     kept.append(b" ".join([w.word(first + j) for j in np.flatnonzero(~out).tolist()]))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part[c] for c in keep), pa.array(w.count.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary()).cast(pa.string())],
-                    names=[*keep, "n_words", "n_removed", "spans", "kept"],
+                    [part["kept"], pa.array(w.count.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary()).cast(pa.string())],
+                    names=["kept", "n_words", "n_removed", "spans", "stay"],
                 )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.select(*keep, *([] if "text" in keep else ["text"]), "whs", "copy").mapInArrow(run, f"{schema}, n_words long, n_removed long, spans array<long>, kept string")
+    found = told.select(*rows.columns, "whs", "copy").mapInArrow(run, with_fields(rows, ("n_words", "long"), ("n_removed", "long"), ("spans", "array<long>"), ("stay", "string")))
+    return released(found, {"n_words": F.col("n_words"), "n_removed": F.col("n_removed"), "spans": F.col("spans"), "kept": F.col("stay")})
