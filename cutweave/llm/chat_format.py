@@ -40,9 +40,12 @@ def _tokens(p: Column) -> Column:
     return F.when(k == "image", image).when(k == "audio", F.ceil(F.coalesce(p["seconds"], F.lit(0.0)) * FRAMES)).when(k == "document", F.coalesce(p["pages"], F.lit(1)) * PAGE_TOKENS).otherwise(F.lit(0)).cast("long")
 
 
-def _visit(p: Column) -> Column:
-    """What a part leaves in the output: its escaped text, or a placeholder of its kind."""
-    return F.when(_kind(p) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), _kind(p), F.lit("|>")))
+def _visit(p: Column, i: Column) -> Column:
+    """What a part leaves in the output: its escaped text, or a placeholder of its kind. A bar that begins a later part is
+    escaped as well, lest it meet the end of the part before in a control string."""
+    text = escape(F.coalesce(p["text"], F.lit("")))
+    text = F.when((i > 0) & text.startswith("|"), F.concat(F.lit("\\"), text)).otherwise(text)
+    return F.when(_kind(p) == "text", text).otherwise(F.concat(F.lit("<|"), _kind(p), F.lit("|>")))
 
 
 def format_chats(messages: DataFrame) -> DataFrame:
@@ -51,9 +54,10 @@ def format_chats(messages: DataFrame) -> DataFrame:
 
     ``messages``: conv_id, turn, role, parts (array of PART). Turns go by turn, ties by role, then content; repeated
     rows are repeated turns. Null role or text is empty; null parts are no parts; a part of an unknown type becomes
-    <|unknown|> with no tokens; a null conv_id is a conversation of its own. An empty table gives no rows. The loss
-    covers the content of assistant turns, neither their role nor their end mark. Windows and the grouping share one
-    shuffle, on conv_id.
+    <|unknown|> with no tokens; rows with a null conv_id are one conversation. An empty table gives no rows; other
+    columns are ignored. The loss covers the content of assistant turns, neither their role nor their end mark. Windows
+    and the grouping share one shuffle, on conv_id: a conversation, very long texts included, is one row of the result
+    and so one task's work, whatever its size.
     """
     parts = F.coalesce(F.col("parts").cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>"))
     turns = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
