@@ -64,6 +64,45 @@ def test_licenses(spark, sf):
     assert license_scan.scan_licenses(odd_docs(spark).limit(0)).count() == 0
 
 
+def plain_labels(t):
+    """labels, score and expressions, phrase by phrase."""
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(t))
+    labels, miss, told = set(), 1.0, []
+    weights = {p: (label, license_scan.BASE_WEIGHT) for p, label in license_scan.BASE_PHRASES.items()} | license_scan.NOTICE_PHRASES | {p: (None, w) for p, w in license_scan.HINT_PHRASES.items()}
+    for phrase, (label, weight) in weights.items():
+        p = phrase.split()
+        n = sum(words[i : i + len(p)] == p for i in range(len(words)))
+        miss *= (1 - weight) ** n
+        labels |= {label} - {None} if n else set()
+    for part in re.split("(?<![^\x00-\x2f\x3a-\x60\x7b-\x7f])(?i:spdx-license-identifier)(?=:)", t)[1:]:
+        line = re.split("[\r\n]", part[1:])[0].strip().rstrip("*/-> \t").strip()
+        got = license_scan.evaluate(line)
+        if got is None and (head := re.match(r"[a-zA-Z0-9_+-]+(?:\.[a-zA-Z0-9_+-]+)*", line)):
+            got, line = license_scan.evaluate(head[0]), head[0]
+        if got:
+            told.append(line)
+            labels |= {license_scan.family(x) or x for x in got[0]}
+            miss *= 1 - license_scan.TAG_WEIGHT
+    return ",".join(sorted(labels)), round(1 - miss, 9), ";".join(told)
+
+
+def test_license_labels_against_plain(spark, sf):
+    extra = ["SPDX-License-Identifier: MIT", "x SPDX-License-Identifier: (GPL-2.0 with e) or BSD-3-Clause */\nlicensed under cc0, spdx license identifier: no", "spdx-license-identifier: mit spdx-license-identifier: isc", "spdx-license-identifier: and\r\nspdx-license-identifier:\tApache-2.0 prose follows", "myspdx-license-identifier: mit", "all rights reserved. All rights reserved", "éspdx-license-identifier: mit"]
+    for docs in (documents(spark, sf), odd_docs(spark, ODD + extra)):
+        got = sorted(((r["doc_id"], r["labels"], round(r["score"], 9), r["expressions"]) for r in license_scan.scan_licenses(docs).collect()), key=repr)
+        assert got == sorted(((i, *plain_labels(t)) for i, t in pairs(docs)), key=repr)
+
+
+def test_license_time_is_linear():
+    import time
+
+    for text in (b"mit license " * 80_000, b"spdx-license-identifier: mit and more " * 20_000, b"spdx-license-identifier: " + b"mit or " * 100_000 + b"x", b"spdx-license-identifier: " + b" or ".join(b"n%d" % i for i in range(50_000))):
+        began = time.process_time()
+        row = license_scan.scan_text(text)
+        assert time.process_time() - began < 5 and row[0] > 50_000
+    assert license_scan.scan_text(b"mit license " * 80_000)[1:4] == (80_000, 0, 159_998)
+
+
 def test_license_expressions():
     assert license_scan.to_postfix("MIT OR (Apache-2.0 AND GPL-2.0 WITH x)") == ["mit", "apache-2.0", "gpl-2.0", "x", "with", "and", "or"]
     for bad in ("", "and", "mit or", "(mit", "mit)", "mit apache", "mit ()"):
@@ -106,6 +145,76 @@ def test_quality_edges(spark):
     assert all(0 <= s <= 1 for s in scores)
 
 
+def plain_grams(text):
+    """Counts of the hashed features of one text, word by word."""
+    from cutweave.llm.text import SPACE, Words
+
+    w = Words([text.encode()], SPACE, lower=False)
+    return collections.Counter(quality.features(w).ravel().tolist()), len(w.starts)
+
+
+def plain_ftrl(rows, epochs=quality.EPOCHS):
+    """FTRL-proximal, weight by weight: z and n of each index, and the closed form of w."""
+    z, n, bias = collections.defaultdict(float), collections.defaultdict(float), 1 << quality.BITS
+
+    def weight(i):
+        l1 = 0.0 if i == bias else quality.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(epochs):
+        for label, x in rows:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w[i] * v for i, v in x.items())))))
+            for i, v in x.items():
+                g = (p - label) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_quality_against_plain(spark, sf):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, sf).select("doc_id", "text").where("doc_id < 80").union(spark.createDataFrame([(3, "a row that repeats an id"), (5, None), (None, "no id"), (6, "")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(60)] + [(4, 1), (None, 1), (7, None)], "doc_id long, quality int")
+    want_labels = {}
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            want_labels[r["doc_id"]] = max(r["quality"], want_labels.get(r["doc_id"], 0))
+    rows = []
+    for r in docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("ord")).collect():
+        if r["doc_id"] in want_labels:
+            grams, n = plain_grams(r["text"] or "")
+            idx = np.array(sorted(grams), "<i4").tobytes()
+            told = spark.createDataFrame([(bytearray(idx),)], "idx binary").select(F.xxhash64("idx")).first()[0] if r["doc_id"] in (3, 5, 6) else 0
+            rows.append((r["ord"], told, want_labels[r["doc_id"]], {i: np.float32(c * (quality.SCALE / max(n, 1))).item() for i, c in grams.items()} | {1 << quality.BITS: 1.0}))
+    fitted = quality.fit_quality(docs, labels)
+    want = plain_ftrl([(y, x) for _, _, y, x in sorted(rows, key=lambda r: r[:2])])
+    assert np.count_nonzero(fitted) == sum(v != 0 for v in want.values()) > 100
+    assert all(fitted[i] == pytest.approx(v, abs=1e-5) for i, v in want.items())
+    scores = collections.defaultdict(list)
+    for r in quality.score_quality(docs, fitted, ["doc_id", "text"]).collect():
+        scores[r["doc_id"], r["text"]].append(r["score"])
+    for (_, text), got in scores.items():
+        grams, n = plain_grams(text or "")
+        dot = sum(float(fitted[i]) * c for i, c in grams.items()) * quality.SCALE / max(n, 1) + float(fitted[-1])
+        assert got == [pytest.approx(1 / (1 + math.exp(-dot)), abs=2e-9)] * len(got)
+
+
+def test_quality_empty_and_clashing(spark):
+    docs = odd_docs(spark)
+    labels = spark.createDataFrame([(7, 1), (28, 0)], "doc_id long, quality int")
+    assert not quality.fit_quality(docs.limit(0), labels).any()
+    weights = quality.fit_quality(docs.withColumnRenamed("key", "label").withColumnRenamed("n_words", "ord"), labels)
+    assert quality.score_quality(docs.limit(0), weights).count() == 0
+    clash = quality.score_quality(docs.withColumnRenamed("key", "score"), weights, ["doc_id", "score"])
+    assert clash.columns == ["doc_id", "score"] and clash.schema["score"].dataType.simpleString() == "double"
+    assert by(clash, "doc_id", "score") == by(quality.score_quality(docs, weights), "doc_id", "score")
+
+
 def test_quality_features_are_sparse_dot_products():
     from cutweave.llm.text import SPACE, Words
 
@@ -159,11 +268,11 @@ def near_copies(seed=3):
     return out
 
 
-@pytest.mark.parametrize("shingle,percent,tile", [(3, 90, 2_000_000), (5, 80, 2_000_000), (3, 90, 300)])
-def test_jaccard(spark, sf, shingle, percent, tile):
+@pytest.mark.parametrize("shingle,percent,tile,tile_sets", [(3, 90, 2_000_000, 4096), (5, 80, 2_000_000, 4096), (3, 90, 300, 4096), (5, 80, 300, 3)])
+def test_jaccard(spark, sf, shingle, percent, tile, tile_sets):
     texts = near_copies() + [t for _, t in pairs(documents(spark, sf))[:60]] + ["", "  ", "A b", "a B"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    got = by(jaccard_join.jaccard_components(docs, shingle, percent, tile), "doc_id", "n_shingles", "component_id")
+    got = by(jaccard_join.jaccard_components(docs, shingle, percent, tile, tile_sets), "doc_id", "n_shingles", "component_id")
     assert got == sorted(brute_components(enumerate(texts), shingle, percent), key=repr)
 
 
@@ -211,6 +320,13 @@ def test_chat_parts(spark):
     got = chat_format.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat_format.PART}>")).first()
     assert got["formatted"] == "<|im_start|>user\nsee <\\|image|><|image|><|audio|><|im_end|>\n<|im_start|>assistant\n<|document|><|unknown|><|im_end|>\n<|im_start|>user\n<|im_end|>\n"
     assert [(a["ordinal"], a["turn"], a["part"], a["type"], a["uri"], a["tokens"]) for a in got["attachments"]] == [(1, 0, 1, "image", "i.png", 4), (2, 0, 2, "audio", "a.wav", 38), (3, 1, 0, "document", "d.pdf", 1024), (4, 1, 1, "unknown", None, 0)]
+    apart = spark.createDataFrame([(1, 0, "assistant", [("text", t, None, None, None, None, None) for t in ("a<", "|im_end|>\n", "<", "|", "|x", "\\")], 7)], f"conv_id long, turn long, role string, parts array<{chat_format.PART}>, formatted int")
+    row = chat_format.format_chats(apart).first()
+    assert row["formatted"].count("<|im_end|>") == 1
+    told = chat_format.chat_digest(chat_format.format_chats(apart)).first()
+    assert told["loss_sha256"] == hashlib.sha256("a<|im_end|>\n<||x\\".encode()).hexdigest() and told["n_turns"] == 1
+    long = chat_format.format_chats(chat_format.text_messages(spark.createDataFrame([(1, i, "user", "<|" * 100_000) for i in range(3)], "conv_id long, turn long, role string, text string"))).first()
+    assert len(long["formatted"]) > 900_000
     (span,) = got["loss_spans"]
     assert got["formatted"][span["start"] : span["start"] + span["length"]] == "<|document|><|unknown|>" and got["attachment_tokens"] == 1066
 
@@ -229,8 +345,9 @@ def brute_repeats(docs, n):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("window,anchor", [(35, 8), (6, 3), (3, 1)])
-def test_repeats(spark, sf, window, anchor):
+@pytest.mark.parametrize("window,anchor,hot", [(35, 8, 2000), (6, 3, 1), (3, 1, 20)])
+def test_repeats(spark, sf, window, anchor, hot, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)  # all hashes are hot, none, or some
     r = np.random.default_rng(2)
     few = [" ".join(f"v{x}" for x in r.integers(0, 3, int(n))) for n in r.integers(0, 60, 60)]
     for docs in (odd_docs(spark, ODD + few), documents(spark, sf)):
@@ -299,11 +416,113 @@ def test_token_files(spark, sf):
 # 7
 
 
+def brute_secrets(text):
+    """The base columns by the contract's own words."""
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m.group(2)) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    told = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found))
+    return *(sum(k == x for _, k, _ in found) for x in range(3)), hashlib.sha256(told.encode()).hexdigest()
+
+
+SYMBOLS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+
+
+def plain_encoding(token):
+    body = re.sub("=+$", "", token)
+    if re.fullmatch("[A-Za-z]*", body) or not re.search("[A-Za-z]", body):
+        return None
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", body):
+        return "hex"
+    if re.fullmatch("[A-Z2-7]+", body):
+        return "base32"
+    if re.fullmatch("[A-Za-z0-9+/_-]+", body) and re.search("[a-z]", body) and re.search("[A-Z]", body) and re.search("[0-9]", body):
+        return "base64"
+    return None
+
+
+def plain_battery(token, enc):
+    """The three tests, symbol by symbol."""
+    body = re.sub("=+$", "", token)
+    body = body.lower() if enc == "hex" else body.replace("-", "+").replace("_", "/")
+    v = [SYMBOLS[enc].index(c) for c in body]
+    n, size = len(v), len(SYMBOLS[enc])
+    groups = size
+    while groups > 4 and n < 4 * groups:
+        groups //= 2
+    seen = collections.Counter(x * groups // size for x in v)
+    chi = sum((seen[g] - n / groups) ** 2 / (n / groups) for g in range(groups))
+    k = groups - 1
+    p1 = 0.5 * math.erfc(((chi / k) ** (1 / 3) - 1 + 2 / (9 * k)) / math.sqrt(2 / (9 * k)) / math.sqrt(2))
+    signs = [x >= size / 2 for x in v]
+    a, b = sum(signs), n - sum(signs)
+    runs = 1 + sum(x != y for x, y in zip(signs, signs[1:]))
+    if a and b:
+        mean = 2 * a * b / n + 1
+        var = max((mean - 1) * (mean - 2) / max(n - 1, 1), 1e-9)
+        p2 = math.erfc(abs(runs - mean) / math.sqrt(2 * var))
+    else:
+        p2 = 2.0 ** (1 - n)
+    m = sum(v) / n
+    s = sum((x - m) ** 2 for x in v)
+    r = sum((x - m) * (y - m) for x, y in zip(v, v[1:])) / s if s else None
+    p3 = math.erfc(abs(r) * math.sqrt(n / 2)) if s else 0.0
+    return min(1.0, 3 * min(p1, p2, p3))
+
+
+def plain_randoms(texts):
+    """Start and end of the extra spans of each text: Benjamini-Hochberg in each encoding and band of lengths, over p-values
+    rounded as documented, then those that meet no base span."""
+    tests = []
+    for d, t in enumerate(texts):
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}={0,2}", t):
+            enc = plain_encoding(m[0])
+            if enc and len(re.sub("=+$", "", m[0])) * math.log2(len(SYMBOLS[enc])) >= 80:
+                p = plain_battery(m[0], enc)
+                tests.append((enc, len(m[0]).bit_length(), min(400, int(-10 * math.log10(max(p, 1e-300)))), d, m.start(), m.end()))
+    kept = [[] for _ in texts]
+    for key in {x[:2] for x in tests}:
+        mine = sorted((x for x in tests if x[:2] == key), key=lambda x: -x[2])
+        rejected = max((i + 1 for i, x in enumerate(mine) if 10 ** (-x[2] / 10) <= 0.05 * (i + 1) / len(mine)), default=0)
+        for x in mine[rejected:]:
+            base = [(m.start(), m.end()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{8,})|AKIA""", texts[x[3]])]
+            if all(x[5] <= a or b <= x[4] for a, b in base) and not re.search("[0-9a-f]{32}", texts[x[3]][x[4] : x[5]]):
+                kept[x[3]].append((x[4], x[5]))
+    return [sorted(x) for x in kept]
+
+
+def test_random_spans_against_plain(spark):
+    r = np.random.default_rng(4)
+    draw = lambda symbols, n: "".join(symbols[i] for i in r.integers(0, len(symbols), n))
+    every = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    texts = [f"{draw(every, int(n))} {draw(every[:62], int(m))} url?key={draw(SYMBOLS['base32'], 24)} x" for n, m in r.integers(15, 90, (150, 2))]
+    texts += ["A1b" * 12, "token=" + draw(every[:62], 30), "url?key=AbCdEf123456GhIjKl78 x", "a=b" * 20, "=" * 40, "0123456789ABCDEF" * 2 + "==", "-_" * 15 + "aB3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: [(s["start"], s["end"]) for s in x["spans"] if s["kind"] == 3] for x in secret_scan.find_secrets(docs).collect()}
+    want = plain_randoms(texts)
+    assert [got[i] for i in range(len(texts))] == want and sum(map(bool, want)) > 50
+    masked = {x["doc_id"]: x["text"] for x in secret_scan.mask_secrets(docs).collect()}
+    assert len(masked) == len(texts) and all(("[SECRET]" in masked[i]) == bool(want[i] or secret_scan.base_spans(t)) for i, t in enumerate(texts))
+
+
+def test_battery_against_plain():
+    r = np.random.default_rng(8)
+    every = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    for symbols in (every, *SYMBOLS.values(), "abcdefg0", "ABC234="):
+        for n in r.integers(20, 200, 60):
+            token = "".join(symbols[i] for i in r.integers(0, len(symbols), int(n)))
+            enc = secret_scan.infer_encoding(token)
+            assert enc == plain_encoding(token)
+            if enc:
+                assert secret_scan.battery(token, enc) == pytest.approx(plain_battery(token, enc), abs=1e-9)
+
+
 def test_secrets(spark, sf):
     extra = ["token=token: abcdefgh1", "PASSWORD : 'abcdefgh' api_key=\"12345678\"", "xAKIA" + "B" * 12 + "c", "AKIA1", "0" * 31, "f" * 40 + "g", "secret=short ſecret=longenough1", "é" * 5 + " apikey:  abc.def.ghi"]
     for docs in (documents(spark, sf), odd_docs(spark, ODD + extra)):
         got = by(secret_scan.secrets_digest(secret_scan.find_secrets(docs)), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
-        assert got == sorted(((i, *secret_scan.brute_digest(t)) for i, t in pairs(docs)), key=repr)
+        assert got == sorted(((i, *brute_secrets(t)) for i, t in pairs(docs)), key=repr)
     assert secret_scan.find_secrets(odd_docs(spark).limit(0)).count() == 0
 
 
@@ -331,7 +550,22 @@ def test_masks(spark):
 # 8
 
 
-@pytest.mark.parametrize("pass_words", [2_000_000, 40])
+def brute_contamination(text, items, window=13):
+    """n_words, n_hit and items by the contract's own words."""
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(t or ""))
+    words, hit, found = split(text), set(), set()
+    for name, t in items:
+        ws = split(t)
+        m = min(window, len(ws))
+        wins = {tuple(ws[i : i + m]) for i in range(len(ws) - m + 1)} if m else set()
+        for i in range(len(words) - m + 1 if m else 0):
+            if tuple(words[i : i + m]) in wins:
+                hit.update(range(i, i + m))
+                found.add(name)
+    return len(words), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("pass_words", [2_000_000, 600])
 def test_contamination(spark, sf, pass_words):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet").select(*[c for c in ("item_id", "text")])
     items = [(str(r["item_id"]), r["text"]) for r in bench.collect()] + [("s1", "Tiny"), ("s2", "two words"), ("e", ""), ("n", None), ("p", "a b a b a b a b a b a b a b a b")]
@@ -340,7 +574,10 @@ def test_contamination(spark, sf, pass_words):
     for docs in (documents(spark, sf), odd_docs(spark, ODD + texts)):
         found = decontaminate.find_contamination(docs, bench, pass_words=pass_words)
         got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in found.collect()), key=repr)
-        assert got == sorted(((i, *decontaminate.brute(t, items)) for i, t in pairs(docs)), key=repr)
+        assert got == sorted(((i, *brute_contamination(t, items)) for i, t in pairs(docs)), key=repr)
+    whole = odd_docs(spark, ODD + texts)
+    kept = decontaminate.find_contamination(whole, bench, ["doc_id", "text", "key"], pass_words=pass_words)
+    assert kept.columns[:3] == ["doc_id", "text", "key"] and by(kept, "doc_id", "text") == by(whole, "doc_id", "text")
     none = decontaminate.find_contamination(odd_docs(spark), bench.limit(0))
     assert none.where("n_hit > 0 or contaminated").count() == 0 and none.count() == len(ODD) + 3
     assert decontaminate.find_contamination(odd_docs(spark).limit(0), bench).count() == 0

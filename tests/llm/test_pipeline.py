@@ -1,10 +1,11 @@
 """The pipeline's stages, each against a plain version on its own input."""
 
 import pytest
-from test_ops import ODD, brute_components, check_packing, pairs
+from pyspark.sql import functions as F
+from test_ops import ODD, brute_components, brute_contamination, check_packing, pairs
 
 import corpus_pipeline
-from cutweave.llm import decontaminate, quality, secret_scan
+from cutweave.llm import quality, secret_scan
 
 STAGE = dict(corpus_pipeline.STAGES)
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -45,7 +46,7 @@ def test_decontaminate(spark, sf, docs):
     items = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     want = []
     for r in docs.collect():
-        n, hit, _ = decontaminate.brute(r["text"], items)
+        n, hit, _ = brute_contamination(r["text"], items)
         if not (hit and 20 * hit >= n):
             want.append((r["doc_id"], r["text"]))
     assert kept.columns == COLUMNS and rows(kept) == sorted(want, key=repr) and len(want) < docs.count()
@@ -72,6 +73,35 @@ def test_packing(spark, sf, docs):
     check_packing(STAGE["packing"](spark, few, sf).collect(), pairs(few))
 
 
+def test_ids_that_repeat(spark, sf):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, None), (1, "real text here"), (1, "zz other words"), (1, "real text here"), (2, "Real  text here"), (3, long), (4, long + " end"), (4, "apart"), (5, ""), (6, " "), (6, None), (None, long), (None, long)]
+    kept = STAGE["near_duplicates"](spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), sf)
+    assert kept.columns == ["doc_id", "text"]
+    want = [(1, None), (1, "real text here"), (1, "zz other words"), (3, long), (4, "apart"), (5, ""), (6, " "), (6, None), (None, long), (None, long)]
+    assert rows_of(kept) == sorted(want, key=repr)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+CLASHES = ["score", "items", "spans", "n_words", "n_hit", "_n", "key", "whs", "copy", "row", "kept", "id", "th", "body", "label", "ord", "contaminated", "n", "node", "SCORE2"]
+
+
+@pytest.mark.parametrize("name", ["quality", "near_duplicates", "decontaminate", "secrets"])
+def test_extra_columns(spark, sf, docs, name):
+    few = docs.where("doc_id < 60 or doc_id is null or doc_id >= 10000")
+    wide = few.select("*", *(F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHES), F.struct(F.col("n_chars").alias("text")).alias("odd name.d"), F.create_map(F.lit("a"), F.col("lang")).alias("map"))
+    kept = STAGE[name](spark, wide, sf)
+    assert kept.columns == wide.columns
+    plain = STAGE[name](spark, few, sf)
+    assert rows_of(kept.select(*COLUMNS)) == rows_of(plain)
+    for r in kept.collect():
+        told = "none" if r["doc_id"] is None else str(r["doc_id"])
+        assert all(r[c] == f"{c}-{told}" for c in CLASHES) and r["map"] == {"a": r["lang"]}
+
+
 def test_empty(spark, sf, docs):
     none = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
