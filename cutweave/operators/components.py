@@ -12,16 +12,22 @@ def _state(edges: DataFrame, keys: list[str]) -> tuple:
     return r["n"], r["h"]
 
 
+def _meet(edges: DataFrame, least: DataFrame, keys: list[str]) -> DataFrame:
+    """``edges`` with the least neighbour of their ``u``. The node is an expression on the right, so that Spark deals out the
+    minima anew, and not as they were aggregated: a join of two plain shuffles is one whose hot keys it can split."""
+    return edges.join(least.select(*keys, F.col("u").bitwiseXOR(F.lit(0)).alias("u"), "m"), [*keys, "u"])
+
+
 def _star(edges: DataFrame, keys: list[str], large: bool) -> DataFrame:
     """One round on edges (u > v). Large: each larger neighbour of a node goes to the least of its neighbourhood.
     Small: each smaller neighbour, and the node itself, does."""
     if large:
         both = edges.select(*keys, "u", "v").union(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = both.join(least, [*keys, "u"]).where("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
+        out = _meet(both, least, keys).where("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = edges.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        joined = edges.join(least, [*keys, "u"])
+        joined = _meet(edges, least, keys)
         out = joined.where("v <> m").select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(*keys, "u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 

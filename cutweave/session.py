@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,14 @@ def build_session(app: str = "cutweave", master: str | None = None, partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one if all run
+    on this machine; else an error, as executors would each write to a disk of their own."""
     global _own_dir
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder that driver and executors share")
     if _own_dir is None or not os.path.isdir(_own_dir):
         _own_dir = tempfile.mkdtemp(prefix="spark-cutweave-")
     return "file://" + _own_dir
@@ -65,8 +69,12 @@ def materialise(df: DataFrame, what: str = "table") -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, in whatever store it is; one that isn't there is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote and that nothing reads any more."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table._written_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(table.sparkSession, table._written_at)
