@@ -1,7 +1,9 @@
 """The search: a thin driver loop whose every step is a Spark job, and the ten named jobs.
 
 A problem is a pool of genes (idx and what a gene stands for) and a fitness over decoded candidates, a function from
-DataFrame to DataFrame. State between generations is two written tables; the driver sees one row a generation.
+DataFrame to DataFrame; a problem without a pool has genes that are structs of what they stand for. State between
+generations is two written tables; the driver sees one row a generation. With a path, each generation's state and row are
+written there, and ``resume`` reads them back, in another session too.
 """
 
 from __future__ import annotations
@@ -9,20 +11,26 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from cutweave.operators import community as C, evolve as V, graph as G, linkpred as L, nodeclass as N, perturb as P, reach as R
-from cutweave.session import materialise
+from cutweave.session import discard, materialise, remove
+
+
+HISTORY = "run_id string, generation int, best_fitness double, best_gene string, metrics string"
 
 
 @dataclass
 class Problem:
-    """``pool``: idx from 0 and a gene's payload columns. ``fitness``: from cand_id, pos and the payload to cand_id,
-    fitness. ``metrics``: the same for reports, from the best candidate alone, to one row of numbers."""
+    """``pool``: idx from 0 and a gene's payload columns; null for genes that are structs of the payload, which ``init``
+    (from a seed) and ``mutate`` (from population, seed and generation) make. ``fitness``: from cand_id, pos and the
+    payload to cand_id, fitness. ``metrics``: the same for reports, from the best candidate alone, to one row of numbers.
+    ``select``: roulette, rotary or eda. ``survive``: elitism of its own, from old and new fitness, old and new population,
+    to rank, origin, cand_id, fitness."""
 
     name: str
     side: str
-    pool: DataFrame
+    pool: DataFrame | None
     budget: int
     pop: int
     fitness: Callable[[DataFrame], DataFrame]
@@ -32,6 +40,9 @@ class Problem:
     repair: bool = True
     select: str = "roulette"
     report_every: int = 50
+    init: Callable[[int], DataFrame] | None = None
+    mutate: Callable[[DataFrame, int, int], DataFrame] | None = None
+    survive: Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame] | None = None
 
 
 @dataclass
@@ -40,8 +51,14 @@ class Run:
     population: DataFrame
     fitness: DataFrame
     generation: int
-    history: DataFrame
-    rows: list = field(default_factory=list)
+    log: list = field(default_factory=list)
+    path: str | None = None
+    held: list = field(default_factory=list)
+
+    @property
+    def history(self) -> DataFrame:
+        """A row for each generation: run_id, generation, best_fitness, best_gene, metrics (JSON, where reported)."""
+        return self.population.sparkSession.createDataFrame(self.log, HISTORY)
 
 
 def fitness_from_pandas(f: Callable) -> Callable[[DataFrame], DataFrame]:
@@ -55,7 +72,9 @@ def fitness_from_pandas(f: Callable) -> Callable[[DataFrame], DataFrame]:
     return fitness
 
 
-def decode(pop: DataFrame, pool: DataFrame) -> DataFrame:
+def decode(pop: DataFrame, pool: DataFrame | None) -> DataFrame:
+    if pool is None:
+        return pop.select("cand_id", "pos", "gene.*")
     return pop.join(pool.withColumnRenamed("idx", "gene"), "gene").drop("gene")
 
 
@@ -63,63 +82,111 @@ def score(p: Problem, pop: DataFrame) -> DataFrame:
     return materialise(p.fitness(decode(pop, p.pool)).select("cand_id", F.round(F.col("fitness").cast("double"), 9).alias("fitness")), "fitness")
 
 
-def _row(p: Problem, pop: DataFrame, fit: DataFrame, generation: int, seed: int, report: bool) -> DataFrame:
+def fitness_of(p: Problem, decoded: DataFrame) -> float:
+    """The fitness of one candidate's decoded rows."""
+    return p.fitness(decoded).first()["fitness"]
+
+
+def _row(p: Problem, pop: DataFrame, fit: DataFrame, generation: int, seed: int, report: bool) -> tuple:
+    """The history's row of a generation, values of HISTORY: one row in the driver."""
     by = F.struct(F.col("fitness") if p.side == "min" else (-F.col("fitness")).alias("fitness"), "cand_id")
     best = fit.agg(F.min_by("cand_id", by).alias("cand_id"), (F.min if p.side == "min" else F.max)("fitness").alias("best_fitness"))
     genes = pop.join(F.broadcast(best), "cand_id")
-    g = genes.agg(F.first("best_fitness").alias("best_fitness"), F.array_join(F.transform(F.array_sort(F.collect_list("gene")), lambda x: x.cast("string")), ",").alias("best_gene"))
-    row = g.select(F.lit(f"{p.name}-{seed}").alias("run_id"), F.lit(generation).alias("generation"), "best_fitness", "best_gene")
+    g = genes.agg(F.first("best_fitness").alias("best_fitness"), F.array_join(F.transform(F.array_sort(F.collect_list("gene")), lambda x: x.cast("string")), ",").alias("best_gene")).first()
+    metrics = None
     if p.metrics and report:
-        row = row.crossJoin(p.metrics(decode(genes.select("cand_id", "pos", "gene"), p.pool)).select(F.to_json(F.struct("*")).alias("metrics")))
-    else:
-        row = row.withColumn("metrics", F.lit(None).cast("string"))
-    return materialise(row, "history")
+        metrics = p.metrics(decode(genes.select("cand_id", "pos", "gene"), p.pool)).select(F.to_json(F.struct("*")).alias("m")).first()["m"]
+    return f"{p.name}-{seed}", generation, g["best_fitness"], g["best_gene"], metrics
+
+
+def _state(p: Problem, pop: DataFrame, fitness: DataFrame, generation: int, row: tuple, path: str | None, before: Run | None) -> Run:
+    """The run after a generation. With a path the state is written there, under its generation, the history's row last, as a
+    sign that it is whole. Tables of the generation before are dropped, as nothing reads them any more."""
+    spark = pop.sparkSession
+    if path:
+        at = f"{path}/state/{generation}"
+        pop.write.mode("overwrite").parquet(f"{at}/population")
+        fitness.write.mode("overwrite").parquet(f"{at}/fitness")
+        spark.createDataFrame([row], HISTORY).coalesce(1).write.mode("overwrite").parquet(f"{path}/history/{generation}")
+        remove(spark, f"{path}/state/{generation - 1}")
+    if before is not None:
+        for table in before.held:
+            discard(table)
+    return Run(p, pop, fitness, generation, [*(before.log if before else []), row], path, [pop, fitness])
+
+
+def resume(p: Problem, path: str, spark: SparkSession) -> Run:
+    """The last whole generation of the run that was written at ``path``, to be given to ``evolve`` with the run's seed."""
+    log = sorted((tuple(r) for r in spark.read.schema(HISTORY).parquet(f"{path}/history/*").collect()), key=lambda r: r[1])
+    at = f"{path}/state/{log[-1][1]}"
+    return Run(p, spark.read.parquet(f"{at}/population"), spark.read.parquet(f"{at}/fitness"), log[-1][1], log, path)
 
 
 def _picked(p: Problem, pop: DataFrame, fit: DataFrame, seed: int, generation: int, tag: str) -> DataFrame:
-    sel = V.roulette_select(fit, p.side, p.pop, seed, tag=f"{tag}{generation}")
+    if p.select == "rotary":
+        sel = V.rotary_select(V.rotary_table(fit, "inverted" if p.side == "min" else "normal"), p.pop, seed, tag=f"{tag}{generation}")
+    else:
+        sel = V.roulette_select(fit, p.side, p.pop, seed, tag=f"{tag}{generation}")
     return sel.join(pop, "cand_id").select(F.col("draw").alias("cand_id"), "pos", "gene")
 
 
 def single_step(run: Run, seed: int, report: bool = False) -> Run:
     """Selection, crossover, mutation, repair, score, elitism: one generation; ``report``: with the problem's metrics."""
     p, g = run.problem, run.generation + 1
-    size = p.pool.count()
     if p.select == "eda":
         new = V.eda_resample(run.population, run.fitness, p.pop, p.budget, seed * 1000 + g, p.side)
     else:
         new = V.crossover(_picked(p, run.population, run.fitness, seed, g, "a"), _picked(p, run.population, run.fitness, seed, g, "b"), p.cross_rate, seed, g)
-    new = V.mutate(new, p.mutation_rate, size, seed, g)
-    new = materialise(V.repair_duplicates(new, p.pool, seed, g) if p.repair else new, "population")
-    fit = score(p, new)
-    kept = materialise(V.elitism(run.fitness, fit, p.side, p.pop), "kept")
+    new = p.mutate(new, seed, g) if p.mutate else V.mutate(new, p.mutation_rate, p.pool.count(), seed, g)
+    new = materialise(V.repair_duplicates(new, p.pool, seed, g) if p.repair and p.pool is not None else new, "population")
+    return _survivors(run, new, score(p, new), g, seed, report)
+
+
+def _survivors(run: Run, new: DataFrame, fit: DataFrame, g: int, seed: int, report: bool) -> Run:
+    p = run.problem
+    kept = materialise(p.survive(run.fitness, fit, run.population, new) if p.survive else V.elitism(run.fitness, fit, p.side, p.pop), "kept")
     both = run.population.select(F.lit(0).alias("origin"), "cand_id", "pos", "gene").union(new.select(F.lit(1), "cand_id", "pos", "gene"))
-    pop = materialise(both.join(F.broadcast(kept), ["origin", "cand_id"]).select(F.col("rank").alias("cand_id"), "pos", "gene"), "population")
+    pop = materialise(both.join(F.broadcast(kept.select("origin", "cand_id", "rank")), ["origin", "cand_id"]).select(F.col("rank").alias("cand_id"), "pos", "gene"), "population")
     fitness = materialise(kept.select(F.col("rank").alias("cand_id"), "fitness"), "fitness")
-    row = _row(p, pop, fitness, g, seed, report)
-    return Run(p, pop, fitness, g, run.history.union(row))
+    for table in (new, fit, kept):
+        discard(table)
+    return _state(p, pop, fitness, g, _row(p, pop, fitness, g, seed, report), run.path, run)
 
 
-def init_state(p: Problem, seed: int) -> Run:
-    size = p.pool.count()
-    if size > 20 * p.budget:
-        pop = V.repair_duplicates(V.draw_population(p.pool.sparkSession, size, p.pop, p.budget, seed), p.pool, seed)
+def init_state(p: Problem, seed: int, path: str | None = None) -> Run:
+    """Generation 0: draws over the pool's indexes, which never list population x pool, repaired to be distinct."""
+    if p.init:
+        pop = p.init(seed)
     else:
-        pop = V.init_population(p.pool, p.pop, p.budget, seed)
+        size = p.pool.count()
+        pop = V.repair_duplicates(V.filled(V.draw_population(p.pool.sparkSession, size, p.pop, p.budget, seed), p.pop, p.budget, size, seed), p.pool, seed)
     pop = materialise(pop, "population")
     fit = score(p, pop)
-    return Run(p, pop, fit, 0, _row(p, pop, fit, 0, seed, False))
+    return _state(p, pop, fit, 0, _row(p, pop, fit, 0, seed, False), path, None)
 
 
-def evolve(p: Problem, generations: int, seed: int = 1024, resume: Run | None = None) -> Run:
+def evolve(p: Problem, generations: int, seed: int = 1024, resume: Run | None = None, path: str | None = None) -> Run:
     """Run ``generations`` more; from ``resume`` if given. The same seed gives the same candidates, however a run is cut
-    up. Metrics are reported every ``report_every`` generations and at the last of a call."""
-    run = resume or init_state(p, seed)
+    up. Metrics are reported every ``report_every`` generations and at the last of a call. ``path``: where the state of every
+    generation is written."""
+    run = resume or init_state(p, seed, path)
     for left in range(generations, 0, -1):
         run = single_step(run, seed, left == 1 or (run.generation + 1) % p.report_every == 0)
     return run
 
 
+def restarts(p: Problem, generations: int, loops: int, seed: int = 1024, path: str | None = None) -> tuple[DataFrame, Run]:
+    """``loops`` runs of a problem, from seeds seed, seed + 1 and so on: (their histories under run_id, the best run)."""
+    best, history = None, None
+    for k in range(loops):
+        run = evolve(p, generations, seed + k, path=f"{path}/run={seed + k}" if path else None)
+        score_of = lambda r: r.fitness.agg((F.min if p.side == "min" else F.max)("fitness")).first()[0]
+        history = run.history if history is None else history.union(run.history)
+        if best is None or (score_of(run) < score_of(best)) == (p.side == "min") and score_of(run) != score_of(best):
+            best = run
+    return history, best
+
+
 # problems
 
 
@@ -143,28 +210,63 @@ def _pcg(edges, nodes):
     return lambda c: R.pairwise_connectivity(find(*_cut(edges, nodes, c)))
 
 
-def cutoff_problem(spark: SparkSession, edges: DataFrame, pop: int = 40, rate: float = 0.1) -> Problem:
-    """Remove nodes from a pool of the greatest degrees; least pairwise connectivity."""
+def _best_rows(fitness: DataFrame, pop: DataFrame, pool: DataFrame, size: int, side: str = "min") -> DataFrame:
+    """cand_id, node: the genes of the best of each ``size`` candidates."""
+    by = F.struct(F.col("fitness") if side == "min" else (-F.col("fitness")).alias("fitness"), "cand_id")
+    best = fitness.groupBy(F.floor(F.col("cand_id") / size).alias("run")).agg(F.min_by("cand_id", by).alias("cand_id"))
+    return decode(pop.join(best.select("cand_id"), "cand_id"), pool).select("cand_id", "node")
+
+
+def greedy_pool(edges: DataFrame, pool: DataFrame, k: int, size: int, pop: int, runs: int, fitness: Callable, seed: int) -> DataFrame:
+    """node, idx: a gene pool of ``size``, half of it the commonest genes in the best of each of ``runs`` random populations
+    (all scored in one job), the rest by degree."""
+    n = pool.count()
+    draws = V.filled(V.draw_population(pool.sparkSession, n, pop * runs, k, seed), pop * runs, k, n, seed)
+    start = materialise(V.repair_duplicates(draws, pool, seed), "population")
+    fit = materialise(fitness(decode(start, pool)), "fitness")
+    return materialise(V.gene_pool_cutoff(_best_rows(fit, start, pool, pop), G.degree_rank(edges), size), "pool")
+
+
+def searched_pool(edges: DataFrame, p: Problem, size: int, runs: int, generations: int, seed: int) -> DataFrame:
+    """node, idx: as ``greedy_pool``, from the best candidate of each of ``runs`` small searches of the problem."""
+    best = None
+    for r in range(runs):
+        run = evolve(p, generations, seed + 7919 * (r + 1))
+        rows = _best_rows(run.fitness, run.population, p.pool, p.pop, p.side)
+        best = rows if best is None else best.union(rows)
+    return materialise(V.gene_pool_cutoff(best, G.degree_rank(edges), size), "pool")
+
+
+def _node_pool(nodes: DataFrame) -> DataFrame:
+    return _pool(nodes.select("node"), F.asc("node"))
+
+
+def cutoff_problem(spark: SparkSession, edges: DataFrame, pop: int = 40, rate: float = 0.1, pool: DataFrame | None = None) -> Problem:
+    """Remove nodes of a pool (default: all nodes); least pairwise connectivity."""
     nodes = materialise(G.node_set(edges), "nodes")
     k = _budget(edges, rate)
-    pool = materialise(G.degree_rank(edges).where(F.col("rank") <= 4 * k).select((F.col("rank") - 1).alias("idx"), "node"), "pool")
     pcg = _pcg(edges, nodes)
     reach = lambda c: R.max_reach(R.reach_within(*_cut(edges, nodes, c), 17)).select("max_reach")
-    return Problem("cutoff", "min", pool, k, pop, lambda c: pcg(c).select("cand_id", F.col("pcg").alias("fitness")), reach, 0.7, 0.2)
+    return Problem("cutoff", "min", pool if pool is not None else _node_pool(nodes), k, pop, lambda c: pcg(c).select("cand_id", F.col("pcg").alias("fitness")), reach, 0.7, 0.2, select="rotary")
 
 
-def sixdst(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 80, rate: float = 0.1, seed: int = 1024) -> Run:
-    """Remove nodes so that the widest six-hop reach is least; reports connected pairs."""
+def sixdst(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 80, rate: float = 0.1, seed: int = 1024, pool_runs: int = 10) -> Run:
+    """Remove nodes so that the widest six-hop reach is least; reports connected pairs. The pool comes from the best of
+    ``pool_runs`` random populations by connected pairs, and degrees."""
     nodes = materialise(G.node_set(edges), "nodes")
     k = _budget(edges, rate)
-    base = V.random_cutoff(nodes, 2 * k, seed).select("node", F.lit(0).alias("cand_id"))
-    pool = materialise(V.gene_pool_cutoff(base, G.degree_rank(edges), 4 * k), "pool")
+    pcg = _pcg(edges, nodes)
+    pool = greedy_pool(edges, _node_pool(nodes), k, 4 * k, pop, pool_runs, lambda c: pcg(c).select("cand_id", F.col("pcg").alias("fitness")), seed)
     fit = lambda c: R.max_reach(R.reach_within(*_cut(edges, nodes, c), 6)).select("cand_id", F.col("max_reach").alias("fitness"))
-    return evolve(Problem("sixdst", "min", pool, k, pop, fit, lambda c: _pcg(edges, nodes)(c).select("pcg"), 0.6, 0.2), generations, seed)
+    return evolve(Problem("sixdst", "min", pool, k, pop, fit, lambda c: pcg(c).select("pcg"), 0.6, 0.2), generations, seed)
 
 
-def cutoff(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024) -> Run:
-    return evolve(cutoff_problem(spark, edges, pop, rate), generations, seed)
+def cutoff(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024, pool_runs: int = 10, pool_generations: int = 100) -> Run:
+    """Remove nodes; least pairwise connectivity, by rotary selection. The pool comes from the best rows of ``pool_runs`` small
+    searches of ``pool_generations`` over all nodes, and degrees."""
+    whole = cutoff_problem(spark, edges, pop, rate)
+    pool = searched_pool(edges, whole, 4 * whole.budget, pool_runs, pool_generations, seed)
+    return evolve(cutoff_problem(spark, edges, pop, rate, pool), generations, seed)
 
 
 def tde(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024, factor: float = 0.5) -> Run:
@@ -184,12 +286,7 @@ def tde(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40,
         trial = V.de_mutation(pick("x"), pick("y"), pick("z"), factor)
         j = geno.withColumnRenamed("x", "old").join(trial, ["cand_id", "pos"]).select("cand_id", "pos", F.when(V.u(seed, g, F.col("cand_id"), F.col("pos"), "de") < p.cross_rate, F.col("x")).otherwise(F.col("old")).alias("x"))
         new = materialise(V.decode_phenotype(j, mm).join(pool, "node").select("cand_id", "pos", F.col("idx").alias("gene")), "population")
-        fitness = score(p, new)
-        kept = materialise(V.elitism(run.fitness, fitness, "max", pop), "kept")
-        both = run.population.select(F.lit(0).alias("origin"), "cand_id", "pos", "gene").union(new.select(F.lit(1), "cand_id", "pos", "gene"))
-        population = materialise(both.join(kept, ["origin", "cand_id"]).select(F.col("rank").alias("cand_id"), "pos", "gene"), "population")
-        fitness = materialise(kept.select(F.col("rank").alias("cand_id"), "fitness"), "fitness")
-        run = Run(p, population, fitness, g, run.history.union(_row(p, population, fitness, g, seed, g == generations)))
+        run = _survivors(run, new, score(p, new), g, seed, g == generations or g % p.report_every == 0)
     return run
 
 
@@ -197,16 +294,6 @@ def _q_of(edges: DataFrame, comms: DataFrame) -> DataFrame:
     return C.modularity(edges, comms, ("cand_id",))
 
 
-def _local_move(edges: DataFrame, comms: DataFrame) -> DataFrame:
-    """cand_id, node, comm: every node's commonest community among its neighbours of the candidate's graph and itself,
-    from the base partition: one warm-started round for all candidates at once."""
-    a = G.adjacency(edges, ("cand_id",))
-    votes = a.join(comms.select(F.col("node").alias("dst"), "comm"), "dst").groupBy("cand_id", F.col("src").alias("node"), "comm").agg(F.count("*").alias("k"))
-    own = a.select("cand_id", F.col("src").alias("node")).distinct().join(comms, "node").select("cand_id", "node", "comm", F.lit(1).cast("long").alias("k"))
-    both = votes.union(own).groupBy("cand_id", "node", "comm").agg(F.sum("k").alias("k"))
-    return both.groupBy("cand_id", "node").agg(F.max_by("comm", F.struct("k", -F.col("comm"))).alias("comm"))
-
-
 def _nmi_of(a: DataFrame, base: DataFrame) -> DataFrame:
     """cand_id, nmi of each candidate's partition with the base."""
     t = a.select("cand_id", "node", F.col("comm").alias("x")).join(base.select("node", F.col("comm").alias("y")), "node").groupBy("cand_id", "x", "y").agg(F.count("*").alias("n"))
@@ -217,55 +304,78 @@ def _nmi_of(a: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def cgn(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024) -> Run:
-    """Delete edges inside communities and add some between: least similarity to the communities before."""
+    """Delete edges inside communities and add some between: least similarity to the communities before. Typed genes: a
+    deletion is any edge inside a community, an addition any unlinked pair of nodes in different ones, drawn, never listed.
+    Every candidate's communities are Louvain's moves to their end from those before."""
     base = materialise(C.louvain(edges, seed), "base")
-    inside, between = C.community_edge_pools(edges, base, seed)
-    pool = _pool(inside.select(F.lit("del").alias("op"), "src", "dst").union(between.select(F.lit("add"), "src", "dst")), F.asc("op"), F.asc("src"), F.asc("dst"))
+    k = _budget(edges, rate)
+    nodes = materialise(G.dense_rank_ids(G.node_set(edges), "node"), "nodes")
+    dels = _pool(C.inside_edges(edges, base), F.asc("src"), F.asc("dst"))
+    places = V.cand_ids(spark, pop).select("cand_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("pos"))
+    gene = F.struct("op", "src", "dst").alias("gene")
+
+    def fresh(at: int) -> DataFrame:
+        return materialise(C.draw_between(places, nodes, edges, base, at), "draws")
+
+    def init(at: int) -> DataFrame:
+        n = dels.count()
+        drawn = V.filled(V.draw_population(spark, n, pop, k, at), pop, k, n, at).withColumnRenamed("gene", "idx").join(dels, "idx").select("cand_id", "pos", F.lit("del").alias("op"), "src", "dst")
+        adds = fresh(at).where(F.col("pos") < F.floor(V.u(at, F.col("cand_id"), "mix") * k)).select("cand_id", "pos", F.lit("add").alias("op"), "src", "dst")
+        return drawn.join(adds.select("cand_id", "pos"), ["cand_id", "pos"], "left_anti").union(adds).select("cand_id", "pos", gene)
+
+    def mutate(new: DataFrame, at: int, g: int) -> DataFrame:
+        adds = _pool(fresh(at * 1000 + g).select("src", "dst").distinct(), F.asc("src"), F.asc("dst"))
+        return V.edge_mutation(new.select("cand_id", "pos", "gene.*"), dels, adds, 0.01, at * 1000 + g).select("cand_id", "pos", gene)
 
     def fit(c: DataFrame) -> DataFrame:
         e = materialise(P.apply_edge_changes(edges, c), "changed")
-        return _nmi_of(_local_move(e, base), base).select("cand_id", F.col("nmi").alias("fitness"))
+        return _nmi_of(C.local_moves(e, base, seed=seed), base).select("cand_id", F.col("nmi").alias("fitness"))
 
     metrics = lambda c: _q_of(P.apply_edge_changes(edges, c), base).select(F.round("q", 6).alias("q"))
-    return evolve(Problem("cgn", "min", pool, _budget(edges, rate), pop, fit, metrics, 0.7, 0.01), generations, seed)
+    return evolve(Problem("cgn", "min", None, k, pop, fit, metrics, 0.7, 0.01, report_every=30, init=init, mutate=mutate), generations, seed)
 
 
 def qattack(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024) -> Run:
-    """Rewire nodes: greatest exp(-Q) of the partition that follows the change."""
+    """Rewire nodes: greatest exp(-Q) of the communities after the change, Louvain's moves to their end from those before.
+    Typed genes: a node, one it is to be linked to and one it is to lose; fresh ones are drawn in every generation."""
     base = materialise(C.louvain(edges, seed), "base")
-    idx = G.dense_rank_ids(G.node_set(edges), "node")
-    non = materialise(G.sample_non_neighbors(idx, edges, 2, seed), "non")
-    pool = _pool(V.init_rewires(G.adjacency(edges), non, 4, _budget(edges, 4 * rate), seed).select("node", "add_node", "remove_node").distinct(), F.asc("node"), F.asc("add_node"), F.asc("remove_node"))
+    k = _budget(edges, rate)
+    idx = materialise(G.dense_rank_ids(G.node_set(edges), "node"), "nodes")
+    adj = materialise(G.adjacency(edges), "adjacency")
+    gene = F.struct("node", "add_node", "remove_node").alias("gene")
+
+    def draw(at: int) -> DataFrame:
+        return materialise(V.init_rewires(adj, G.sample_non_neighbors(idx, edges, 2, at), pop, k, at), "rewires")
+
+    def mutate(new: DataFrame, at: int, g: int) -> DataFrame:
+        return V.rewire_mutation(new.select("cand_id", "pos", "gene.*"), draw(at * 1000 + g), 0.1, at * 1000 + g).select("cand_id", "pos", gene)
 
     def fit(c: DataFrame) -> DataFrame:
         e = materialise(P.apply_rewires(edges, c), "changed")
-        return C.q_fitness(_q_of(e, materialise(_local_move(e, base), "moved"))).select("cand_id", "fitness")
+        return C.q_fitness(_q_of(e, materialise(C.local_moves(e, base, seed=seed), "moved"))).select("cand_id", "fitness")
 
     metrics = lambda c: _q_of(P.apply_rewires(edges, c), base).select(F.round("q", 6).alias("q"))
-    return evolve(Problem("qattack", "max", pool, _budget(edges, rate), pop, fit, metrics, 0.8, 0.1), generations, seed)
+    return evolve(Problem("qattack", "max", None, k, pop, fit, metrics, 0.8, 0.1, report_every=30, init=lambda at: draw(at).select("cand_id", "pos", gene), mutate=mutate), generations, seed)
 
 
 def cda_eda(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024) -> Run:
-    """Delete edges: greatest shift of distances in the walk matrix's embedding, over all pairs of nodes. Candidates
-    share the base graph's leading vectors: each is scored by one more product with its own walk matrix."""
-    emb = materialise(C.lowrank_embedding(edges, 6, 4, seed), "embedding")
+    """Delete edges: greatest shift of distances in the walk matrix's embedding, over all pairs of nodes. Every candidate's
+    graph has an embedding of its own; all are iterated at once. Reports modularity and similarity of communities."""
     pool = _pool(edges.select("src", "dst"), F.asc("src"), F.asc("dst"))
-
-    def moved(e: DataFrame) -> DataFrame:
-        a = G.adjacency(e, ("cand_id",))
-        d = a.groupBy("cand_id", "src").agg(F.count("*").alias("d"))
-        x = a.join(emb.select(F.col("node").alias("dst"), F.posexplode("vec").alias("i", "x")), "dst").join(d, ["cand_id", "src"])
-        v = x.groupBy("cand_id", F.col("src").alias("node"), "i").agg(F.sum(F.col("x") / (F.col("d") + 1)).alias("x"))
-        return v.groupBy("cand_id", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vec"))
-
-    base = materialise(moved(edges.select(F.lit(0).alias("cand_id"), "src", "dst")).select("node", "vec"), "base")
+    base = materialise(C.lowrank_embedding(edges, 6, 4, seed).select("node", "vec"), "base")
+    comms = materialise(C.louvain(edges, seed), "communities")
 
     def fit(c: DataFrame) -> DataFrame:
         e = materialise(P.delete_edges(edges, c), "changed")
-        shift = C.distance_shift_blocks(materialise(moved(e), "moved"), base, keys=("cand_id",))
-        return shift.select("cand_id", F.coalesce("shift", F.lit(0.0)).alias("fitness"))
+        shift = C.distance_shift_blocks(materialise(C.lowrank_embedding(e, 6, 4, seed, ("cand_id",)), "moved"), base, keys=("cand_id",))
+        return c.select("cand_id").distinct().join(shift, "cand_id", "left").select("cand_id", F.coalesce("shift", F.lit(0.0)).alias("fitness"))
 
-    return evolve(Problem("cda_eda", "max", pool, _budget(edges, rate), pop, fit, None, 0.6, 0.2), generations, seed)
+    def metrics(c: DataFrame) -> DataFrame:
+        e = materialise(P.delete_edges(edges, c), "best")
+        now = materialise(C.local_moves(e, comms, seed=seed), "moved")
+        return _q_of(e, now).select(F.round("q", 6).alias("q")).crossJoin(_nmi_of(now, comms).select(F.round("nmi", 6).alias("nmi")))
+
+    return evolve(Problem("cda_eda", "max", pool, _budget(edges, rate), pop, fit, metrics, 0.6, 0.2), generations, seed)
 
 
 def _lpa(name: str, edges: DataFrame, generations: int, pop: int, rate: float, seed: int, select: str) -> Run:
@@ -275,16 +385,19 @@ def _lpa(name: str, edges: DataFrame, generations: int, pop: int, rate: float, s
     non = G.non_edges(train).select("src", "dst")
     pool = _pool(train.select(F.lit("del").alias("op"), "src", "dst").union(non.select(F.lit("add"), "src", "dst")), F.asc("op"), F.asc("src"), F.asc("dst"))
 
+    ra0 = materialise(L.resource_allocation(train), "ra")
+    sums = L.base_sums(train, test, ra0)
+
     def fit(c: DataFrame) -> DataFrame:
         e = materialise(P.apply_edge_changes(train, c), "changed")
-        return L.lpa_fitness(e, train, c, test, 0.0, n)
+        return L.lpa_fitness_by_change(train, e, c, test, ra0, sums, n)
 
     def metrics(c: DataFrame) -> DataFrame:
         e = materialise(P.apply_edge_changes(train, c).select("src", "dst"), "best")
         ra = materialise(L.resource_allocation(e), "ra")
         return L.precision_at_l(ra, e, test).crossJoin(L.auc(ra, e, test, n)).select("precision", F.round("auc", 6).alias("auc"))
 
-    return evolve(Problem(name, "max", pool, _budget(train, rate), pop, fit, metrics, 0.7, 0.1, select=select), generations, seed)
+    return evolve(Problem(name, "max", pool, _budget(train, rate), pop, fit, metrics, 0.7, 0.1, select=select, report_every=10), generations, seed)
 
 
 def lpa_eda(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024) -> Run:
@@ -335,34 +448,59 @@ def nca_ga(spark: SparkSession, g: Labelled, generations: int, pop: int = 20, ra
         return N.nll_loss(z, g.labels, "test", ("cand_id",)).select("cand_id", F.col("loss").alias("fitness"))
 
     metrics = lambda c: N.accuracy(N.predict_class(_logits(g, P.delete_edges(g.edges, c)), ("cand_id",)), g.labels, "test", ("cand_id",)).select(F.round("accuracy", 6).alias("accuracy"))
-    return evolve(Problem("nca_ga", "max", pool, k, pop, fit, metrics, 0.7, 0.3), generations, seed)
+    return evolve(Problem("nca_ga", "max", pool, k, pop, fit, metrics, 0.7, 0.3, report_every=30), generations, seed)
+
 
+def gani(spark: SparkSession, g: Labelled, generations: int, pop: int = 20, seed: int = 1024, rate: float = 0.05, ratio: float = 0.7, injected: int | None = None) -> Run:
+    """Inject nodes (``injected``; default: rate x nodes), each with a drawn label's features, linked to nodes of other
+    labels so that most test nodes are misclassified.
 
-def gani(spark: SparkSession, g: Labelled, generations: int, pop: int = 20, seed: int = 1024, label: int = 0, ratio: float = 0.7, injected: int = 1) -> Run:
-    """Inject nodes of a label's features, each linked to nodes of other labels: most misclassified. Targets come in
-    order of homophily decrease; after a node is accepted, the next starts from the graph with it."""
-    edges, xw, labels, run = g.edges, g.xw, g.labels, None
+    For each, all single links are scored in one job, a candidate a link; the first floor(ratio x links) by fitness, then
+    homophily decrease, are the pool. Its own loop resolves conflicts between rows and breaks ties of elites by homophily
+    decrease. The next node starts from the graph with it, and its labels' homophily anew. A node of one link takes the
+    best single link.
+    """
+    edges, xw, labels, features, run = g.edges, g.xw, g.labels, g.features, None
     profile = N.label_feature_profile(g.features, labels)
-    new_x = N.injected_node_features(profile, g.features, label)
-    for i in range(injected):
-        homo = N.homophily(edges, labels)
-        ranked = N.potential_edges(homo, labels, label)
-        keep = max(8, int(ratio * 100))
-        pool = materialise(ranked.where(F.col("rank") <= keep).select((F.col("rank") - 1).alias("idx"), "node"), "pool")
-        budget = max(1, min(pool.count() // 4, int(N.degree_budget(edges, labels.select("node")).agg(F.avg("budget")).first()[0] or 1)))
-        nodes = G.node_set(edges, labels.select("node"))
+    classes = [r["label"] for r in labels.select("label").distinct().orderBy("label").collect()]
+    budgets = N.degree_budget(edges, labels.select("node"))
+    count = injected if injected is not None else max(1, int(rate * labels.count()))
+    for i in range(count):
+        label = classes[int(spark.range(1).select(V.u(seed, i, "label")).first()[0] * len(classes))]
+        drawn = budgets.orderBy(V.order(seed, i, F.col("node"))).limit(1).first()
+        new_x = N.injected_node_features(profile, g.features, label)
+        homo = materialise(N.homophily(edges, labels), "homophily")
+        nodes = materialise(G.node_set(edges, labels.select("node")), "nodes")
         new_id = nodes.agg(F.max("node") + 1).first()[0]
         row = N.linear_logits(N.row_normalize_features(new_x.select(F.lit(new_id).alias("node"), "feat", "value")), g.weights.where("feat >= 0")).select("node", F.col("class").alias("feat"), F.col("logit").alias("value"))
-        h = Labelled(edges, labels, materialise(xw.union(row), "xw"), g.features, g.weights)
+        h = Labelled(edges, labels, materialise(xw.union(row), "xw"), features, g.weights)
 
         def fit(c: DataFrame, h=h, nodes=nodes, new_id=new_id) -> DataFrame:
             e = materialise(P.inject_node(h.edges, nodes, c), "injected")
             z = _logits(h, e, c.select("cand_id").distinct().withColumn("node", F.lit(new_id)))
             return N.sga_fitness(N.predict_class(z, ("cand_id",)), h.labels, "test", ("cand_id",))
 
-        run = evolve(Problem(f"gani{i}", "min", pool, budget, pop, fit, None, 0.6, 0.2), generations, seed)
-        best = decode(run.population.where("cand_id = 0"), pool)
+        links = materialise(N.potential_edges(homo, labels, label), "links")
+        single = fit(links.select((F.col("rank") - 1).cast("int").alias("cand_id"), F.lit(0).alias("pos"), "node"))
+        losses = links.join(single, F.col("cand_id") == F.col("rank") - 1).select("node", F.col("fitness").cast("double").alias("loss"))
+        pool = materialise(N.rank_single_links(materialise(losses, "losses"), homo, ratio).select((F.col("rank") - 1).alias("idx"), "node"), "pool")
+        budget = max(1, min(pool.count(), int(drawn["budget"] or 1)))
+
+        def survive(old, new, was, now, pool=pool, homo=homo):
+            genes = was.select(F.lit(0).alias("origin"), "cand_id", "pos", "gene").union(now.select(F.lit(1), "cand_id", "pos", "gene"))
+            chosen = genes.join(pool.withColumnRenamed("idx", "gene"), "gene").select("origin", "cand_id", "node")
+            kept = V.sga_elitism(old, new, "min", pop, chosen, homo)  # its best comes first
+            return kept.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("best"), "rank")) - 1).select("rank", "origin", "cand_id", "fitness")
+
+        def mutate(new, at, gen, pool=pool):
+            return V.resolve_conflicts(V.mutate(new, 0.2, pool.count(), at, gen), pool, at * 1000 + gen)
+
+        p = Problem(f"gani{i}", "min", pool, budget, pop, fit, None, 0.6, 0.2, report_every=30, mutate=mutate, survive=survive)
+        run = evolve(p, generations if budget > 1 else 0, seed)
+        best = decode(run.population.where("cand_id = 0"), pool) if budget > 1 else pool.where("idx = 0").select(F.lit(0).alias("cand_id"), F.lit(0).alias("pos"), "node")
+        features = materialise(P.inject_features(features, nodes, new_x), "features")
         edges, xw = materialise(P.inject_node(edges, nodes, best).select("src", "dst"), "edges"), h.xw
+        labels = materialise(labels.union(spark.createDataFrame([(new_id, label, "injected")], labels.schema)), "labels")
     return run
 
 

@@ -36,6 +36,10 @@ def disc(s: SparkSession, d: str) -> DataFrame:
     return materialise(copart(s, d, "disc"), "graph")
 
 
+def whole(s: SparkSession, d: str) -> DataFrame:
+    return materialise(copart(s, d, "all"), "graph")
+
+
 def removed(s: SparkSession, nodes: DataFrame, pop: int = 4, rate: float = 0.1) -> DataFrame:
     """cand_id, node: each node with a chance of ``rate``, by hash."""
     return V.cand_ids(s, pop).crossJoin(nodes.select("node")).where(u("rm", F.col("cand_id"), F.col("node")) < rate)
@@ -188,49 +192,49 @@ def canonical_edges(s, d):
 
 @query
 def symmetric_edges(s, d):
-    li = table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 3).alias("dst"))
+    li = table(s, d, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 3).alias("dst"))
     return G.symmetric(G.canonical_edges(li))
 
 
 @query
 def node_index(s, d):
-    nodes, edges = G.index_nodes(copart(s, d, "disc"))
+    nodes, edges = G.index_nodes(whole(s, d))
     return nodes.select(F.col("node").alias("a"), F.col("idx").alias("b"), F.lit("node").alias("kind")).union(edges.select("src", "dst", F.lit("edge")))
 
 
 @query
 def graph_stats(s, d):
-    return G.graph_stats(disc(s, d), 0.1, 0.25)
+    return G.graph_stats(whole(s, d), 0.1, 0.25)
 
 
 @query
 def degrees(s, d):
-    return G.degrees(copart(s, d, "disc"), table(s, d, "part").select(F.col("p_partkey").alias("node")))
+    return G.degrees(copart(s, d, "all"), table(s, d, "part").select(F.col("p_partkey").alias("node")))
 
 
 @query
 def degree_rank(s, d):
-    return G.degree_rank(disc(s, d))
+    return G.degree_rank(whole(s, d))
 
 
 @query
 def minmax_degree(s, d):
-    return G.minmax_degree(disc(s, d)).withColumns(r6("x"))
+    return G.minmax_degree(whole(s, d)).withColumns(r6("x"))
 
 
 @query
 def neighbor_lists(s, d):
-    return G.neighbor_lists(disc(s, d), hub_cap=6).select("node", "degree", "chunk", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), ",").alias("nbrs"))
+    return G.neighbor_lists(whole(s, d), hub_cap=50).select("node", "degree", "chunk", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), ",").alias("nbrs"))
 
 
 @query
 def gene_pool_nodes(s, d):
-    return G.gene_pool_nodes(disc(s, d), table(s, d, "part").select(F.col("p_partkey").alias("node")))
+    return G.gene_pool_nodes(whole(s, d), table(s, d, "part").select(F.col("p_partkey").alias("node")))
 
 
 @query
 def non_neighbor_sample(s, d):
-    e = disc(s, d)
+    e = whole(s, d)
     idx, _ = G.index_nodes(e)
     return G.sample_non_neighbors(idx, e, 2, 11).select("node", "nbr")
 
@@ -241,6 +245,13 @@ def non_edges(s, d):
     return G.non_edges(e).agg(F.count("*").alias("scored")).crossJoin(G.count_non_edges(e))
 
 
+@query
+def non_edges_from(s, d):
+    """All unlinked pairs of the parts whose number 100 divides."""
+    p = table(s, d, "part").select(F.col("p_partkey").alias("node"))
+    return G.non_edges_from(whole(s, d), p, p.where("node % 100 = 0"))
+
+
 @query
 def two_hop_pairs(s, d):
     return G.two_hop_pairs(disc(s, d))
@@ -676,7 +687,8 @@ def roulette_select(s, d):
 @query
 def rotary_table(s, d):
     f = nation_fitness(s, d)
-    return V.rotary_table(f).withColumn("pattern", F.lit("normal")).union(V.rotary_table(f, "inverted").withColumn("pattern", F.lit("inverted"))).withColumns(r6("p", "cumulative"))
+    out = [V.rotary_table(f, p).withColumn("pattern", F.lit(p)) for p in ("normal", "inverted", "trans")]
+    return out[0].union(out[1]).union(out[2]).withColumns(r6("p", "cumulative"))
 
 
 def event_population(s, d, shift=0):
@@ -1003,5 +1015,7 @@ def _job(name, **more):
     return query(run)
 
 
+#: What a search has beside its two generations: the small searches for a pool, and the nodes to inject.
+MORE = {"cutoff": {"pool_runs": 2, "pool_generations": 2}, "gani": {"injected": 1}}
 for _name in J.JOBS:
-    _job(_name, generations=2)
+    _job(_name, generations=2, **MORE.get(_name, {}))

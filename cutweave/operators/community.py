@@ -94,6 +94,36 @@ def louvain(edges: DataFrame, seed: int = 0, rounds: int = 6, levels: int = 4, s
     return member
 
 
+def local_moves(edges: DataFrame, start: DataFrame, keys: tuple[str, ...] = ("cand_id",), seed: int = 0, rounds: int = 10) -> DataFrame:
+    """keys, node, comm: Louvain's moves of single nodes from the partition ``start`` (node, comm) to a fixed point, or
+    ``rounds``, for all the graphs of ``edges`` (keys, src, dst) at once.
+
+    As in ``louvain``, half of the nodes move in a round, to the neighbouring community of the greatest gain. A node that
+    ``start`` lacks begins alone.
+    """
+    k = list(keys)
+    a = materialise(adjacency(edges.where("src <> dst"), keys), "moves")
+    degree = materialise(a.groupBy(*k, F.col("src").alias("node")).agg(F.count("*").cast("double").alias("k")), "moves")
+    m2 = degree.groupBy(*k).agg(F.sum("k").alias("m2"))
+    comm = materialise(degree.join(start.select("node", "comm"), "node", "left").select(*k, "node", F.coalesce("comm", "node").alias("comm")), "moves")
+    for r in range(rounds):
+        full = comm.join(degree, [*k, "node"])
+        total = full.groupBy(*k, "comm").agg(F.sum("k").alias("tot"))
+        to = a.join(comm.select(*k, F.col("node").alias("dst"), F.col("comm").alias("to")), [*k, "dst"]).groupBy(*k, F.col("src").alias("node"), "to").agg(F.count("*").cast("double").alias("kin"))
+        own = full.select(*k, "node", F.col("comm").alias("to"), F.lit(0.0).alias("kin"))
+        c = to.union(own).groupBy(*k, "node", "to").agg(F.sum("kin").alias("kin")).join(full, [*k, "node"]).join(total.withColumnRenamed("comm", "to"), [*k, "to"]).join(F.broadcast(m2), k)
+        others = F.col("tot") - F.when(F.col("to") == F.col("comm"), F.col("k")).otherwise(0.0)
+        c = c.withColumn("gain", F.col("kin") / (F.col("m2") / 2) - F.col("k") * others / (F.col("m2") * F.col("m2") / 2))
+        pick = c.groupBy(*k, "node").agg(F.max_by("to", F.struct(F.round("gain", 12), -F.col("to"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("to") == F.col("comm"), F.col("gain"))).alias("stay"), F.first("comm").alias("comm"))
+        better = F.col("gain") > F.col("stay") + 1e-12
+        move = better & (u(seed, F.col("node"), r) < 0.5)
+        new = materialise(pick.select(*k, "node", F.when(move, F.col("to")).otherwise(F.col("comm")).alias("comm"), better.alias("better")), "moves")
+        comm = new.select(*k, "node", "comm")
+        if new.where("better").isEmpty():
+            break
+    return comm
+
+
 def _contract(w: DataFrame, comm: DataFrame) -> DataFrame:
     a, b = comm.select(F.col("node").alias("src"), F.col("comm").alias("a")), comm.select(F.col("node").alias("dst"), F.col("comm").alias("b"))
     return materialise(w.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), "louvain")
@@ -114,55 +144,64 @@ def walk_matrix(edges: DataFrame) -> DataFrame:
     return p.union(two).groupBy(F.col("src").alias("row"), F.col("dst").alias("col")).agg((F.sum("p") / 2).alias("value"))
 
 
-def lowrank_embedding(edges: DataFrame, rank: int = 6, rounds: int = 8, seed: int = 0) -> DataFrame:
-    """node, vec: the leading left singular vectors of the walk matrix, each times the root of its singular value.
+def lowrank_embedding(edges: DataFrame, rank: int = 6, rounds: int = 8, seed: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, node, vec: the leading left singular vectors of the walk matrix, each times the root of its singular value.
 
     Block power iteration on M M^T: P is applied twice to a thin block, M is never formed. The driver sees rank x rank
-    Gram matrices alone. Vectors are settled up to sign and rotation: compare distances.
+    Gram matrices alone, one for each graph (``keys``). Vectors are settled up to sign and rotation: compare distances.
     """
-    a = adjacency(edges.where("src <> dst"))
-    p = materialise(a.join(degrees(edges.where("src <> dst")).select(F.col("node").alias("src"), "degree"), "src").select("src", "dst", (1.0 / (F.col("degree") + 1)).alias("p")), "embed")
+    k = list(keys)
+    simple = edges.where("src <> dst")
+    d = adjacency(simple, keys).groupBy(*k, "src").agg(F.count("*").alias("degree"))
+    p = materialise(adjacency(simple, keys).join(d, [*k, "src"]).select(*k, "src", "dst", (1.0 / (F.col("degree") + 1)).alias("p")), "embed")
     cols = [f"v{i}" for i in range(rank)]
-    nodes = p.select(F.col("src").alias("node")).distinct()
-    v = nodes.select("node", *((u(seed, F.col("node"), i) - 0.5).alias(c) for i, c in enumerate(cols)))
+    v = p.select(*k, F.col("src").alias("node")).distinct().select(*k, "node", *((u(seed, F.col("node"), i) - 0.5).alias(c) for i, c in enumerate(cols)))
 
     def times(x: DataFrame, by: str, to: str) -> DataFrame:
-        return p.join(x.withColumnRenamed("node", by), by).groupBy(F.col(to).alias("node")).agg(*(F.sum(F.col("p") * F.col(c)).alias(c) for c in cols))
+        return p.join(x.withColumnRenamed("node", by), [*k, by]).groupBy(*k, F.col(to).alias("node")).agg(*(F.sum(F.col("p") * F.col(c)).alias(c) for c in cols))
 
     def m(x: DataFrame, by: str, to: str) -> DataFrame:
         one = times(x, by, to)
-        return one.union(times(one, by, to)).groupBy("node").agg(*((F.sum(c) / 2).alias(c) for c in cols))
-
-    def gram(x: DataFrame) -> np.ndarray:
-        r = x.agg(*(F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"g{i}_{j}") for i in range(rank) for j in range(i, rank))).first()
-        g = np.zeros((rank, rank))
-        for i in range(rank):
-            for j in range(i, rank):
-                g[i, j] = g[j, i] = r[f"g{i}_{j}"] or 0.0
-        return g
-
-    def turn(x: DataFrame, t: np.ndarray) -> DataFrame:
-        return x.select("node", *(sum(F.col(cols[i]) * float(t[i, j]) for i in range(rank)).alias(cols[j]) for j in range(rank)))
-
-    value = np.ones(rank)
+        return one.union(times(one, by, to)).groupBy(*k, "node").agg(*((F.sum(c) / 2).alias(c) for c in cols))
+
+    def grams(x: DataFrame) -> dict[tuple, np.ndarray]:
+        out = {}
+        for r in x.groupBy(*k).agg(*(F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"g{i}_{j}") for i in range(rank) for j in range(i, rank))).collect():
+            g = np.zeros((rank, rank))
+            for i in range(rank):
+                for j in range(i, rank):
+                    g[i, j] = g[j, i] = r[f"g{i}_{j}"] or 0.0
+            out[tuple(r[x] for x in k)] = g
+        return out
+
+    def turn(x: DataFrame, by: dict[tuple, np.ndarray]) -> DataFrame:
+        if not k:
+            t = by.get((), np.eye(rank))
+            return x.select("node", *(sum(F.col(cols[i]) * float(t[i, j]) for i in range(rank)).alias(cols[j]) for j in range(rank)))
+        kinds = ", ".join(f"{c} {dict(x.dtypes)[c]}" for c in k)
+        t = x.sparkSession.createDataFrame([(*key, [float(y) for y in m.ravel()]) for key, m in by.items()], f"{kinds}, t array<double>")
+        return x.join(F.broadcast(t), k).select(*k, "node", *(sum(F.col(cols[i]) * F.col("t")[i * rank + j] for i in range(rank)).alias(cols[j]) for j in range(rank)))
+
+    value: dict[tuple, np.ndarray] = {}
     for _ in range(rounds):
         v = materialise(m(m(v, "src", "dst"), "dst", "src"), "embed")  # M M^T v
-        s, q = np.linalg.eigh(gram(v))
-        s, q = np.maximum(s[::-1], 1e-24), q[:, ::-1]
-        value = np.sqrt(s)  # eigenvalues of M M^T, as the block settles
-        v = turn(v, q / np.sqrt(s))
-    scaled = turn(v, np.diag(value ** 0.25))
-    return scaled.select("node", F.array(*cols).alias("vec"))
+        by = {}
+        for key, g in grams(v).items():
+            s, q = np.linalg.eigh(g)
+            s, q = np.maximum(s[::-1], 1e-24), q[:, ::-1]
+            value[key] = np.sqrt(s)  # eigenvalues of M M^T, as the block settles
+            by[key] = q / np.sqrt(s)
+        v = turn(v, by)
+    scaled = turn(v, {key: np.diag(x ** 0.25) for key, x in value.items()})
+    return scaled.select(*k, "node", F.array(*cols).alias("vec"))
 
 
-def pairwise_distance(emb: DataFrame, share: float = 1.0, seed: int = 0) -> DataFrame:
-    """a, b, dist over all ordered pairs, the diagonal too; with ``share`` under 1 over the pairs whose hash falls under
-    it, each node with a share of the others. The work is nodes squared: beyond a few ten thousand take a share."""
-    x, y = emb.select(F.col("node").alias("a"), F.col("vec").alias("va")), emb.select(F.col("node").alias("b"), F.col("vec").alias("vb"))
-    d = x.crossJoin(y)
-    if share < 1:
-        d = d.where((F.col("a") == F.col("b")) | (u(seed, F.least("a", "b"), F.greatest("a", "b")) < share))
-    return d.select("a", "b", F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, z: s + z)).alias("dist"))
+def pairwise_distance(emb: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """a, b, dist over all ordered pairs, the diagonal too; with ``queries`` (node) only those from one of them. Listing all
+    pairs is nodes squared: beyond a few thousand take a stated query set, or the sums of ``distance_shift_blocks``."""
+    from_ = emb if queries is None else emb.join(queries.select("node").distinct(), "node", "left_semi")
+    x, y = from_.select(F.col("node").alias("a"), F.col("vec").alias("va")), emb.select(F.col("node").alias("b"), F.col("vec").alias("vb"))
+    return y.crossJoin(x).select("a", "b", F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, z: s + z)).alias("dist"))
 
 
 def distance_shift(dist: DataFrame, base: DataFrame) -> DataFrame:
@@ -203,12 +242,32 @@ def distance_shift_blocks(emb: DataFrame, base: DataFrame, block: int = 2048, ke
     return s.select(*keys, (1 - F.abs(corr)).alias("shift"))
 
 
+def inside_edges(edges: DataFrame, comms: DataFrame) -> DataFrame:
+    """The edges whose ends share a community."""
+    a, b = comms.select(F.col("node").alias("src"), F.col("comm").alias("a")), comms.select(F.col("node").alias("dst"), F.col("comm").alias("b"))
+    return edges.join(a, "src").join(b, "dst").where("a = b").select("src", "dst")
+
+
+def draw_between(wanted: DataFrame, nodes_idx: DataFrame, edges: DataFrame, comms: DataFrame, seed: int, tries: int = 8) -> DataFrame:
+    """cand_id, pos, src, dst: for each of ``wanted`` (cand_id, pos) the first of ``tries`` random pairs of nodes that are in
+    different communities and not linked; none where no try is. Any such pair can be drawn; none are listed."""
+    n = F.broadcast(nodes_idx.agg(F.count("*").alias("n")))
+    t = wanted.select("cand_id", "pos").crossJoin(n).withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    at = lambda end: F.floor(u(seed, F.col("cand_id"), F.col("pos"), F.col("try"), end) * F.col("n")).cast("long")
+    t = t.withColumn("i", at("i")).withColumn("j", at("j")).where("i <> j")
+    ends = nodes_idx.join(comms.select("node", "comm"), "node")
+    x, y = (ends.select(F.col("idx").alias(c), F.col("node").alias(f"n{c}"), F.col("comm").alias(f"c{c}")) for c in ("i", "j"))
+    t = t.join(x, "i").join(y, "j").where("ci <> cj").select("cand_id", "pos", "try", F.least("ni", "nj").alias("src"), F.greatest("ni", "nj").alias("dst"))
+    free = t.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    return free.groupBy("cand_id", "pos").agg(F.min_by(F.struct("src", "dst"), "try").alias("p")).select("cand_id", "pos", "p.src", "p.dst")
+
+
 def community_edge_pools(edges: DataFrame, comms: DataFrame, seed: int, per_node: int = 2) -> tuple[DataFrame, DataFrame]:
     """(edges inside a community; hash-picked pairs of nodes in different ones that aren't linked)."""
     from cutweave.operators.graph import dense_rank_ids, sample_non_neighbors
 
     a, b = comms.select(F.col("node").alias("src"), F.col("comm").alias("a")), comms.select(F.col("node").alias("dst"), F.col("comm").alias("b"))
-    inside = edges.join(a, "src").join(b, "dst").where("a = b").select("src", "dst")
+    inside = inside_edges(edges, comms)
     idx = dense_rank_ids(comms.select("node").distinct(), "node")
     picks = sample_non_neighbors(idx, edges, per_node, seed).select(F.least("node", "nbr").alias("src"), F.greatest("node", "nbr").alias("dst")).distinct()
     return inside, picks.join(a, "src").join(b, "dst").where("a <> b").select("src", "dst")

@@ -33,6 +33,13 @@ def draw_population(spark: SparkSession, n: int, pop: int, budget: int, seed: in
     return d.withColumn("pos", F.row_number().over(W.partitionBy("cand_id").orderBy("k")) - 1).where(F.col("pos") < budget).select("cand_id", "pos", "gene")
 
 
+def filled(drawn: DataFrame, pop: int, budget: int, n: int, seed: int) -> DataFrame:
+    """``drawn`` with every position of every candidate: where draws ran out a further one stands, which may repeat."""
+    places = cand_ids(drawn.sparkSession, pop).select("cand_id", F.explode(F.sequence(F.lit(0), F.lit(budget - 1))).alias("pos"))
+    more = F.floor(u(seed, F.col("cand_id"), F.col("pos"), "fill") * n).cast("long")
+    return places.join(drawn, ["cand_id", "pos"], "left").select("cand_id", "pos", F.coalesce("gene", more).alias("gene"))
+
+
 def init_edge_population(dels: DataFrame, adds: DataFrame, pop: int, budget: int, seed: int) -> DataFrame:
     """cand_id, op, src, dst: floor(u budget) additions, and deletions for the rest, each the first in hash order."""
     c = cand_ids(dels.sparkSession, pop).withColumn("n_add", F.floor(u(seed, F.col("cand_id"), "mix") * budget))
@@ -81,16 +88,26 @@ def roulette_select(fitness: DataFrame, side: str, n: int, seed: int, shift: boo
 
 
 def rotary_table(fitness: DataFrame, pattern: str = "normal") -> DataFrame:
-    """cand_id, p, cumulative: min-max normalised chances: 'normal' the fitness's, 'inverted' one minus it; equal
-    fitness gives 1 / pop each."""
+    """cand_id, p, cumulative: min-max normalised chances: 'normal' the fitness's, 'inverted' one minus it, 'trans' those of
+    one minus the fitness, which are the same; equal fitness gives 1 / pop each."""
+    if pattern == "trans":
+        fitness = fitness.select("cand_id", (1 - F.col("fitness")).alias("fitness"))
     every = W.partitionBy(F.lit(0))
     lo, hi, n = F.min("fitness").over(every), F.max("fitness").over(every), F.count("*").over(every)
     x = (F.col("fitness") - lo) / (hi - lo)
-    f = fitness.withColumn("x", F.when(hi == lo, 1.0).otherwise(x if pattern == "normal" else 1 - x)).withColumn("n", n)
+    f = fitness.withColumn("x", F.when(hi == lo, 1.0).otherwise(1 - x if pattern == "inverted" else x)).withColumn("n", n)
     f = f.withColumn("p", F.when(F.sum("x").over(every) == 0, 1 / F.col("n")).otherwise(F.col("x") / F.sum("x").over(every)))
     return f.select("cand_id", "p", F.sum("p").over(every.orderBy("cand_id").rowsBetween(W.unboundedPreceding, 0)).alias("cumulative"))
 
 
+def rotary_select(table: DataFrame, n: int, seed: int, tag: str = "rot") -> DataFrame:
+    """draw, cand_id: ``n`` draws from a rotary table: the first candidate whose cumulative chance reaches the draw."""
+    d = table.sparkSession.range(n).select(F.col("id").cast("int").alias("draw")).withColumn("x", u(seed, F.col("draw"), tag))
+    last = F.max("cand_id").alias("cand_id")  # where rounding leaves the last chance under 1
+    j = d.join(F.broadcast(table.where("p > 0")), F.col("cumulative") >= F.col("x"), "left").groupBy("draw").agg(F.min("cand_id").alias("cand_id"))
+    return j.crossJoin(F.broadcast(table.where("p > 0").agg(last.alias("last")))).select("draw", F.coalesce("cand_id", "last").alias("cand_id"))
+
+
 def crossover(a: DataFrame, b: DataFrame, rate: float, seed: int, generation: int = 0) -> DataFrame:
     """Uniform: b's gene where the draw falls under ``rate``, a's otherwise; rows meet on (cand_id, pos)."""
     j = a.join(b.withColumnRenamed("gene", "other"), ["cand_id", "pos"])

@@ -65,14 +65,19 @@ def degrees(edges: DataFrame, nodes: DataFrame | None = None, loops: int = 2, ke
     return nodes.join(d, [*keys, "node"], "left").fillna(0, ["degree"]) if nodes is not None else d
 
 
+def rank_by(df: DataFrame, *order_by) -> DataFrame:
+    """A global rank from 1: ranges are written in order, counted, and ranked each by itself."""
+    part = materialise(df.repartitionByRange(*order_by).withColumn("_p", F.spark_partition_id()), "rank")
+    before = part.groupBy("_p").count().withColumn("_b", F.coalesce(F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
+    return part.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order_by))).join(F.broadcast(before), "_p").withColumn("rank", (F.col("_b") + F.col("_r")).cast("long")).drop("_p", "_r", "_b")
+
+
 def degree_rank(edges: DataFrame) -> DataFrame:
-    """node, degree, centrality d / (n - 1), rank from 1 by degree descending, ties by node; ranked without one task
-    holding all nodes: degrees are counted into a histogram, and ranks run within a degree's range."""
+    """node, degree, centrality d / (n - 1), rank from 1 by degree descending, ties by node; ranked over ranges of both, so
+    that neither all nodes nor all of one degree meet in a task."""
     d = degrees(edges)
-    n = d.agg(F.count("*").alias("n"))
-    hist = d.groupBy("degree").count().withColumn("before", F.coalesce(F.sum("count").over(W.orderBy(F.desc("degree")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("degree", "before")
-    r = d.withColumn("_r", F.row_number().over(W.partitionBy("degree").orderBy("node"))).join(hist, "degree")
-    return r.crossJoin(F.broadcast(n)).select("node", "degree", F.round(F.try_divide("degree", F.col("n") - 1), 6).alias("centrality"), (F.col("before") + F.col("_r")).cast("long").alias("rank"))
+    r = rank_by(d, F.desc("degree"), F.asc("node"))
+    return r.crossJoin(F.broadcast(r.agg(F.count("*").alias("n")))).select("node", "degree", F.round(F.try_divide("degree", F.col("n") - 1), 6).alias("centrality"), "rank")
 
 
 def minmax_degree(edges: DataFrame) -> DataFrame:
@@ -121,6 +126,17 @@ def non_edges(edges: DataFrame) -> DataFrame:
     return two_hop_pairs(edges).join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
+def non_edges_from(edges: DataFrame, nodes: DataFrame, queries: DataFrame, blocks: int = 64) -> DataFrame:
+    """src < dst of every pair of nodes that isn't linked and has an end in ``queries`` (node), at any distance: the exact,
+    listed form of non-edges for a stated set of nodes. All nodes meet each block of queries; the result has at most
+    queries x nodes rows, and that is the work."""
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).alias("block")
+    q = queries.select(F.col("node").alias("q")).distinct().select("q", block("q"))
+    every = nodes.select("node").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = every.join(q, "block").where("node <> q").select(F.least("node", "q").alias("src"), F.greatest("node", "q").alias("dst"))
+    return pairs.join(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")), ["src", "dst"], "left_anti").distinct()
+
+
 def count_non_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return graph_stats(edges.where("src <> dst"), 0.1, 0.1, nodes).select((F.col("n") * (F.col("n") - 1) / 2 - F.col("m")).cast("long").alias("non_edges"))
 
@@ -234,16 +250,16 @@ def ego_features(edges: DataFrame, size: int) -> DataFrame:
 
 
 def random_walks(edges: DataFrame, length: int, seed: int) -> DataFrame:
-    """start, step, node: a walk of ``length`` steps from every node; the neighbour of rank floor(u d) comes next. One
-    join a step, on (node, rank)."""
+    """start, step, node: a walk of ``length`` steps from every node; the neighbour of rank floor(u d) comes next. Arms are
+    numbered over ranges, through all nodes, and a step finds its arm by number: no hub's arms meet in a task."""
     a = adjacency(edges.where("src <> dst"))
-    ranked = materialise(a.select(F.col("src").alias("node"), F.col("dst").alias("next"), (F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1).alias("rank"), F.count("*").over(W.partitionBy("src")).alias("degree")), "walk")
-    now = ranked.groupBy("node").agg(F.first("degree").alias("degree")).select(F.col("node").alias("start"), "node")
+    arms = materialise(rank_by(a.select(F.col("src").alias("node"), F.col("dst").alias("next")), F.asc("node"), F.asc("next")), "walk")
+    size = materialise(arms.groupBy("node").agg(F.min("rank").alias("first"), F.count("*").alias("degree")), "walk")
+    now = size.select(F.col("node").alias("start"), "node")
     out = now.select("start", F.lit(0).alias("step"), "node")
-    size = ranked.groupBy("node").agg(F.first("degree").alias("degree"))
     for k in range(1, length + 1):
-        pick = now.join(size, "node").withColumn("rank", F.floor(u(seed, F.col("start"), k) * F.col("degree")).cast("int"))
-        now = materialise(pick.join(ranked.select("node", "rank", "next"), ["node", "rank"]).select("start", F.col("next").alias("node")), "walk")
+        pick = now.join(size, "node").select("start", (F.col("first") + F.floor(u(seed, F.col("start"), k) * F.col("degree"))).cast("long").alias("rank"))
+        now = materialise(pick.join(arms.select("rank", "next"), "rank").select("start", F.col("next").alias("node")), "walk")
         out = out.union(now.select("start", F.lit(k).alias("step"), "node"))
     return out
 

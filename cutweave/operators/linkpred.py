@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from cutweave.operators.graph import adjacency
+from cutweave.operators.graph import adjacency, dense_rank_ids, node_set, rank_by
 
 
 def _wedges(edges: DataFrame, keys: tuple[str, ...] = (), pivots: DataFrame | None = None) -> DataFrame:
@@ -32,16 +32,29 @@ def resource_allocation(edges: DataFrame, pairs: DataFrame | None = None, keys:
     return pairs.select(*on).join(ra, on, "left").fillna(0.0, ["score"])
 
 
-def precision_at_l(scores: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:
+def precision_at_l(scores: DataFrame, train: DataFrame, test: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """One row: l = number of test pairs, hits among the l best-scored pairs outside ``train`` (ties by pair), precision.
 
-    Pairs without a common neighbour follow all scored ones; where l reaches past the scored pairs, test pairs that
-    score 0 are taken to lie beyond the cut.
+    Every pair of ``nodes`` (default: those of train and test) has a rank. The pairs without a common neighbour score 0
+    and follow the scored ones in order of pair; they are never listed: a test pair's rank among them is its number among
+    all pairs less the scored and the observed pairs before it.
     """
-    l = test.count()  # noqa: E741
-    top = scores.join(train.select("src", "dst"), ["src", "dst"], "left_anti").orderBy(F.desc(F.round("score", 9)), "src", "dst").limit(l)
+    nodes = nodes if nodes is not None else node_set(train.select("src", "dst").union(test.select("src", "dst")))
+    l, n = test.count(), nodes.count()  # noqa: E741
+    free = scores.where("score > 0").join(train.select("src", "dst"), ["src", "dst"], "left_anti")
+    top = free.orderBy(F.desc(F.round("score", 9)), "src", "dst").limit(l)
     hits = top.join(test.select("src", "dst"), ["src", "dst"], "left_semi").agg(F.count("*").alias("hits"))
-    return hits.select(F.lit(l).cast("long").alias("l"), "hits", (F.col("hits") / F.lit(max(l, 1))).alias("precision"))
+    room = free.agg((F.lit(l) - F.count("*")).alias("room"))  # of the cut, for pairs that score 0
+    known = free.select("src", "dst").union(train.select("src", "dst")).distinct().withColumn("known", F.lit(1))
+    rows = known.unionByName(test.select("src", "dst").join(known, ["src", "dst"], "left_anti").withColumn("known", F.lit(0)))
+    ranked = rank_by(rows, F.asc("src"), F.asc("dst"))
+    unscored = rank_by(ranked.where("known = 0").drop("rank").join(ranked.select("src", "dst", F.col("rank").alias("among")), ["src", "dst"]), F.asc("src"), F.asc("dst"))
+    at = dense_rank_ids(nodes, "node")
+    i, j = at.select(F.col("node").alias("src"), F.col("idx").alias("i")), at.select(F.col("node").alias("dst"), F.col("idx").alias("j"))
+    number = F.expr(f"i * (2 * {n}L - i - 1) div 2 + j - i")  # of a pair among all, from 1
+    zero = unscored.join(i, "src").join(j, "dst").select((number - (F.col("among") - F.col("rank"))).alias("rank")).crossJoin(F.broadcast(room)).where("rank <= room").agg(F.count("*").alias("more"))
+    both = hits.crossJoin(zero).select((F.col("hits") + F.col("more")).alias("hits"))
+    return both.select(F.lit(l).cast("long").alias("l"), "hits", (F.col("hits") / F.lit(max(l, 1))).alias("precision"))
 
 
 def auc(scores: DataFrame, train: DataFrame, test: DataFrame, n_nodes: int) -> DataFrame:
@@ -62,7 +75,8 @@ def auc(scores: DataFrame, train: DataFrame, test: DataFrame, n_nodes: int) -> D
 
 def lpa_fitness(edges: DataFrame, original: DataFrame, changes: DataFrame, test: DataFrame, ratio: float = 0.0, nodes: int | None = None) -> DataFrame:
     """cand_id, fitness = exp(-(pos - neg - ratio cnt)): pos the mean score of test pairs; neg that of pairs which are
-    not edges of the candidate's graph (test pairs aside); cnt those of them that reach the best test score.
+    not edges of the candidate's graph (test pairs aside); cnt those of them that reach the best test score, all of them
+    if that is 0.
 
     ``edges``: the candidates' graphs (cand_id, src, dst); ``original``: the graph before; ``changes``: cand_id, op,
     src, dst; negatives = (original non-edges + deleted) - added, without test pairs.
@@ -84,7 +98,8 @@ def lpa_fitness(edges: DataFrame, original: DataFrame, changes: DataFrame, test:
     base = original.select("src", "dst").union(test.select("src", "dst")).distinct().count()
     j = edges.select("cand_id").distinct().join(per, "cand_id", "left").join(cnt, "cand_id", "left").join(moved, "cand_id", "left").fillna(0, ["cnt", "back", "taken"]).fillna(0.0, ["st", "sn"])
     size = F.lit(n * (n - 1) // 2 - base) + F.col("back") - F.col("taken")
-    return j.select("cand_id", F.exp(-(F.col("st") / max(n_t, 1) - F.col("sn") / size - ratio * F.col("cnt"))).alias("fitness"))
+    reach = F.when(F.coalesce("mt", F.lit(0.0)) > 0, F.col("cnt")).otherwise(size)  # no test pair scores: all negatives reach 0
+    return j.select("cand_id", F.exp(-(F.col("st") / max(n_t, 1) - F.col("sn") / size - ratio * reach)).alias("fitness"))
 
 
 def affected_pairs(edges: DataFrame, scores: DataFrame, changed: DataFrame, changes: DataFrame) -> DataFrame:
@@ -99,3 +114,37 @@ def affected_pairs(edges: DataFrame, scores: DataFrame, changed: DataFrame, chan
     after = _wedges(changed, keys, pivots).select("cand_id", "src", "dst", "part")
     delta = before.union(after).groupBy("cand_id", "src", "dst").agg(F.sum("part").alias("delta")).where("abs(delta) > 1e-12")
     return delta.join(scores, ["src", "dst"], "left").select("cand_id", "src", "dst", F.coalesce("score", F.lit(0.0)).alias("old"), (F.coalesce("score", F.lit(0.0)) + F.col("delta")).alias("new"))
+
+
+def base_sums(train: DataFrame, test: DataFrame, scores: DataFrame) -> tuple[float, float]:
+    """The sums of scores of test pairs, and of the pairs neither observed nor tested, in the graph before any change."""
+    st = test.select("src", "dst").distinct().join(scores, ["src", "dst"]).agg(F.sum("score")).first()[0]
+    known = train.select("src", "dst").union(test.select("src", "dst"))
+    sn = scores.join(known, ["src", "dst"], "left_anti").agg(F.sum("score")).first()[0]
+    return float(st or 0.0), float(sn or 0.0)
+
+
+def lpa_fitness_by_change(train: DataFrame, changed: DataFrame, changes: DataFrame, test: DataFrame, scores: DataFrame, sums: tuple[float, float], nodes: int) -> DataFrame:
+    """cand_id, fitness: ``lpa_fitness`` with a ratio of 0, from the ``scores`` of the graph before and their ``base_sums``:
+    only pairs whose score a candidate alters, and its changed pairs, are looked at."""
+    pairs = ["src", "dst"]
+    c = changes.select("cand_id", "op", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    moved = c.groupBy("cand_id", *pairs).agg(F.max((F.col("op") == "del").cast("int")).alias("d"), F.max((F.col("op") == "add").cast("int")).alias("a"))
+    delta = affected_pairs(train, scores, changed, changes)
+    rows = delta.join(moved, ["cand_id", *pairs], "full").join(scores, pairs, "left").fillna(0, ["d", "a"])
+    rows = rows.withColumn("old", F.coalesce("old", "score", F.lit(0.0))).withColumn("new", F.coalesce("new", "old"))
+    mark = lambda t, name: t.select(*pairs).distinct().withColumn(name, F.lit(1))
+    rows = rows.join(mark(train, "o"), pairs, "left").join(mark(test, "t"), pairs, "left").fillna(0, ["o", "t"])
+    before = (F.col("o") == 0) & (F.col("t") == 0)
+    after = ((F.col("o") == 0) | (F.col("d") == 1)) & (F.col("a") == 0) & (F.col("t") == 0)
+    count = lambda b: b.cast("long")
+    per = rows.groupBy("cand_id").agg(
+        F.sum(F.when(F.col("t") == 1, F.col("new") - F.col("old")).otherwise(0.0)).alias("st"),
+        F.sum(F.when(after, F.col("new")).otherwise(0.0) - F.when(before, F.col("old")).otherwise(0.0)).alias("sn"),
+        F.sum(count(after) - count(before)).alias("size"),
+    )
+    known = train.select(*pairs).union(test.select(*pairs)).distinct().count()
+    n_t = max(test.count(), 1)
+    size = F.lit(nodes * (nodes - 1) // 2 - known) + F.coalesce("size", F.lit(0))
+    all_of = changed.select("cand_id").distinct().join(per, "cand_id", "left").fillna(0.0, ["st", "sn"])
+    return all_of.select("cand_id", F.exp(-((F.col("st") + sums[0]) / n_t - (F.col("sn") + sums[1]) / size)).alias("fitness"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from cutweave.operators.graph import adjacency, degrees
+from cutweave.operators.graph import adjacency, degrees, rank_by
 from cutweave.session import materialise
 
 
@@ -110,13 +110,6 @@ def homophily(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return d.withColumn("attached", F.col("same") / ((F.col("degree") + 1) * (F.col("degree") + 1) + F.col("degree") + 1))
 
 
-def rank_by(df: DataFrame, *order_by) -> DataFrame:
-    """A global rank from 1: ranges are written in order, counted, and ranked each by itself."""
-    part = materialise(df.repartitionByRange(*order_by).withColumn("_p", F.spark_partition_id()), "rank")
-    before = part.groupBy("_p").count().withColumn("_b", F.coalesce(F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    return part.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order_by))).join(F.broadcast(before), "_p").withColumn("rank", (F.col("_b") + F.col("_r")).cast("long")).drop("_p", "_r", "_b")
-
-
 def label_feature_profile(features: DataFrame, labels: DataFrame, top: int = 100) -> DataFrame:
     """label, feat, n (nonzeros), mean over them, rank by n within the label (ties by feat); the first ``top``."""
     g = features.where("value <> 0").join(labels.select("node", "label"), "node").groupBy("label", "feat").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))

@@ -61,6 +61,12 @@ def inject_node(edges: DataFrame, nodes: DataFrame, targets: DataFrame) -> DataF
     return for_candidates(edges, targets).select("cand_id", "src", "dst").union(links)
 
 
+def inject_features(features: DataFrame, nodes: DataFrame, row: DataFrame) -> DataFrame:
+    """node, feat, value: ``features`` and those of one new node, max + 1 of ``nodes``, from ``row`` (feat, value)."""
+    new = F.broadcast(nodes.agg((F.max("node") + 1).alias("node")))
+    return features.select("node", "feat", "value").union(row.crossJoin(new).select("node", "feat", "value"))
+
+
 def decode_genes(candidates: DataFrame, pool: DataFrame) -> DataFrame:
     """cand_id, pos, node of genes that are indexes into ``pool`` (idx, node)."""
     return candidates.join(pool.select(F.col("idx").alias("gene"), "node"), "gene").select("cand_id", "pos", "node")

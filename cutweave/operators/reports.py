@@ -136,7 +136,11 @@ def worker_stats(calls: DataFrame) -> DataFrame:
 
 
 def export_report(history: DataFrame, side: str = "min") -> DataFrame:
-    """run_id, report: JSON of best fitness, its generation, iterations, timing and history."""
+    """run_id, report: JSON of best fitness, its generation, iterations, timing and history; and, where ``history`` has
+    them, the gene and the metrics of the best generation (best_gene, metrics: JSON text or a map)."""
     s, b, c = run_summary(history), best_generation(history, side), convergence_curves(history)
     j = s.join(b.select("run_id", "generation", F.col("fitness").alias("best_fitness")), "run_id").join(c.select("run_id", F.col("fitness").alias("history")), "run_id")
-    return j.select("run_id", F.to_json(F.struct("best_fitness", "generation", "iterations", "history")).alias("report"), "seconds", "avg_ms")
+    more = [x for x in ("best_gene", "metrics") if x in history.columns]
+    if more:
+        j = j.join(history.select("run_id", "generation", *more), ["run_id", "generation"], "left")
+    return j.select("run_id", F.to_json(F.struct("best_fitness", "generation", "iterations", "history", *more)).alias("report"), "seconds", "avg_ms")

@@ -87,7 +87,7 @@ REPORTS = """ev AS (SELECT user_id, date_trunc('hour', ts) AS hr, min((props ->>
         rep AS (SELECT user_id || '-' || strftime(hr, '%Y%m%d%H') AS run_id, 'alg' || user_id % 5 AS algorithm_id, 'ds' || user_id % 7 AS dataset, CASE WHEN n % 2 = 0 THEN 'S' ELSE 'M' END AS resolved_mode, user_id % 2 = 0 AS remote, best_fitness, iter_seconds, CASE WHEN user_id % 11 <> 0 THEN ms END AS iter_avg_ms, hr AS started_at FROM ev),
         repk AS (SELECT *, concat_ws('|', algorithm_id, dataset, resolved_mode, CASE WHEN remote THEN '1' ELSE '0' END) AS key FROM rep),
         cmp AS (SELECT run_id, key, coalesce(iter_avg_ms, iter_seconds) AS current, min(coalesce(iter_avg_ms, iter_seconds)) OVER (PARTITION BY key ORDER BY started_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM repk)"""
-EPOP = "ep AS (SELECT user_id::INTEGER AS cand_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS pos, event_id AS gene FROM events QUALIFY pos < 10)"
+EPOP = "ep AS (SELECT user_id::INTEGER AS cand_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS pos, event_id AS gene FROM events)"
 NAT = "f AS (SELECT c_nationkey::INTEGER AS cand_id, count(*)::DOUBLE AS fitness FROM customer GROUP BY ALL)"
 
 
@@ -105,7 +105,7 @@ SQL["parse_edge_lines"] = f"WITH {graph('sparse')} SELECT src::VARCHAR AS src, d
 SQL["csv_edges"] = f"WITH {graph('sparse')} SELECT src::VARCHAR AS src, dst::VARCHAR AS dst FROM e"
 SQL["parse_adjlist"] = f"WITH {graph('sparse')} SELECT src AS node, dst AS nbr FROM adj UNION ALL SELECT -n_nationkey - 1, NULL FROM nation"
 SQL["parse_gml"] = f"WITH {graph('sparse')} SELECT 'node' AS kind, node AS a, node % 9 AS b, 'p' || node AS label FROM n UNION ALL SELECT 'edge', src, dst, NULL FROM e"
-SQL["adjacency_to_edges"] = f"WITH {graph('all')} SELECT src, dst, 1.0::DOUBLE AS value FROM adj WHERE src // 64 = dst // 64"
+SQL["adjacency_to_edges"] = f"WITH {graph('all')} SELECT src, dst, 1.0::DOUBLE AS value FROM adj"
 SQL["csr_to_edges"] = f"WITH {graph('sparse')} SELECT src, dst, 1.0::DOUBLE AS value FROM adj"
 SQL["labelled_graph_stats"] = f"WITH {graph('disc')}, {LAB}, {FEAT} SELECT count(*) AS n_nodes, max(label)::BIGINT + 1 AS n_classes, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val, count(*) FILTER (split = 'test') AS n_test, (SELECT max(feat)::BIGINT + 1 FROM feat) AS n_feats, (SELECT count(*) FROM adj) AS n_edges FROM lab"
 SQL["node_split"] = f"WITH k AS (SELECT p_partkey AS node, row_number() OVER (ORDER BY {key('7', 'p_partkey')}) AS r, count(*) OVER () AS n FROM part) SELECT node, CASE WHEN r <= floor(0.1 * n) THEN 'train' WHEN r <= floor(0.2 * n) THEN 'val' ELSE 'test' END AS split FROM k"
@@ -115,18 +115,19 @@ SQL["datasets_for"] = f"WITH {REG} SELECT name, nodes FROM reg WHERE name IN (SE
 SQL["report_roundtrip"] = f"WITH {REPORTS} SELECT strftime(started_at, '%Y%m%d') AS day, count(*) AS runs, round(sum(iter_seconds), 6) AS seconds FROM rep GROUP BY 1"
 # B
 SQL["canonical_edges"] = f"WITH {LOOPED} SELECT DISTINCT src, dst FROM lo"
-SQL["symmetric_edges"] = f"WITH {LOOPED} SELECT src, dst FROM lo WHERE f = 'R' UNION SELECT dst, src FROM lo WHERE f = 'R'"
-SQL["node_index"] = f"WITH {graph('disc')}, {IDX} SELECT node AS a, idx AS b, 'node' AS kind FROM idx UNION ALL SELECT x.idx, y.idx, 'edge' FROM e JOIN idx x ON x.node = src JOIN idx y ON y.node = dst"
-SQL["graph_stats"] = f"WITH {graph('disc')} SELECT (SELECT count(*) FROM n) AS n, count(*) AS m, greatest(1, floor((SELECT count(*) FROM n) * 0.1))::BIGINT AS k, greatest(1, floor((SELECT count(*) FROM n) * 0.25))::BIGINT AS selected_genes FROM e"
-SQL["degrees"] = f"WITH {graph('disc')} SELECT p_partkey AS node, coalesce(degree, 0) AS degree FROM part LEFT JOIN deg ON node = p_partkey"
-SQL["degree_rank"] = f"WITH {graph('disc')}, {RANK} SELECT node, degree, round(degree / ((SELECT count(*) FROM n) - 1), 6) AS centrality, rank FROM rk"
+SQL["symmetric_edges"] = f"WITH {LOOPED} SELECT src, dst FROM lo UNION SELECT dst, src FROM lo"
+SQL["node_index"] = f"WITH {graph('all')}, {IDX} SELECT node AS a, idx AS b, 'node' AS kind FROM idx UNION ALL SELECT x.idx, y.idx, 'edge' FROM e JOIN idx x ON x.node = src JOIN idx y ON y.node = dst"
+SQL["graph_stats"] = f"WITH {graph('all')} SELECT (SELECT count(*) FROM n) AS n, count(*) AS m, greatest(1, floor((SELECT count(*) FROM n) * 0.1))::BIGINT AS k, greatest(1, floor((SELECT count(*) FROM n) * 0.25))::BIGINT AS selected_genes FROM e"
+SQL["degrees"] = f"WITH {graph('all')} SELECT p_partkey AS node, coalesce(degree, 0) AS degree FROM part LEFT JOIN deg ON node = p_partkey"
+SQL["degree_rank"] = f"WITH {graph('all')}, {RANK} SELECT node, degree, round(degree / ((SELECT count(*) FROM n) - 1), 6) AS centrality, rank FROM rk"
 MM = "mm AS (SELECT node, CASE WHEN (SELECT max(degree) = min(degree) FROM deg) THEN 1.0 ELSE (degree - (SELECT min(degree) FROM deg)) / (SELECT max(degree) - min(degree) FROM deg) END::DOUBLE AS x FROM deg)"
-SQL["minmax_degree"] = f"WITH {graph('disc')}, {MM} SELECT node, round(x, 6) AS x FROM mm"
-SQL["neighbor_lists"] = f"WITH {graph('disc')} SELECT src AS node, count(*) AS degree, CASE WHEN count(*) <= 6 THEN string_agg(dst::VARCHAR, ',' ORDER BY dst) END AS nbrs FROM adj GROUP BY src"
-SQL["gene_pool_nodes"] = f"WITH {graph('disc')} SELECT node, degree AS n_nbrs, (SELECT count(*) FROM part) - degree - 1 AS n_non_nbrs FROM deg WHERE degree > 0 AND degree < (SELECT count(*) FROM part) - 1"
+SQL["minmax_degree"] = f"WITH {graph('all')}, {MM} SELECT node, round(x, 6) AS x FROM mm"
+SQL["neighbor_lists"] = f"WITH {graph('all')}, r AS (SELECT src, count(*) AS degree, min(dst) AS lo, max(dst) AS hi FROM adj GROUP BY src) SELECT src AS node, degree, ((dst - lo) * ceil(degree / 50.0)::BIGINT // (hi - lo + 1))::INTEGER AS chunk, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS nbrs FROM adj JOIN r USING (src) GROUP BY ALL"
+SQL["gene_pool_nodes"] = f"WITH {graph('all')} SELECT node, degree AS n_nbrs, (SELECT count(*) FROM part) - degree - 1 AS n_non_nbrs FROM deg WHERE degree > 0 AND degree < (SELECT count(*) FROM part) - 1"
 PICK = lambda seed, nodes: f"pk AS (SELECT DISTINCT a.node, b.node AS nbr FROM {nodes} a, (SELECT unnest([0, 1]) AS r), {nodes} b WHERE b.idx = floor({u(str(seed), 'a.node', 'r', chr(39) + 'non' + chr(39))} * (SELECT count(*) FROM {nodes})) AND a.node <> b.node AND NOT EXISTS (FROM adj WHERE src = a.node AND dst = b.node))"
-SQL["non_neighbor_sample"] = f"WITH {graph('disc')}, {IDX}, {PICK(11, 'idx')} SELECT node, nbr FROM pk"
+SQL["non_neighbor_sample"] = f"WITH {graph('all')}, {IDX}, {PICK(11, 'idx')} SELECT node, nbr FROM pk"
 SQL["non_edges"] = f"WITH {graph('disc')}, th AS (SELECT DISTINCT a.dst AS src, b.dst AS dst FROM adj a JOIN adj b ON a.src = b.src AND a.dst < b.dst) SELECT (SELECT count(*) FROM th ANTI JOIN e USING (src, dst)) AS scored, (count(*) * (count(*) - 1) // 2 - (SELECT count(*) FROM e))::BIGINT AS non_edges FROM n"
+SQL["non_edges_from"] = f"WITH {graph('all')} SELECT DISTINCT least(a.p_partkey, b.p_partkey) AS src, greatest(a.p_partkey, b.p_partkey) AS dst FROM part a, part b WHERE a.p_partkey % 100 = 0 AND a.p_partkey <> b.p_partkey AND NOT EXISTS (FROM e WHERE e.src = least(a.p_partkey, b.p_partkey) AND e.dst = greatest(a.p_partkey, b.p_partkey))"
 SQL["two_hop_pairs"] = f"WITH {graph('disc')} SELECT a.dst AS src, b.dst AS dst, count(*) AS common FROM adj a JOIN adj b ON a.src = b.src AND a.dst < b.dst GROUP BY ALL"
 SQL["edge_split"] = f"WITH {SPLIT} SELECT src, dst, CASE WHEN is_test THEN 'test' ELSE 'train' END AS split FROM sp"
 SQL["edge_set_ops"] = f"WITH {graph('disc', 'x')}, l2 AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE {FILTERS['sparse']}), y AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM l2 a JOIN l2 b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey) SELECT 'union' AS op, * FROM (FROM x UNION FROM y) UNION ALL SELECT 'minus', * FROM (FROM x EXCEPT FROM y) UNION ALL SELECT 'intersect', * FROM (FROM x INTERSECT FROM y)"
@@ -179,9 +180,8 @@ LP = ", ".join(f"l{i} AS (SELECT node, comm FROM (SELECT a.src AS node, l.comm,
 SQL["label_propagation"] = f"WITH {graph('disc')}, l0 AS (SELECT node, node AS comm FROM n), {LP} SELECT * FROM l3"
 SQL["nmi"] = f"WITH {BRANDS}, {TYPES}, t AS (SELECT cb.comm AS x, ct.comm AS y, count(*) / (SELECT count(*) FROM part) AS p FROM cb JOIN ct USING (node) GROUP BY ALL), hx AS (SELECT -sum(p * ln(p)) AS h FROM (SELECT x, sum(p) AS p FROM t GROUP BY x)), hy AS (SELECT -sum(p * ln(p)) AS h FROM (SELECT y, sum(p) AS p FROM t GROUP BY y)), hj AS (SELECT -sum(p * ln(p)) AS h FROM t) SELECT round(2 * (hx.h + hy.h - hj.h) / (hx.h + hy.h), 6) AS nmi FROM hx, hy, hj"
 SQL["walk_matrix"] = f"WITH {graph('disc')}, p AS (SELECT src, dst, 1.0 / (degree + 1) AS p FROM adj JOIN deg ON node = src), q AS (FROM p UNION ALL SELECT a.src, b.dst, a.p * b.p FROM p a JOIN p b ON a.dst = b.src) SELECT src AS row, dst AS col, round(sum(p) / 2, 9) AS value FROM q GROUP BY ALL"
-SQL["distance_corr"] = "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 = 0), d AS (SELECT list_distance(a.v[1:8], b.v[1:8]) AS x, list_distance(a.v[1:16], b.v[1:16]) AS y FROM v a, v b) SELECT round(1 - abs(corr(x, y)), 6) AS shift FROM d"
 SQL["resource_allocation"] = f"WITH {graph('ret')}, {ra('e')} SELECT src, dst, round(score, 6) AS score FROM ra"
-SQL["precision_at_l"] = f"WITH {SPLIT}, {ra('train')}, top AS (SELECT src, dst FROM ra ANTI JOIN train USING (src, dst) ORDER BY round(score, 9) DESC, src, dst LIMIT (SELECT count(*) FROM test)) SELECT (SELECT count(*) FROM test) AS l, count(*) AS hits, round(count(*) / (SELECT count(*) FROM test), 6) AS precision FROM top SEMI JOIN test USING (src, dst)"
+SQL["precision_at_l"] = f"WITH {SPLIT}, {ra('train')}, al AS (SELECT a.node AS src, b.node AS dst FROM n a, n b WHERE a.node < b.node), top AS (SELECT al.src, al.dst FROM al ANTI JOIN train USING (src, dst) LEFT JOIN ra USING (src, dst) ORDER BY round(coalesce(score, 0), 9) DESC, al.src, al.dst LIMIT (SELECT count(*) FROM test)) SELECT (SELECT count(*) FROM test) AS l, count(*) AS hits, round(count(*) / (SELECT count(*) FROM test), 6) AS precision FROM top SEMI JOIN test USING (src, dst)"
 SQL["lp_auc"] = f"""WITH {SPLIT}, {ra('train')}, neg AS (SELECT round(score, 9) AS s, count(*) AS c FROM ra ANTI JOIN e USING (src, dst) GROUP BY ALL),
         zero AS (SELECT 0.0 AS s, (SELECT count(*) * (count(*) - 1) // 2 FROM n) - (SELECT count(*) FROM e) - (SELECT sum(c) FROM neg) AS c), nn AS (FROM neg UNION ALL FROM zero),
         pos AS (SELECT round(coalesce(score, 0), 9) AS s, count(*) AS k FROM test LEFT JOIN ra USING (src, dst) GROUP BY ALL)
@@ -193,7 +193,7 @@ SQL["lpa_fitness"] = f"""WITH {SPLIT}, {changes('train')}, {TRAIN_CHANGED}, {ra(
                       (NOT EXISTS (FROM train t WHERE t.src = al.src AND t.dst = al.dst) OR EXISTS (FROM ch WHERE op = 'del' AND ch.cand_id = al.cand_id AND ch.src = al.src AND ch.dst = al.dst))
                       AND NOT EXISTS (FROM ch WHERE op = 'add' AND ch.cand_id = al.cand_id AND ch.src = al.src AND ch.dst = al.dst) AS neg FROM al LEFT JOIN ra USING (cand_id, src, dst)),
         mt AS (SELECT cand_id, max(score) AS mt FROM sc WHERE is_t GROUP BY ALL)
-        SELECT cand_id, round(exp(-(avg(score) FILTER (is_t) - avg(score) FILTER (neg AND NOT is_t) - 0.001 * count(*) FILTER (neg AND NOT is_t AND score > 0 AND score >= mt))), 6) AS fitness FROM sc JOIN mt USING (cand_id) GROUP BY ALL"""
+        SELECT cand_id, round(exp(-(avg(score) FILTER (is_t) - avg(score) FILTER (neg AND NOT is_t) - 0.001 * count(*) FILTER (neg AND NOT is_t AND score >= mt))), 6) AS fitness FROM sc JOIN mt USING (cand_id) GROUP BY ALL"""
 SQL["affected_pairs"] = f"""WITH {graph('disc')}, {changes('e')}, {CHANGED}, {ra('e', 'r0')}, {ra('cg', 'r1', 'cand_id')},
         both_ AS (SELECT cand_id, src, dst, coalesce(r0.score, 0) AS old, coalesce(r1.score, 0) AS new FROM (SELECT cand_id, src, dst FROM r1 UNION SELECT cand_id, src, dst FROM cc, r0) LEFT JOIN r0 USING (src, dst) LEFT JOIN r1 USING (cand_id, src, dst))
         SELECT cand_id, src, dst, round(old, 6) AS old, round(new, 6) AS new FROM both_ WHERE abs(new - old) > 1e-12"""
@@ -224,7 +224,7 @@ SQL["init_edge_population"] = f"WITH {graph('disc')}, {TWO}, {cands(3)}, m AS (S
 SQL["init_link_population"] = f"WITH {SPLIT}, ta AS (SELECT src, dst FROM train UNION ALL SELECT dst, src FROM train), th AS (SELECT DISTINCT a.dst AS src, b.dst AS dst FROM ta a JOIN ta b ON a.src = b.src AND a.dst < b.dst), p AS (SELECT 'del' AS op, src, dst FROM train UNION ALL (SELECT 'add', th.* FROM th ANTI JOIN train USING (src, dst))), {cands(3)} SELECT cand_id, op, (row_number() OVER (PARTITION BY cand_id, op ORDER BY {key('4', 'cand_id', 'op', 'src', 'dst')}) - 1)::INTEGER AS pos, src, dst FROM c, p QUALIFY pos < 10"
 ROUL = lambda w, kind, out: f"{out}w AS (SELECT cand_id, {w} AS w FROM f), {out}c AS (SELECT cand_id, w, sum(w) OVER (ORDER BY cand_id) AS hi, sum(w) OVER () AS total FROM {out}w), {out} AS (SELECT draw, min(cand_id) AS cand_id, '{kind}' AS kind FROM dr, {out}c WHERE w > 0 AND x * total >= hi - w AND (x * total < hi OR hi = total) GROUP BY draw)"
 SQL["roulette_select"] = f"WITH {NAT}, dr AS (SELECT d AS draw, {u('3', 'd', chr(39) + 'sel' + chr(39))} AS x FROM (SELECT unnest(range(200))::INTEGER AS d)), {ROUL('max(fitness) OVER () - fitness', 'shift', 'a')}, {ROUL('fitness', 'raw', 'b')} FROM a UNION ALL FROM b"
-SQL["rotary_table"] = f"WITH {NAT}, x AS (SELECT cand_id, (fitness - min(fitness) OVER ()) / (max(fitness) OVER () - min(fitness) OVER ()) AS x FROM f), y AS (SELECT cand_id, x, 'normal' AS pattern FROM x UNION ALL SELECT cand_id, 1 - x, 'inverted' FROM x), z AS (SELECT cand_id, pattern, x / sum(x) OVER (PARTITION BY pattern) AS p FROM y) SELECT cand_id, round(p, 6) AS p, round(sum(p) OVER (PARTITION BY pattern ORDER BY cand_id), 6) AS cumulative, pattern FROM z"
+SQL["rotary_table"] = f"WITH {NAT}, x AS (SELECT cand_id, (fitness - min(fitness) OVER ()) / (max(fitness) OVER () - min(fitness) OVER ()) AS x FROM f), y AS (SELECT cand_id, x, 'normal' AS pattern FROM x UNION ALL SELECT cand_id, 1 - x, 'inverted' FROM x UNION ALL SELECT cand_id, 1 - x, 'trans' FROM x), z AS (SELECT cand_id, pattern, x / sum(x) OVER (PARTITION BY pattern) AS p FROM y) SELECT cand_id, round(p, 6) AS p, round(sum(p) OVER (PARTITION BY pattern ORDER BY cand_id), 6) AS cumulative, pattern FROM z"
 SQL["crossover"] = f"WITH {EPOP} SELECT cand_id, pos, CASE WHEN {u('9', '0', 'cand_id', 'pos', chr(39) + 'x' + chr(39))} < 0.4 THEN gene + 1000000 ELSE gene END AS gene FROM ep"
 SQL["mutate"] = f"WITH {EPOP} SELECT cand_id, pos, CASE WHEN {u('9', '0', 'cand_id', 'pos', chr(39) + 'm' + chr(39))} < 0.3 THEN floor({u('9', '0', 'cand_id', 'pos', chr(39) + 'g' + chr(39))} * 777)::BIGINT ELSE gene END AS gene FROM ep"
 SQL["edge_mutation"] = f"""WITH {graph('sparse')}, {changes('e')}, dp AS (SELECT 'del' AS top, row_number() OVER (ORDER BY src, dst) - 1 AS idx, src AS s, dst AS d FROM e), ap AS (SELECT 'add' AS top, row_number() OVER (ORDER BY src, dst) - 1 AS idx, src AS s, dst AS d FROM (SELECT th.* FROM th ANTI JOIN e USING (src, dst))), pl AS (FROM dp UNION ALL FROM ap),
@@ -242,7 +242,7 @@ REPAIR = lambda pop_sql, pool, seed: f"""p AS ({pop_sql}), pl AS ({pool}), q AS
         fe AS (SELECT cand_id, gene AS g, row_number() OVER (PARTITION BY cand_id ORDER BY {key(str(seed), '0', 'cand_id', 'gene', chr(39) + 'rep' + chr(39))}) AS i FROM (SELECT DISTINCT cand_id, pl.gene FROM ho, pl) ANTI JOIN p USING (cand_id, gene)),
         fx AS (SELECT cand_id, pos, gene FROM q WHERE k = 1 UNION ALL SELECT cand_id, pos, coalesce(g, gene) FROM ho LEFT JOIN fe USING (cand_id, i))"""
 SQL["repair_duplicates"] = f"WITH {EPOP}, {REPAIR('SELECT cand_id, pos, gene % 15 AS gene FROM ep', 'SELECT DISTINCT s_suppkey % 40 AS gene FROM supplier', 2)} SELECT * FROM fx"
-SQL["resolve_conflicts"] = f"""WITH {EPOP}, {REPAIR('SELECT cand_id, pos, gene % 4 AS gene FROM ep WHERE pos < 3', 'SELECT DISTINCT s_suppkey % 12 AS gene FROM supplier', 2)},
+SQL["resolve_conflicts"] = f"""WITH {EPOP}, {REPAIR('SELECT cand_id, pos, gene % 4 AS gene FROM ep', 'SELECT DISTINCT s_suppkey % 12 AS gene FROM supplier', 2)},
         st AS (SELECT cand_id, string_agg(gene::VARCHAR, ',' ORDER BY gene) AS s FROM fx GROUP BY ALL), du AS (SELECT cand_id FROM st QUALIFY row_number() OVER (PARTITION BY s ORDER BY cand_id) > 1),
         nw AS (SELECT cand_id, arg_min(gene, {key('2', 'cand_id', 'gene', chr(39) + 'conf' + chr(39))}) AS g FROM (SELECT cand_id, pl.gene FROM du, pl) ANTI JOIN fx USING (cand_id, gene) GROUP BY cand_id)
         SELECT cand_id, pos, CASE WHEN pos = 0 AND g IS NOT NULL THEN g ELSE gene END AS gene FROM fx LEFT JOIN nw USING (cand_id)"""
