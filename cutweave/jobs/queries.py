@@ -140,7 +140,7 @@ def csr_to_edges(s, d):
 
 @query
 def labelled_graph_stats(s, d):
-    return A.labelled_graph_stats(copart(s, d, "disc"), part_features(s, d), part_labels(s, d))
+    return A.labelled_graph_stats(whole(s, d), part_features(s, d), part_labels(s, d))
 
 
 @query
@@ -440,12 +440,12 @@ def robustness_gain(s, d):
 
 @query
 def modularity(s, d):
-    return C.modularity(disc(s, d), communities(s, d, "p_brand")).withColumns(r6("q"))
+    return C.modularity(whole(s, d), communities(s, d, "p_brand")).withColumns(r6("q"))
 
 
 @query
 def modularity_candidates(s, d):
-    e, _ = perturbed(s, disc(s, d))
+    e, _ = perturbed(s, whole(s, d))
     return C.modularity(e, communities(s, d, "p_brand"), ("cand_id",)).withColumns(r6("q"))
 
 
@@ -527,7 +527,7 @@ def affected_pairs(s, d):
 
 def classed(s, d):
     lab = part_labels(s, d)
-    return disc(s, d), lab, lab.select("node")
+    return whole(s, d), lab, lab.select("node")
 
 
 def seeded_weights(s, d):
@@ -539,7 +539,7 @@ def seeded_weights(s, d):
 @query
 def gcn_norm(s, d):
     e, _, n = classed(s, d)
-    return N.gcn_normalize(e, n).withColumns(r6("value"))
+    return N.gcn_normalize(e, n).withColumn("value", F.round("value", 9))
 
 
 @query

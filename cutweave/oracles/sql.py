@@ -56,13 +56,13 @@ TYPES = "ct AS (SELECT p_partkey AS node, ('0x' || substr(md5(p_type), 1, 6))::B
 NORM = """pn AS (SELECT p_partkey AS node FROM part), al AS (SELECT src, dst FROM adj UNION ALL SELECT node, node FROM pn),
         dl AS (SELECT src AS node, count(*) AS d FROM al GROUP BY src),
         norm AS (SELECT al.src AS row, al.dst AS col, x.d ** -0.5 * y.d ** -0.5 AS value FROM al JOIN dl x ON x.node = al.src JOIN dl y ON y.node = al.dst)"""
-LOGITS = f"""{graph('disc')}, {LAB}, {FEAT}, {WTS}, {NORM},
+LOGITS = f"""{graph('all')}, {LAB}, {FEAT}, {WTS}, {NORM},
         z0 AS (SELECT node, class, sum(value * w) AS x FROM feat JOIN wt USING (feat) GROUP BY ALL),
         z1 AS (SELECT row AS node, class, sum(value * x) AS x FROM norm JOIN z0 ON z0.node = col GROUP BY ALL),
         z AS (SELECT row AS node, class, sum(value * x) AS logit FROM norm JOIN z1 ON z1.node = col GROUP BY ALL),
         pred AS (SELECT node, class AS pred FROM z QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(logit, 9) DESC, class) = 1),
         pred0 AS (SELECT node, class AS pred FROM z0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(x, 9) DESC, class) = 1)"""
-HOMO = f"""{graph('disc')}, {LAB},
+HOMO = f"""{graph('all')}, {LAB},
         hs AS (SELECT src AS node, count(*) AS degree, count(*) FILTER (x.label = y.label) AS same FROM adj JOIN lab x ON x.node = src JOIN lab y ON y.node = dst GROUP BY src),
         hd AS (SELECT node, coalesce(degree, 0) AS degree, coalesce(same, 0) AS same FROM lab LEFT JOIN hs USING (node)),
         homo AS (SELECT *, CASE WHEN degree = 0 THEN 0.0 ELSE same / degree END::DOUBLE AS homophily, CASE WHEN degree = 0 THEN 0.0 ELSE same / (degree * degree + degree) END::DOUBLE AS decrease, same / ((degree + 1) * (degree + 1) + degree + 1) AS attached FROM hd)"""
@@ -107,7 +107,7 @@ SQL["parse_adjlist"] = f"WITH {graph('sparse')} SELECT src AS node, dst AS nbr F
 SQL["parse_gml"] = f"WITH {graph('sparse')} SELECT 'node' AS kind, node AS a, node % 9 AS b, 'p' || node AS label FROM n UNION ALL SELECT 'edge', src, dst, NULL FROM e"
 SQL["adjacency_to_edges"] = f"WITH {graph('all')} SELECT src, dst, 1.0::DOUBLE AS value FROM adj"
 SQL["csr_to_edges"] = f"WITH {graph('sparse')} SELECT src, dst, 1.0::DOUBLE AS value FROM adj"
-SQL["labelled_graph_stats"] = f"WITH {graph('disc')}, {LAB}, {FEAT} SELECT count(*) AS n_nodes, max(label)::BIGINT + 1 AS n_classes, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val, count(*) FILTER (split = 'test') AS n_test, (SELECT max(feat)::BIGINT + 1 FROM feat) AS n_feats, (SELECT count(*) FROM adj) AS n_edges FROM lab"
+SQL["labelled_graph_stats"] = f"WITH {graph('all')}, {LAB}, {FEAT} SELECT count(*) AS n_nodes, max(label)::BIGINT + 1 AS n_classes, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val, count(*) FILTER (split = 'test') AS n_test, (SELECT max(feat)::BIGINT + 1 FROM feat) AS n_feats, (SELECT count(*) FROM adj) AS n_edges FROM lab"
 SQL["node_split"] = f"WITH k AS (SELECT p_partkey AS node, row_number() OVER (ORDER BY {key('7', 'p_partkey')}) AS r, count(*) OVER () AS n FROM part) SELECT node, CASE WHEN r <= floor(0.1 * n) THEN 'train' WHEN r <= floor(0.2 * n) THEN 'val' ELSE 'test' END AS split FROM k"
 REG = "reg AS (SELECT p_brand AS name, count(*) AS nodes, min(p_type) AS task, max(p_type) AS top FROM part GROUP BY p_brand)"
 SQL["list_datasets"] = f"WITH {REG} SELECT name, task, nodes, CASE WHEN nodes % 2 = 0 THEN task || ',' || top || '+' ELSE task END AS tasks FROM reg"
@@ -173,9 +173,9 @@ SQL["reach17"] = f"WITH RECURSIVE {REACH(17)} SELECT cand_id, max(reach) AS max_
 QMOD = lambda edges, k="": f"""ce AS (SELECT {k}a.comm AS a, b.comm AS b FROM {edges} JOIN cb a ON a.node = src JOIN cb b ON b.node = dst),
         cx AS (SELECT {k}c, count(*) AS d, sum(i) AS m_c FROM (SELECT {k}a AS c, (a = b)::INT AS i FROM ce UNION ALL SELECT {k}b, 0 FROM ce) GROUP BY ALL),
         cm AS (SELECT {k}count(*) AS m FROM ce GROUP BY ALL)"""
-SQL["modularity"] = f"WITH {graph('disc')}, {BRANDS}, {QMOD('e')} SELECT round(sum(m_c / m - (d / (2 * m)) ** 2), 6) AS q FROM cx, cm"
+SQL["modularity"] = f"WITH {graph('all')}, {BRANDS}, {QMOD('e')} SELECT round(sum(m_c / m - (d / (2 * m)) ** 2), 6) AS q FROM cx, cm"
 SQL["q_fitness"] = f"WITH {graph('disc')}, {BRANDS}, {QMOD('e')} SELECT round(sum(m_c / m - (d / (2 * m)) ** 2), 6) AS q, round(exp(-sum(m_c / m - (d / (2 * m)) ** 2)), 6) AS fitness FROM cx, cm"
-SQL["modularity_candidates"] = f"WITH {graph('disc')}, {CUT}, {BRANDS}, {QMOD('se', 'cand_id, ')} SELECT cand_id, round(sum(m_c / m - (d / (2 * m)) ** 2), 6) AS q FROM cx JOIN cm USING (cand_id) GROUP BY ALL"
+SQL["modularity_candidates"] = f"WITH {graph('all')}, {CUT}, {BRANDS}, {QMOD('se', 'cand_id, ')} SELECT cand_id, round(sum(m_c / m - (d / (2 * m)) ** 2), 6) AS q FROM cx JOIN cm USING (cand_id) GROUP BY ALL"
 LP = ", ".join(f"l{i} AS (SELECT node, comm FROM (SELECT a.src AS node, l.comm, count(*) AS k FROM adj a JOIN l{i - 1} l ON l.node = a.dst GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY node ORDER BY k DESC, comm) = 1)" for i in (1, 2, 3))
 SQL["label_propagation"] = f"WITH {graph('disc')}, l0 AS (SELECT node, node AS comm FROM n), {LP} SELECT * FROM l3"
 SQL["nmi"] = f"WITH {BRANDS}, {TYPES}, t AS (SELECT cb.comm AS x, ct.comm AS y, count(*) / (SELECT count(*) FROM part) AS p FROM cb JOIN ct USING (node) GROUP BY ALL), hx AS (SELECT -sum(p * ln(p)) AS h FROM (SELECT x, sum(p) AS p FROM t GROUP BY x)), hy AS (SELECT -sum(p * ln(p)) AS h FROM (SELECT y, sum(p) AS p FROM t GROUP BY y)), hj AS (SELECT -sum(p * ln(p)) AS h FROM t) SELECT round(2 * (hx.h + hy.h - hj.h) / (hx.h + hy.h), 6) AS nmi FROM hx, hy, hj"
@@ -197,9 +197,9 @@ SQL["lpa_fitness"] = f"""WITH {SPLIT}, {changes('train')}, {TRAIN_CHANGED}, {ra(
 SQL["affected_pairs"] = f"""WITH {graph('disc')}, {changes('e')}, {CHANGED}, {ra('e', 'r0')}, {ra('cg', 'r1', 'cand_id')},
         both_ AS (SELECT cand_id, src, dst, coalesce(r0.score, 0) AS old, coalesce(r1.score, 0) AS new FROM (SELECT cand_id, src, dst FROM r1 UNION SELECT cand_id, src, dst FROM cc, r0) LEFT JOIN r0 USING (src, dst) LEFT JOIN r1 USING (cand_id, src, dst))
         SELECT cand_id, src, dst, round(old, 6) AS old, round(new, 6) AS new FROM both_ WHERE abs(new - old) > 1e-12"""
-SQL["gcn_norm"] = f"WITH {graph('disc')}, {NORM} SELECT row, col, round(value, 6) AS value FROM norm"
+SQL["gcn_norm"] = f"WITH {graph('all')}, {NORM} SELECT row, col, round(value, 9) AS value FROM norm"
 SQL["feature_row_norm"] = f"WITH {FEAT}, f AS (SELECT node, feat, (feat % 3)::DOUBLE AS value FROM feat) SELECT node, feat, round(CASE WHEN s = 0 THEN 0 ELSE value / s END, 6) AS value FROM f JOIN (SELECT node, sum(value) AS s FROM f GROUP BY ALL) USING (node)"
-SQL["propagate2"] = f"WITH {graph('disc')}, {FEAT}, {NORM}, x1 AS (SELECT row AS node, feat, sum(norm.value * feat.value) AS value FROM norm JOIN feat ON node = col GROUP BY ALL) SELECT row AS node, feat, round(sum(norm.value * x1.value), 6) AS value FROM norm JOIN x1 ON node = col GROUP BY ALL"
+SQL["propagate2"] = f"WITH {graph('all')}, {FEAT}, {NORM}, x1 AS (SELECT row AS node, feat, sum(norm.value * feat.value) AS value FROM norm JOIN feat ON node = col GROUP BY ALL) SELECT row AS node, feat, round(sum(norm.value * x1.value), 6) AS value FROM norm JOIN x1 ON node = col GROUP BY ALL"
 SQL["linear_logits"] = f"WITH {FEAT}, {WTS} SELECT node, class, round(sum(value * w), 6) AS logit FROM feat JOIN wt USING (feat) GROUP BY ALL"
 SQL["gcn_forward"] = f"""WITH {LOGITS}, w2 AS (SELECT f AS feat, c AS class, {u(chr(39) + 'w2' + chr(39), 'f', 'c')} - 0.5 AS w FROM (SELECT unnest(range(5))::INTEGER AS f), (SELECT unnest(range(5))::INTEGER AS c)),
         a1 AS (SELECT node, class AS feat, CASE WHEN x > 0 THEN x ELSE exp(x) - 1 END AS x FROM z1), b2 AS (SELECT node, w2.class, sum(x * w) AS x FROM a1 JOIN w2 USING (feat) GROUP BY ALL)
@@ -213,7 +213,7 @@ SQL["homophily"] = f"WITH {HOMO} SELECT node, degree, same, round(homophily, 6)
 PROF = "pf AS (SELECT label, feat, count(*) AS n, avg(value) AS mean, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, feat)::INTEGER AS rank FROM feat JOIN lab USING (node) WHERE value <> 0 GROUP BY label, feat)"
 SQL["label_feature_profile"] = f"WITH {LAB}, {FEAT}, {PROF} SELECT label, feat, n, round(mean, 6) AS mean, rank FROM pf WHERE rank <= 10"
 SQL["injected_features"] = f"WITH {LAB}, {FEAT}, {PROF} SELECT feat, mean AS value FROM pf WHERE label = 2 AND rank <= (SELECT floor(avg(c)) FROM (SELECT count(*) AS c FROM feat WHERE value <> 0 GROUP BY node))"
-SQL["degree_budget"] = f"WITH {graph('disc')}, d AS (SELECT p_partkey AS node, coalesce(degree, 0) AS d FROM part LEFT JOIN deg ON node = p_partkey), m AS (SELECT floor(sum(d) / count(*))::BIGINT AS mean FROM d) SELECT node, least(CASE WHEN least(d, 2 * (mean + 1)) = 0 THEN mean // 2 ELSE least(d, 2 * (mean + 1)) END, 2 * mean)::BIGINT AS budget FROM d, m"
+SQL["degree_budget"] = f"WITH {graph('all')}, d AS (SELECT p_partkey AS node, coalesce(degree, 0) AS d FROM part LEFT JOIN deg ON node = p_partkey), m AS (SELECT floor(sum(d) / count(*))::BIGINT AS mean FROM d) SELECT node, least(CASE WHEN least(d, 2 * (mean + 1)) = 0 THEN mean // 2 ELSE least(d, 2 * (mean + 1)) END, 2 * mean)::BIGINT AS budget FROM d, m"
 SQL["potential_edges"] = f"WITH {HOMO} SELECT node, round(decrease, 6) AS decrease, row_number() OVER (ORDER BY round(decrease, 9) DESC, node) AS rank FROM homo JOIN lab USING (node) WHERE lab.label <> 1"
 SQL["single_link_rank"] = f"WITH {HOMO}, r AS (SELECT node, (degree % 4)::DOUBLE AS loss, row_number() OVER (ORDER BY degree % 4, round(decrease, 9) DESC, node) AS rank FROM homo) SELECT * FROM r WHERE rank <= floor((SELECT count(*) FROM homo) * 0.3)"
 # E
