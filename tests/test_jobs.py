@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from cutweave.jobs import evolution as J
 from cutweave.operators import community as C, graph as G, linkpred as L, perturb as P
 
+#: Whole jobs take half a minute to a minute each; two of them run by default, CUTWEAVE_ALL=1 runs all.
+whole_job = pytest.mark.skipif(not os.environ.get("CUTWEAVE_ALL"), reason="CUTWEAVE_ALL=1 runs every job")
+
 #: Two cliques of five and a tail, by a bridge.
 PAIRS = sorted({(i, j) for a in (0, 5) for i, j in itertools.combinations(range(a, a + 5), 2)} | {(4, 5), (9, 10), (10, 11), (11, 12)})
 NODES = range(13)
@@ -68,12 +72,14 @@ def plain_pcg(gone):
     return sum(len(s) - 1 for s in reach(*without(gone), 13).values()) / 2
 
 
+@whole_job
 def test_cutoff(spark, edges):
     run = J.cutoff(spark, edges, 1, pop=4, pool_runs=2, pool_generations=1)
     fit, rows = checked(run, 1, "min")
     assert run.problem.select == "rotary" and all(fit[c] == plain_pcg({g["node"] for g in rows[c]}) and len({g["node"] for g in rows[c]}) == run.problem.budget for c in rows)
 
 
+@whole_job
 def test_sixdst(spark, edges):
     run = J.sixdst(spark, edges, 1, pop=4, rate=0.2, pool_runs=2)
     fit, rows = checked(run, 1, "min")
@@ -83,6 +89,7 @@ def test_sixdst(spark, edges):
     assert len({max(map(len, reach(*without({g["node"] for g in rows[c]}), 6).values())) - f for c, f in fit.items()}) == 1
 
 
+@whole_job
 def test_tde(spark, edges):
     run = J.tde(spark, edges, 1, pop=4, rate=0.2)
     fit, rows = checked(run, 1, "max")
@@ -131,6 +138,7 @@ def changed_pairs(rows):
     return sorted((set(PAIRS) - gone) | new)
 
 
+@whole_job
 def test_cgn(spark, edges):
     run = J.cgn(spark, edges, 1, pop=4, rate=0.3)
     fit, rows = checked(run, 1, "min")
@@ -143,6 +151,7 @@ def test_cgn(spark, edges):
     assert all(f == pytest.approx(plain_nmi(now[c], base), abs=1e-6) for c, f in fit.items())
 
 
+@whole_job
 def test_qattack(spark, edges):
     run = J.qattack(spark, edges, 1, pop=4, rate=0.2)
     fit, rows = checked(run, 1, "max")
@@ -169,6 +178,7 @@ def plain_shift(before, after):
     return 1 - abs(np.corrcoef(dists(before), dists(after))[0, 1])
 
 
+@whole_job
 def test_cda_eda(spark, edges):
     run = J.cda_eda(spark, edges, 1, pop=4, rate=0.2)
     fit, rows = checked(run, 1, "max")
@@ -185,7 +195,7 @@ def plain_ra(pairs):
     return {(a, b): sum(1 / len(adj[w]) for w in adj.get(a, set()) & adj.get(b, set())) for a, b in itertools.combinations(NODES, 2)}
 
 
-@pytest.mark.parametrize("name", ["lpa_eda", "lpa_ga"])
+@pytest.mark.parametrize("name", [pytest.param("lpa_eda", marks=whole_job), "lpa_ga"])
 def test_lpa(spark, edges, name):
     run = getattr(J, name)(spark, edges, 1, pop=4, rate=0.3)
     fit, rows = checked(run, 1, "max")
@@ -253,6 +263,7 @@ def test_nca_ga(spark, classed):
     assert "accuracy" in run.log[-1][4]
 
 
+@whole_job
 def test_gani(spark, classed):
     run = J.gani(spark, classed, 1, pop=3, injected=2, ratio=0.7)
     best = [r[2] for r in run.log]
@@ -280,6 +291,7 @@ def test_cut_off_runs_go_on_from_their_path(spark, edges, tmp_path):
     assert [x.name for x in (tmp_path / "run" / "state").iterdir()] == ["3"]  # past generations are dropped
 
 
+@whole_job
 def test_restarts(spark, edges):
     history, best = J.restarts(degree_problem(spark, edges), 1, 2, seed=7)
     rows = history.collect()
