@@ -13,9 +13,12 @@ from cutweave.llm.license_scan import scan_licenses
 from cutweave.llm.packing import pack
 from cutweave.llm.quality import THRESHOLD, fit_quality, held_out, score_quality
 from cutweave.llm.secret_scan import find_secrets, secrets_digest
+from cutweave.llm.spelling import group_spellings
 from cutweave.llm.substring_dedup import remove_repeats
+from cutweave.llm.suffix_dedup import remove_repeated_bytes
 from cutweave.llm.text import documents
 from cutweave.llm.token_codec import token_digest
+from cutweave.llm.whitening import whitening_table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +67,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(documents(spark, sf_dir))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_table(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_bytes(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
