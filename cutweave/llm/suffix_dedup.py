@@ -33,7 +33,7 @@ from cutweave.session import discard, materialise
 
 WINDOW, GRAM = 400, 96
 #: Window starts that are looked at together; bytes of suffixes that a task sorts at once, and that a range should have.
-BLOCK, RUN_BYTES, RANGE_BYTES = 1 << 20, 32 << 20, 16 << 20
+BLOCK, RUN_BYTES, RANGE_BYTES = 1 << 20, 8 << 20, 4 << 20
 #: Suffixes that share their first bytes' hash and are resolved in one task. Windows of larger classes are counted in Spark.
 CLASS = 1 << 15
 #: Hashes of over one row in SHARE find their rows by broadcast: there are fewer than SHARE of them.
@@ -212,13 +212,14 @@ def _grams(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, hashes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for key, body in zip(batch["key"].to_pylist(), as_bytes(batch)):
-                u, n = np.unique(anchors(body, window, gram)[3], return_counts=True)
-                keys.append(np.full(len(u), key, np.int64))
-                hashes.append(u)
-                counts.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int64))], names=["key", "mh", "m"])
+            for part in slices(batch):
+                keys, hashes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for key, body in zip(part["key"].to_pylist(), as_bytes(part)):
+                    u, n = np.unique(anchors(body, window, gram)[3], return_counts=True)
+                    keys.append(np.full(len(u), key, np.int64))
+                    hashes.append(u)
+                    counts.append(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int64))], names=["key", "mh", "m"])
 
     return texts.select("text", "key").where("length(text) > 0").mapInArrow(run, "key long, mh long, m long")
 
