@@ -15,3 +15,22 @@ def order(*parts) -> Column:
     """The whole MD5, as text: an order without ties in practice."""
     cols = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
     return F.md5(F.concat_ws("|", *cols).cast("binary"))
+
+
+#: Rounds of a keyed permutation.
+ROUNDS = 16
+
+
+def permuted(i: Column, n, *parts) -> Column:
+    """Where a keyed permutation of 0..n-1 sends ``i``: the i-th of n things in random order, without a list of them.
+
+    Swap-or-not (Hoang, Morris and Rogaway 2012): a round pairs x with k - x modulo n and swaps a pair or not by a hash of
+    its greater member, so it is a permutation for every n. ``n``: a number or a column, over 0; ``i`` from 0 to n - 1.
+    """
+    size = n if isinstance(n, Column) else F.lit(int(n)).cast("long")
+
+    def turn(x: Column, r: Column) -> Column:
+        y = F.pmod(F.floor(u(*parts, r, "k") * size).cast("long") - x, size)
+        return F.when(u(*parts, r, F.greatest(x, y)) < 0.5, y).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), i.cast("long"), turn)

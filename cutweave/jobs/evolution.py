@@ -13,8 +13,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from cutweave.functions.rand import permuted
 from cutweave.operators import community as C, evolve as V, graph as G, linkpred as L, nodeclass as N, perturb as P, reach as R
-from cutweave.session import discard, materialise, remove
+from cutweave.operators.louvain import louvain
+from cutweave.session import discard, exists, materialise, remove, scope, scoped
 
 
 HISTORY = "run_id string, generation int, best_fitness double, best_gene string, metrics string"
@@ -26,7 +28,8 @@ class Problem:
     (from a seed) and ``mutate`` (from population, seed and generation) make. ``fitness``: from cand_id, pos and the
     payload to cand_id, fitness. ``metrics``: the same for reports, from the best candidate alone, to one row of numbers.
     ``select``: roulette, rotary or eda. ``survive``: elitism of its own, from old and new fitness, old and new population,
-    to rank, origin, cand_id, fitness."""
+    to rank, origin, cand_id, fitness. ``propose``: a generation's new population (from population, fitness, seed and
+    generation), in place of selection, crossover and mutation. ``batch``: candidates scored in one job; None: all."""
 
     name: str
     side: str
@@ -43,6 +46,8 @@ class Problem:
     init: Callable[[int], DataFrame] | None = None
     mutate: Callable[[DataFrame, int, int], DataFrame] | None = None
     survive: Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame] | None = None
+    propose: Callable[[DataFrame, DataFrame, int, int], DataFrame] | None = None
+    batch: int | None = None
 
 
 @dataclass
@@ -54,6 +59,12 @@ class Run:
     log: list = field(default_factory=list)
     path: str | None = None
     held: list = field(default_factory=list)
+    graph: object = None
+
+    def drop(self) -> None:
+        """Delete the tables of this state. What another Run holds stays."""
+        for table in self.held:
+            discard(table)
 
     @property
     def history(self) -> DataFrame:
@@ -78,13 +89,35 @@ def decode(pop: DataFrame, pool: DataFrame | None) -> DataFrame:
     return pop.join(pool.withColumnRenamed("idx", "gene"), "gene").drop("gene")
 
 
+#: Rows of edges that one job of a fitness holds for all of its candidates.
+BATCH_ROWS = 20_000_000
+
+
+def batch_of(edges: DataFrame) -> int:
+    """So many candidates have at most BATCH_ROWS edges together; one, where a graph has more."""
+    return max(1, BATCH_ROWS // max(1, edges.count()))
+
+
 def score(p: Problem, pop: DataFrame) -> DataFrame:
-    return materialise(p.fitness(decode(pop, p.pool)).select("cand_id", F.round(F.col("fitness").cast("double"), 9).alias("fitness")), "fitness")
+    """cand_id, fitness. Candidates are scored in batches of ``p.batch``; what a batch writes goes with it."""
+    part = lambda few: p.fitness(decode(few, p.pool)).select("cand_id", F.round(F.col("fitness").cast("double"), 9).alias("fitness"))
+    if p.batch is None or p.batch >= p.pop:
+        return scoped(lambda: part(pop), "fitness")
+
+    def every() -> DataFrame:
+        out = None
+        for lo in range(0, p.pop, p.batch):
+            got = scoped(lambda: part(pop.where((F.col("cand_id") >= lo) & (F.col("cand_id") < lo + p.batch))), "fitness")  # noqa: B023
+            out = got if out is None else out.union(got)
+        return out
+
+    return scoped(every, "fitness")
 
 
 def fitness_of(p: Problem, decoded: DataFrame) -> float:
     """The fitness of one candidate's decoded rows."""
-    return p.fitness(decoded).first()["fitness"]
+    with scope():
+        return p.fitness(decoded).first()["fitness"]
 
 
 def _row(p: Problem, pop: DataFrame, fit: DataFrame, generation: int, seed: int, report: bool) -> tuple:
@@ -95,13 +128,14 @@ def _row(p: Problem, pop: DataFrame, fit: DataFrame, generation: int, seed: int,
     g = genes.agg(F.first("best_fitness").alias("best_fitness"), F.array_join(F.transform(F.array_sort(F.collect_list("gene")), lambda x: x.cast("string")), ",").alias("best_gene")).first()
     metrics = None
     if p.metrics and report:
-        metrics = p.metrics(decode(genes.select("cand_id", "pos", "gene"), p.pool)).select(F.to_json(F.struct("*")).alias("m")).first()["m"]
+        with scope():
+            metrics = p.metrics(decode(genes.select("cand_id", "pos", "gene"), p.pool)).select(F.to_json(F.struct("*")).alias("m")).first()["m"]
     return f"{p.name}-{seed}", generation, g["best_fitness"], g["best_gene"], metrics
 
 
 def _state(p: Problem, pop: DataFrame, fitness: DataFrame, generation: int, row: tuple, path: str | None, before: Run | None) -> Run:
     """The run after a generation. With a path the state is written there, under its generation, the history's row last, as a
-    sign that it is whole. Tables of the generation before are dropped, as nothing reads them any more."""
+    sign that it is whole. The run before stays as it is: it may be continued again, otherwise or twice."""
     spark = pop.sparkSession
     if path:
         at = f"{path}/state/{generation}"
@@ -109,9 +143,6 @@ def _state(p: Problem, pop: DataFrame, fitness: DataFrame, generation: int, row:
         fitness.write.mode("overwrite").parquet(f"{at}/fitness")
         spark.createDataFrame([row], HISTORY).coalesce(1).write.mode("overwrite").parquet(f"{path}/history/{generation}")
         remove(spark, f"{path}/state/{generation - 1}")
-    if before is not None:
-        for table in before.held:
-            discard(table)
     return Run(p, pop, fitness, generation, [*(before.log if before else []), row], path, [pop, fitness])
 
 
@@ -133,6 +164,9 @@ def _picked(p: Problem, pop: DataFrame, fit: DataFrame, seed: int, generation: i
 def single_step(run: Run, seed: int, report: bool = False) -> Run:
     """Selection, crossover, mutation, repair, score, elitism: one generation; ``report``: with the problem's metrics."""
     p, g = run.problem, run.generation + 1
+    if p.propose:
+        new = materialise(p.propose(run.population, run.fitness, seed, g), "population")
+        return _survivors(run, new, score(p, new), g, seed, report)
     if p.select == "eda":
         new = V.eda_resample(run.population, run.fitness, p.pop, p.budget, seed * 1000 + g, p.side)
     else:
@@ -154,13 +188,8 @@ def _survivors(run: Run, new: DataFrame, fit: DataFrame, g: int, seed: int, repo
 
 
 def init_state(p: Problem, seed: int, path: str | None = None) -> Run:
-    """Generation 0: draws over the pool's indexes, which never list population x pool, repaired to be distinct."""
-    if p.init:
-        pop = p.init(seed)
-    else:
-        size = p.pool.count()
-        pop = V.repair_duplicates(V.filled(V.draw_population(p.pool.sparkSession, size, p.pop, p.budget, seed), p.pop, p.budget, size, seed), p.pool, seed)
-    pop = materialise(pop, "population")
+    """Generation 0: distinct genes by permutations of the pool's indexes, which never list population x pool."""
+    pop = scoped(lambda: p.init(seed) if p.init else V.init_population(p.pool, p.pop, p.budget, seed), "population")
     fit = score(p, pop)
     return _state(p, pop, fit, 0, _row(p, pop, fit, 0, seed, False), path, None)
 
@@ -168,13 +197,36 @@ def init_state(p: Problem, seed: int, path: str | None = None) -> Run:
 def evolve(p: Problem, generations: int, seed: int = 1024, resume: Run | None = None, path: str | None = None) -> Run:
     """Run ``generations`` more; from ``resume`` if given. The same seed gives the same candidates, however a run is cut
     up. Metrics are reported every ``report_every`` generations and at the last of a call. ``path``: where the state of every
-    generation is written."""
+    generation is written. Tables of the generations between are deleted; the run given, and the one returned, keep theirs,
+    so either can be continued."""
     run = resume or init_state(p, seed, path)
     for left in range(generations, 0, -1):
-        run = single_step(run, seed, left == 1 or (run.generation + 1) % p.report_every == 0)
+        new = single_step(run, seed, left == 1 or (run.generation + 1) % p.report_every == 0)
+        if run is not resume:
+            run.drop()
+        run = new
     return run
 
 
+def until(p: Problem, generations: int, seed: int, path: str | None, again: bool, spark: SparkSession) -> Run:
+    """The run of a named job up to ``generations``. ``again``: from the last whole generation at ``path``, if there is any."""
+    was = resume(p, path, spark) if again and path and exists(spark, f"{path}/history") else None
+    if was is not None and was.generation >= generations:
+        return was
+    return evolve(p, generations - (was.generation if was else 0), seed, was, path)
+
+
+def lasting(spark: SparkSession, path: str | None, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that a job makes once: read from ``path`` where a run before has written it, whole."""
+    if not path:
+        return scoped(build, name)
+    at = f"{path}/{name}"
+    if not exists(spark, f"{at}/_SUCCESS"):
+        with scope():
+            build().write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
+
+
 def restarts(p: Problem, generations: int, loops: int, seed: int = 1024, path: str | None = None) -> tuple[DataFrame, Run]:
     """``loops`` runs of a problem, from seeds seed, seed + 1 and so on: (their histories under run_id, the best run)."""
     best, history = None, None
@@ -191,7 +243,7 @@ def restarts(p: Problem, generations: int, loops: int, seed: int = 1024, path: s
 
 
 def _pool(df: DataFrame, *order) -> DataFrame:
-    return materialise(N.rank_by(df, *order).withColumn("idx", F.col("rank") - 1).drop("rank"), "pool")
+    return scoped(lambda: N.rank_by(df, *order).withColumn("idx", F.col("rank") - 1).drop("rank"), "pool")
 
 
 def _budget(edges: DataFrame, rate: float) -> int:
@@ -204,10 +256,8 @@ def _cut(edges: DataFrame, nodes: DataFrame, decoded: DataFrame) -> tuple[DataFr
 
 
 def _pcg(edges, nodes):
-    """Connected pairs of each candidate's graph: union-find, a candidate a task, where the whole graph is counted to be
-    small; star rounds over all candidates beyond that."""
-    find = R.components_by_candidate if edges.count() <= R.HELPER_EDGES else R.components
-    return lambda c: R.pairwise_connectivity(find(*_cut(edges, nodes, c)))
+    """Connected pairs of each candidate's graph, by star rounds over all candidates at once."""
+    return lambda c: R.pairwise_connectivity(R.components(*_cut(edges, nodes, c)))
 
 
 def _best_rows(fitness: DataFrame, pop: DataFrame, pool: DataFrame, size: int, side: str = "min") -> DataFrame:
@@ -220,21 +270,27 @@ def _best_rows(fitness: DataFrame, pop: DataFrame, pool: DataFrame, size: int, s
 def greedy_pool(edges: DataFrame, pool: DataFrame, k: int, size: int, pop: int, runs: int, fitness: Callable, seed: int) -> DataFrame:
     """node, idx: a gene pool of ``size``, half of it the commonest genes in the best of each of ``runs`` random populations
     (all scored in one job), the rest by degree."""
-    n = pool.count()
-    draws = V.filled(V.draw_population(pool.sparkSession, n, pop * runs, k, seed), pop * runs, k, n, seed)
-    start = materialise(V.repair_duplicates(draws, pool, seed), "population")
-    fit = materialise(fitness(decode(start, pool)), "fitness")
-    return materialise(V.gene_pool_cutoff(_best_rows(fit, start, pool, pop), G.degree_rank(edges), size), "pool")
+
+    def build() -> DataFrame:
+        start = materialise(V.init_population(pool, pop * runs, k, seed), "population")
+        fit = materialise(fitness(decode(start, pool)), "fitness")
+        return V.gene_pool_cutoff(_best_rows(fit, start, pool, pop), G.degree_rank(edges), size)
+
+    return scoped(build, "pool")
 
 
 def searched_pool(edges: DataFrame, p: Problem, size: int, runs: int, generations: int, seed: int) -> DataFrame:
     """node, idx: as ``greedy_pool``, from the best candidate of each of ``runs`` small searches of the problem."""
-    best = None
-    for r in range(runs):
-        run = evolve(p, generations, seed + 7919 * (r + 1))
-        rows = _best_rows(run.fitness, run.population, p.pool, p.pop, p.side)
-        best = rows if best is None else best.union(rows)
-    return materialise(V.gene_pool_cutoff(best, G.degree_rank(edges), size), "pool")
+
+    def build() -> DataFrame:
+        best = None
+        for r in range(runs):
+            run = evolve(p, generations, seed + 7919 * (r + 1))
+            rows = _best_rows(run.fitness, run.population, p.pool, p.pop, p.side)
+            best = rows if best is None else best.union(rows)
+        return V.gene_pool_cutoff(best, G.degree_rank(edges), size)
+
+    return scoped(build, "pool")
 
 
 def _node_pool(nodes: DataFrame) -> DataFrame:
@@ -247,47 +303,58 @@ def cutoff_problem(spark: SparkSession, edges: DataFrame, pop: int = 40, rate: f
     k = _budget(edges, rate)
     pcg = _pcg(edges, nodes)
     reach = lambda c: R.max_reach(R.reach_within(*_cut(edges, nodes, c), 17)).select("max_reach")
-    return Problem("cutoff", "min", pool if pool is not None else _node_pool(nodes), k, pop, lambda c: pcg(c).select("cand_id", F.col("pcg").alias("fitness")), reach, 0.7, 0.2, select="rotary")
+    return Problem("cutoff", "min", pool if pool is not None else _node_pool(nodes), k, pop, lambda c: pcg(c).select("cand_id", F.col("pcg").alias("fitness")), reach, 0.7, 0.2, select="rotary", batch=batch_of(edges))
+
 
+def sixdst(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 80, rate: float = 0.1, seed: int = 1024, pool_runs: int = 10, pool_size: int | None = None, path: str | None = None, again: bool = False) -> Run:
+    """Remove nodes so that the widest six-hop reach is least; reports connected pairs. The pool, of ``pool_size`` genes
+    (default: four times the budget), comes from the best of ``pool_runs`` random populations by connected pairs, and degrees.
 
-def sixdst(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 80, rate: float = 0.1, seed: int = 1024, pool_runs: int = 10) -> Run:
-    """Remove nodes so that the widest six-hop reach is least; reports connected pairs. The pool comes from the best of
-    ``pool_runs`` random populations by connected pairs, and degrees."""
+    Of all jobs: ``path`` is where pools and every generation are written; ``again`` goes on from there, in any session, up
+    to ``generations`` in all.
+    """
     nodes = materialise(G.node_set(edges), "nodes")
     k = _budget(edges, rate)
     pcg = _pcg(edges, nodes)
-    pool = greedy_pool(edges, _node_pool(nodes), k, 4 * k, pop, pool_runs, lambda c: pcg(c).select("cand_id", F.col("pcg").alias("fitness")), seed)
+    pool = lasting(spark, path, "pool", lambda: greedy_pool(edges, _node_pool(nodes), k, pool_size or 4 * k, pop, pool_runs, lambda c: pcg(c).select("cand_id", F.col("pcg").alias("fitness")), seed))
     fit = lambda c: R.max_reach(R.reach_within(*_cut(edges, nodes, c), 6)).select("cand_id", F.col("max_reach").alias("fitness"))
-    return evolve(Problem("sixdst", "min", pool, k, pop, fit, lambda c: pcg(c).select("pcg"), 0.6, 0.2), generations, seed)
+    p = Problem("sixdst", "min", pool, k, pop, fit, lambda c: pcg(c).select("pcg"), 0.6, 0.2, batch=batch_of(edges))
+    return until(p, generations, seed, path, again, spark)
 
 
-def cutoff(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024, pool_runs: int = 10, pool_generations: int = 100) -> Run:
+def cutoff(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024, pool_runs: int = 10, pool_generations: int = 100, pool_size: int | None = None, path: str | None = None, again: bool = False) -> Run:
     """Remove nodes; least pairwise connectivity, by rotary selection. The pool comes from the best rows of ``pool_runs`` small
     searches of ``pool_generations`` over all nodes, and degrees."""
     whole = cutoff_problem(spark, edges, pop, rate)
-    pool = searched_pool(edges, whole, 4 * whole.budget, pool_runs, pool_generations, seed)
-    return evolve(cutoff_problem(spark, edges, pop, rate, pool), generations, seed)
+    pool = lasting(spark, path, "pool", lambda: searched_pool(edges, whole, pool_size or 4 * whole.budget, pool_runs, pool_generations, seed))
+    return until(cutoff_problem(spark, edges, pop, rate, pool), generations, seed, path, again, spark)
 
 
-def tde(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024, factor: float = 0.5) -> Run:
+def tde(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024, factor: float = 0.5, rounds: int | None = None, path: str | None = None, again: bool = False) -> Run:
     """Differential evolution over min-max degrees: genotypes move, phenotypes are the nearest nodes; greatest loss of
-    robustness."""
+    robustness. Reports connected pairs and the widest reach in 17 hops. ``rounds``: robustness in so many removal steps, for
+    graphs of which one doesn't fit a task; without it every node is a step."""
     nodes = materialise(G.node_set(edges), "nodes")
     k = _budget(edges, rate)
     mm = materialise(G.minmax_degree(edges), "minmax")
     pool = _pool(nodes, F.asc("node"))
-    r0 = materialise(R.robustness(edges.select(F.lit(0).alias("cand_id"), "src", "dst"), nodes.select(F.lit(0).alias("cand_id"), "node")), "r0")
-    fit = lambda c: R.robustness_gain(r0, R.robustness(*_cut(edges, nodes, c))).select("cand_id", F.col("gain").alias("fitness"))
-    p = Problem("tde", "max", pool, k, pop, fit, lambda c: _pcg(edges, nodes)(c).select("pcg"), 0.5, 0.0)
-    run = init_state(p, seed)
-    for g in range(1, generations + 1):
-        geno = V.encode_genotype(decode(run.population, pool), mm)
-        pick = lambda tag: V.roulette_select(run.fitness, "max", pop, seed, tag=f"{tag}{g}").join(geno, "cand_id").select(F.col("draw").alias("cand_id"), "pos", "x")  # noqa: B023, E731
+    lost = R.robustness if rounds is None else lambda e, n: R.robustness_steps(e, n, rounds)
+    r0 = scoped(lambda: lost(edges.select(F.lit(0).alias("cand_id"), "src", "dst"), nodes.select(F.lit(0).alias("cand_id"), "node")), "r0")
+    fit = lambda c: R.robustness_gain(r0, lost(*_cut(edges, nodes, c))).select("cand_id", F.col("gain").alias("fitness"))
+
+    def metrics(c: DataFrame) -> DataFrame:
+        e, left = _cut(edges, nodes, c)
+        return R.pairwise_connectivity(R.components(e, left)).select("pcg").crossJoin(R.max_reach(R.reach_within(e, left, 17)).select("max_reach"))
+
+    def propose(population: DataFrame, fitness: DataFrame, at: int, g: int) -> DataFrame:
+        geno = V.encode_genotype(decode(population, pool), mm)
+        pick = lambda tag: V.roulette_select(fitness, "max", pop, at, tag=f"{tag}{g}").join(geno, "cand_id").select(F.col("draw").alias("cand_id"), "pos", "x")
         trial = V.de_mutation(pick("x"), pick("y"), pick("z"), factor)
-        j = geno.withColumnRenamed("x", "old").join(trial, ["cand_id", "pos"]).select("cand_id", "pos", F.when(V.u(seed, g, F.col("cand_id"), F.col("pos"), "de") < p.cross_rate, F.col("x")).otherwise(F.col("old")).alias("x"))
-        new = materialise(V.decode_phenotype(j, mm).join(pool, "node").select("cand_id", "pos", F.col("idx").alias("gene")), "population")
-        run = _survivors(run, new, score(p, new), g, seed, g == generations or g % p.report_every == 0)
-    return run
+        j = geno.withColumnRenamed("x", "old").join(trial, ["cand_id", "pos"]).select("cand_id", "pos", F.when(V.u(at, g, F.col("cand_id"), F.col("pos"), "de") < 0.5, F.col("x")).otherwise(F.col("old")).alias("x"))
+        return V.decode_phenotype(j, mm).join(pool, "node").select("cand_id", "pos", F.col("idx").alias("gene"))
+
+    p = Problem("tde", "max", pool, k, pop, fit, metrics, 0.5, 0.0, propose=propose, batch=batch_of(edges))
+    return until(p, generations, seed, path, again, spark)
 
 
 def _q_of(edges: DataFrame, comms: DataFrame) -> DataFrame:
@@ -295,7 +362,7 @@ def _q_of(edges: DataFrame, comms: DataFrame) -> DataFrame:
 
 
 def _nmi_of(a: DataFrame, base: DataFrame) -> DataFrame:
-    """cand_id, nmi of each candidate's partition with the base."""
+    """cand_id, nmi of each candidate's partition with the base, over the nodes of both."""
     t = a.select("cand_id", "node", F.col("comm").alias("x")).join(base.select("node", F.col("comm").alias("y")), "node").groupBy("cand_id", "x", "y").agg(F.count("*").alias("n"))
     total = t.groupBy("cand_id").agg(F.sum("n").alias("total"))
     h = lambda *k: t.groupBy("cand_id", *k).agg(F.sum("n").alias("n")).join(total, "cand_id").groupBy("cand_id").agg((-F.sum(F.col("n") / F.col("total") * F.log(F.col("n") / F.col("total")))).alias("h_" + "".join(k)))
@@ -303,110 +370,149 @@ def _nmi_of(a: DataFrame, base: DataFrame) -> DataFrame:
     return j.select("cand_id", F.when(F.col("h_x") + F.col("h_y") < 1e-15, 1.0).otherwise(2 * (F.col("h_x") + F.col("h_y") - F.col("h_xy")) / (F.col("h_x") + F.col("h_y"))).alias("nmi"))
 
 
-def cgn(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024) -> Run:
+def communities_after(changed: DataFrame, changes: DataFrame, nodes: DataFrame, base: DataFrame, seed: int) -> DataFrame:
+    """cand_id, node, comm: Louvain communities of every candidate's graph ``changed``, from the base's, looking first at the
+    ends of its ``changes`` (cand_id, src, dst). A node that has lost all its edges is a community of one."""
+    ends = changes.select("cand_id", F.explode(F.array("src", "dst")).alias("node"))
+    every = nodes.select("node").crossJoin(changes.select("cand_id").distinct())
+    return louvain(changed, seed, base, ("cand_id",), every, ends)
+
+
+def cgn(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024, path: str | None = None, again: bool = False) -> Run:
     """Delete edges inside communities and add some between: least similarity to the communities before. Typed genes: a
-    deletion is any edge inside a community, an addition any unlinked pair of nodes in different ones, drawn, never listed.
-    Every candidate's communities are Louvain's moves to their end from those before."""
-    base = materialise(C.louvain(edges, seed), "base")
+    deletion is any edge inside a community, an addition any unlinked pair of nodes in different ones, drawn by number, never
+    listed. Every candidate has Louvain communities of its own; reports their modularity."""
+    base = lasting(spark, path, "base", lambda: louvain(edges, seed))
     k = _budget(edges, rate)
-    nodes = materialise(G.dense_rank_ids(G.node_set(edges), "node"), "nodes")
+    nodes = scoped(lambda: G.dense_rank_ids(G.node_set(edges), "node"), "nodes")
     dels = _pool(C.inside_edges(edges, base), F.asc("src"), F.asc("dst"))
-    places = V.cand_ids(spark, pop).select("cand_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("pos"))
+    at_all = V.places(spark, pop, k)
     gene = F.struct("op", "src", "dst").alias("gene")
+    side = lambda c, out: base.select(F.col("node").alias(c), F.col("comm").alias(out))
+    apart = lambda pairs: pairs.join(side("src", "_a"), "src").join(side("dst", "_b"), "dst").where("_a <> _b").drop("_a", "_b")
 
     def fresh(at: int) -> DataFrame:
-        return materialise(C.draw_between(places, nodes, edges, base, at), "draws")
+        return G.draw_pairs(nodes, edges, pop, k, at, apart)
 
     def init(at: int) -> DataFrame:
         n = dels.count()
-        drawn = V.filled(V.draw_population(spark, n, pop, k, at), pop, k, n, at).withColumnRenamed("gene", "idx").join(dels, "idx").select("cand_id", "pos", F.lit("del").alias("op"), "src", "dst")
-        adds = fresh(at).where(F.col("pos") < F.floor(V.u(at, F.col("cand_id"), "mix") * k)).select("cand_id", "pos", F.lit("add").alias("op"), "src", "dst")
+        drawn = at_all.withColumn("idx", permuted(F.col("pos") % max(n, 1), max(n, 1), at, F.col("cand_id"), "init")).join(dels, "idx").select("cand_id", "pos", F.lit("del").alias("op"), "src", "dst")
+        adds = materialise(fresh(at).where(F.col("pos") < F.floor(V.u(at, F.col("cand_id"), "mix") * k)).select("cand_id", "pos", F.lit("add").alias("op"), "src", "dst"), "adds")
         return drawn.join(adds.select("cand_id", "pos"), ["cand_id", "pos"], "left_anti").union(adds).select("cand_id", "pos", gene)
 
     def mutate(new: DataFrame, at: int, g: int) -> DataFrame:
         adds = _pool(fresh(at * 1000 + g).select("src", "dst").distinct(), F.asc("src"), F.asc("dst"))
         return V.edge_mutation(new.select("cand_id", "pos", "gene.*"), dels, adds, 0.01, at * 1000 + g).select("cand_id", "pos", gene)
 
-    def fit(c: DataFrame) -> DataFrame:
+    def after(c: DataFrame) -> tuple[DataFrame, DataFrame]:
         e = materialise(P.apply_edge_changes(edges, c), "changed")
-        return _nmi_of(C.local_moves(e, base, seed=seed), base).select("cand_id", F.col("nmi").alias("fitness"))
+        return e, communities_after(e, c, nodes, base, seed)
 
-    metrics = lambda c: _q_of(P.apply_edge_changes(edges, c), base).select(F.round("q", 6).alias("q"))
-    return evolve(Problem("cgn", "min", None, k, pop, fit, metrics, 0.7, 0.01, report_every=30, init=init, mutate=mutate), generations, seed)
+    fit = lambda c: _nmi_of(after(c)[1], base).select("cand_id", F.col("nmi").alias("fitness"))
+    p = Problem("cgn", "min", None, k, pop, fit, lambda c: _q_of(*after(c)).select(F.round("q", 6).alias("q")), 0.7, 0.01, report_every=30, init=init, mutate=mutate, batch=batch_of(edges))
+    return until(p, generations, seed, path, again, spark)
 
 
-def qattack(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024) -> Run:
-    """Rewire nodes: greatest exp(-Q) of the communities after the change, Louvain's moves to their end from those before.
-    Typed genes: a node, one it is to be linked to and one it is to lose; fresh ones are drawn in every generation."""
-    base = materialise(C.louvain(edges, seed), "base")
+def qattack(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024, path: str | None = None, again: bool = False) -> Run:
+    """Rewire nodes: greatest exp(-Q) of the communities after the change, which every candidate has of its own. Typed
+    genes: a node, one it is to be linked to and one it is to lose; fresh ones are drawn in every generation. Reports Q."""
+    base = lasting(spark, path, "base", lambda: louvain(edges, seed))
     k = _budget(edges, rate)
-    idx = materialise(G.dense_rank_ids(G.node_set(edges), "node"), "nodes")
+    idx = scoped(lambda: G.dense_rank_ids(G.node_set(edges), "node"), "nodes")
     adj = materialise(G.adjacency(edges), "adjacency")
     gene = F.struct("node", "add_node", "remove_node").alias("gene")
 
     def draw(at: int) -> DataFrame:
-        return materialise(V.init_rewires(adj, G.sample_non_neighbors(idx, edges, 2, at), pop, k, at), "rewires")
+        return V.init_rewires(adj, G.sample_non_neighbors(idx, edges, 2, at), pop, k, at)
 
     def mutate(new: DataFrame, at: int, g: int) -> DataFrame:
-        return V.rewire_mutation(new.select("cand_id", "pos", "gene.*"), draw(at * 1000 + g), 0.1, at * 1000 + g).select("cand_id", "pos", gene)
+        return V.rewire_mutation(new.select("cand_id", "pos", "gene.*"), materialise(draw(at * 1000 + g), "rewires"), 0.1, at * 1000 + g).select("cand_id", "pos", gene)
 
-    def fit(c: DataFrame) -> DataFrame:
+    def after(c: DataFrame) -> tuple[DataFrame, DataFrame]:
         e = materialise(P.apply_rewires(edges, c), "changed")
-        return C.q_fitness(_q_of(e, materialise(C.local_moves(e, base, seed=seed), "moved"))).select("cand_id", "fitness")
+        return e, communities_after(e, P.rewire_changes(c), idx, base, seed)
 
-    metrics = lambda c: _q_of(P.apply_rewires(edges, c), base).select(F.round("q", 6).alias("q"))
-    return evolve(Problem("qattack", "max", None, k, pop, fit, metrics, 0.8, 0.1, report_every=30, init=lambda at: draw(at).select("cand_id", "pos", gene), mutate=mutate), generations, seed)
+    fit = lambda c: C.q_fitness(_q_of(*after(c))).select("cand_id", "fitness")
+    p = Problem("qattack", "max", None, k, pop, fit, lambda c: _q_of(*after(c)).select(F.round("q", 6).alias("q")), 0.8, 0.1, report_every=30, init=lambda at: draw(at).select("cand_id", "pos", gene), mutate=mutate, batch=batch_of(edges))
+    return until(p, generations, seed, path, again, spark)
 
 
-def cda_eda(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024) -> Run:
+def cda_eda(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024, iterations: int = 4, path: str | None = None, again: bool = False) -> Run:
     """Delete edges: greatest shift of distances in the walk matrix's embedding, over all pairs of nodes. Every candidate's
-    graph has an embedding of its own; all are iterated at once. Reports modularity and similarity of communities."""
+    graph has an embedding of its own, of ``iterations`` rounds; all are iterated at once. Reports modularity and similarity
+    of communities."""
     pool = _pool(edges.select("src", "dst"), F.asc("src"), F.asc("dst"))
-    base = materialise(C.lowrank_embedding(edges, 6, 4, seed).select("node", "vec"), "base")
-    comms = materialise(C.louvain(edges, seed), "communities")
+    nodes = materialise(G.node_set(edges), "nodes")
+    base = lasting(spark, path, "base", lambda: C.lowrank_embedding(edges, 6, iterations, seed).select("node", "vec"))
+    comms = lasting(spark, path, "communities", lambda: louvain(edges, seed))
 
     def fit(c: DataFrame) -> DataFrame:
         e = materialise(P.delete_edges(edges, c), "changed")
-        shift = C.distance_shift_blocks(materialise(C.lowrank_embedding(e, 6, 4, seed, ("cand_id",)), "moved"), base, keys=("cand_id",))
+        shift = C.distance_shift_blocks(materialise(C.lowrank_embedding(e, 6, iterations, seed, ("cand_id",)), "moved"), base, keys=("cand_id",))
         return c.select("cand_id").distinct().join(shift, "cand_id", "left").select("cand_id", F.coalesce("shift", F.lit(0.0)).alias("fitness"))
 
     def metrics(c: DataFrame) -> DataFrame:
         e = materialise(P.delete_edges(edges, c), "best")
-        now = materialise(C.local_moves(e, comms, seed=seed), "moved")
+        now = communities_after(e, c, nodes, comms, seed)
         return _q_of(e, now).select(F.round("q", 6).alias("q")).crossJoin(_nmi_of(now, comms).select(F.round("nmi", 6).alias("nmi")))
 
-    return evolve(Problem("cda_eda", "max", pool, _budget(edges, rate), pop, fit, metrics, 0.6, 0.2), generations, seed)
+    return until(Problem("cda_eda", "max", pool, _budget(edges, rate), pop, fit, metrics, 0.6, 0.2, batch=batch_of(edges)), generations, seed, path, again, spark)
 
 
-def _lpa(name: str, edges: DataFrame, generations: int, pop: int, rate: float, seed: int, select: str) -> Run:
+def _lpa(name: str, spark: SparkSession, edges: DataFrame, generations: int, pop: int, rate: float, seed: int, path: str | None, again: bool) -> Run:
+    """Typed genes: at a candidate's first k places deletions of train edges, at the next k additions, which are any pairs of
+    nodes that are neither train nor test edges, drawn by number and never listed."""
     split = materialise(G.edge_train_test_split(edges, 0.2, seed), "split")
     train, test = (materialise(split.where(F.col("split") == s).select("src", "dst"), s) for s in ("train", "test"))
-    n = G.node_set(edges).count()
-    non = G.non_edges(train).select("src", "dst")
-    pool = _pool(train.select(F.lit("del").alias("op"), "src", "dst").union(non.select(F.lit("add"), "src", "dst")), F.asc("op"), F.asc("src"), F.asc("dst"))
+    nodes = scoped(lambda: G.dense_rank_ids(G.node_set(edges), "node"), "nodes")
+    n, k = nodes.count(), _budget(train, rate)
+    dels = _pool(train, F.asc("src"), F.asc("dst"))
+    gene = F.struct("op", "src", "dst").alias("gene")
 
-    ra0 = materialise(L.resource_allocation(train), "ra")
-    sums = L.base_sums(train, test, ra0)
+    def fresh(at: int, times: int) -> DataFrame:
+        """cand_id, op, j, gene: of either kind ``times`` x k distinct genes a candidate, or as many as there are."""
+        most = min(times * k, dels.count())
+        gone = V.places(spark, pop, most).withColumn("idx", permuted(F.col("pos"), dels.count(), at, F.col("cand_id"), "del")).join(dels, "idx").select("cand_id", F.lit("del").alias("op"), F.col("pos").alias("j"), "src", "dst")
+        more = G.draw_pairs(nodes, edges, pop, times * k, at).select("cand_id", F.lit("add").alias("op"), F.col("pos").alias("j"), "src", "dst")
+        return materialise(gone.union(more).select("cand_id", "op", "j", gene), "fresh")
 
-    def fit(c: DataFrame) -> DataFrame:
-        e = materialise(P.apply_edge_changes(train, c), "changed")
-        return L.lpa_fitness_by_change(train, e, c, test, ra0, sums, n)
+    def init(at: int) -> DataFrame:
+        return fresh(at, 1).select("cand_id", F.when(F.col("op") == "add", F.col("j") + k).otherwise(F.col("j")).cast("int").alias("pos"), "gene")
+
+    def mutate(new: DataFrame, at: int, g: int) -> DataFrame:
+        """A mutated or a repeated gene gives way to the next fresh one of its kind that the candidate lacks."""
+        seen = F.row_number().over(W.partitionBy("cand_id", "gene").orderBy("pos"))
+        marked = new.withColumn("out", (seen > 1) | (V.u(at, g, F.col("cand_id"), F.col("pos"), "m") < 0.1)).withColumn("op", F.col("gene.op"))
+        holes = marked.where("out").withColumn("i", F.row_number().over(W.partitionBy("cand_id", "op").orderBy("pos")))
+        spare = fresh(at * 1000 + g, 2).join(new.select("cand_id", "gene"), ["cand_id", "gene"], "left_anti").withColumn("i", F.row_number().over(W.partitionBy("cand_id", "op").orderBy("j")))
+        filled = holes.join(spare.select("cand_id", "op", "i", F.col("gene").alias("new")), ["cand_id", "op", "i"], "left")
+        return marked.where("not out").select("cand_id", "pos", "gene").union(filled.select("cand_id", "pos", F.coalesce("new", "gene")))
+
+    def propose(population: DataFrame, fitness: DataFrame, at: int, g: int) -> DataFrame:
+        kinds = [population.where(F.col("gene.op") == op) for op in ("del", "add")]
+        new = [V.eda_resample(x, fitness, pop, k, at * 1000 + g, "max") for x in kinds]
+        return mutate(materialise(new[0].union(new[1].withColumn("pos", F.col("pos") + k)), "resampled"), at, g)
+
+    ra0 = scoped(lambda: L.resource_allocation(train), "ra")
+    sums = L.base_sums(train, test, ra0)
 
     def metrics(c: DataFrame) -> DataFrame:
         e = materialise(P.apply_edge_changes(train, c).select("src", "dst"), "best")
         ra = materialise(L.resource_allocation(e), "ra")
         return L.precision_at_l(ra, e, test).crossJoin(L.auc(ra, e, test, n)).select("precision", F.round("auc", 6).alias("auc"))
 
-    return evolve(Problem(name, "max", pool, _budget(train, rate), pop, fit, metrics, 0.7, 0.1, select=select, report_every=10), generations, seed)
+    p = Problem(name, "max", None, 2 * k, pop, lambda c: L.lpa_fitness_by_change(train, c, test, ra0, sums, n), metrics, 0.7, 0.1, report_every=10, init=init, mutate=mutate, propose=propose if name == "lpa_eda" else None)
+    return until(p, generations, seed, path, again, spark)
 
 
-def lpa_eda(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024) -> Run:
-    """Delete and add edges against link prediction, by estimation of distribution."""
-    return _lpa("lpa_eda", edges, generations, pop, rate, seed, "eda")
+def lpa_eda(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024, path: str | None = None, again: bool = False) -> Run:
+    """Delete and add edges against link prediction, by estimation of distribution, a kind of gene at a time."""
+    return _lpa("lpa_eda", spark, edges, generations, pop, rate, seed, path, again)
 
 
-def lpa_ga(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024) -> Run:
-    return _lpa("lpa_ga", edges, generations, pop, rate, seed, "roulette")
+def lpa_ga(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024, path: str | None = None, again: bool = False) -> Run:
+    """The same by selection and crossover."""
+    return _lpa("lpa_ga", spark, edges, generations, pop, rate, seed, path, again)
 
 
 @dataclass
@@ -428,62 +534,67 @@ def labelled(edges: DataFrame, features: DataFrame, labels: DataFrame, n_feats:
     return Labelled(edges, labels, xw, features, w)
 
 
-def _logits(g: Labelled, edges: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """cand_id, node, class, logit of each candidate's graph. ``extra``: cand_id, node of injected nodes."""
-    nodes = g.labels.select("node").crossJoin(edges.select("cand_id").distinct())
-    if extra is not None:
-        nodes = nodes.select("cand_id", "node").union(extra.select("cand_id", "node"))
-    norm = materialise(N.gcn_normalize(edges, nodes, keys=("cand_id",)), "norm")
-    z = N.propagate(g.xw, norm, 2, ("cand_id",))
-    return materialise(z.select("cand_id", "node", F.col("feat").alias("class"), F.col("value").alias("logit")), "logits")
-
-
-def nca_ga(spark: SparkSession, g: Labelled, generations: int, pop: int = 20, rate: float = 0.025, seed: int = 1024) -> Run:
-    """Delete edges so that the classifier's loss on the test split is greatest; reports accuracy."""
+def nca_ga(spark: SparkSession, g: Labelled, generations: int, pop: int = 20, rate: float = 0.025, seed: int = 1024, path: str | None = None, again: bool = False) -> Run:
+    """Delete edges so that the classifier's loss on the test split is greatest; reports accuracy and the share of the
+    split whose class changes. Only nodes within two hops of a deletion are scored anew."""
     pool = _pool(g.edges.select("src", "dst"), F.asc("src"), F.asc("dst"))
     k = max(1, int(rate * pool.count()))
+    before = N.propagated(g.edges, g.labels.select("node"), g.xw)
+    changes = lambda c: c.select("cand_id", F.lit("del").alias("op"), "src", "dst")
 
     def fit(c: DataFrame) -> DataFrame:
-        z = _logits(g, materialise(P.delete_edges(g.edges, c), "changed"))
-        return N.nll_loss(z, g.labels, "test", ("cand_id",)).select("cand_id", F.col("loss").alias("fitness"))
+        z = materialise(N.rescored(before, changes(c)), "rescored")
+        return N.loss_after(before, z, c.select("cand_id").distinct(), g.labels, "test").select("cand_id", F.col("loss").alias("fitness"))
 
-    metrics = lambda c: N.accuracy(N.predict_class(_logits(g, P.delete_edges(g.edges, c)), ("cand_id",)), g.labels, "test", ("cand_id",)).select(F.round("accuracy", 6).alias("accuracy"))
-    return evolve(Problem("nca_ga", "max", pool, k, pop, fit, metrics, 0.7, 0.3, report_every=30), generations, seed)
+    def metrics(c: DataFrame) -> DataFrame:
+        z = materialise(N.rescored(before, changes(c)), "rescored")
+        return N.attack_report(before, z, g.labels, "test")
 
+    return until(Problem("nca_ga", "max", pool, k, pop, fit, metrics, 0.7, 0.3, report_every=30), generations, seed, path, again, spark)
 
-def gani(spark: SparkSession, g: Labelled, generations: int, pop: int = 20, seed: int = 1024, rate: float = 0.05, ratio: float = 0.7, injected: int | None = None) -> Run:
+
+def gani(spark: SparkSession, g: Labelled, generations: int, pop: int = 20, seed: int = 1024, rate: float = 0.05, ratio: float = 0.7, injected: int | None = None, path: str | None = None, again: bool = False) -> Run:
     """Inject nodes (``injected``; default: rate x nodes), each with a drawn label's features, linked to nodes of other
     labels so that most test nodes are misclassified.
 
-    For each, all single links are scored in one job, a candidate a link; the first floor(ratio x links) by fitness, then
-    homophily decrease, are the pool. Its own loop resolves conflicts between rows and breaks ties of elites by homophily
-    decrease. The next node starts from the graph with it, and its labels' homophily anew. A node of one link takes the
-    best single link.
+    For each, all single links are scored in one job, a candidate a link, by what changes within two hops of it; the first
+    floor(ratio x links) by fitness, then homophily decrease, are the pool. Its own loop resolves conflicts between rows and
+    breaks ties of elites by homophily decrease. The next node starts from the graph with it, and its labels' homophily anew.
+    A node of one link takes the best single link, without a search. The history has the generations of every node's search,
+    and after each node a row of its own, named ``gani-after``, whose generation is how many nodes are injected and whose
+    metrics are accuracy and the share of test nodes whose class has changed since before the attack. ``Run.graph`` is the
+    attacked graph.
     """
-    edges, xw, labels, features, run = g.edges, g.xw, g.labels, g.features, None
-    profile = N.label_feature_profile(g.features, labels)
+    edges, xw, labels, features, run, log = g.edges, g.xw, g.labels, g.features, None, []
+    profile = materialise(N.label_feature_profile(g.features, labels), "profile")
     classes = [r["label"] for r in labels.select("label").distinct().orderBy("label").collect()]
     budgets = N.degree_budget(edges, labels.select("node"))
     count = injected if injected is not None else max(1, int(rate * labels.count()))
+    clean = scoped(lambda: N.predict_class(N.propagated(edges, labels.select("node"), xw).logits), "clean")
     for i in range(count):
+        at = f"{path}/node={i}" if path else None
         label = classes[int(spark.range(1).select(V.u(seed, i, "label")).first()[0] * len(classes))]
         drawn = budgets.orderBy(V.order(seed, i, F.col("node"))).limit(1).first()
-        new_x = N.injected_node_features(profile, g.features, label)
+        new_x = materialise(N.injected_node_features(profile, g.features, label), "injected")
         homo = materialise(N.homophily(edges, labels), "homophily")
         nodes = materialise(G.node_set(edges, labels.select("node")), "nodes")
         new_id = nodes.agg(F.max("node") + 1).first()[0]
         row = N.linear_logits(N.row_normalize_features(new_x.select(F.lit(new_id).alias("node"), "feat", "value")), g.weights.where("feat >= 0")).select("node", F.col("class").alias("feat"), F.col("logit").alias("value"))
-        h = Labelled(edges, labels, materialise(xw.union(row), "xw"), features, g.weights)
+        xw = materialise(xw.union(row), "xw")
+        before = N.propagated(edges, nodes.union(spark.createDataFrame([(new_id,)], nodes.schema)), xw)  # the new node alone
+
+        def fit(c: DataFrame, before=before, labels=labels, new_id=new_id) -> DataFrame:
+            links = c.select("cand_id", F.lit("add").alias("op"), F.col("node").alias("src"), F.lit(new_id).alias("dst"))
+            z = materialise(N.rescored(before, links), "rescored")
+            return N.misclassified_after(before, z, c.select("cand_id").distinct(), labels, "test")
 
-        def fit(c: DataFrame, h=h, nodes=nodes, new_id=new_id) -> DataFrame:
-            e = materialise(P.inject_node(h.edges, nodes, c), "injected")
-            z = _logits(h, e, c.select("cand_id").distinct().withColumn("node", F.lit(new_id)))
-            return N.sga_fitness(N.predict_class(z, ("cand_id",)), h.labels, "test", ("cand_id",))
+        def links_pool(fit=fit, homo=homo, labels=labels, label=label) -> DataFrame:
+            links = materialise(N.potential_edges(homo, labels, label), "links")
+            single = materialise(fit(links.select((F.col("rank") - 1).cast("int").alias("cand_id"), F.lit(0).alias("pos"), "node")), "single")
+            losses = links.join(single, F.col("cand_id") == F.col("rank") - 1).select("node", F.col("fitness").cast("double").alias("loss"))
+            return N.rank_single_links(materialise(losses, "losses"), homo, ratio).select((F.col("rank") - 1).alias("idx"), "node")
 
-        links = materialise(N.potential_edges(homo, labels, label), "links")
-        single = fit(links.select((F.col("rank") - 1).cast("int").alias("cand_id"), F.lit(0).alias("pos"), "node"))
-        losses = links.join(single, F.col("cand_id") == F.col("rank") - 1).select("node", F.col("fitness").cast("double").alias("loss"))
-        pool = materialise(N.rank_single_links(materialise(losses, "losses"), homo, ratio).select((F.col("rank") - 1).alias("idx"), "node"), "pool")
+        pool = lasting(spark, at, "pool", links_pool)
         budget = max(1, min(pool.count(), int(drawn["budget"] or 1)))
 
         def survive(old, new, was, now, pool=pool, homo=homo):
@@ -496,11 +607,17 @@ def gani(spark: SparkSession, g: Labelled, generations: int, pop: int = 20, seed
             return V.resolve_conflicts(V.mutate(new, 0.2, pool.count(), at, gen), pool, at * 1000 + gen)
 
         p = Problem(f"gani{i}", "min", pool, budget, pop, fit, None, 0.6, 0.2, report_every=30, mutate=mutate, survive=survive)
-        run = evolve(p, generations if budget > 1 else 0, seed)
-        best = decode(run.population.where("cand_id = 0"), pool) if budget > 1 else pool.where("idx = 0").select(F.lit(0).alias("cand_id"), F.lit(0).alias("pos"), "node")
+        run = until(p, generations if budget > 1 else 0, seed, at, again, spark)
+        best = materialise(decode(run.population.where("cand_id = 0"), pool) if budget > 1 else pool.where("idx = 0").select(F.lit(0).alias("cand_id"), F.lit(0).alias("pos"), "node"), "best")
         features = materialise(P.inject_features(features, nodes, new_x), "features")
-        edges, xw = materialise(P.inject_node(edges, nodes, best).select("src", "dst"), "edges"), h.xw
+        edges = materialise(P.inject_node(edges, nodes, best).select("src", "dst"), "edges")
         labels = materialise(labels.union(spark.createDataFrame([(new_id, label, "injected")], labels.schema)), "labels")
+        with scope():
+            now = N.predict_class(N.propagated(edges, labels.select("node"), xw).logits)
+            report = N.accuracy(now, labels, "test").crossJoin(N.attack_success_rate(clean, now, g.labels, "test"))
+            told = report.select(F.to_json(F.struct(F.round("accuracy", 6).alias("accuracy"), F.round("asr", 6).alias("asr"))).alias("m")).first()["m"]
+        log += [*run.log, (f"gani-after-{seed}", i + 1, run.log[-1][2], run.log[-1][3], told)]
+    run.log, run.graph = log, Labelled(edges, labels, xw, features, g.weights)
     return run
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cutweave.functions.rand import u
 from cutweave.jobs import evolution as J
+from cutweave.operators.louvain import louvain as louvain_of
 from cutweave.operators import community as C, evolve as V, graph as G, linkpred as L, nodeclass as N, perturb as P, reach as R, reports as H
 from cutweave.session import materialise, new_path
 from cutweave.sources import readers as A
@@ -259,7 +260,7 @@ def two_hop_pairs(s, d):
 
 @query
 def edge_split(s, d):
-    return G.edge_train_test_split(disc(s, d), 0.2, 5)
+    return G.edge_train_test_split(whole(s, d), 0.2, 5)
 
 
 @query
@@ -295,12 +296,12 @@ def ego_features(s, d):
 
 @query
 def random_walks(s, d):
-    return G.random_walks(disc(s, d), 4, 3).select("start", "step", "node")
+    return G.random_walks(whole(s, d), 4, 3).select("start", "step", "node")
 
 
 @query
 def rwr_subgraph(s, d):
-    return G.rwr_subgraph(G.random_walks(disc(s, d), 4, 3), 4).select("start", "node", F.col("pos").cast("int").alias("pos"))
+    return G.rwr_subgraph(G.random_walks(whole(s, d), 4, 3), 4).select("start", "node", F.col("pos").cast("int").alias("pos"))
 
 
 # C: perturbations
@@ -314,7 +315,7 @@ def remove_nodes(s, d):
 
 @query
 def delete_edges(s, d):
-    e = disc(s, d)
+    e = whole(s, d)
     return P.delete_edges(e, edge_changes(s, e).where("op = 'del'"))
 
 
@@ -451,12 +452,13 @@ def modularity_candidates(s, d):
 
 @query
 def louvain(s, d):
-    return C.louvain(sparse(s, d))
+    """All order lines: single nodes, then communities, in turn to a fixed point."""
+    return louvain_of(whole(s, d), seed=1)
 
 
 @query
 def label_propagation(s, d):
-    return C.label_propagation(disc(s, d), 3)
+    return C.label_propagation(whole(s, d), 3)
 
 
 @query
@@ -522,7 +524,7 @@ def lpa_fitness(s, d):
 def affected_pairs(s, d):
     e = disc(s, d)
     changes = materialise(edge_changes(s, e), "changes")
-    return L.affected_pairs(e, L.resource_allocation(e), P.apply_edge_changes(e, changes), changes).withColumns(r6("old", "new"))
+    return L.affected_pairs(e, L.resource_allocation(e), changes).withColumns(r6("old", "new"))
 
 
 def classed(s, d):
@@ -791,7 +793,7 @@ def gene_pool_cutoff(s, d):
 
 @query
 def random_cutoff(s, d):
-    return V.random_cutoff(nodes_of(disc(s, d)), 40, 3)
+    return V.random_cutoff(nodes_of(whole(s, d)), 40, 3)
 
 
 @query
@@ -847,7 +849,7 @@ def run_trends(s, d):
 
 @query
 def benchmark_compare(s, d):
-    return H.benchmark_compare(reports(s, d)).withColumns(r6("current", "best_before", "ratio"))
+    return H.benchmark_compare(reports(s, d)).withColumns(r6("ratio", "best_iter_avg_ms", "best_iter_seconds"))
 
 
 @query
@@ -857,8 +859,10 @@ def trends_with_regressions(s, d):
     return H.run_trends(rows.join(H.benchmark_compare(rows).select("run_id", "regressed"), "run_id"), 0).select("key", "runs", "regressions")
 
 
-def histories(s, d, parity: int):
-    e = table(s, d, "events").where(F.col("event_id") % 2 == parity)
+def histories(s, d, parity: int | None = None):
+    """A row an id; old (parity 0) and new rows (1), or all."""
+    e = table(s, d, "events")
+    e = e if parity is None else e.where(F.col("event_id") % 2 == parity)
     return e.groupBy((F.col("user_id") * 10 + F.length("event_type")).alias("id")).agg(F.max("event_id").alias("created_at"), F.max_by("value", "event_id").alias("best_score"))
 
 
@@ -869,7 +873,7 @@ def upsert_history(s, d):
 
 @query
 def page_history(s, d):
-    return H.page_history(histories(s, d, 0), 20, 40)
+    return H.page_history(histories(s, d), 20, 40)
 
 
 @query
@@ -887,7 +891,6 @@ def latest_state(s, d):
 def resource_rows(s, d):
     gpu = F.struct(F.col("event_id").alias("gid"), F.when(F.col("event_type") != "error", F.get_json_object("props", "$.k").cast("double")).alias("util"))
     e = table(s, d, "events").groupBy(F.col("user_id").alias("server")).agg(F.round(F.avg("value"), 4).alias("cpu"), F.max("value").alias("memory"), F.array_sort(F.collect_list(gpu)).alias("gpus"))
-    e = e.withColumn("gpus", F.when(F.col("server") % 7 != 0, F.filter("gpus", lambda g: g["gid"] % 3 == 0)))
     return H.resource_rows(e).withColumns(r6("gpu_util"))
 
 
@@ -1016,6 +1019,6 @@ def _job(name, **more):
 
 
 #: What a search has beside its two generations: the small searches for a pool, and the nodes to inject.
-MORE = {"cutoff": {"pool_runs": 2, "pool_generations": 2}, "gani": {"injected": 1}}
+MORE = {"cutoff": {"pool_runs": 2, "pool_generations": 2}, "gani": {"injected": 2}}
 for _name in J.JOBS:
     _job(_name, generations=2, **MORE.get(_name, {}))

@@ -1,4 +1,5 @@
-"""Communities: modularity, partition similarity, label propagation, Louvain, and the walk matrix with its embedding."""
+"""Communities: modularity, partition similarity, label propagation, and the walk matrix with its embedding. Louvain is in
+``louvain``."""
 
 from __future__ import annotations
 
@@ -50,92 +51,6 @@ def label_propagation(edges: DataFrame, rounds: int) -> DataFrame:
     return now
 
 
-def louvain(edges: DataFrame, seed: int = 0, rounds: int = 6, levels: int = 4, start: DataFrame | None = None) -> DataFrame:
-    """node, comm by synchronous multilevel Louvain, the same for the same seed.
-
-    In a round a node whose hash falls under one half moves to the neighbouring community of the greatest gain, if that
-    beats staying by 1e-12; ties go to the lesser community. After each level communities become nodes. A level whose
-    modularity isn't better is undone. ``start``: node, comm to begin from; without it a few rounds of label propagation,
-    so the result is never worse than theirs.
-    """
-    if start is None:
-        start = label_propagation(edges, 4)
-    w = materialise(adjacency(edges.where("src <> dst")).withColumn("w", F.lit(1.0)), "louvain")
-    member = materialise(start.select("node", "comm"), "louvain")
-    m2 = w.agg(F.sum("w")).first()[0] or 0.0
-    if not m2:
-        return member
-    w = _contract(w, member)
-    best = _quality(w, w.select(F.col("src").alias("node")).distinct().withColumn("comm", F.col("node")), m2)
-    for level in range(levels):
-        degree = materialise(w.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "louvain")
-        comm = degree.select("node", F.col("node").alias("comm"))
-        for r in range(rounds):
-            full = comm.join(degree, "node")
-            total = full.groupBy("comm").agg(F.sum("k").alias("tot"))
-            to = w.where("src <> dst").join(comm.select(F.col("node").alias("dst"), F.col("comm").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("w").alias("kin"))
-            own = full.select("node", F.col("comm").alias("to"), F.lit(0.0).alias("kin"))
-            c = to.union(own).groupBy("node", "to").agg(F.sum("kin").alias("kin")).join(full, "node").join(total.withColumnRenamed("comm", "to"), "to")
-            others = F.col("tot") - F.when(F.col("to") == F.col("comm"), F.col("k")).otherwise(0.0)
-            c = c.withColumn("gain", F.col("kin") / (m2 / 2) - F.col("k") * others / (m2 * m2 / 2))
-            pick = c.groupBy("node").agg(F.max_by("to", F.struct(F.round("gain", 12), -F.col("to"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("to") == F.col("comm"), F.col("gain"))).alias("stay"), F.first("comm").alias("comm"))
-            move = (F.col("gain") > F.col("stay") + 1e-12) & (u(seed, F.col("node"), level, r) < 0.5)
-            new = materialise(pick.select("node", F.when(move, F.col("to")).otherwise(F.col("comm")).alias("comm"), move.alias("moved")), "louvain")
-            still = new.where("moved").isEmpty()
-            comm = new.select("node", "comm")
-            if still:
-                break
-        q = _quality(w, comm, m2)
-        if q <= best + 1e-12:
-            break
-        best = q
-        member = materialise(member.withColumnRenamed("comm", "_c").join(comm.withColumnRenamed("node", "_c"), "_c").select("node", "comm"), "louvain")
-        w = _contract(w, comm)
-    return member
-
-
-def local_moves(edges: DataFrame, start: DataFrame, keys: tuple[str, ...] = ("cand_id",), seed: int = 0, rounds: int = 10) -> DataFrame:
-    """keys, node, comm: Louvain's moves of single nodes from the partition ``start`` (node, comm) to a fixed point, or
-    ``rounds``, for all the graphs of ``edges`` (keys, src, dst) at once.
-
-    As in ``louvain``, half of the nodes move in a round, to the neighbouring community of the greatest gain. A node that
-    ``start`` lacks begins alone.
-    """
-    k = list(keys)
-    a = materialise(adjacency(edges.where("src <> dst"), keys), "moves")
-    degree = materialise(a.groupBy(*k, F.col("src").alias("node")).agg(F.count("*").cast("double").alias("k")), "moves")
-    m2 = degree.groupBy(*k).agg(F.sum("k").alias("m2"))
-    comm = materialise(degree.join(start.select("node", "comm"), "node", "left").select(*k, "node", F.coalesce("comm", "node").alias("comm")), "moves")
-    for r in range(rounds):
-        full = comm.join(degree, [*k, "node"])
-        total = full.groupBy(*k, "comm").agg(F.sum("k").alias("tot"))
-        to = a.join(comm.select(*k, F.col("node").alias("dst"), F.col("comm").alias("to")), [*k, "dst"]).groupBy(*k, F.col("src").alias("node"), "to").agg(F.count("*").cast("double").alias("kin"))
-        own = full.select(*k, "node", F.col("comm").alias("to"), F.lit(0.0).alias("kin"))
-        c = to.union(own).groupBy(*k, "node", "to").agg(F.sum("kin").alias("kin")).join(full, [*k, "node"]).join(total.withColumnRenamed("comm", "to"), [*k, "to"]).join(F.broadcast(m2), k)
-        others = F.col("tot") - F.when(F.col("to") == F.col("comm"), F.col("k")).otherwise(0.0)
-        c = c.withColumn("gain", F.col("kin") / (F.col("m2") / 2) - F.col("k") * others / (F.col("m2") * F.col("m2") / 2))
-        pick = c.groupBy(*k, "node").agg(F.max_by("to", F.struct(F.round("gain", 12), -F.col("to"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("to") == F.col("comm"), F.col("gain"))).alias("stay"), F.first("comm").alias("comm"))
-        better = F.col("gain") > F.col("stay") + 1e-12
-        move = better & (u(seed, F.col("node"), r) < 0.5)
-        new = materialise(pick.select(*k, "node", F.when(move, F.col("to")).otherwise(F.col("comm")).alias("comm"), better.alias("better")), "moves")
-        comm = new.select(*k, "node", "comm")
-        if new.where("better").isEmpty():
-            break
-    return comm
-
-
-def _contract(w: DataFrame, comm: DataFrame) -> DataFrame:
-    a, b = comm.select(F.col("node").alias("src"), F.col("comm").alias("a")), comm.select(F.col("node").alias("dst"), F.col("comm").alias("b"))
-    return materialise(w.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), "louvain")
-
-
-def _quality(w: DataFrame, comm: DataFrame, m2: float) -> float:
-    a, b = comm.select(F.col("node").alias("src"), F.col("comm").alias("a")), comm.select(F.col("node").alias("dst"), F.col("comm").alias("b"))
-    e = w.join(a, "src").join(b, "dst")
-    r = e.groupBy("a").agg(F.sum("w").alias("d"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("i"))
-    return r.agg(F.sum(F.col("i") / m2 - F.pow(F.col("d") / m2, 2))).first()[0] or 0.0
-
-
 def walk_matrix(edges: DataFrame) -> DataFrame:
     """row, col, value of M = (P + P^2) / 2 with P = A / (degree + 1)."""
     a = adjacency(edges.where("src <> dst"))
@@ -248,20 +163,6 @@ def inside_edges(edges: DataFrame, comms: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").where("a = b").select("src", "dst")
 
 
-def draw_between(wanted: DataFrame, nodes_idx: DataFrame, edges: DataFrame, comms: DataFrame, seed: int, tries: int = 8) -> DataFrame:
-    """cand_id, pos, src, dst: for each of ``wanted`` (cand_id, pos) the first of ``tries`` random pairs of nodes that are in
-    different communities and not linked; none where no try is. Any such pair can be drawn; none are listed."""
-    n = F.broadcast(nodes_idx.agg(F.count("*").alias("n")))
-    t = wanted.select("cand_id", "pos").crossJoin(n).withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    at = lambda end: F.floor(u(seed, F.col("cand_id"), F.col("pos"), F.col("try"), end) * F.col("n")).cast("long")
-    t = t.withColumn("i", at("i")).withColumn("j", at("j")).where("i <> j")
-    ends = nodes_idx.join(comms.select("node", "comm"), "node")
-    x, y = (ends.select(F.col("idx").alias(c), F.col("node").alias(f"n{c}"), F.col("comm").alias(f"c{c}")) for c in ("i", "j"))
-    t = t.join(x, "i").join(y, "j").where("ci <> cj").select("cand_id", "pos", "try", F.least("ni", "nj").alias("src"), F.greatest("ni", "nj").alias("dst"))
-    free = t.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
-    return free.groupBy("cand_id", "pos").agg(F.min_by(F.struct("src", "dst"), "try").alias("p")).select("cand_id", "pos", "p.src", "p.dst")
-
-
 def community_edge_pools(edges: DataFrame, comms: DataFrame, seed: int, per_node: int = 2) -> tuple[DataFrame, DataFrame]:
     """(edges inside a community; hash-picked pairs of nodes in different ones that aren't linked)."""
     from cutweave.operators.graph import dense_rank_ids, sample_non_neighbors

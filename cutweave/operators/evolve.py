@@ -10,19 +10,27 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from cutweave.functions.rand import order, u
+from cutweave.functions.rand import order, permuted, u
+from cutweave.operators.graph import dense_rank_ids, rank_by
+from cutweave.session import materialise
 
 
 def cand_ids(spark: SparkSession, pop: int) -> DataFrame:
     return spark.range(pop).select(F.col("id").cast("int").alias("cand_id"))
 
 
+def places(spark: SparkSession, pop: int, budget: int) -> DataFrame:
+    """cand_id, pos of every gene."""
+    return cand_ids(spark, pop).select("cand_id", F.explode(F.sequence(F.lit(0), F.lit(budget - 1))).alias("pos"))
+
+
 def init_population(pool: DataFrame, pop: int, budget: int, seed: int) -> DataFrame:
-    """cand_id, pos, gene: ``budget`` distinct genes of the pool (idx) a candidate, the first in its hash order. Work is
-    pop x pool; for a pool of many million, ``draw_population``."""
-    c = cand_ids(pool.sparkSession, pop).crossJoin(pool.select(F.col("idx").alias("gene")))
-    r = F.row_number().over(W.partitionBy("cand_id").orderBy(order(seed, F.col("cand_id"), F.col("gene"), "init"))) - 1
-    return c.withColumn("pos", r).where(F.col("pos") < budget).select("cand_id", "pos", "gene")
+    """cand_id, pos, gene: ``budget`` distinct genes of the pool (idx from 0 without gaps) a candidate: the first of a
+    permutation of its own, so the pool is counted, not listed. A budget beyond the pool repeats it in the same order."""
+    n = pool.count()
+    if not n:
+        return places(pool.sparkSession, pop, budget).withColumn("gene", F.lit(0).cast("long")).limit(0)
+    return places(pool.sparkSession, pop, budget).withColumn("gene", permuted(F.col("pos") % n, n, seed, F.col("cand_id"), "init"))
 
 
 def draw_population(spark: SparkSession, n: int, pop: int, budget: int, seed: int) -> DataFrame:
@@ -40,28 +48,41 @@ def filled(drawn: DataFrame, pop: int, budget: int, n: int, seed: int) -> DataFr
     return places.join(drawn, ["cand_id", "pos"], "left").select("cand_id", "pos", F.coalesce("gene", more).alias("gene"))
 
 
+def _numbered(edges: DataFrame) -> DataFrame:
+    return rank_by(edges.select("src", "dst"), F.asc("src"), F.asc("dst")).select((F.col("rank") - 1).alias("idx"), "src", "dst")
+
+
+def _drawn(at: DataFrame, pool: DataFrame, seed: int, op: str) -> DataFrame:
+    """The edges of a numbered pool at the places ``at`` (cand_id, pos) of each candidate's permutation of it."""
+    n = pool.count()
+    if not n:
+        return at.where("false").select("cand_id", F.lit(op).alias("op"), "pos", F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"))
+    idx = permuted(F.col("pos"), n, seed, F.col("cand_id"), op)
+    return at.where(F.col("pos") < n).withColumn("idx", idx).join(pool, "idx").select("cand_id", F.lit(op).alias("op"), "pos", "src", "dst")
+
+
 def init_edge_population(dels: DataFrame, adds: DataFrame, pop: int, budget: int, seed: int) -> DataFrame:
-    """cand_id, op, src, dst: floor(u budget) additions, and deletions for the rest, each the first in hash order."""
-    c = cand_ids(dels.sparkSession, pop).withColumn("n_add", F.floor(u(seed, F.col("cand_id"), "mix") * budget))
-    rows = c.crossJoin(dels.select(F.lit("del").alias("op"), "src", "dst").union(adds.select(F.lit("add").alias("op"), "src", "dst")))
-    r = F.row_number().over(W.partitionBy("cand_id", "op").orderBy(order(seed, F.col("cand_id"), F.col("op"), F.col("src"), F.col("dst"))))
-    return rows.withColumn("r", r).where(F.col("r") <= F.when(F.col("op") == "add", F.col("n_add")).otherwise(budget - F.col("n_add"))).select("cand_id", "op", "src", "dst")
+    """cand_id, op, src, dst: floor(u budget) additions, and deletions for the rest, each the first of a permutation of the
+    candidate's own. Pools are numbered over ranges; no candidate lists one."""
+    at = places(dels.sparkSession, pop, budget).withColumn("n_add", F.floor(u(seed, F.col("cand_id"), "mix") * budget))
+    add = _drawn(at.where("pos < n_add").drop("n_add"), _numbered(adds), seed, "add")
+    rest = _drawn(at.where(F.col("pos") < budget - F.col("n_add")).drop("n_add"), _numbered(dels), seed, "del")
+    return add.union(rest).select("cand_id", "op", "src", "dst")
 
 
 def init_link_population(train: DataFrame, non_edges: DataFrame, pop: int, budget: int, seed: int) -> DataFrame:
-    """cand_id, op, pos, src, dst: ``budget`` deletions from train and ``budget`` additions from non-edges."""
-    c = cand_ids(train.sparkSession, pop)
-    rows = c.crossJoin(train.select(F.lit("del").alias("op"), "src", "dst").union(non_edges.select(F.lit("add").alias("op"), "src", "dst")))
-    r = F.row_number().over(W.partitionBy("cand_id", "op").orderBy(order(seed, F.col("cand_id"), F.col("op"), F.col("src"), F.col("dst")))) - 1
-    return rows.withColumn("pos", r).where(F.col("pos") < budget).select("cand_id", "op", "pos", "src", "dst")
+    """cand_id, op, pos, src, dst: ``budget`` deletions from train and ``budget`` additions from non-edges, likewise."""
+    at = places(train.sparkSession, pop, budget)
+    return _drawn(at, _numbered(train), seed, "del").union(_drawn(at, _numbered(non_edges), seed, "add"))
 
 
 def init_rewires(adj: DataFrame, non_nbrs: DataFrame, pop: int, budget: int, seed: int) -> DataFrame:
-    """cand_id, pos, node, add_node, remove_node: nodes in hash order; each with its least neighbour and non-neighbour by
-    hash. ``adj``: src, dst both ways; ``non_nbrs``: node, nbr."""
-    pool = adj.select(F.col("src").alias("node")).join(non_nbrs.select("node"), "node", "left_semi").distinct()
-    c = cand_ids(adj.sparkSession, pop).crossJoin(pool)
-    c = c.withColumn("pos", F.row_number().over(W.partitionBy("cand_id").orderBy(order(seed, F.col("cand_id"), F.col("node")))) - 1).where(F.col("pos") < budget)
+    """cand_id, pos, node, add_node, remove_node: distinct nodes, the first of a candidate's permutation of those that have
+    both; each with its least neighbour and non-neighbour by hash. ``adj``: src, dst both ways; ``non_nbrs``: node, nbr."""
+    pool = dense_rank_ids(adj.select(F.col("src").alias("node")).join(non_nbrs.select("node"), "node", "left_semi").distinct(), "node")
+    n = pool.count()
+    at = places(adj.sparkSession, pop, budget).where(F.col("pos") < n)
+    c = at.withColumn("idx", permuted(F.col("pos"), max(n, 1), seed, F.col("cand_id"), "node")).join(pool, "idx").select("cand_id", "pos", "node")
     pick = lambda df, out, tag: c.join(df, "node").groupBy("cand_id", "node").agg(F.min_by("other", order(seed, F.col("cand_id"), F.col("node"), F.col("other"), tag)).alias(out))
     rem = pick(adj.select(F.col("src").alias("node"), F.col("dst").alias("other")), "remove_node", "rem")
     add = pick(non_nbrs.select("node", F.col("nbr").alias("other")), "add_node", "add")
@@ -145,14 +166,25 @@ def rewire_mutation(rewires: DataFrame, fresh: DataFrame, rate: float, seed: int
     return j.select("cand_id", "pos", F.when(all3, F.col("n3")).otherwise(F.col("node")).alias("node"), F.when(all3, F.col("a3")).when(is_k(1) & F.col("a2").isNotNull(), F.col("a2")).otherwise(F.col("add_node")).alias("add_node"), F.when(all3, F.col("r3")).when(is_k(2) & F.col("r2").isNotNull(), F.col("r2")).otherwise(F.col("remove_node")).alias("remove_node"))
 
 
+def _unused(wanted: DataFrame, pop: DataFrame, n: int, *key) -> DataFrame:
+    """cand_id, gene, j: genes of 0..n-1 that a candidate of ``wanted`` (cand_id, k: so many places of its permutation are
+    looked at) lacks, j their place. Of the first a + b places at most b are taken by b used genes."""
+    j = wanted.where("k > 0").select("cand_id", F.explode(F.sequence(F.lit(0), F.least(F.col("k"), F.lit(n)).cast("int") - 1)).alias("j"))
+    return j.withColumn("gene", permuted(F.col("j"), n, *key)).join(pop.select("cand_id", "gene").distinct(), ["cand_id", "gene"], "left_anti")
+
+
 def repair_duplicates(pop: DataFrame, pool: DataFrame, seed: int, generation: int = 0) -> DataFrame:
-    """Distinct genes in a candidate: the i-th repeated one (by pos) is replaced by the i-th unused gene in hash order. A
-    pool with too few unused genes leaves the rest repeated. Only candidates with repeats look at the pool."""
+    """Distinct genes in a candidate: the i-th repeated one (by pos) is replaced by the i-th unused gene of a permutation of
+    the pool (idx from 0 without gaps), of which as many places are looked at as the candidate has genes. A pool with too
+    few unused genes leaves the rest repeated. Genes beyond the pool count as used."""
+    n = pool.count()
     p = pop.withColumn("n", F.row_number().over(W.partitionBy("cand_id", "gene").orderBy("pos")))
+    if not n:
+        return p.select("cand_id", "pos", "gene")
     holes = p.where("n > 1").withColumn("i", F.row_number().over(W.partitionBy("cand_id").orderBy("pos")))
-    need = holes.groupBy("cand_id").agg(F.max("i").alias("need"))
-    free = need.crossJoin(pool.select(F.col("idx").alias("gene"))).join(pop.select("cand_id", "gene"), ["cand_id", "gene"], "left_anti")
-    free = free.withColumn("i", F.row_number().over(W.partitionBy("cand_id").orderBy(order(seed, generation, F.col("cand_id"), F.col("gene"), "rep")))).where("i <= need")
+    wanted = p.groupBy("cand_id").agg(F.count("*").alias("k"), F.count_if(F.col("n") > 1).alias("need")).where("need > 0")
+    free = _unused(wanted, pop, n, seed, generation, F.col("cand_id"), "rep")
+    free = free.withColumn("i", F.row_number().over(W.partitionBy("cand_id").orderBy("j")))
     fixed = holes.select("cand_id", "pos", "gene", "i").join(free.select("cand_id", "i", F.col("gene").alias("g")), ["cand_id", "i"], "left")
     return p.where("n = 1").select("cand_id", "pos", "gene").union(fixed.select("cand_id", "pos", F.coalesce("g", "gene")))
 
@@ -229,34 +261,40 @@ def sga_elitism(old: DataFrame, new: DataFrame, side: str, pop: int, genes: Data
 
 def resolve_conflicts(pop: DataFrame, pool: DataFrame, seed: int) -> DataFrame:
     """Distinct genes within a row, then distinct rows: of rows that have the same set of genes all but the first get
-    their first gene redrawn from those they lack."""
+    their first gene redrawn from those they lack, by a permutation of the pool."""
+    n = pool.count()
     p = repair_duplicates(pop, pool, seed)
-    sets = p.groupBy("cand_id").agg(F.array_sort(F.collect_list("gene")).alias("s")).withColumn("n", F.row_number().over(W.partitionBy("s").orderBy("cand_id"))).where("n > 1").select("cand_id", "n")
-    free = sets.crossJoin(pool.select(F.col("idx").alias("g"))).join(p.select("cand_id", F.col("gene").alias("g")), ["cand_id", "g"], "left_anti")
-    new = free.groupBy("cand_id").agg(F.min_by("g", order(seed, F.col("cand_id"), F.col("g"), "conf")).alias("g"))
+    if not n:
+        return p
+    sets = p.groupBy("cand_id").agg(F.array_sort(F.collect_list("gene")).alias("s")).withColumn("n", F.row_number().over(W.partitionBy("s").orderBy("cand_id"))).where("n > 1")
+    free = _unused(sets.select("cand_id", (F.size("s") + 1).alias("k")), p, n, seed, F.col("cand_id"), "conf")
+    new = free.groupBy("cand_id").agg(F.min_by("gene", "j").alias("g"))
     return p.join(new, "cand_id", "left").select("cand_id", "pos", F.when((F.col("pos") == 0) & F.col("g").isNotNull(), F.col("g")).otherwise(F.col("gene")).alias("gene"))
 
 
+def _first(rows: DataFrame, size: int, *order_by) -> DataFrame:
+    """node, idx of the first ``size`` in order, ranked over ranges."""
+    return rank_by(rows, *order_by).where(F.col("rank") <= size).select("node", (F.col("rank") - 1).cast("long").alias("idx"))
+
+
 def gene_pool_cutoff(best: DataFrame, rank: DataFrame, size: int) -> DataFrame:
     """node, idx: half of ``size`` by frequency in the best rows (cand_id, node), ties by node, then by degree rank."""
-    f = best.groupBy("node").agg(F.count("*").alias("n")).withColumn("idx", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "node")) - 1).where(F.col("idx") < size // 2).select("node", "idx")
-    return _fill(f, rank, size)
+    return _fill(_first(best.groupBy("node").agg(F.count("*").alias("n")), size // 2, F.desc("n"), F.asc("node")), rank, size)
 
 
 def _fill(chosen: DataFrame, rank: DataFrame, size: int) -> DataFrame:
     """The chosen, then nodes in order of rank that aren't. Of rank, the first 2 x size can matter at most."""
-    rest = rank.where(F.col("rank") <= 2 * size).join(chosen, "node", "left_anti").crossJoin(F.broadcast(chosen.agg(F.count("*").alias("c"))))
-    rest = rest.withColumn("idx", F.col("c") + F.row_number().over(W.partitionBy(F.lit(0)).orderBy("rank")) - 1).where(F.col("idx") < size)
-    return chosen.select("node", F.col("idx").cast("long").alias("idx")).union(rest.select("node", F.col("idx").cast("long")))
+    chosen = materialise(chosen, "chosen")
+    c = chosen.count()
+    rest = rank.where(F.col("rank") <= 2 * size).select("node", F.col("rank").alias("_by")).join(chosen, "node", "left_anti")
+    return chosen.select("node", "idx").union(_first(rest, size - c, F.asc("_by")).select("node", (F.col("idx") + c).cast("long").alias("idx")))
 
 
 def random_cutoff(nodes: DataFrame, size: int, seed: int) -> DataFrame:
     """node, idx: the first ``size`` nodes in hash order."""
-    top = nodes.select("node", order(seed, F.col("node"), "pool").alias("k")).orderBy("k").limit(size)
-    return top.select("node", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("k")) - 1).cast("long").alias("idx"))
+    return _first(nodes.select("node", order(seed, F.col("node"), "pool").alias("_k")), size, F.asc("_k"))
 
 
 def reach_cutoff(reach: DataFrame, rank: DataFrame, size: int) -> DataFrame:
     """node, idx: half of ``size`` by reach (node, reach), ties by node, then by degree rank."""
-    top = reach.orderBy(F.desc("reach"), "node").limit(size // 2)
-    return _fill(top.select("node", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("reach"), "node")) - 1).alias("idx")), rank, size)
+    return _fill(_first(reach.select("node", "reach"), size // 2, F.desc("reach"), F.asc("node")), rank, size)

@@ -6,10 +6,12 @@ key's partition; nothing gathers a node's neighbours but where the result itself
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cutweave.functions.rand import order, u
+from cutweave.functions.rand import order, permuted, u
 from cutweave.session import materialise
 
 
@@ -137,6 +139,45 @@ def non_edges_from(edges: DataFrame, nodes: DataFrame, queries: DataFrame, block
     return pairs.join(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")), ["src", "dst"], "left_anti").distinct()
 
 
+def unranked(number: Column) -> tuple[Column, Column]:
+    """(i, j), i < j, of a pair's number j (j - 1) / 2 + i, exact for every long whose pairs are longs."""
+    j = F.floor((1 + F.sqrt(1 + 8 * number.cast("double"))) / 2).cast("long")
+    first = lambda x: F.when(x % 2 == 0, (x / 2).cast("long") * (x - 1)).otherwise(x * ((x - 1) / 2).cast("long"))
+    j = F.when(first(j) > number, j - 1).when(first(j + 1) <= number, j + 1).otherwise(j)
+    return number - first(j), j
+
+
+def draw_pairs(nodes_idx: DataFrame, edges: DataFrame, pop: int, each: int, seed: int, accept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """cand_id, pos, src < dst: for each candidate the first ``each`` pairs of nodes, in its own permutation of all pairs'
+    numbers, that aren't linked by ``edges`` and that ``accept`` (a filter of rows with src, dst) lets pass; fewer only where
+    no more exist. ``nodes_idx``: node, idx. Pairs at any distance are drawn; none are listed: a round looks at as many
+    numbers as are wanted, and the next, for candidates that are short, at twice as many."""
+    n = nodes_idx.count()
+    every = n * (n - 1) // 2
+    spark = nodes_idx.sparkSession
+    want = spark.range(pop).select(F.col("id").cast("int").alias("cand_id"))
+    held, lo, step = None, 0, each + 16
+    x, y = (nodes_idx.select(F.col("idx").alias(c), F.col("node").alias(f"n{c}")) for c in ("i", "j"))
+    while lo < every and each > 0:
+        hi = min(every, lo + step)
+        t = want.select("cand_id", F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi - 1).cast("long"))).alias("k"))
+        i, j = unranked(F.col("number"))
+        t = t.withColumn("number", permuted(F.col("k"), every, seed, F.col("cand_id"), "pair")).select("cand_id", "k", i.alias("i"), j.alias("j"))
+        t = t.join(x, "i").join(y, "j").select("cand_id", "k", F.least("ni", "nj").alias("src"), F.greatest("ni", "nj").alias("dst"))
+        t = t.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+        t = materialise((accept(t) if accept else t).select("cand_id", "k", "src", "dst"), "pairs")
+        held = t if held is None else held.union(t)
+        full = held.groupBy("cand_id").count().where(F.col("count") >= each)
+        want = materialise(want.join(full, "cand_id", "left_anti"), "short")
+        if want.isEmpty():
+            break
+        lo, step = hi, 2 * step
+    if held is None:
+        return want.select("cand_id", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst")).limit(0)
+    pos = F.row_number().over(W.partitionBy("cand_id").orderBy("k")) - 1
+    return held.withColumn("pos", pos).where(F.col("pos") < each).select("cand_id", "pos", "src", "dst")
+
+
 def count_non_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return graph_stats(edges.where("src <> dst"), 0.1, 0.1, nodes).select((F.col("n") * (F.col("n") - 1) / 2 - F.col("m")).cast("long").alias("non_edges"))
 

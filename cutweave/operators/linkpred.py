@@ -102,17 +102,25 @@ def lpa_fitness(edges: DataFrame, original: DataFrame, changes: DataFrame, test:
     return j.select("cand_id", F.exp(-(F.col("st") / max(n_t, 1) - F.col("sn") / size - ratio * reach)).alias("fitness"))
 
 
-def affected_pairs(edges: DataFrame, scores: DataFrame, changed: DataFrame, changes: DataFrame) -> DataFrame:
-    """cand_id, src, dst, old, new of the pairs whose score a candidate's changes alter, nulls meaning 0.
+def affected_pairs(edges: DataFrame, scores: DataFrame, changes: DataFrame) -> DataFrame:
+    """cand_id, src, dst, old, new of the pairs whose score a candidate's changes (cand_id, op, src, dst; deletions come
+    first) alter, nulls meaning 0. ``edges`` and ``scores`` are the original graph's.
 
-    ``edges`` and ``scores`` are the original graph's; ``changed`` the candidates' graphs. A changed edge alters the
-    wedges about its two ends alone, so only those pivots are counted anew, before and after: new = old - before + after.
+    A changed edge alters the wedges about its two ends alone. Only those pivots are joined to the graph, and only their arms
+    and degrees are taken, before and after: new = old - before + after. No candidate's whole graph is made.
     """
-    pivots = changes.select("cand_id", F.explode(F.array("src", "dst")).alias("w")).distinct()
-    keys = ("cand_id",)
-    before = _wedges(edges.crossJoin(changes.select("cand_id").distinct()), keys, pivots).select("cand_id", "src", "dst", (-F.col("part")).alias("part"))
-    after = _wedges(changed, keys, pivots).select("cand_id", "src", "dst", "part")
-    delta = before.union(after).groupBy("cand_id", "src", "dst").agg(F.sum("part").alias("delta")).where("abs(delta) > 1e-12")
+    both = lambda t: t.select("cand_id", "op", F.explode(F.array(F.struct(F.col("src").alias("w"), F.col("dst").alias("x")), F.struct(F.col("dst").alias("w"), F.col("src").alias("x")))).alias("e")).select("cand_id", "op", "e.w", "e.x").where("w <> x").distinct()
+    moved = both(changes)
+    pivots = moved.select("cand_id", "w").distinct()
+    before = adjacency(edges.where("src <> dst")).select(F.col("src").alias("w"), F.col("dst").alias("x")).join(pivots, "w").select("cand_id", "w", "x")
+    after = before.join(moved.where("op = 'del'").drop("op"), ["cand_id", "w", "x"], "left_anti").union(moved.where("op = 'add'").select("cand_id", "w", "x")).distinct()
+
+    def wedges(arms: DataFrame, sign: int) -> DataFrame:
+        d = arms.groupBy("cand_id", "w").agg((F.lit(float(sign)) / F.count("*")).alias("part"))
+        left = arms.join(d, ["cand_id", "w"]).select("cand_id", "w", F.col("x").alias("src"), "part")
+        return left.join(arms.withColumnRenamed("x", "dst"), ["cand_id", "w"]).where("src < dst").select("cand_id", "src", "dst", "part")
+
+    delta = wedges(before, -1).union(wedges(after, 1)).groupBy("cand_id", "src", "dst").agg(F.sum("part").alias("delta")).where("abs(delta) > 1e-12")
     return delta.join(scores, ["src", "dst"], "left").select("cand_id", "src", "dst", F.coalesce("score", F.lit(0.0)).alias("old"), (F.coalesce("score", F.lit(0.0)) + F.col("delta")).alias("new"))
 
 
@@ -124,13 +132,13 @@ def base_sums(train: DataFrame, test: DataFrame, scores: DataFrame) -> tuple[flo
     return float(st or 0.0), float(sn or 0.0)
 
 
-def lpa_fitness_by_change(train: DataFrame, changed: DataFrame, changes: DataFrame, test: DataFrame, scores: DataFrame, sums: tuple[float, float], nodes: int) -> DataFrame:
+def lpa_fitness_by_change(train: DataFrame, changes: DataFrame, test: DataFrame, scores: DataFrame, sums: tuple[float, float], nodes: int) -> DataFrame:
     """cand_id, fitness: ``lpa_fitness`` with a ratio of 0, from the ``scores`` of the graph before and their ``base_sums``:
     only pairs whose score a candidate alters, and its changed pairs, are looked at."""
     pairs = ["src", "dst"]
     c = changes.select("cand_id", "op", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     moved = c.groupBy("cand_id", *pairs).agg(F.max((F.col("op") == "del").cast("int")).alias("d"), F.max((F.col("op") == "add").cast("int")).alias("a"))
-    delta = affected_pairs(train, scores, changed, changes)
+    delta = affected_pairs(train, scores, changes)
     rows = delta.join(moved, ["cand_id", *pairs], "full").join(scores, pairs, "left").fillna(0, ["d", "a"])
     rows = rows.withColumn("old", F.coalesce("old", "score", F.lit(0.0))).withColumn("new", F.coalesce("new", "old"))
     mark = lambda t, name: t.select(*pairs).distinct().withColumn(name, F.lit(1))
@@ -146,5 +154,5 @@ def lpa_fitness_by_change(train: DataFrame, changed: DataFrame, changes: DataFra
     known = train.select(*pairs).union(test.select(*pairs)).distinct().count()
     n_t = max(test.count(), 1)
     size = F.lit(nodes * (nodes - 1) // 2 - known) + F.coalesce("size", F.lit(0))
-    all_of = changed.select("cand_id").distinct().join(per, "cand_id", "left").fillna(0.0, ["st", "sn"])
+    all_of = changes.select("cand_id").distinct().join(per, "cand_id", "left").fillna(0.0, ["st", "sn"])
     return all_of.select("cand_id", F.exp(-((F.col("st") + sums[0]) / n_t - (F.col("sn") + sums[1]) / size)).alias("fitness"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cutweave.operators.graph import adjacency, degrees, rank_by
@@ -141,3 +143,95 @@ def rank_single_links(losses: DataFrame, homo: DataFrame, ratio: float) -> DataF
     r = rank_by(losses.join(homo.select("node", F.round("decrease", 9).alias("decrease")), "node"), F.asc("loss"), F.desc("decrease"), F.asc("node"))
     n = r.agg(F.floor(F.count("*") * ratio).alias("k"))
     return r.crossJoin(F.broadcast(n)).where("rank <= k").select("node", "loss", "rank")
+
+
+@dataclass
+class Propagated:
+    """A graph's two hops, kept: degrees with the self-loop (node, d), the normalised matrix (row, col, value), and X, A X
+    and A A X (node, feat, value)."""
+
+    degree: DataFrame
+    norm: DataFrame
+    x: DataFrame
+    h: DataFrame
+    z: DataFrame
+
+    @property
+    def logits(self) -> DataFrame:
+        return self.z.select("node", F.col("feat").alias("class"), F.col("value").alias("logit"))
+
+
+def propagated(edges: DataFrame, nodes: DataFrame, x: DataFrame) -> Propagated:
+    """Two hops over normalised edges, written. A node of ``nodes`` without edges keeps its own X."""
+    norm = materialise(gcn_normalize(edges, nodes), "norm")
+    degree = materialise(norm.groupBy(F.col("row").alias("node")).agg(F.count("*").alias("d")), "degree")
+    h = materialise(propagate(x, norm, 1), "hop")
+    return Propagated(degree, norm, x, h, materialise(propagate(h, norm, 1), "hop"))
+
+
+def rescored(base: Propagated, changes: DataFrame) -> DataFrame:
+    """cand_id, node, class, logit of the nodes whose two-hop logits a candidate's changes (cand_id, op, src, dst; an edge
+    that is deleted and added stays) alter: what ``propagate`` gives on the candidate's own graph.
+
+    With A' = A + D and H = A X: A'A'X = A H + D H + A (D X) + D (D X). D has entries in the rows and columns of the changes'
+    ends alone, D X in the rows of their neighbours, and the rest within two hops; the graph is never copied for a candidate.
+    """
+    c = changes.select("cand_id", "op", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").groupBy("cand_id", "src", "dst").agg(F.max("op").alias("last"), F.min("op").alias("first"))
+    c = c.select("cand_id", "src", "dst", (F.col("first") == "add").alias("there"))  # 'add' sorts before 'del'
+    both = c.select("cand_id", "src", "dst", "there").union(c.select("cand_id", F.col("dst"), F.col("src"), "there"))
+    held = base.norm.select(F.col("row").alias("src"), F.col("col").alias("dst"), F.lit(True).alias("was"))
+    both = materialise(both.join(held, ["src", "dst"], "left").select("cand_id", "src", "dst", "there", F.coalesce("was", F.lit(False)).alias("was")).where("there <> was"), "flips")
+    ends = both.groupBy("cand_id", F.col("src").alias("node")).agg(F.sum(F.when(F.col("there"), 1).otherwise(-1)).alias("more"))
+    ends = materialise(ends.join(base.degree, "node").select("cand_id", "node", "d", (F.col("d") + F.col("more")).alias("d1")), "ends")
+    old = base.norm.join(ends.select("cand_id", F.col("node").alias("row")), "row").select("cand_id", "row", "col", F.lit(1).alias("a0"), F.lit(1).alias("a1"))
+    flips = both.select("cand_id", F.col("src").alias("row"), F.col("dst").alias("col"), F.col("was").cast("int").alias("a0"), F.col("there").cast("int").alias("a1"))
+    rows = old.join(flips.select("cand_id", "row", "col"), ["cand_id", "row", "col"], "left_anti").union(flips)
+    side = lambda n, out: ends.select("cand_id", F.col("node").alias(n), F.col("d1").alias(out))
+    rows = rows.join(ends.select("cand_id", F.col("node").alias("row"), F.col("d").alias("x0"), F.col("d1").alias("x1")), ["cand_id", "row"]).join(base.degree.select(F.col("node").alias("col"), F.col("d").alias("y0")), "col").join(side("col", "y1"), ["cand_id", "col"], "left")
+    change = F.col("a1") / F.sqrt(F.col("x1") * F.coalesce("y1", "y0")) - F.col("a0") / F.sqrt(F.col("x0") * F.col("y0"))
+    rows = rows.select("cand_id", "row", "col", change.alias("value"), F.col("y1").isNull().alias("outside"))
+    d = materialise(rows.select("cand_id", "row", "col", "value").union(rows.where("outside").select("cand_id", F.col("col").alias("row"), F.col("row").alias("col"), "value")), "delta")
+    by = lambda m, t, *on: m.join(t.withColumnRenamed("node", "col").withColumnRenamed("value", "_x"), [*on, "col"]).select("cand_id", F.col("row").alias("node"), "feat", (F.col("value") * F.col("_x")).alias("value"))
+    total = lambda t: t.groupBy("cand_id", "node", "feat").agg(F.sum("value").alias("value"))
+    dx = materialise(total(by(d, base.x)), "delta-x")
+    dz = total(by(d, base.h).union(by(base.norm, dx)).union(by(d, dx, "cand_id")))
+    z = dz.join(base.z.withColumnRenamed("value", "_z"), ["node", "feat"], "left")
+    whole = z.select("cand_id", "node", F.col("feat").alias("class"), (F.coalesce("_z", F.lit(0.0)) + F.col("value")).alias("logit"))
+    # classes that no change reaches, of nodes that one does
+    missing = dz.select("cand_id", "node").distinct().join(base.logits, "node").join(whole.select("cand_id", "node", "class"), ["cand_id", "node", "class"], "left_anti")
+    return whole.union(missing.select("cand_id", "node", "class", "logit"))
+
+
+def node_losses(logits: DataFrame, labels: DataFrame, split: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, node, loss: minus the log-softmax at the label of each node of a split."""
+    j = logits.join(labels.where(F.col("split") == split).select("node", "label"), "node")
+    g = j.groupBy(*keys, "node").agg(F.max("logit").alias("top"), F.max(F.when(F.col("class") == F.col("label"), F.col("logit"))).alias("own"), F.collect_list("logit").alias("all"))  # a class each
+    return g.select(*keys, "node", (F.col("top") + F.log(F.aggregate("all", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))) - F.col("own")).alias("loss"))
+
+
+def loss_after(base: Propagated, changed: DataFrame, cands: DataFrame, labels: DataFrame, split: str) -> DataFrame:
+    """cand_id, loss: ``nll_loss`` of every candidate, from the base's and the nodes that ``rescored`` gives."""
+    was = materialise(node_losses(base.logits, labels, split), "losses")
+    now = node_losses(changed, labels, split, ("cand_id",))
+    moved = now.join(was.withColumnRenamed("loss", "_was"), "node").groupBy("cand_id").agg(F.sum(F.col("loss") - F.col("_was")).alias("more"))
+    total = was.agg(F.sum("loss").alias("sum"), F.count("*").alias("n"))
+    return cands.select("cand_id").join(moved, "cand_id", "left").crossJoin(F.broadcast(total)).select("cand_id", ((F.col("sum") + F.coalesce("more", F.lit(0.0))) / F.col("n")).alias("loss"))
+
+
+def misclassified_after(base: Propagated, changed: DataFrame, cands: DataFrame, labels: DataFrame, split: str) -> DataFrame:
+    """cand_id, fitness: ``sga_fitness`` of every candidate, likewise."""
+    right = labels.where(F.col("split") == split).select("node", "label")
+    was = predict_class(base.logits).join(right, "node").select("node", (F.col("pred") != F.col("label")).cast("long").alias("_was"))
+    was = materialise(was, "wrong")
+    now = predict_class(changed, ("cand_id",)).join(right, "node").select("cand_id", "node", (F.col("pred") != F.col("label")).cast("long").alias("now"))
+    moved = now.join(was, "node").groupBy("cand_id").agg(F.sum(F.col("now") - F.col("_was")).alias("more"))
+    total = was.agg(F.coalesce(F.sum("_was"), F.lit(0)).alias("sum"))
+    return cands.select("cand_id").join(moved, "cand_id", "left").crossJoin(F.broadcast(total)).select("cand_id", (-(F.col("sum") + F.coalesce("more", F.lit(0)))).alias("fitness"))
+
+
+def attack_report(base: Propagated, changed: DataFrame, labels: DataFrame, split: str) -> DataFrame:
+    """One row, accuracy and asr, of the one candidate of ``changed``."""
+    was = materialise(predict_class(base.logits), "before")
+    now = materialise(predict_class(changed).select("node", F.col("pred").alias("_now")), "after")
+    now = was.join(now, "node", "left").select("node", F.coalesce("_now", "pred").alias("pred"))
+    return accuracy(now, labels, split).crossJoin(attack_success_rate(was, now, labels, split)).select(F.round("accuracy", 6).alias("accuracy"), F.round("asr", 6).alias("asr"))

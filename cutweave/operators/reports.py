@@ -49,12 +49,20 @@ def run_trends(rows: DataFrame, last_n: int = 20) -> DataFrame:
 
 
 def benchmark_compare(rows: DataFrame, threshold: float = 0.25) -> DataFrame:
-    """run_id, key, current, best_before, ratio, regressed: mean milliseconds (seconds where null) against the best of
-    the key's earlier runs; a first run, or one after a best of 0, has no ratio and is no regression."""
-    r = rows.withColumn("key", _key()).withColumn("current", F.coalesce("iter_avg_ms", "iter_seconds"))
-    w = W.partitionBy("key").orderBy("started_at", "run_id").rowsBetween(W.unboundedPreceding, -1)
-    r = r.withColumn("best_before", F.min("current").over(w)).withColumn("ratio", F.try_divide(F.col("current") - F.col("best_before"), F.col("best_before")))
-    return r.select("run_id", "key", "current", "best_before", "ratio", F.coalesce(F.col("ratio") > threshold, F.lit(False)).alias("regressed"))
+    """run_id, key, unit, ratio, regressed, best_iter_avg_ms, best_iter_seconds, last_iter_avg_ms, last_iter_seconds.
+
+    A run's mean milliseconds against the best of the key's earlier runs; its seconds against theirs where it has no
+    milliseconds, or they have none (or 0); never one unit against the other. A run without either has no unit and no ratio,
+    and is no regression. Both bests, this run's included, are kept apart.
+    """
+    w = W.partitionBy("key").orderBy("started_at", "run_id")
+    before, until = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
+    r = rows.withColumn("key", _key()).withColumn("ms0", F.min("iter_avg_ms").over(before)).withColumn("s0", F.min("iter_seconds").over(before))
+    r = r.withColumn("best_iter_avg_ms", F.min("iter_avg_ms").over(until)).withColumn("best_iter_seconds", F.min("iter_seconds").over(until))
+    r = r.withColumn("unit", F.when(F.col("iter_avg_ms").isNotNull() & (F.col("ms0") > 0), "ms").when(F.col("iter_seconds").isNotNull() & (F.col("s0") > 0), "s"))
+    share = lambda now, best: F.try_divide(F.col(now) - F.col(best), F.col(best))
+    r = r.withColumn("ratio", F.when(F.col("unit") == "ms", share("iter_avg_ms", "ms0")).when(F.col("unit") == "s", share("iter_seconds", "s0")))
+    return r.select("run_id", "key", "unit", "ratio", F.coalesce(F.col("ratio") > threshold, F.lit(False)).alias("regressed"), "best_iter_avg_ms", "best_iter_seconds", F.col("iter_avg_ms").alias("last_iter_avg_ms"), F.col("iter_seconds").alias("last_iter_seconds"))
 
 
 def upsert_history(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -24,6 +24,12 @@ def u(*parts: str) -> str:
     return f"(('0x' || substr({key(*parts)}, 1, 8))::BIGINT / 4294967296.0)"
 
 
+def permuted(i: str, n: str, *parts: str) -> str:
+    """Swap-or-not, as in functions/rand.py."""
+    y = f"((floor({u(*parts, 'r', chr(39) + 'k' + chr(39))} * {n})::BIGINT - x) % {n} + {n}) % {n}"
+    return f"list_reduce(range(16), lambda x, r: CASE WHEN {u(*parts, 'r', f'greatest(x, {y})')} < 0.5 THEN {y} ELSE x END, ({i})::BIGINT)"
+
+
 def cands(n: int) -> str:
     return f"c AS (SELECT unnest(range({n}))::INTEGER AS cand_id)"
 
@@ -86,7 +92,9 @@ CALLS = """calls AS (SELECT event_id AS call_id, (epoch(date_trunc('second', ts)
 REPORTS = """ev AS (SELECT user_id, date_trunc('hour', ts) AS hr, min((props ->> '$.k')::DOUBLE) AS best_fitness, round(sum(value) / 1000, 6) AS iter_seconds, round(avg(value), 6) AS ms, count(*) AS n FROM events GROUP BY ALL),
         rep AS (SELECT user_id || '-' || strftime(hr, '%Y%m%d%H') AS run_id, 'alg' || user_id % 5 AS algorithm_id, 'ds' || user_id % 7 AS dataset, CASE WHEN n % 2 = 0 THEN 'S' ELSE 'M' END AS resolved_mode, user_id % 2 = 0 AS remote, best_fitness, iter_seconds, CASE WHEN user_id % 11 <> 0 THEN ms END AS iter_avg_ms, hr AS started_at FROM ev),
         repk AS (SELECT *, concat_ws('|', algorithm_id, dataset, resolved_mode, CASE WHEN remote THEN '1' ELSE '0' END) AS key FROM rep),
-        cmp AS (SELECT run_id, key, coalesce(iter_avg_ms, iter_seconds) AS current, min(coalesce(iter_avg_ms, iter_seconds)) OVER (PARTITION BY key ORDER BY started_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM repk)"""
+        seen AS (SELECT *, min(iter_avg_ms) OVER b AS ms0, min(iter_seconds) OVER b AS s0, min(iter_avg_ms) OVER a AS ms1, min(iter_seconds) OVER a AS s1 FROM repk
+                 WINDOW b AS (PARTITION BY key ORDER BY started_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY key ORDER BY started_at, run_id ROWS UNBOUNDED PRECEDING)),
+        cmp AS (SELECT *, CASE WHEN iter_avg_ms IS NOT NULL AND ms0 > 0 THEN 'ms' WHEN iter_seconds IS NOT NULL AND s0 > 0 THEN 's' END AS unit, CASE WHEN iter_avg_ms IS NOT NULL AND ms0 > 0 THEN (iter_avg_ms - ms0) / ms0 WHEN iter_seconds IS NOT NULL AND s0 > 0 THEN (iter_seconds - s0) / s0 END AS ratio FROM seen)"""
 EPOP = "ep AS (SELECT user_id::INTEGER AS cand_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS pos, event_id AS gene FROM events)"
 NAT = "f AS (SELECT c_nationkey::INTEGER AS cand_id, count(*)::DOUBLE AS fitness FROM customer GROUP BY ALL)"
 
@@ -129,7 +137,7 @@ SQL["non_neighbor_sample"] = f"WITH {graph('all')}, {IDX}, {PICK(11, 'idx')} SEL
 SQL["non_edges"] = f"WITH {graph('disc')}, th AS (SELECT DISTINCT a.dst AS src, b.dst AS dst FROM adj a JOIN adj b ON a.src = b.src AND a.dst < b.dst) SELECT (SELECT count(*) FROM th ANTI JOIN e USING (src, dst)) AS scored, (count(*) * (count(*) - 1) // 2 - (SELECT count(*) FROM e))::BIGINT AS non_edges FROM n"
 SQL["non_edges_from"] = f"WITH {graph('all')} SELECT DISTINCT least(a.p_partkey, b.p_partkey) AS src, greatest(a.p_partkey, b.p_partkey) AS dst FROM part a, part b WHERE a.p_partkey % 100 = 0 AND a.p_partkey <> b.p_partkey AND NOT EXISTS (FROM e WHERE e.src = least(a.p_partkey, b.p_partkey) AND e.dst = greatest(a.p_partkey, b.p_partkey))"
 SQL["two_hop_pairs"] = f"WITH {graph('disc')} SELECT a.dst AS src, b.dst AS dst, count(*) AS common FROM adj a JOIN adj b ON a.src = b.src AND a.dst < b.dst GROUP BY ALL"
-SQL["edge_split"] = f"WITH {SPLIT} SELECT src, dst, CASE WHEN is_test THEN 'test' ELSE 'train' END AS split FROM sp"
+SQL["edge_split"] = f"WITH {SPLIT.replace(graph('disc'), graph('all'))} SELECT src, dst, CASE WHEN is_test THEN 'test' ELSE 'train' END AS split FROM sp"
 SQL["edge_set_ops"] = f"WITH {graph('disc', 'x')}, l2 AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE {FILTERS['sparse']}), y AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM l2 a JOIN l2 b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey) SELECT 'union' AS op, * FROM (FROM x UNION FROM y) UNION ALL SELECT 'minus', * FROM (FROM x EXCEPT FROM y) UNION ALL SELECT 'intersect', * FROM (FROM x INTERSECT FROM y)"
 EGO = lambda size: f"""h1 AS (SELECT src AS ego, dst AS node, 1 AS hop FROM adj), sh AS (SELECT ego FROM h1 GROUP BY ego HAVING count(*) < {size}),
         h2 AS (SELECT DISTINCT h1.ego, a.dst AS node, 2 AS hop FROM h1 SEMI JOIN sh USING (ego) JOIN adj a ON a.src = h1.node WHERE a.dst <> h1.ego),
@@ -140,17 +148,17 @@ SQL["ego_sample"] = f"WITH {graph('disc')}, {EGO(6)} SELECT * FROM eg"
 SQL["ego_features"] = f"WITH {graph('disc')}, {EGO(5)} SELECT x.ego, x.pos AS i, y.pos AS j, (CASE WHEN x.pos = 1 THEN dy.degree WHEN y.pos = 1 THEN dx.degree ELSE 1 END)::BIGINT AS value FROM eg x JOIN eg y ON x.ego = y.ego JOIN adj ON src = x.node AND dst = y.node JOIN deg dx ON dx.node = x.node JOIN deg dy ON dy.node = y.node UNION ALL SELECT ego, pos, pos, degree FROM eg JOIN deg USING (node)"
 WALK = f"""rn AS (SELECT src AS node, dst AS nxt, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS rank, count(*) OVER (PARTITION BY src) AS degree FROM adj),
         wk(start, step, node) AS (SELECT node, 0, node FROM n UNION ALL SELECT start, step + 1, nxt FROM wk JOIN rn ON rn.node = wk.node AND rank = floor({u('3', 'start', 'step + 1')} * degree) WHERE step < 4)"""
-SQL["random_walks"] = f"WITH RECURSIVE {graph('disc')}, {WALK} SELECT start, step, node FROM wk"
-SQL["rwr_subgraph"] = f"WITH RECURSIVE {graph('disc')}, {WALK}, fs AS (SELECT start, node, min(step) AS step FROM wk WHERE node <> start GROUP BY ALL) SELECT start, node, row_number() OVER (PARTITION BY start ORDER BY step, node)::INTEGER AS pos FROM fs QUALIFY pos < 4 UNION ALL SELECT node, node, 4 FROM n"
+SQL["random_walks"] = f"WITH RECURSIVE {graph('all')}, {WALK} SELECT start, step, node FROM wk"
+SQL["rwr_subgraph"] = f"WITH RECURSIVE {graph('all')}, {WALK}, fs AS (SELECT start, node, min(step) AS step FROM wk WHERE node <> start GROUP BY ALL) SELECT start, node, row_number() OVER (PARTITION BY start ORDER BY step, node)::INTEGER AS pos FROM fs QUALIFY pos < 4 UNION ALL SELECT node, node, 4 FROM n"
 # C
 SQL["remove_nodes"] = f"WITH {graph('disc')}, {CUT} SELECT * FROM se"
 DEL = "NOT EXISTS (FROM ch WHERE ch.cand_id = cc.cand_id AND op = 'del' AND ch.src = e.src AND ch.dst = e.dst)"
-SQL["delete_edges"] = f"WITH {graph('disc')}, {changes('e')} SELECT cand_id, src, dst FROM cc, e WHERE {DEL}"
+SQL["delete_edges"] = f"WITH {graph('all')}, {changes('e')} SELECT cand_id, src, dst FROM cc, e WHERE {DEL}"
 CHANGED = f"cg AS (SELECT cand_id, src, dst FROM cc, e WHERE {DEL} UNION SELECT cand_id, src, dst FROM ch WHERE op = 'add')"
 SQL["apply_edge_changes"] = f"WITH {graph('disc')}, {changes('e')}, {CHANGED} SELECT * FROM cg"
 REWIRES = lambda seed, out: f"""non AS (SELECT node, node + 1 AS nbr FROM n WHERE node + 1 IN (FROM n) AND NOT EXISTS (FROM adj WHERE src = n.node AND dst = n.node + 1)),
         c3 AS (SELECT unnest(range(3))::INTEGER AS cand_id),
-        {out}p AS (SELECT cand_id, node, (row_number() OVER (PARTITION BY cand_id ORDER BY {key(str(seed), 'cand_id', 'node')}) - 1)::INTEGER AS pos FROM c3, (SELECT DISTINCT node FROM non) QUALIFY pos < 10),
+        {out}p AS (SELECT cand_id, pos, node FROM (SELECT cand_id, pos, {permuted('pos', '(SELECT count(DISTINCT node) FROM non)', str(seed), 'cand_id', chr(39) + 'node' + chr(39))} AS idx FROM c3, (SELECT unnest(range(10))::INTEGER AS pos) WHERE pos < (SELECT count(DISTINCT node) FROM non)) JOIN (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT DISTINCT node FROM non)) USING (idx)),
         {out} AS (SELECT cand_id, pos, node, arg_min(nbr, {key(str(seed), 'cand_id', 'node', 'nbr', chr(39) + 'add' + chr(39))}) AS add_node, (SELECT arg_min(dst, {key(str(seed), 'cand_id', 'node', 'dst', chr(39) + 'rem' + chr(39))}) FROM adj WHERE src = {out}p.node) AS remove_node FROM {out}p JOIN non USING (node) GROUP BY ALL)"""
 SQL["init_rewires"] = f"WITH {graph('disc')}, {REWIRES(2, 'rw')} SELECT cand_id, pos, node, add_node, remove_node FROM rw"
 SQL["apply_rewires"] = f"""WITH {graph('disc')}, {REWIRES(2, 'rw')}, fin AS (SELECT cand_id, src, dst FROM c3, e WHERE NOT EXISTS (FROM rw WHERE rw.cand_id = c3.cand_id AND least(node, remove_node) = src AND greatest(node, remove_node) = dst) UNION SELECT cand_id, least(node, add_node), greatest(node, add_node) FROM rw)
@@ -177,7 +185,7 @@ SQL["modularity"] = f"WITH {graph('all')}, {BRANDS}, {QMOD('e')} SELECT round(su
 SQL["q_fitness"] = f"WITH {graph('disc')}, {BRANDS}, {QMOD('e')} SELECT round(sum(m_c / m - (d / (2 * m)) ** 2), 6) AS q, round(exp(-sum(m_c / m - (d / (2 * m)) ** 2)), 6) AS fitness FROM cx, cm"
 SQL["modularity_candidates"] = f"WITH {graph('all')}, {CUT}, {BRANDS}, {QMOD('se', 'cand_id, ')} SELECT cand_id, round(sum(m_c / m - (d / (2 * m)) ** 2), 6) AS q FROM cx JOIN cm USING (cand_id) GROUP BY ALL"
 LP = ", ".join(f"l{i} AS (SELECT node, comm FROM (SELECT a.src AS node, l.comm, count(*) AS k FROM adj a JOIN l{i - 1} l ON l.node = a.dst GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY node ORDER BY k DESC, comm) = 1)" for i in (1, 2, 3))
-SQL["label_propagation"] = f"WITH {graph('disc')}, l0 AS (SELECT node, node AS comm FROM n), {LP} SELECT * FROM l3"
+SQL["label_propagation"] = f"WITH {graph('all')}, l0 AS (SELECT node, node AS comm FROM n), {LP} SELECT * FROM l3"
 SQL["nmi"] = f"WITH {BRANDS}, {TYPES}, t AS (SELECT cb.comm AS x, ct.comm AS y, count(*) / (SELECT count(*) FROM part) AS p FROM cb JOIN ct USING (node) GROUP BY ALL), hx AS (SELECT -sum(p * ln(p)) AS h FROM (SELECT x, sum(p) AS p FROM t GROUP BY x)), hy AS (SELECT -sum(p * ln(p)) AS h FROM (SELECT y, sum(p) AS p FROM t GROUP BY y)), hj AS (SELECT -sum(p * ln(p)) AS h FROM t) SELECT round(2 * (hx.h + hy.h - hj.h) / (hx.h + hy.h), 6) AS nmi FROM hx, hy, hj"
 SQL["walk_matrix"] = f"WITH {graph('disc')}, p AS (SELECT src, dst, 1.0 / (degree + 1) AS p FROM adj JOIN deg ON node = src), q AS (FROM p UNION ALL SELECT a.src, b.dst, a.p * b.p FROM p a JOIN p b ON a.dst = b.src) SELECT src AS row, dst AS col, round(sum(p) / 2, 9) AS value FROM q GROUP BY ALL"
 SQL["resource_allocation"] = f"WITH {graph('ret')}, {ra('e')} SELECT src, dst, round(score, 6) AS score FROM ra"
@@ -217,11 +225,13 @@ SQL["degree_budget"] = f"WITH {graph('all')}, d AS (SELECT p_partkey AS node, co
 SQL["potential_edges"] = f"WITH {HOMO} SELECT node, round(decrease, 6) AS decrease, row_number() OVER (ORDER BY round(decrease, 9) DESC, node) AS rank FROM homo JOIN lab USING (node) WHERE lab.label <> 1"
 SQL["single_link_rank"] = f"WITH {HOMO}, r AS (SELECT node, (degree % 4)::DOUBLE AS loss, row_number() OVER (ORDER BY degree % 4, round(decrease, 9) DESC, node) AS rank FROM homo) SELECT * FROM r WHERE rank <= floor((SELECT count(*) FROM homo) * 0.3)"
 # E
-SQL["init_population"] = f"WITH {graph('disc')}, {IDX}, {cands(4)} SELECT cand_id, (row_number() OVER (PARTITION BY cand_id ORDER BY {key('1', 'cand_id', 'idx', chr(39) + 'init' + chr(39))}) - 1)::INTEGER AS pos, idx AS gene FROM c, idx QUALIFY pos < 20"
+SQL["init_population"] = f"WITH {graph('disc')}, {cands(4)}, k AS (SELECT count(*) AS n FROM n) SELECT cand_id, pos, {permuted('pos', 'k.n', '1', 'cand_id', chr(39) + 'init' + chr(39))} AS gene FROM c, k, (SELECT unnest(range(20))::INTEGER AS pos)"
 SQL["draw_population"] = f"WITH {graph('disc')}, {cands(6)}, d AS (SELECT cand_id, floor({u('1', 'cand_id', 'k', chr(39) + 'draw' + chr(39))} * (SELECT count(*) FROM n))::BIGINT AS gene, min(k) AS k FROM c, (SELECT unnest(range(56)) AS k) GROUP BY ALL) SELECT cand_id, (row_number() OVER (PARTITION BY cand_id ORDER BY k) - 1)::INTEGER AS pos, gene FROM d QUALIFY pos < 20".replace("min(k) AS k FROM", "k AS k0 FROM").replace(" GROUP BY ALL) SELECT cand_id, (row_number", "), dd AS (SELECT cand_id, gene, min(k0) AS k FROM d GROUP BY ALL) SELECT cand_id, (row_number").replace("gene FROM d QUALIFY", "gene FROM dd QUALIFY")
 TWO = "th AS (SELECT DISTINCT a.dst AS src, b.dst AS dst FROM adj a JOIN adj b ON a.src = b.src AND a.dst < b.dst), ne AS (SELECT th.* FROM th ANTI JOIN e USING (src, dst))"
-SQL["init_edge_population"] = f"WITH {graph('disc')}, {TWO}, {cands(3)}, m AS (SELECT cand_id, floor({u('4', 'cand_id', chr(39) + 'mix' + chr(39))} * 15) AS n_add FROM c), p AS (SELECT 'del' AS op, src, dst FROM e UNION ALL SELECT 'add', src, dst FROM ne) SELECT cand_id, op, src, dst FROM m, p QUALIFY row_number() OVER (PARTITION BY cand_id, op ORDER BY {key('4', 'cand_id', 'op', 'src', 'dst')}) <= CASE WHEN op = 'add' THEN n_add ELSE 15 - n_add END"
-SQL["init_link_population"] = f"WITH {SPLIT}, ta AS (SELECT src, dst FROM train UNION ALL SELECT dst, src FROM train), th AS (SELECT DISTINCT a.dst AS src, b.dst AS dst FROM ta a JOIN ta b ON a.src = b.src AND a.dst < b.dst), p AS (SELECT 'del' AS op, src, dst FROM train UNION ALL (SELECT 'add', th.* FROM th ANTI JOIN train USING (src, dst))), {cands(3)} SELECT cand_id, op, (row_number() OVER (PARTITION BY cand_id, op ORDER BY {key('4', 'cand_id', 'op', 'src', 'dst')}) - 1)::INTEGER AS pos, src, dst FROM c, p QUALIFY pos < 10"
+NUMBERED = lambda t, out: f"{out} AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS idx, count(*) OVER () AS n FROM {t})"
+DRAWN = lambda t, op, seed: f"SELECT cand_id, '{op}' AS op, pos, src, dst FROM (SELECT *, {permuted('pos', '(SELECT max(n) FROM ' + t + ')', str(seed), 'cand_id', chr(39) + op + chr(39))} AS idx FROM {op}_at WHERE pos < (SELECT max(n) FROM {t})) JOIN {t} USING (idx)"
+SQL["init_edge_population"] = f"WITH {graph('disc')}, {TWO}, {cands(3)}, {NUMBERED('e', 'ds')}, {NUMBERED('ne', 'ads')}, m AS (SELECT cand_id, pos, floor({u('4', 'cand_id', chr(39) + 'mix' + chr(39))} * 15) AS n_add FROM c, (SELECT unnest(range(15))::INTEGER AS pos)), add_at AS (FROM m WHERE pos < n_add), del_at AS (FROM m WHERE pos < 15 - n_add) SELECT cand_id, op, src, dst FROM ({DRAWN('ds', 'del', 4)} UNION ALL {DRAWN('ads', 'add', 4)})"
+SQL["init_link_population"] = f"WITH {SPLIT}, ta AS (SELECT src, dst FROM train UNION ALL SELECT dst, src FROM train), th AS (SELECT DISTINCT a.dst AS src, b.dst AS dst FROM ta a JOIN ta b ON a.src = b.src AND a.dst < b.dst), ne AS (SELECT th.* FROM th ANTI JOIN train USING (src, dst)), {cands(3)}, {NUMBERED('train', 'ds')}, {NUMBERED('ne', 'ads')}, add_at AS (SELECT cand_id, pos FROM c, (SELECT unnest(range(10))::INTEGER AS pos)), del_at AS (FROM add_at) {DRAWN('ds', 'del', 4)} UNION ALL {DRAWN('ads', 'add', 4)}"
 ROUL = lambda w, kind, out: f"{out}w AS (SELECT cand_id, {w} AS w FROM f), {out}c AS (SELECT cand_id, w, sum(w) OVER (ORDER BY cand_id) AS hi, sum(w) OVER () AS total FROM {out}w), {out} AS (SELECT draw, min(cand_id) AS cand_id, '{kind}' AS kind FROM dr, {out}c WHERE w > 0 AND x * total >= hi - w AND (x * total < hi OR hi = total) GROUP BY draw)"
 SQL["roulette_select"] = f"WITH {NAT}, dr AS (SELECT d AS draw, {u('3', 'd', chr(39) + 'sel' + chr(39))} AS x FROM (SELECT unnest(range(200))::INTEGER AS d)), {ROUL('max(fitness) OVER () - fitness', 'shift', 'a')}, {ROUL('fitness', 'raw', 'b')} FROM a UNION ALL FROM b"
 SQL["rotary_table"] = f"WITH {NAT}, x AS (SELECT cand_id, (fitness - min(fitness) OVER ()) / (max(fitness) OVER () - min(fitness) OVER ()) AS x FROM f), y AS (SELECT cand_id, x, 'normal' AS pattern FROM x UNION ALL SELECT cand_id, 1 - x, 'inverted' FROM x UNION ALL SELECT cand_id, 1 - x, 'trans' FROM x), z AS (SELECT cand_id, pattern, x / sum(x) OVER (PARTITION BY pattern) AS p FROM y) SELECT cand_id, round(p, 6) AS p, round(sum(p) OVER (PARTITION BY pattern ORDER BY cand_id), 6) AS cumulative, pattern FROM z"
@@ -237,14 +247,16 @@ SQL["rewire_mutation"] = f"""WITH {graph('disc')}, {REWIRES(2, 'rw')}, {REWIRES(
                CASE WHEN hit AND kind = 0 AND w.node IS NOT NULL THEN w.add_node WHEN hit AND kind = 1 AND q.node IS NOT NULL THEN q.add_node ELSE m.add_node END AS add_node,
                CASE WHEN hit AND kind = 0 AND w.node IS NOT NULL THEN w.remove_node WHEN hit AND kind = 2 AND q.node IS NOT NULL THEN q.remove_node ELSE m.remove_node END AS remove_node
         FROM m LEFT JOIN fr w ON w.cand_id = m.cand_id AND w.pos = m.pos LEFT JOIN fr q ON q.cand_id = m.cand_id AND q.node = m.node"""
-REPAIR = lambda pop_sql, pool, seed: f"""p AS ({pop_sql}), pl AS ({pool}), q AS (SELECT *, row_number() OVER (PARTITION BY cand_id, gene ORDER BY pos) AS k FROM p),
+UNUSED = lambda wanted, pop, n, out, *parts: f"""{out} AS (SELECT cand_id, gene, j FROM (SELECT cand_id, j, {permuted('j', n, *parts)} AS gene FROM (SELECT cand_id, unnest(range(least(k, {n}))) AS j FROM {wanted})) ANTI JOIN {pop} USING (cand_id, gene))"""
+REPAIR = lambda pop_sql, n, seed: f"""p AS ({pop_sql}), q AS (SELECT *, row_number() OVER (PARTITION BY cand_id, gene ORDER BY pos) AS k FROM p),
         ho AS (SELECT cand_id, pos, gene, row_number() OVER (PARTITION BY cand_id ORDER BY pos) AS i FROM q WHERE k > 1),
-        fe AS (SELECT cand_id, gene AS g, row_number() OVER (PARTITION BY cand_id ORDER BY {key(str(seed), '0', 'cand_id', 'gene', chr(39) + 'rep' + chr(39))}) AS i FROM (SELECT DISTINCT cand_id, pl.gene FROM ho, pl) ANTI JOIN p USING (cand_id, gene)),
+        wa AS (SELECT cand_id, count(*) AS k FROM q GROUP BY cand_id HAVING max(k) > 1), {UNUSED('wa', 'p', n, 'un', str(seed), '0', 'cand_id', chr(39) + 'rep' + chr(39))},
+        fe AS (SELECT cand_id, gene AS g, row_number() OVER (PARTITION BY cand_id ORDER BY j) AS i FROM un),
         fx AS (SELECT cand_id, pos, gene FROM q WHERE k = 1 UNION ALL SELECT cand_id, pos, coalesce(g, gene) FROM ho LEFT JOIN fe USING (cand_id, i))"""
-SQL["repair_duplicates"] = f"WITH {EPOP}, {REPAIR('SELECT cand_id, pos, gene % 15 AS gene FROM ep', 'SELECT DISTINCT s_suppkey % 40 AS gene FROM supplier', 2)} SELECT * FROM fx"
-SQL["resolve_conflicts"] = f"""WITH {EPOP}, {REPAIR('SELECT cand_id, pos, gene % 4 AS gene FROM ep', 'SELECT DISTINCT s_suppkey % 12 AS gene FROM supplier', 2)},
-        st AS (SELECT cand_id, string_agg(gene::VARCHAR, ',' ORDER BY gene) AS s FROM fx GROUP BY ALL), du AS (SELECT cand_id FROM st QUALIFY row_number() OVER (PARTITION BY s ORDER BY cand_id) > 1),
-        nw AS (SELECT cand_id, arg_min(gene, {key('2', 'cand_id', 'gene', chr(39) + 'conf' + chr(39))}) AS g FROM (SELECT cand_id, pl.gene FROM du, pl) ANTI JOIN fx USING (cand_id, gene) GROUP BY cand_id)
+SQL["repair_duplicates"] = f"WITH {EPOP}, {REPAIR('SELECT cand_id, pos, gene % 15 AS gene FROM ep', '(SELECT count(DISTINCT s_suppkey % 40) FROM supplier)', 2)} SELECT * FROM fx"
+SQL["resolve_conflicts"] = f"""WITH {EPOP}, {REPAIR('SELECT cand_id, pos, gene % 4 AS gene FROM ep', '(SELECT count(DISTINCT s_suppkey % 12) FROM supplier)', 2)},
+        st AS (SELECT cand_id, string_agg(gene::VARCHAR, ',' ORDER BY gene) AS s, count(*) + 1 AS k FROM fx GROUP BY ALL), du AS (SELECT cand_id, k FROM st QUALIFY row_number() OVER (PARTITION BY s ORDER BY cand_id) > 1),
+        {UNUSED('du', 'fx', '(SELECT count(DISTINCT s_suppkey % 12) FROM supplier)', 'lack', '2', 'cand_id', chr(39) + 'conf' + chr(39))}, nw AS (SELECT cand_id, arg_min(gene, j) AS g FROM lack GROUP BY cand_id)
         SELECT cand_id, pos, CASE WHEN pos = 0 AND g IS NOT NULL THEN g ELSE gene END AS gene FROM fx LEFT JOIN nw USING (cand_id)"""
 SQL["de_mutation"] = f"WITH {EPOP}, x AS (SELECT cand_id, pos, gene % 100 / 100 AS x FROM ep) SELECT cand_id, pos, round(least(1.0, greatest(0.0, x + 0.5 * (x * x - (1 - x)))), 6) AS x FROM x"
 SQL["encode_genotype"] = f"WITH {graph('disc')}, {IDX}, {MM}, {pop(200)} SELECT cand_id, pos, round(x, 6) AS x FROM pp JOIN idx ON idx.idx = gene JOIN mm USING (node)"
@@ -257,7 +269,7 @@ SQL["sga_elitism"] = f"""WITH {HOMO}, {pop(200, 12, 5)}, f AS (SELECT cand_id, f
         SELECT origin, cand_id, fitness, rank, score, top AND row_number() OVER (PARTITION BY top ORDER BY score, rank) = 1 AS best FROM j"""
 FILL = lambda size: f"re AS (SELECT node, (SELECT count(*) FROM ch0) + row_number() OVER (ORDER BY rank) - 1 AS idx FROM rk ANTI JOIN ch0 USING (node) QUALIFY idx < {size}), al AS (SELECT node, idx FROM ch0 UNION ALL SELECT node, idx FROM re)"
 SQL["gene_pool_cutoff"] = f"WITH {graph('disc')}, {IDX}, {RANK}, {pop(60)}, ch0 AS (SELECT node, row_number() OVER (ORDER BY count(*) DESC, node) - 1 AS idx FROM pp JOIN idx ON idx.idx = gene GROUP BY node QUALIFY row_number() OVER (ORDER BY count(*) DESC, node) <= 25), {FILL(50)} SELECT node, idx FROM al"
-SQL["random_cutoff"] = f"WITH {graph('disc')} SELECT node, row_number() OVER (ORDER BY {key('3', 'node', chr(39) + 'pool' + chr(39))}) - 1 AS idx FROM n QUALIFY idx < 40"
+SQL["random_cutoff"] = f"WITH {graph('all')} SELECT node, row_number() OVER (ORDER BY {key('3', 'node', chr(39) + 'pool' + chr(39))}) - 1 AS idx FROM n QUALIFY idx < 40"
 SQL["reach_cutoff"] = f"WITH RECURSIVE {graph('sparse')}, {RANK}, r(node, m, d) AS (SELECT node, node, 0 FROM n UNION SELECT r.node, dst, d + 1 FROM r JOIN adj ON src = r.m WHERE d < 9), rc AS (SELECT node, count(DISTINCT m) AS reach FROM r GROUP BY ALL), ch0 AS (SELECT node, row_number() OVER (ORDER BY reach DESC, node) - 1 AS idx FROM rc QUALIFY idx < 20), {FILL(40)} SELECT node, idx FROM al"
 SQL["community_edge_pools"] = f"WITH {graph('disc')}, {BRANDS}, ix AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM cb), {PICK(3, 'ix')}, bt AS (SELECT DISTINCT least(node, nbr) AS src, greatest(node, nbr) AS dst FROM pk) SELECT 'inside' AS kind, src, dst FROM e JOIN cb a ON a.node = src JOIN cb b ON b.node = dst WHERE a.comm = b.comm UNION ALL SELECT 'between', src, dst FROM bt JOIN cb a ON a.node = src JOIN cb b ON b.node = dst WHERE a.comm <> b.comm"
 # G
@@ -267,13 +279,13 @@ SQL["curves"] = f"WITH {RUNS} SELECT run_id, string_agg(fitness::VARCHAR, ',' OR
 SQL["run_summary"] = f"WITH {RUNS} SELECT run_id, count(*) AS iterations, round(sum(iter_ms) / 1000, 6) AS seconds, round(sum(iter_ms) / count(*), 6) AS avg_ms, round(count(*) / (sum(iter_ms) / 1000), 6) AS throughput FROM runs GROUP BY run_id"
 SQL["load_run_reports"] = f"WITH {REPORTS} SELECT * EXCLUDE (started_at) FROM rep"
 SQL["run_trends"] = f"WITH {REPORTS}, l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY started_at DESC, run_id DESC) AS k FROM repk QUALIFY k <= 5) SELECT key, count(*) AS runs, round(avg(iter_avg_ms), 6) AS mean_ms, round(avg(best_fitness), 6) AS mean_fitness, 0::BIGINT AS regressions, arg_min(run_id, k) AS last_run FROM l GROUP BY key"
-SQL["benchmark_compare"] = f"WITH {REPORTS} SELECT run_id, key, round(current, 6) AS current, round(best_before, 6) AS best_before, round((current - best_before) / nullif(best_before, 0), 6) AS ratio, coalesce((current - best_before) / nullif(best_before, 0) > 0.25, false) AS regressed FROM cmp"
-SQL["trends_with_regressions"] = f"WITH {REPORTS}, l AS (SELECT repk.key, run_id, row_number() OVER (PARTITION BY repk.key ORDER BY started_at DESC, run_id DESC) AS k FROM repk QUALIFY k <= 20) SELECT l.key, count(*) AS runs, count(*) FILTER ((current - best_before) / nullif(best_before, 0) > 0.25) AS regressions FROM l JOIN cmp USING (run_id) GROUP BY l.key"
+SQL["benchmark_compare"] = f"WITH {REPORTS} SELECT run_id, key, unit, round(ratio, 6) AS ratio, coalesce(ratio > 0.25, false) AS regressed, round(ms1, 6) AS best_iter_avg_ms, round(s1, 6) AS best_iter_seconds, iter_avg_ms AS last_iter_avg_ms, iter_seconds AS last_iter_seconds FROM cmp"
+SQL["trends_with_regressions"] = f"WITH {REPORTS} SELECT key, count(*) AS runs, count(*) FILTER (ratio > 0.25) AS regressions FROM (FROM cmp QUALIFY row_number() OVER (PARTITION BY key ORDER BY started_at DESC, run_id DESC) <= 20) GROUP BY key"
 SQL["upsert_history"] = f"SELECT * FROM (SELECT 0 AS o, * FROM {HIST(0)} UNION ALL SELECT 1, * FROM {HIST(1)}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC, o DESC) = 1".replace("SELECT * FROM (SELECT 0", "SELECT id, created_at, best_score FROM (SELECT 0", 1)
-SQL["page_history"] = f"SELECT * FROM {HIST(0)} ORDER BY created_at, id LIMIT 20 OFFSET 40"
+SQL["page_history"] = f"SELECT * FROM {HIST('event_id % 2')} ORDER BY created_at, id LIMIT 20 OFFSET 40"
 SQL["delete_history"] = f"SELECT * FROM {HIST(0)} WHERE id NOT IN (SELECT id FROM {HIST(1)} WHERE id % 3 = 0)"
 SQL["latest_state"] = "SELECT user_id % 5 AS algorithm, event_type AS dataset, event_id AS task_id, floor(value)::BIGINT AS updated_at FROM events QUALIFY row_number() OVER (PARTITION BY algorithm, dataset ORDER BY floor(value) DESC, event_id DESC) = 1"
-SQL["resource_rows"] = "SELECT user_id AS server, round(avg(value), 4) AS cpu, max(value) AS memory, CASE WHEN user_id % 7 <> 0 THEN count(*) FILTER (event_id % 3 = 0) ELSE 0 END AS gpu_count, CASE WHEN user_id % 7 <> 0 THEN round(avg((props ->> '$.k')::DOUBLE) FILTER (event_id % 3 = 0 AND event_type <> 'error'), 6) END AS gpu_util FROM events GROUP BY user_id"
+SQL["resource_rows"] = "SELECT user_id AS server, round(avg(value), 4) AS cpu, max(value) AS memory, count(*) AS gpu_count, round(avg((props ->> '$.k')::DOUBLE) FILTER (event_type <> 'error'), 6) AS gpu_util FROM events GROUP BY user_id"
 SQL["comm_stats"] = f"WITH {CALLS}, o AS (SELECT worker AS rank, CASE WHEN failed THEN 'reduce' ELSE 'gather' END AS op, compute_ms AS ms FROM calls) SELECT rank, op, round(sum(ms), 4) AS total, count(*) AS calls, round(avg(ms), 6) AS avg FROM o GROUP BY ROLLUP (rank, op)"
 SQL["comm_overall"] = f"WITH {CALLS} SELECT round(avg(compute_ms), 6) AS avg, count(*) AS calls FROM calls WHERE worker <> 0"
 ITERS = f"{CALLS}, it AS (SELECT iter, sum(compute_ms) AS compute, sum(overhead_ms) AS overhead, max(compute_ms) AS max_compute, max(overhead_ms) AS max_overhead, count(DISTINCT worker) AS workers, count(*) AS calls FROM calls GROUP BY iter)"

@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,15 +68,60 @@ def materialise(df: DataFrame, what: str = "table") -> DataFrame:
         spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    if _scopes:
+        _scopes[-1].tables.append(out)
     return out
 
 
+class Scope:
+    """The tables that are written while a scope is the innermost; those not kept are deleted when it ends."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+        self.kept: list[DataFrame] = []
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """A written table that outlives the scope; it then belongs to the scope around."""
+        self.kept.append(table)
+        return table
+
+
+_scopes: list[Scope] = []
+
+
+@contextmanager
+def scope() -> Iterator[Scope]:
+    """Delete what ``materialise`` writes inside, however it ends, but for what is kept."""
+    own = Scope()
+    _scopes.append(own)
+    try:
+        yield own
+    finally:
+        _scopes.pop()
+        for table in own.tables:
+            if not any(table is k for k in own.kept):
+                discard(table)
+            elif _scopes:
+                _scopes[-1].tables.append(table)
+
+
+def scoped(build: Callable[[], DataFrame], what: str = "table") -> DataFrame:
+    """What ``build`` makes, written; every table that it writes on the way is deleted."""
+    with scope() as own:
+        return own.keep(materialise(build(), what))
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder, in whatever store it is; one that isn't there is no error."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote and that nothing reads any more."""
     remove(table.sparkSession, table._written_at)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cutweave.jobs import evolution as J
 from cutweave.operators import community as C, evolve as V, graph as G, linkpred as L, nodeclass as N, perturb as P, reach as R, reports as H
 from cutweave.operators.components import star_components
+from cutweave.operators.louvain import louvain
 from cutweave.sources import readers as A
 
 
@@ -119,10 +120,10 @@ def test_modularity_louvain(spark):
     comm = spark.createDataFrame([(i, i // 5) for i in range(10)], "node long, comm long")
     q = one(C.modularity(e, comm), "q")[0]
     assert q == pytest.approx(2 * (10 / 21 - (21 / 42) ** 2))
-    lv = C.louvain(e)
+    lv = louvain(e)
     assert one(C.modularity(e, lv), "q")[0] >= one(C.modularity(e, C.label_propagation(e, 4)), "q")[0] - 1e-9
     assert one(C.modularity(e, lv), "q")[0] > 0.3 and lv.count() == 10
-    assert C.louvain(edges(spark, [])).count() == 0
+    assert louvain(edges(spark, [])).count() == 0
     assert one(C.nmi(comm, comm), "nmi")[0] == pytest.approx(1.0)
     lone = spark.createDataFrame([(1, 1), (2, 1)], "node long, comm long")
     assert one(C.nmi(lone, lone), "nmi") == (1.0,)
@@ -151,7 +152,7 @@ def test_incremental_equals_full(spark):
     ch = spark.createDataFrame([(0, "del", 4, 5), (0, "add", 0, 9), (1, "add", 2, 7), (1, "del", 2, 7)], "cand_id int, op string, src long, dst long")
     after = P.apply_edge_changes(e, ch)
     base = L.resource_allocation(e)
-    moved = L.affected_pairs(e, base, after, ch)
+    moved = L.affected_pairs(e, base, ch)
     full = {tuple(r)[:3]: r["score"] for r in L.resource_allocation(after, keys=("cand_id",)).select("cand_id", "src", "dst", "score").collect()}
     old = {(r["src"], r["dst"]): r["score"] for r in base.collect()}
     new = {(c, *k): v for c in (0, 1) for k, v in old.items()}
@@ -213,3 +214,61 @@ def test_nll_of_known_logits(spark):
     lab = spark.createDataFrame([(1, 1, "test"), (2, 0, "test"), (3, 0, "train")], "node long, label int, split string")
     assert one(N.nll_loss(z, lab, "test"), "loss")[0] == pytest.approx((math.log(2) + math.log(1 + math.e) - 1) / 2)
     assert one(N.accuracy(N.predict_class(z), lab, "test"), "accuracy") == (0.5,)
+
+
+def test_reach_by_bits_is_reach_by_pairs(spark):
+    """More than 64 nodes, several candidates, nodes alone and gone; plain breadth-first counts."""
+    import random
+
+    r = random.Random(4)
+    pairs = sorted({tuple(sorted(r.sample(range(0, 900, 3), 2))) for _ in range(330)})
+    gone = {0: set(), 1: set(r.sample(range(0, 900, 3), 60))}
+    nodes = spark.createDataFrame([(c, n) for c in gone for n in range(0, 900, 3) if n not in gone[c]], "cand_id int, node long")
+    e = spark.createDataFrame([(c, a, b) for c in gone for a, b in pairs if a not in gone[c] and b not in gone[c]], "cand_id int, src long, dst long")
+    for hops in (1, 3, 20):
+        got = {(x["cand_id"], x["node"]): x["reach"] for x in R.reach_within(e, nodes, hops).collect()}
+        for c in gone:
+            near = {}
+            for a, b in pairs:
+                if a not in gone[c] and b not in gone[c]:
+                    near.setdefault(a, set()).add(b)
+                    near.setdefault(b, set()).add(a)
+            for n in range(0, 900, 3):
+                if n in gone[c]:
+                    assert (c, n) not in got
+                    continue
+                seen = edge = {n}
+                for _ in range(hops):
+                    edge = set().union(*(near.get(x, set()) for x in edge)) - seen
+                    seen = seen | edge
+                assert got[c, n] == len(seen)
+
+
+def test_robustness_in_steps(spark):
+    """A step a node is the exact form where degrees don't tie on the way; coarse steps come near it; ties by id in ranges."""
+    for pairs in ([(0, i) for i in range(1, 9)] + [(1, i) for i in range(9, 14)] + [(2, 14)], BARBELL + path(8), clique(7) + [(0, i) for i in range(7, 20)]):
+        e, n = scored(spark, pairs)
+        k = n.count()
+        want = one(R.robustness(e, n), "robustness")[0]
+        assert one(R.robustness_steps(e, n, k), "robustness")[0] == pytest.approx(want, abs=0.02)
+        assert one(R.robustness_steps(e, n, 5), "robustness")[0] == pytest.approx(want, abs=0.2)
+    d = spark.range(10_000).select(F.lit(0).alias("cand_id"), (F.col("id") * 977).alias("node"), F.when(F.col("id") % 100 == 7, 5).otherwise(1).alias("degree"))
+    want = spark.createDataFrame([(0, 1234)], "cand_id int, want long")
+    got = {r["node"] for r in R._worst(d, want).collect()}
+    rows = sorted(((r["degree"], r["node"]) for r in d.collect()), key=lambda x: (-x[0], x[1]))
+    assert got == {n for _, n in rows[:1234]}
+
+
+def test_benchmarks_compare_like_with_like(spark):
+    """Milliseconds with milliseconds, seconds where one side lacks them; both bests are kept."""
+    rows = [("a", None, 2.0), ("b", 500.0, 1.0), ("c", 400.0, None), ("d", 600.0, 9.0), ("e", None, 1.5), ("f", None, None), ("g", 399.0, 0.0), ("h", None, 3.0)]
+    r = spark.createDataFrame([(i, "x", "y", "S", False, ms, s, t) for t, (i, ms, s) in enumerate(rows)], "run_id string, algorithm_id string, dataset string, resolved_mode string, remote boolean, iter_avg_ms double, iter_seconds double, started_at long")
+    got = {x["run_id"]: (x["unit"], x["ratio"], x["regressed"], x["best_iter_avg_ms"], x["best_iter_seconds"]) for x in H.benchmark_compare(r).collect()}
+    assert got["a"] == (None, None, False, None, 2.0)
+    assert got["b"] == ("s", -0.5, False, 500.0, 1.0)
+    assert got["c"] == ("ms", -0.2, False, 400.0, 1.0)
+    assert got["d"] == ("ms", 0.5, True, 400.0, 1.0)
+    assert got["e"] == ("s", 0.5, True, 400.0, 1.0)
+    assert got["f"] == (None, None, False, 400.0, 1.0)
+    assert got["g"][:2] == ("ms", -0.0025) and got["g"][4] == 0.0
+    assert got["h"] == (None, None, False, 399.0, 0.0)  # a best of 0 compares with nothing

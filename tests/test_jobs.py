@@ -1,18 +1,16 @@
 """Each named job on a small graph: its candidates' fitness against a plain version, its history, and runs cut and resumed."""
 
 import itertools
+import json
 import math
-import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cutweave.jobs import evolution as J
-from cutweave.operators import community as C, graph as G, linkpred as L, perturb as P
-
-#: Whole jobs take half a minute to a minute each; two of them run by default, CUTWEAVE_ALL=1 runs all.
-whole_job = pytest.mark.skipif(not os.environ.get("CUTWEAVE_ALL"), reason="CUTWEAVE_ALL=1 runs every job")
+from cutweave.operators import community as C, evolve as V, graph as G, linkpred as L, nodeclass as N, perturb as P
+from cutweave.operators.louvain import louvain
 
 #: Two cliques of five and a tail, by a bridge.
 PAIRS = sorted({(i, j) for a in (0, 5) for i, j in itertools.combinations(range(a, a + 5), 2)} | {(4, 5), (9, 10), (10, 11), (11, 12)})
@@ -72,14 +70,12 @@ def plain_pcg(gone):
     return sum(len(s) - 1 for s in reach(*without(gone), 13).values()) / 2
 
 
-@whole_job
 def test_cutoff(spark, edges):
     run = J.cutoff(spark, edges, 1, pop=4, pool_runs=2, pool_generations=1)
     fit, rows = checked(run, 1, "min")
     assert run.problem.select == "rotary" and all(fit[c] == plain_pcg({g["node"] for g in rows[c]}) and len({g["node"] for g in rows[c]}) == run.problem.budget for c in rows)
 
 
-@whole_job
 def test_sixdst(spark, edges):
     run = J.sixdst(spark, edges, 1, pop=4, rate=0.2, pool_runs=2)
     fit, rows = checked(run, 1, "min")
@@ -89,7 +85,6 @@ def test_sixdst(spark, edges):
     assert len({max(map(len, reach(*without({g["node"] for g in rows[c]}), 6).values())) - f for c, f in fit.items()}) == 1
 
 
-@whole_job
 def test_tde(spark, edges):
     run = J.tde(spark, edges, 1, pop=4, rate=0.2)
     fit, rows = checked(run, 1, "max")
@@ -118,50 +113,38 @@ def partitions(df):
     return out
 
 
-def test_local_moves_reach_their_end(spark, edges):
-    """No single node of any candidate's graph gains by a move, and Q is no less than at the start."""
-    changed = [(0, a, b) for a, b in PAIRS] + [(1, a, b) for a, b in PAIRS if (a, b) not in ((4, 5), (0, 1))] + [(1, 0, 9)]
-    start = {n: 0 if n < 5 else 5 for n in NODES}
-    got = partitions(C.local_moves(spark.createDataFrame(changed, "cand_id int, src long, dst long"), spark.createDataFrame(list(start.items()), "node long, comm long"), seed=3, rounds=40))
-    for c in (0, 1):
-        pairs = [(a, b) for k, a, b in changed if k == c]
-        q = plain_q(pairs, got[c])
-        assert q >= plain_q(pairs, start) - 1e-12
-        for n in got[c]:
-            for to in {got[c][x] for x in near(pairs)[n]}:
-                assert plain_q(pairs, got[c] | {n: to}) <= q + 1e-9
-
-
 def changed_pairs(rows):
     gone = {(min(g["src"], g["dst"]), max(g["src"], g["dst"])) for g in rows if g["op"] == "del"}
     new = {(min(g["src"], g["dst"]), max(g["src"], g["dst"])) for g in rows if g["op"] == "add"}
     return sorted((set(PAIRS) - gone) | new)
 
 
-@whole_job
 def test_cgn(spark, edges):
     run = J.cgn(spark, edges, 1, pop=4, rate=0.3)
     fit, rows = checked(run, 1, "min")
-    base = {r["node"]: r["comm"] for r in C.louvain(edges, 1024).collect()}
+    base = {r["node"]: r["comm"] for r in louvain(edges, 1024).collect()}
     kinds = {g["op"] for r in rows.values() for g in r}
     assert "del" in kinds and all(base[g["src"]] == base[g["dst"]] and (g["src"], g["dst"]) in PAIRS for r in rows.values() for g in r if g["op"] == "del")
     assert all(base[g["src"]] != base[g["dst"]] and (g["src"], g["dst"]) not in PAIRS for r in rows.values() for g in r if g["op"] == "add")
     e = spark.createDataFrame([(c, a, b) for c in rows for a, b in changed_pairs(rows[c])], "cand_id int, src long, dst long")
-    now = partitions(C.local_moves(e, spark.createDataFrame(list(base.items()), "node long, comm long"), seed=1024))
-    assert all(f == pytest.approx(plain_nmi(now[c], base), abs=1e-6) for c, f in fit.items())
+    ends = spark.createDataFrame([(c, g["src"], g["dst"]) for c in rows for g in rows[c]], "cand_id int, src long, dst long")
+    now = partitions(J.communities_after(e, ends, G.node_set(edges), spark.createDataFrame(list(base.items()), "node long, comm long"), 1024))
+    assert all(set(now[c]) == set(NODES) and f == pytest.approx(plain_nmi(now[c], base), abs=1e-6) for c, f in fit.items())
+    best = min(fit, key=lambda c: (fit[c], c))
+    assert json.loads(run.log[-1][4])["q"] == pytest.approx(plain_q(changed_pairs(rows[best]), now[best]), abs=1e-6)  # of the communities after
 
 
-@whole_job
 def test_qattack(spark, edges):
     run = J.qattack(spark, edges, 1, pop=4, rate=0.2)
     fit, rows = checked(run, 1, "max")
-    base = {r["node"]: r["comm"] for r in C.louvain(edges, 1024).collect()}
+    base = {r["node"]: r["comm"] for r in louvain(edges, 1024).collect()}
     after = {}
     for c, r in rows.items():
         gone = {tuple(sorted((g["node"], g["remove_node"]))) for g in r}
         after[c] = sorted((set(PAIRS) - gone) | {tuple(sorted((g["node"], g["add_node"]))) for g in r})
     e = spark.createDataFrame([(c, a, b) for c in after for a, b in after[c]], "cand_id int, src long, dst long")
-    now = partitions(C.local_moves(e, spark.createDataFrame(list(base.items()), "node long, comm long"), seed=1024))
+    ends = spark.createDataFrame([(c, g["node"], g[k]) for c in rows for g in rows[c] for k in ("add_node", "remove_node")], "cand_id int, src long, dst long")
+    now = partitions(J.communities_after(e, ends, G.node_set(edges), spark.createDataFrame(list(base.items()), "node long, comm long"), 1024))
     assert all(f == pytest.approx(math.exp(-plain_q(after[c], now[c])), abs=1e-6) for c, f in fit.items())
 
 
@@ -178,7 +161,6 @@ def plain_shift(before, after):
     return 1 - abs(np.corrcoef(dists(before), dists(after))[0, 1])
 
 
-@whole_job
 def test_cda_eda(spark, edges):
     run = J.cda_eda(spark, edges, 1, pop=4, rate=0.2)
     fit, rows = checked(run, 1, "max")
@@ -195,7 +177,7 @@ def plain_ra(pairs):
     return {(a, b): sum(1 / len(adj[w]) for w in adj.get(a, set()) & adj.get(b, set())) for a, b in itertools.combinations(NODES, 2)}
 
 
-@pytest.mark.parametrize("name", [pytest.param("lpa_eda", marks=whole_job), "lpa_ga"])
+@pytest.mark.parametrize("name", ["lpa_eda", "lpa_ga"])
 def test_lpa(spark, edges, name):
     run = getattr(J, name)(spark, edges, 1, pop=4, rate=0.3)
     fit, rows = checked(run, 1, "max")
@@ -208,6 +190,12 @@ def test_lpa(spark, edges, name):
         neg = [p for p in ra if (p not in train or p in dels) and p not in adds and p not in test]
         want = math.exp(-(sum(ra[p] for p in test) / len(test) - sum(ra[p] for p in neg) / len(neg)))
         assert f == pytest.approx(want, abs=1e-6)
+        kinds = [g["op"] for g in sorted(rows[c], key=lambda g: g["pos"])]
+        k = run.problem.budget // 2
+        assert kinds == ["del"] * k + ["add"] * k and len(dels) == len(adds) == k
+        assert dels <= train and not adds & (train | test)  # no addition names a hidden edge
+    hops = {p: next((h for h in range(1, 14) if p[1] in reach(sorted(train), [p[0]], h)[p[0]]), 99) for c in rows for g in rows[c] if g["op"] == "add" for p in [(g["src"], g["dst"])]}
+    assert max(hops.values()) > 2  # additions at any distance
 
 
 def test_fitness_by_change_is_lpa_fitness(spark, edges):
@@ -218,7 +206,7 @@ def test_fitness_by_change_is_lpa_fitness(spark, edges):
     e = P.apply_edge_changes(train, changes)
     scores = L.resource_allocation(train)
     want = {r[0]: r[1] for r in L.lpa_fitness(e, train, changes, test, 0.0, 13).select("cand_id", "fitness").collect()}
-    got = {r[0]: r[1] for r in L.lpa_fitness_by_change(train, e, changes, test, scores, L.base_sums(train, test, scores), 13).collect()}
+    got = {r[0]: r[1] for r in L.lpa_fitness_by_change(train, changes, test, scores, L.base_sums(train, test, scores), 13).collect()}
     assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c], abs=1e-9) for c in want)
 
 
@@ -260,18 +248,56 @@ def test_nca_ga(spark, classed):
         nodes, z = plain_logits(classed, [p for p in PAIRS if p not in gone], xw)
         loss = [math.log(np.exp(z[i]).sum()) - z[i][labels[n][0]] for i, n in enumerate(nodes) if labels[n][1] == "test"]
         assert f == pytest.approx(np.mean(loss), abs=1e-6)
-    assert "accuracy" in run.log[-1][4]
+    told = json.loads(run.log[-1][4])
+    best = max(fit, key=lambda c: (fit[c], -c))
+    nodes, z0 = plain_logits(classed, PAIRS, xw)
+    _, z1 = plain_logits(classed, [p for p in PAIRS if p not in {(g["src"], g["dst"]) for g in rows[best]}], xw)
+    test = [i for i, n in enumerate(nodes) if labels[n][1] == "test"]
+    assert told["accuracy"] == pytest.approx(np.mean([z1[i].argmax() == labels[nodes[i]][0] for i in test]), abs=1e-6)
+    assert told["asr"] == pytest.approx(np.mean([z1[i].argmax() != z0[i].argmax() for i in test]), abs=1e-6)
 
 
-@whole_job
 def test_gani(spark, classed):
     run = J.gani(spark, classed, 1, pop=3, injected=2, ratio=0.7)
-    best = [r[2] for r in run.log]
-    assert best == sorted(best, reverse=True) and run.problem.name == "gani1"
-    labels = classed.labels.count()
+    after = [r for r in run.log if r[0].startswith("gani-after")]
+    assert [r[1] for r in after] == [1, 2] and all({"accuracy", "asr"} == set(json.loads(r[4])) for r in after) and run.problem.name == "gani1"
+    assert run.graph.labels.count() == 15 and run.graph.edges.where("dst >= 13").count() >= 2
+    xw = {(r["node"], r["feat"]): r["value"] for r in run.graph.xw.collect()}
+    pairs = [tuple(r) for r in run.graph.edges.select("src", "dst").collect()]
+    nodes, z = plain_logits(run.graph, pairs, xw)
+    labels = {r["node"]: (r["label"], r["split"]) for r in run.graph.labels.collect()}
+    test = [i for i, n in enumerate(nodes) if labels[n][1] == "test"]
+    wrong = sum(np.round(z[i], 9).argmax() != labels[nodes[i]][0] for i in test)
+    assert json.loads(after[-1][4])["accuracy"] == pytest.approx(1 - wrong / len(test), abs=1e-6) and -after[-1][2] <= wrong
     pool = [r["node"] for r in run.problem.pool.orderBy("idx").collect()]
-    assert len(pool) == len(set(pool)) and 0 < len(pool) <= labels + 1 and run.problem.budget <= len(pool)
-    assert all(len({g["node"] for g in r}) == len(r) == run.problem.budget for r in genes(run).values())
+    assert len(pool) == len(set(pool)) and 0 < len(pool) <= classed.labels.count() + 1 and run.problem.budget <= len(pool)
+
+
+def test_rescoring_is_scoring_anew(spark, classed):
+    """Deletions, additions, both, an edge that is there or isn't, an end in common, and a new node."""
+    xw = classed.xw.union(spark.createDataFrame([(13, 0, 0.7), (13, 1, -0.2)], "node long, feat int, value double"))
+    nodes = spark.range(14).withColumnRenamed("id", "node")
+    base = N.propagated(classed.edges, nodes, xw)
+    rows = [(0, "del", 4, 5), (0, "del", 0, 1), (1, "add", 12, 0), (1, "del", 9, 10), (2, "add", 0, 1), (2, "del", 1, 7), (3, "del", 0, 1), (3, "add", 1, 0), (4, "add", 3, 13), (4, "add", 13, 8), (5, "del", 10, 9), (5, "del", 10, 11)]
+    changes = spark.createDataFrame(rows, "cand_id int, op string, src long, dst long")
+    got = {(r["cand_id"], r["node"], r["class"]): r["logit"] for r in N.rescored(base, changes).collect()}
+    flat = {(r["node"], r["feat"]): r["value"] for r in xw.collect()}
+    _, before = plain_logits(None, PAIRS, flat)
+    for c in range(6):
+        pairs = (set(PAIRS) - {tuple(sorted(r[2:])) for r in rows if r[0] == c and r[1] == "del"}) | {tuple(sorted(r[2:])) for r in rows if r[0] == c and r[1] == "add"}
+        _, z = plain_logits(None, sorted(pairs), flat)
+        for n in range(14):
+            for k in (0, 1):
+                assert got.get((c, n, k), before[n][k]) == pytest.approx(z[n][k], abs=1e-9)
+    assert not [x for x in got if x[0] in (2, 3)] and len({n for c, n, _ in got if c == 5}) < 14
+    labels = classed.labels
+    cands = changes.select("cand_id").distinct()
+    z = N.rescored(base, changes)
+    wrong = {r[0]: r[1] for r in N.misclassified_after(base, z, cands, labels, "test").select("cand_id", "fitness").collect()}
+    loss = {r[0]: r[1] for r in N.loss_after(base, z, cands, labels, "test").select("cand_id", "loss").collect()}
+    full = N.propagate(xw, N.gcn_normalize(P.apply_edge_changes(classed.edges, changes), nodes.crossJoin(cands), keys=("cand_id",)), 2, ("cand_id",)).select("cand_id", "node", F.col("feat").alias("class"), F.col("value").alias("logit"))
+    assert wrong == {r[0]: r[1] for r in N.sga_fitness(N.predict_class(full, ("cand_id",)), labels, "test", ("cand_id",)).select("cand_id", "fitness").collect()}
+    assert loss == pytest.approx({r[0]: r[1] for r in N.nll_loss(full, labels, "test", ("cand_id",)).select("cand_id", "loss").collect()}, abs=1e-9)
 
 
 def degree_problem(spark, edges, select="roulette"):
@@ -291,7 +317,58 @@ def test_cut_off_runs_go_on_from_their_path(spark, edges, tmp_path):
     assert [x.name for x in (tmp_path / "run" / "state").iterdir()] == ["3"]  # past generations are dropped
 
 
-@whole_job
+#: Each job's arguments but generations, small.
+SMALL = {"sixdst": dict(pop=3, rate=0.2, pool_runs=2), "cutoff": dict(pop=3, pool_runs=2, pool_generations=1), "tde": dict(pop=3, rate=0.2), "cgn": dict(pop=3, rate=0.2), "qattack": dict(pop=3, rate=0.2), "cda_eda": dict(pop=3, rate=0.2), "lpa_eda": dict(pop=3, rate=0.2), "lpa_ga": dict(pop=3, rate=0.2), "nca_ga": dict(pop=3, rate=0.1), "gani": dict(pop=3, injected=2)}
+
+
+@pytest.mark.parametrize("name", sorted(SMALL))
+def test_every_job_goes_on_where_it_was_cut_off(spark, edges, classed, tmp_path, name):
+    graph = classed if name in ("nca_ga", "gani") else edges
+    job, path = getattr(J, name), f"file://{tmp_path}/{name}"
+    job(spark, graph, 1, path=path, **(SMALL[name] | ({"injected": 1} if name == "gani" else {})))  # and then the driver is lost
+    again = job(spark, graph, 2, path=path, again=True, **SMALL[name])
+    whole = job(spark, graph, 2, **SMALL[name])
+    last = lambda run: [(r[1], r[2], r[3]) for r in run.log if r[0] == run.log[-2][0]]
+    if name != "gani":
+        assert [r[:4] for r in again.log] == [r[:4] for r in whole.log] and again.log[-1] == whole.log[-1]
+        assert sorted(map(str, again.population.collect())) == sorted(map(str, whole.population.collect()))
+    else:
+        assert sum(r[0].startswith("gani-after") for r in again.log) == 2 and {r[0] for r in again.log} == {r[0] for r in whole.log} and last(again)
+    assert J.evolve(again.problem, 0, resume=again).log == again.log
+
+
+def test_a_run_can_be_continued_twice(spark, edges):
+    start = J.evolve(degree_problem(spark, edges), 1, seed=5)
+    a, b = J.evolve(start.problem, 2, seed=5, resume=start), J.evolve(start.problem, 2, seed=5, resume=start)
+    assert a.log == b.log and sorted(map(tuple, a.population.collect())) == sorted(map(tuple, b.population.collect()))
+    assert start.population.count() == 15
+
+
+def test_tables_do_not_pile_up(spark, edges):
+    """The shared folder holds as many tables after five generations as after two, metrics of reach and components included."""
+    import os
+
+    from cutweave.session import shared_dir
+
+    held = lambda: len(os.listdir(shared_dir(spark).removeprefix("file://")))
+    p = J.cutoff_problem(spark, edges, pop=3)
+    p.report_every = 1
+    run = J.evolve(p, 2, seed=3)
+    at = held()
+    run = J.evolve(p, 3, seed=3, resume=run)
+    assert held() <= at + 2  # those of the run that was continued, and of the one that came out
+
+
+def test_batches_score_as_one_job_does(spark, edges):
+    p = J.cutoff_problem(spark, edges, pop=5)
+    assert p.batch is None or p.batch >= 5
+    pop = J.init_state(p, 4).population
+    want = sorted(map(tuple, J.score(p, pop).collect()))
+    p.batch = 2
+    assert sorted(map(tuple, J.score(p, pop).collect())) == want
+    assert J.batch_of(edges) == J.BATCH_ROWS // len(PAIRS)
+
+
 def test_restarts(spark, edges):
     history, best = J.restarts(degree_problem(spark, edges), 1, 2, seed=7)
     rows = history.collect()
@@ -319,12 +396,10 @@ def test_injected_features(spark):
 
 
 def test_fitted_classifier_tells_the_labels(classed):
-    from cutweave.operators import nodeclass as N
-
     weights = {(r["feat"], r["class"]): r["w"] for r in classed.weights.collect()}
     assert len(weights) == 2 * 4 and -1 in {f for f, _ in weights}
-    z = J._logits(classed, classed.edges.withColumn("cand_id", F.lit(0)))
-    assert N.accuracy(N.predict_class(z, ("cand_id",)), classed.labels, "test", ("cand_id",)).first()["accuracy"] == 1.0
+    z = N.propagated(classed.edges, classed.labels.select("node"), classed.xw).logits
+    assert N.accuracy(N.predict_class(z), classed.labels, "test").first()["accuracy"] == 1.0
 
 
 def test_distances_of_stated_nodes(spark):

@@ -112,16 +112,61 @@ def test_neighbor_lists_of_a_star(spark):
 # jobs: the whole pool of additions, and distances of all pairs
 
 
-def test_lpa_pool_has_every_distance_two_non_edge(spark):
-    from cutweave.jobs import evolution as J
+def test_pairs_are_drawn_from_all_that_are_not_linked(spark):
+    """Every unlinked pair of a ring with chords, at any distance, comes once to a candidate that wants all."""
     from cutweave.operators import graph as G
 
     ring = [(i, j) for i in range(12) for j in (i + 1, i + 2) if j < 12]
     e = spark.createDataFrame(ring, "src long, dst long")
-    run = J.lpa_ga(spark, e, 1, pop=3)
-    train = G.edge_train_test_split(e, 0.2, 1024).where("split = 'train'").select("src", "dst")
-    adds = run.problem.pool.where("op = 'add'").select("src", "dst")
-    assert rows(adds) == rows(G.non_edges(train).select("src", "dst")) and adds.count() > 3
+    idx = G.dense_rank_ids(G.node_set(e), "node")
+    got = [tuple(r) for r in G.draw_pairs(idx, e, 2, 100, 7).collect()]
+    want = {(i, j) for i in range(12) for j in range(i + 1, 12)} - set(ring)
+    for c in (0, 1):
+        own = [r[2:] for r in got if r[0] == c]
+        assert len(own) == len(set(own)) and set(own) == want
+    few = [tuple(r) for r in G.draw_pairs(idx, e, 2, 5, 7).collect()]
+    assert sorted(few) == sorted(r for r in got if r[1] < 5)  # the first of the same order
+    odd = G.draw_pairs(idx, e, 1, 3, 7, lambda t: t.where("(src + dst) % 2 = 1")).collect()
+    assert len(odd) == 3 and all((r["src"] + r["dst"]) % 2 for r in odd)
+    assert G.draw_pairs(idx, e, 1, 3, 7, lambda t: t.where("false")).count() == 0
+
+
+def test_pair_numbers(spark):
+    from cutweave.operators.graph import unranked
+
+    got = spark.range(45).select(*(c.alias(n) for c, n in zip(unranked(F.col("id")), "ij"))).collect()
+    assert [tuple(r) for r in got] == [(i, j) for j in range(10) for i in range(j)]
+    n = 3_000_000_000
+    k = n * (n - 1) // 2
+    big = spark.createDataFrame([(k - 1,), (k,), (k + n - 1,), (k + n,)], "id long").select(*(c.alias(x) for c, x in zip(unranked(F.col("id")), "ij")))
+    assert [tuple(r) for r in big.collect()] == [(n - 2, n - 1), (0, n), (n - 1, n), (0, n + 1)]
+
+
+def test_permutations(spark):
+    from cutweave.functions.rand import permuted
+
+    for n in (1, 2, 7, 100):
+        rows = spark.range(3 * n).select((F.col("id") % 3).alias("c"), permuted(F.floor(F.col("id") / 3), n, 5, F.col("id") % 3, "t").alias("x")).collect()
+        assert all(sorted(r["x"] for r in rows if r["c"] == c) == list(range(n)) for c in range(3))
+    assert len({tuple(r["x"] for r in rows if r["c"] == c) for c in range(3)}) == 3
+
+
+def test_draws_list_no_pool(spark):
+    """Ten million genes in seconds: plans of first populations, repairs and conflicts read no pool."""
+    import time
+
+    pool = spark.range(10_000_000).select(F.col("id").alias("idx"))
+    began = time.time()
+    p = V.init_population(pool, 20, 50, 1)
+    bad = p.withColumn("gene", F.when(F.col("pos") % 5 == 0, F.lit(3)).otherwise(F.col("gene")))
+    fixed = V.repair_duplicates(bad, pool, 1)
+    assert fixed.groupBy("cand_id").agg(F.countDistinct("gene").alias("n"), F.count("*").alias("k")).where("n = 50 and k = 50").count() == 20
+    same = V.resolve_conflicts(bad.withColumn("gene", F.col("pos").cast("long")), pool, 1)
+    assert same.groupBy("cand_id").agg(F.array_sort(F.collect_list("gene")).alias("s")).select("s").distinct().count() == 20
+    assert time.time() - began < 60
+    for df in (p, fixed, same):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Range (0, 10000000" not in plan and "Cross" not in plan
 
 
 def test_cda_eda_scores_all_pairs(spark):
