@@ -43,6 +43,9 @@ EXCEPTION_BONUS = 0.2
 RANK = {"or": 1, "and": 2, "with": 3}
 
 
+NAME = re.compile(r"[a-z0-9.+-]+")
+
+
 def family(name: str) -> str | None:
     """The longest known family that ``name`` is or begins with, at a hyphen; else null."""
     known = [f for f in FREEDOM if name == f or name.startswith(f + "-")]
@@ -50,11 +53,13 @@ def family(name: str) -> str | None:
 
 
 def to_postfix(expression: str) -> list[str] | None:
-    """Shunting-yard: infix licence expression to postfix; null for a malformed one."""
+    """Shunting-yard: infix licence expression to postfix; null for a malformed one. A comma, semicolon or slash between
+    names leaves the choice, as or does; a name has letters, digits, dots, plus signs and hyphens alone."""
     out: list[str] = []
     ops: list[str] = []
     operand_due = True
-    for tok in re.findall(r"\(|\)|[^\s()]+", expression.lower()):
+    for tok in re.findall(r"[(),;/]|[^\s(),;/]+", expression.lower()):
+        tok = "or" if tok in ",;/" else tok
         if tok == "(":
             if not operand_due:
                 return None
@@ -75,7 +80,7 @@ def to_postfix(expression: str) -> list[str] | None:
             ops.append(tok)
             operand_due = True
         else:
-            if not operand_due:
+            if not operand_due or not NAME.fullmatch(tok):
                 return None
             out.append(tok)
             operand_due = False
@@ -142,7 +147,7 @@ def read_tag(text: bytes, at: int, stop: int) -> tuple[str, tuple[set[str], floa
     told = m[1].decode("utf-8", "replace").strip().rstrip("*/-> \t").strip()
     got = evaluate(told)
     if got is None:
-        head = re.match(r"[\w+-]+(?:\.[\w+-]+)*", told)
+        head = re.match(r"[A-Za-z0-9+-]+(?:\.[A-Za-z0-9+-]+)*", told)
         got, told = (evaluate(head[0]), head[0]) if head else (None, told)
     return (told, got) if got else None
 
