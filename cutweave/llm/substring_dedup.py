@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cutweave.llm.text import SPACE, Words, as_bytes, carried, mix, released, slices, with_fields
+from cutweave.llm.text import SPACE, Words, as_bytes, carried, mix, released, slices, unseen, with_fields
 from cutweave.session import discard, materialise
 
 WINDOW, ANCHOR = 35, 8
@@ -44,12 +44,16 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _anchors(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
-    """key, mh, twice: the minimisers of each text, once each; twice if its run of words stands in the text again."""
+    """key, mh, twice: the minimisers of each text, once each; twice if its run of words stands in the text again. Of a
+    text's copies a task looks at one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
             for part in slices(batch):
-                w = Words(as_bytes(part), SPACE, lower=False)
+                bodies, keys = as_bytes(part), part["key"].to_numpy()
+                new = unseen(keys.tolist(), bodies, seen)
+                keys, w = keys[new], Words([bodies[i] for i in new], SPACE, lower=False)
                 at, _, mh = minimisers(w, window, anchor)
                 doc = w.doc_of_word()
                 in_doc = lambda h, starts: mix(h + doc[starts].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -57,7 +61,7 @@ def _anchors(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
                 every = np.sort(in_doc(a, starts)) if len(at) else np.zeros(0, np.uint64)
                 again = every[1:][every[1:] == every[:-1]]
                 named, first = np.unique(in_doc(mh, at) if len(at) else mh, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(part["key"].to_numpy()[doc[at[first]]] if len(at) else np.zeros(0, np.int64)), pa.array(_signed(mh[first])), pa.array(np.isin(named, again))], names=["key", "mh", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[doc[at[first]]] if len(at) else np.zeros(0, np.int64)), pa.array(_signed(mh[first])), pa.array(np.isin(named, again))], names=["key", "mh", "twice"])
 
     return keyed.select("text", "key").mapInArrow(run, "key long, mh long, twice boolean")
 
@@ -66,15 +70,18 @@ def _suspects(listed: DataFrame, window: int, anchor: int) -> DataFrame:
     """key, wh, twice: the windows, once each, of the texts of ``listed`` (text, key, mhs) whose minimiser is in mhs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
             for part in slices(batch):
-                w = Words(as_bytes(part), SPACE, lower=False)
+                bodies = as_bytes(part)
+                new = unseen(part["key"].to_pylist(), bodies, seen)
+                w = Words([bodies[i] for i in new], SPACE, lower=False)
                 at, wh, mh = minimisers(w, window, anchor)
                 bounds = np.searchsorted(at, np.append(w.first, len(w.starts)))
-                keys, hashes, twice = [], [], []
-                for i, key in enumerate(part["key"].to_numpy()):
-                    lo, hi = bounds[i], bounds[i + 1]
-                    mine = np.isin(mh[lo:hi], part["mhs"][i].values.to_numpy().view(np.uint64))
+                keys, hashes, twice = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+                for i, row in enumerate(new):
+                    key, lo, hi = part["key"][row].as_py(), bounds[i], bounds[i + 1]
+                    mine = np.isin(mh[lo:hi], part["mhs"][row].values.to_numpy().view(np.uint64))
                     u, n = np.unique(wh[lo:hi][mine], return_counts=True)
                     keys.append(np.full(len(u), key, np.int64))
                     hashes.append(u)

@@ -156,5 +156,22 @@ def as_str(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in values(batch, column).to_pylist()]
 
 
+#: Texts that a task remembers, so that it looks at each of many copies once.
+SEEN = 1 << 16
+
+
+def unseen(keys: list[int], bodies: list[bytes], seen: set) -> list[int]:
+    """Which of the texts a task has not had, by key and a hash of its own; ``seen`` begins anew when it is full, which
+    costs a look at a copy and changes no result."""
+    if len(seen) > SEEN:
+        seen.clear()
+    out = []
+    for i, told in enumerate(zip(keys, map(hash, bodies))):
+        if told not in seen:
+            seen.add(told)
+            out.append(i)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
