@@ -28,7 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from cutweave.llm.text import _BYTE, as_bytes, carried, mix, released, slices, spans_hash, with_fields
+from cutweave.llm.text import _BYTE, as_bytes, carried, mix, released, slices, spans_hash, unseen, with_fields
 from cutweave.session import discard, materialise
 
 WINDOW, GRAM = 400, 96
@@ -208,15 +208,18 @@ def _ids(col):
 
 
 def _grams(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """key, mh, m: the first bytes' hashes of each text's anchors, and how many anchors of it have them."""
+    """key, mh, m: the first bytes' hashes of each text's anchors, and how many anchors of it have them. Of a text's copies
+    a task looks at one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
             for part in slices(batch):
+                bodies, names = as_bytes(part), part["key"].to_pylist()
                 keys, hashes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for key, body in zip(part["key"].to_pylist(), as_bytes(part)):
-                    u, n = np.unique(anchors(body, window, gram)[3], return_counts=True)
-                    keys.append(np.full(len(u), key, np.int64))
+                for i in unseen(names, bodies, seen):
+                    u, n = np.unique(anchors(bodies[i], window, gram)[3], return_counts=True)
+                    keys.append(np.full(len(u), names[i], np.int64))
                     hashes.append(u)
                     counts.append(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int64))], names=["key", "mh", "m"])
