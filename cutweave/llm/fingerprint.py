@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, functions as F
 from cutweave.llm.text import as_str, slices
 from cutweave.session import materialise
 
-#: Bits of the filter that says which digests occur more than once. Of fixed size: past it, more texts than need be are
-#: compared, and none fewer.
-FILTER_BITS = 22
+#: The filter that says which digests occur more than once has 2 to the power of so many bits: 16 for each such digest, within
+#: these bounds. Past the upper one more texts than need be are compared, and none fewer.
+FILTER_BITS = (22, 26)
 
 
 def canonical(text: str) -> bytes:
@@ -39,18 +39,20 @@ def likeness(a: str, b: str) -> float:
     return float(a == b)
 
 
-def _bit(hexdigest: str) -> int:
-    return int(hexdigest[:8], 16) >> (32 - FILTER_BITS)
+def _bit(hexdigest: str, bits: int) -> int:
+    return int(hexdigest[:8], 16) >> (32 - bits)
 
 
-def repeated_filter(digests: DataFrame) -> np.ndarray:
-    """Which bits have a digest that more than one row has. Counted in Spark; at most 2**FILTER_BITS / 32 rows return."""
-    often = digests.groupBy("fingerprint").count().where("count > 1")
-    bit = F.shiftright(F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("long"), 32 - FILTER_BITS)
+def repeated_filter(digests: DataFrame) -> tuple[int, np.ndarray]:
+    """How many bits the filter has, as a power of 2, and which of them have a digest that more than one row has. Counted in
+    Spark; a row for 32 bits returns, at most."""
+    often = materialise(digests.groupBy("fingerprint").count().where("count > 1").select("fingerprint"), "often")
+    bits = min(max(FILTER_BITS[0], (16 * often.count()).bit_length()), FILTER_BITS[1])
+    bit = F.shiftright(F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("long"), 32 - bits)
     rows = often.select(bit.alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits")).toPandas()
-    words = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    words = np.zeros(1 << (bits - 5), np.uint32)
     words[rows["word"].to_numpy(int)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
-    return words
+    return bits, words
 
 
 def collided(docs: DataFrame, digests: DataFrame) -> DataFrame:
@@ -65,8 +67,9 @@ def collided(docs: DataFrame, digests: DataFrame) -> DataFrame:
                 for t in as_str(part):
                     body = canonical(t)
                     name = xxhash.xxh3_128_hexdigest(body)
-                    b = _bit(name)
-                    if shared.value[b >> 5] >> (b & 31) & 1:
+                    bits, words = shared.value
+                    b = _bit(name, bits)
+                    if words[b >> 5] >> (b & 31) & 1:
                         names.append(name)
                         bodies.append(body)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.binary())], names=["fingerprint", "body"])
@@ -119,8 +122,8 @@ def _judge(doc_id: int | None, text: str, body: bytes, nxt: str, next_body: byte
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """The columns of op9: each text beside its edit, whose last third is taken from the next document's start.
 
-    Rows are dealt by range of descending doc_id (null last; ties by text, descending) and sorted, the one shuffle of
-    texts. A shard judges all its rows but the last, whose next stands at the head of a later shard: heads and tails,
+    Rows are dealt by range of descending doc_id (null last; ties by a hash of the text, then the text, descending) and
+    sorted, the one shuffle of texts. Null text is empty; long texts are taken whole, one at a time; other columns are ignored. A shard judges all its rows but the last, whose next stands at the head of a later shard: heads and tails,
     two rows a shard, are matched apart. A lone row is its own next. An empty table gives no rows.
     """
     spark = docs.sparkSession

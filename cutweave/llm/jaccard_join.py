@@ -203,9 +203,10 @@ def link(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[i
 NO_ID = -(1 << 63)
 
 
-def row_key(docs: DataFrame) -> list:
-    """What tells rows apart: doc_id, and a hash of the text."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th")]
+def row_key(docs: DataFrame, within: str | None = None) -> list:
+    """What tells rows apart: doc_id, and a hash of the text; of the columns of a struct, ``within``, if that is named."""
+    at = f"{within}." if within else ""
+    return [F.coalesce(F.col(f"{at}doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(f"{at}text").alias("th")]
 
 
 def _sketch(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
