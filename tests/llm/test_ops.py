@@ -108,6 +108,9 @@ def test_license_expressions():
     for bad in ("", "and", "mit or", "(mit", "mit)", "mit apache", "mit ()"):
         assert license_scan.to_postfix(bad) is None
     assert license_scan.evaluate("GPL-3.0 OR MIT")[1] == 1.0
+    for told, labels, free in (("MIT,Apache-2.0", "apache,mit", 1.0), ("MIT/Apache-2.0", "apache,mit", 1.0), ("GPL-2.0; BSD-3-Clause and x_y", "gpl", 0.3), ("LGPL-2.1, MIT", "lgpl,mit", 1.0), ("MIT,", "mit", 1.0)):
+        row = license_scan.scan_text(f"mit license SPDX-License-Identifier: {told}".encode())
+        assert row[5] == ",".join(sorted({"mit", *labels.split(",")})) and row[8] == free
     assert license_scan.evaluate("GPL-3.0 AND MIT")[1] == 0.3
     assert license_scan.evaluate("GPL-2.0 WITH Classpath-exception-2.0") == ({"gpl-2.0"}, 0.5)
     row = license_scan.scan_text(b"/* SPDX-License-Identifier: Apache-2.0 OR MIT */")
@@ -662,3 +665,13 @@ def test_column_generation():
         assert dict(held) == demand
     bound = sum(v for _, v in packing.solve(np.array([100 if c in (300, 100, 50) else 0 for c in range(512)]), 512))
     assert bound <= 100 * (301 + 101 + 51) / 512 * 1.35
+
+
+def test_ten_thousand_equal_texts_are_scanned_once_a_task(spark, monkeypatch):
+    words = " ".join(f"w{i * i % 997}" for i in range(90))
+    docs = spark.range(10_000).selectExpr("id as doc_id", f"'{words}' as text").union(spark.createDataFrame([(-1, "x y " + " ".join(words.split()[20:70]) + " z")], "doc_id long, text string"))
+    rows = substring_dedup._anchors(docs.select("text", F.xxhash64("text").alias("key")).coalesce(3), substring_dedup.WINDOW, substring_dedup.ANCHOR)
+    assert rows.groupBy("key", "mh").count().agg(F.max("count")).first()[0] <= 3
+    got = substring_dedup.remove_repeats(docs)
+    assert got.where("doc_id >= 0 and n_removed = 90").count() == 10_000
+    assert got.where("doc_id = -1").first()["spans"] == [2, 52]
