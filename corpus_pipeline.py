@@ -6,7 +6,7 @@ is left is packed into sequences.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cutweave.llm.decontaminate import find_contamination
 from cutweave.llm.jaccard_join import first_of_each, row_key
@@ -43,10 +43,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     table gives an empty one; columns keep their names and values.
     """
     kept = first_of_each(docs, SHINGLE, PERCENT)
-    rows = docs.where("doc_id is not null").select(*row_key(docs), F.struct("*").alias("row"))
+    numbered = _whole(docs).withColumn("n", F.monotonically_increasing_id())  # of a written table: the same in every scan
     told = F.xxhash64(*(F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind))
-    one = rows.withColumn("n", F.row_number().over(W.partitionBy("id", "th").orderBy(told))).where("n = 1")
-    return one.join(kept, ["id", "th"], "left_semi").select("row.*").union(docs.where("doc_id is null"))
+    keys = numbered.where("row.doc_id is not null").select(*row_key(docs, "row"), "n", told.alias("told"))
+    first = keys.groupBy("id", "th").agg(F.min(F.struct("told", "n")).alias("first"))  # combines before the shuffle
+    stay = first.join(kept, ["id", "th"], "left_semi").select(F.col("first.n").alias("n"))
+    return numbered.join(stay, "n", "left_semi").select("row.*").union(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
