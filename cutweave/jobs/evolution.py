@@ -256,8 +256,10 @@ def _cut(edges: DataFrame, nodes: DataFrame, decoded: DataFrame) -> tuple[DataFr
 
 
 def _pcg(edges, nodes):
-    """Connected pairs of each candidate's graph, by star rounds over all candidates at once."""
-    return lambda c: R.pairwise_connectivity(R.components(*_cut(edges, nodes, c)))
+    """Connected pairs of each candidate's graph: union-find, a candidate a task, where the whole graph is counted to be
+    small; star rounds over all candidates beyond that. Both give the same components."""
+    find = R.components_by_candidate if edges.count() <= R.HELPER_EDGES else R.components
+    return lambda c: R.pairwise_connectivity(find(*_cut(edges, nodes, c)))
 
 
 def _best_rows(fitness: DataFrame, pop: DataFrame, pool: DataFrame, size: int, side: str = "min") -> DataFrame:
