@@ -158,7 +158,7 @@ CHANGED = f"cg AS (SELECT cand_id, src, dst FROM cc, e WHERE {DEL} UNION SELECT
 SQL["apply_edge_changes"] = f"WITH {graph('disc')}, {changes('e')}, {CHANGED} SELECT * FROM cg"
 REWIRES = lambda seed, out: f"""non AS (SELECT node, node + 1 AS nbr FROM n WHERE node + 1 IN (FROM n) AND NOT EXISTS (FROM adj WHERE src = n.node AND dst = n.node + 1)),
         c3 AS (SELECT unnest(range(3))::INTEGER AS cand_id),
-        {out}p AS (SELECT cand_id, pos, node FROM (SELECT cand_id, pos, {permuted('pos', '(SELECT count(DISTINCT node) FROM non)', str(seed), 'cand_id', chr(39) + 'node' + chr(39))} AS idx FROM c3, (SELECT unnest(range(10))::INTEGER AS pos) WHERE pos < (SELECT count(DISTINCT node) FROM non)) JOIN (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT DISTINCT node FROM non)) USING (idx)),
+        {out}p AS (SELECT cand_id, pos, node FROM (SELECT cand_id, pos, {permuted('pos', 'nn', str(seed), 'cand_id', chr(39) + 'node' + chr(39))} AS idx FROM c3, (SELECT unnest(range(10))::INTEGER AS pos), (SELECT count(DISTINCT node) AS nn FROM non) WHERE pos < nn) JOIN (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT DISTINCT node FROM non)) USING (idx)),
         {out} AS (SELECT cand_id, pos, node, arg_min(nbr, {key(str(seed), 'cand_id', 'node', 'nbr', chr(39) + 'add' + chr(39))}) AS add_node, (SELECT arg_min(dst, {key(str(seed), 'cand_id', 'node', 'dst', chr(39) + 'rem' + chr(39))}) FROM adj WHERE src = {out}p.node) AS remove_node FROM {out}p JOIN non USING (node) GROUP BY ALL)"""
 SQL["init_rewires"] = f"WITH {graph('disc')}, {REWIRES(2, 'rw')} SELECT cand_id, pos, node, add_node, remove_node FROM rw"
 SQL["apply_rewires"] = f"""WITH {graph('disc')}, {REWIRES(2, 'rw')}, fin AS (SELECT cand_id, src, dst FROM c3, e WHERE NOT EXISTS (FROM rw WHERE rw.cand_id = c3.cand_id AND least(node, remove_node) = src AND greatest(node, remove_node) = dst) UNION SELECT cand_id, least(node, add_node), greatest(node, add_node) FROM rw)
@@ -229,7 +229,7 @@ SQL["init_population"] = f"WITH {graph('disc')}, {cands(4)}, k AS (SELECT count(
 SQL["draw_population"] = f"WITH {graph('disc')}, {cands(6)}, d AS (SELECT cand_id, floor({u('1', 'cand_id', 'k', chr(39) + 'draw' + chr(39))} * (SELECT count(*) FROM n))::BIGINT AS gene, min(k) AS k FROM c, (SELECT unnest(range(56)) AS k) GROUP BY ALL) SELECT cand_id, (row_number() OVER (PARTITION BY cand_id ORDER BY k) - 1)::INTEGER AS pos, gene FROM d QUALIFY pos < 20".replace("min(k) AS k FROM", "k AS k0 FROM").replace(" GROUP BY ALL) SELECT cand_id, (row_number", "), dd AS (SELECT cand_id, gene, min(k0) AS k FROM d GROUP BY ALL) SELECT cand_id, (row_number").replace("gene FROM d QUALIFY", "gene FROM dd QUALIFY")
 TWO = "th AS (SELECT DISTINCT a.dst AS src, b.dst AS dst FROM adj a JOIN adj b ON a.src = b.src AND a.dst < b.dst), ne AS (SELECT th.* FROM th ANTI JOIN e USING (src, dst))"
 NUMBERED = lambda t, out: f"{out} AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS idx, count(*) OVER () AS n FROM {t})"
-DRAWN = lambda t, op, seed: f"SELECT cand_id, '{op}' AS op, pos, src, dst FROM (SELECT *, {permuted('pos', '(SELECT max(n) FROM ' + t + ')', str(seed), 'cand_id', chr(39) + op + chr(39))} AS idx FROM {op}_at WHERE pos < (SELECT max(n) FROM {t})) JOIN {t} USING (idx)"
+DRAWN = lambda t, op, seed: f"SELECT cand_id, '{op}' AS op, pos, src, dst FROM (SELECT *, {permuted('pos', 'nn', str(seed), 'cand_id', chr(39) + op + chr(39))} AS idx FROM {op}_at, (SELECT max(n) AS nn FROM {t}) WHERE pos < nn) JOIN {t} USING (idx)"
 SQL["init_edge_population"] = f"WITH {graph('disc')}, {TWO}, {cands(3)}, {NUMBERED('e', 'ds')}, {NUMBERED('ne', 'ads')}, m AS (SELECT cand_id, pos, floor({u('4', 'cand_id', chr(39) + 'mix' + chr(39))} * 15) AS n_add FROM c, (SELECT unnest(range(15))::INTEGER AS pos)), add_at AS (FROM m WHERE pos < n_add), del_at AS (FROM m WHERE pos < 15 - n_add) SELECT cand_id, op, src, dst FROM ({DRAWN('ds', 'del', 4)} UNION ALL {DRAWN('ads', 'add', 4)})"
 SQL["init_link_population"] = f"WITH {SPLIT}, ta AS (SELECT src, dst FROM train UNION ALL SELECT dst, src FROM train), th AS (SELECT DISTINCT a.dst AS src, b.dst AS dst FROM ta a JOIN ta b ON a.src = b.src AND a.dst < b.dst), ne AS (SELECT th.* FROM th ANTI JOIN train USING (src, dst)), {cands(3)}, {NUMBERED('train', 'ds')}, {NUMBERED('ne', 'ads')}, add_at AS (SELECT cand_id, pos FROM c, (SELECT unnest(range(10))::INTEGER AS pos)), del_at AS (FROM add_at) {DRAWN('ds', 'del', 4)} UNION ALL {DRAWN('ads', 'add', 4)}"
 ROUL = lambda w, kind, out: f"{out}w AS (SELECT cand_id, {w} AS w FROM f), {out}c AS (SELECT cand_id, w, sum(w) OVER (ORDER BY cand_id) AS hi, sum(w) OVER () AS total FROM {out}w), {out} AS (SELECT draw, min(cand_id) AS cand_id, '{kind}' AS kind FROM dr, {out}c WHERE w > 0 AND x * total >= hi - w AND (x * total < hi OR hi = total) GROUP BY draw)"
@@ -247,7 +247,7 @@ SQL["rewire_mutation"] = f"""WITH {graph('disc')}, {REWIRES(2, 'rw')}, {REWIRES(
                CASE WHEN hit AND kind = 0 AND w.node IS NOT NULL THEN w.add_node WHEN hit AND kind = 1 AND q.node IS NOT NULL THEN q.add_node ELSE m.add_node END AS add_node,
                CASE WHEN hit AND kind = 0 AND w.node IS NOT NULL THEN w.remove_node WHEN hit AND kind = 2 AND q.node IS NOT NULL THEN q.remove_node ELSE m.remove_node END AS remove_node
         FROM m LEFT JOIN fr w ON w.cand_id = m.cand_id AND w.pos = m.pos LEFT JOIN fr q ON q.cand_id = m.cand_id AND q.node = m.node"""
-UNUSED = lambda wanted, pop, n, out, *parts: f"""{out} AS (SELECT cand_id, gene, j FROM (SELECT cand_id, j, {permuted('j', n, *parts)} AS gene FROM (SELECT cand_id, unnest(range(least(k, {n}))) AS j FROM {wanted})) ANTI JOIN {pop} USING (cand_id, gene))"""
+UNUSED = lambda wanted, pop, n, out, *parts: f"""{out} AS (SELECT cand_id, gene, j FROM (SELECT cand_id, j, {permuted('j', 'nn', *parts)} AS gene FROM (SELECT cand_id, nn, unnest(range(least(k, nn))) AS j FROM {wanted}, (SELECT {n} AS nn))) ANTI JOIN {pop} USING (cand_id, gene))"""
 REPAIR = lambda pop_sql, n, seed: f"""p AS ({pop_sql}), q AS (SELECT *, row_number() OVER (PARTITION BY cand_id, gene ORDER BY pos) AS k FROM p),
         ho AS (SELECT cand_id, pos, gene, row_number() OVER (PARTITION BY cand_id ORDER BY pos) AS i FROM q WHERE k > 1),
         wa AS (SELECT cand_id, count(*) AS k FROM q GROUP BY cand_id HAVING max(k) > 1), {UNUSED('wa', 'p', n, 'un', str(seed), '0', 'cand_id', chr(39) + 'rep' + chr(39))},
