@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cutweave.functions.rand import u
 from cutweave.jobs import evolution as J
@@ -981,8 +981,7 @@ def stream_upsert(s, d):
     e = table(s, d, "events").select((F.col("user_id") * 10 + F.length("event_type")).alias("id"), F.col("event_id").alias("created_at"), F.col("value").alias("best_score"))
     e.repartition(6).write.parquet(path)
     S.stream_upsert_history(s.readStream.schema(e.schema).option("maxFilesPerTrigger", 3).parquet(path), out, new_path(s, "cp")).awaitTermination()
-    last = s.read.schema(T.StructType([*e.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out).agg(F.max("batch")).first()[0]
-    return s.read.schema(e.schema).parquet(f"{out}/batch={last}")
+    return S.read_history(s, out, e.schema)
 
 
 # F: the search itself, and the named jobs. Each query runs a few generations and reports the history of the run.
