@@ -201,20 +201,21 @@ def encode_genotype(candidates: DataFrame, minmax: DataFrame) -> DataFrame:
 
 
 def decode_phenotype(genotypes: DataFrame, minmax: DataFrame) -> DataFrame:
-    """cand_id, pos, node: for each position in turn the nearest value's node not yet used, least id on ties. Sequential
-    within a candidate, whose group has ``budget`` rows. A candidate takes the nodes of one value in order of their ids, so
-    the first ``budget`` ids of each distinct value go along, not all nodes: min-max degrees have as many values as there are
-    degrees. A candidate with more positions than there are nodes uses each node again only after all of them."""
-    most = genotypes.groupBy("cand_id").count().agg(F.max("count")).first()[0] or 0
-    first = minmax.withColumn("_n", F.row_number().over(W.partitionBy("x").orderBy("node"))).where(F.col("_n") <= most)
-    pool = first.groupBy("x").agg(F.array_sort(F.collect_list("node")).alias("nodes")).orderBy("x").collect()
-    shared = genotypes.sparkSession.sparkContext.broadcast(([r["x"] for r in pool], [r["nodes"] for r in pool]))
+    """cand_id, pos, node: for each position in turn the node of the nearest value not yet used; ties: the lesser value, then
+    the least id. A candidate with more positions than there are nodes uses each node again only after all of them.
+
+    What is sequential is which value a position takes, and for how many a value has been taken: a candidate's group has
+    ``budget`` rows, and beside them go the distinct values and their counts alone, of which there are as many as degrees
+    (at most the root of twice the edges). Nodes are ranked by (value, id) over ranges, and each place finds its node by rank.
+    """
+    ranked = materialise(rank_by(minmax.select("node", "x"), F.asc("x"), F.asc("node")), "ranked")
+    values = ranked.groupBy("x").agg(F.min("rank").alias("first"), F.count("*").alias("n")).orderBy("x").collect()
+    shared = genotypes.sparkSession.sparkContext.broadcast(tuple([r[c] for r in values] for c in ("x", "first", "n")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        xs, ids = np.array(shared.value[0]), shared.value[1]
-        size = np.array([len(i) for i in ids])
+        xs, first, size = (np.array(v) for v in shared.value)
         used = np.zeros(len(xs), int)
         out = []
         for cand, pos, x in sorted(zip(pdf["cand_id"], pdf["pos"], pdf["x"]), key=lambda r: r[1]):
@@ -222,12 +223,13 @@ def decode_phenotype(genotypes: DataFrame, minmax: DataFrame) -> DataFrame:
                 used[:] = 0
             d = np.abs(xs - x)
             d[used == size] = np.inf
-            i = min(np.flatnonzero(d <= d.min() + 1e-12), key=lambda k: ids[k][used[k]])
-            out.append((cand, pos, ids[i][used[i]]))
+            i = int(np.flatnonzero(d <= d.min() + 1e-12)[0])
+            out.append((cand, pos, int(first[i] + used[i])))
             used[i] += 1
-        return pd.DataFrame(out, columns=["cand_id", "pos", "node"])
+        return pd.DataFrame(out, columns=["cand_id", "pos", "rank"])
 
-    return genotypes.groupBy("cand_id").applyInPandas(run, "cand_id int, pos int, node long")
+    taken = genotypes.groupBy("cand_id").applyInPandas(run, "cand_id int, pos int, rank long")
+    return taken.join(ranked.select("rank", "node"), "rank").select("cand_id", "pos", "node")
 
 
 def eda_resample(pop: DataFrame, fitness: DataFrame, n: int, budget: int, seed: int, side: str = "max", pick: int = 3) -> DataFrame:
