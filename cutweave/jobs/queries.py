@@ -452,8 +452,8 @@ def modularity_candidates(s, d):
 
 @query
 def louvain(s, d):
-    """All order lines: single nodes, then communities, in turn to a fixed point."""
-    return louvain_of(whole(s, d), seed=1)
+    """Single nodes, then communities, in turn to a fixed point."""
+    return louvain_of(disc(s, d), seed=1)
 
 
 @query
