@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from cutweave.operators import community as C, graph as G
 from cutweave.operators.louvain import louvain
 
+pytestmark = pytest.mark.usefixtures("tiny")
+
 # Zachary's karate club, whose greatest modularity is 0.4198.
 KARATE = [
     (2, 1), (3, 1), (3, 2), (4, 1), (4, 2), (4, 3), (5, 1), (6, 1), (7, 1), (7, 5), (7, 6), (8, 1), (8, 2), (8, 3), (8, 4), (9, 1), (9, 3), (10, 3), (11, 1), (11, 5),

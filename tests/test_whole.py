@@ -175,16 +175,21 @@ def test_cda_eda_scores_all_pairs(spark):
     from cutweave.operators import community as C
 
     seen, whole = [], C.distance_shift_blocks
-    C.distance_shift_blocks = lambda emb, base, **k: seen.append((emb, base)) or whole(emb, base, **k)
+
+    def spy(emb, base, **k):  # what a fitness writes is gone once it is scored
+        seen.append((emb.collect(), base, whole(emb, base, **k).collect()))
+        return whole(emb, base, **k)
+
+    C.distance_shift_blocks = spy
     try:
         run = J.cda_eda(spark, spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (4, 0), (1, 3)], "src long, dst long"), 1, pop=3)
     finally:
         C.distance_shift_blocks = whole
-    emb, base = seen[0]
+    rows, base, shifts = seen[0]
     assert base.count() == 5
-    at = {(r["cand_id"], r["node"]): r["vec"] for r in emb.collect()}
+    at = {(r["cand_id"], r["node"]): r["vec"] for r in rows}
     zero = [0.0] * 6
-    for cand, shift in whole(emb, base, keys=("cand_id",)).collect():
+    for cand, shift in shifts:
         mine = spark.createDataFrame([(i, at.get((cand, i), zero)) for i in range(5)], "node long, vec array<double>")
         assert shift == pytest.approx(C.distance_shift(C.pairwise_distance(mine), C.pairwise_distance(base)).first()[0], abs=1e-9)
     assert max(r["fitness"] for r in run.fitness.collect()) > 0
