@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from cutweave.functions.rand import permuted
 from cutweave.operators import community as C, evolve as V, graph as G, linkpred as L, nodeclass as N, perturb as P, reach as R
-from cutweave.operators.louvain import louvain
+from cutweave.operators.louvain import SMALL, louvain, louvain_by_graph
 from cutweave.session import discard, exists, materialise, remove, scope, scoped
 
 
@@ -372,19 +372,26 @@ def _nmi_of(a: DataFrame, base: DataFrame) -> DataFrame:
     return j.select("cand_id", F.when(F.col("h_x") + F.col("h_y") < 1e-15, 1.0).otherwise(2 * (F.col("h_x") + F.col("h_y") - F.col("h_xy")) / (F.col("h_x") + F.col("h_y"))).alias("nmi"))
 
 
-def communities_after(changed: DataFrame, changes: DataFrame, nodes: DataFrame, base: DataFrame, seed: int) -> DataFrame:
+def _communities(edges: DataFrame) -> Callable[..., DataFrame]:
+    """Louvain for graphs of that size: a graph a task, where the graph is counted to be small; rounds over all candidates at
+    once beyond that. Both find the same communities."""
+    return louvain_by_graph if edges.count() <= SMALL else louvain
+
+
+def communities_after(changed: DataFrame, changes: DataFrame, nodes: DataFrame, base: DataFrame, seed: int, find: Callable[..., DataFrame] = louvain) -> DataFrame:
     """cand_id, node, comm: Louvain communities of every candidate's graph ``changed``, from the base's, looking first at the
     ends of its ``changes`` (cand_id, src, dst). A node that has lost all its edges is a community of one."""
     ends = changes.select("cand_id", F.explode(F.array("src", "dst")).alias("node"))
     every = nodes.select("node").crossJoin(changes.select("cand_id").distinct())
-    return louvain(changed, seed, base, ("cand_id",), every, ends)
+    return scoped(lambda: find(changed, seed, base, ("cand_id",), every, ends), "communities")
 
 
 def cgn(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024, path: str | None = None, again: bool = False) -> Run:
     """Delete edges inside communities and add some between: least similarity to the communities before. Typed genes: a
     deletion is any edge inside a community, an addition any unlinked pair of nodes in different ones, drawn by number, never
     listed. Every candidate has Louvain communities of its own; reports their modularity."""
-    base = lasting(spark, path, "base", lambda: louvain(edges, seed))
+    find = _communities(edges)
+    base = lasting(spark, path, "base", lambda: find(edges, seed))
     k = _budget(edges, rate)
     nodes = scoped(lambda: G.dense_rank_ids(G.node_set(edges), "node"), "nodes")
     dels = _pool(C.inside_edges(edges, base), F.asc("src"), F.asc("dst"))
@@ -408,7 +415,7 @@ def cgn(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40,
 
     def after(c: DataFrame) -> tuple[DataFrame, DataFrame]:
         e = materialise(P.apply_edge_changes(edges, c), "changed")
-        return e, communities_after(e, c, nodes, base, seed)
+        return e, communities_after(e, c, nodes, base, seed, find)
 
     fit = lambda c: _nmi_of(after(c)[1], base).select("cand_id", F.col("nmi").alias("fitness"))
     p = Problem("cgn", "min", None, k, pop, fit, lambda c: _q_of(*after(c)).select(F.round("q", 6).alias("q")), 0.7, 0.01, report_every=30, init=init, mutate=mutate, batch=batch_of(edges))
@@ -418,7 +425,8 @@ def cgn(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40,
 def qattack(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024, path: str | None = None, again: bool = False) -> Run:
     """Rewire nodes: greatest exp(-Q) of the communities after the change, which every candidate has of its own. Typed
     genes: a node, one it is to be linked to and one it is to lose; fresh ones are drawn in every generation. Reports Q."""
-    base = lasting(spark, path, "base", lambda: louvain(edges, seed))
+    find = _communities(edges)
+    base = lasting(spark, path, "base", lambda: find(edges, seed))
     k = _budget(edges, rate)
     idx = scoped(lambda: G.dense_rank_ids(G.node_set(edges), "node"), "nodes")
     adj = materialise(G.adjacency(edges), "adjacency")
@@ -432,7 +440,7 @@ def qattack(spark: SparkSession, edges: DataFrame, generations: int, pop: int =
 
     def after(c: DataFrame) -> tuple[DataFrame, DataFrame]:
         e = materialise(P.apply_rewires(edges, c), "changed")
-        return e, communities_after(e, P.rewire_changes(c), idx, base, seed)
+        return e, communities_after(e, P.rewire_changes(c), idx, base, seed, find)
 
     fit = lambda c: C.q_fitness(_q_of(*after(c))).select("cand_id", "fitness")
     p = Problem("qattack", "max", None, k, pop, fit, lambda c: _q_of(*after(c)).select(F.round("q", 6).alias("q")), 0.8, 0.1, report_every=30, init=lambda at: draw(at).select("cand_id", "pos", gene), mutate=mutate, batch=batch_of(edges))
@@ -446,7 +454,8 @@ def cda_eda(spark: SparkSession, edges: DataFrame, generations: int, pop: int =
     pool = _pool(edges.select("src", "dst"), F.asc("src"), F.asc("dst"))
     nodes = materialise(G.node_set(edges), "nodes")
     base = lasting(spark, path, "base", lambda: C.lowrank_embedding(edges, 6, iterations, seed).select("node", "vec"))
-    comms = lasting(spark, path, "communities", lambda: louvain(edges, seed))
+    find = _communities(edges)
+    comms = lasting(spark, path, "communities", lambda: find(edges, seed))
 
     def fit(c: DataFrame) -> DataFrame:
         e = materialise(P.delete_edges(edges, c), "changed")
@@ -455,7 +464,7 @@ def cda_eda(spark: SparkSession, edges: DataFrame, generations: int, pop: int =
 
     def metrics(c: DataFrame) -> DataFrame:
         e = materialise(P.delete_edges(edges, c), "best")
-        now = communities_after(e, c, nodes, comms, seed)
+        now = communities_after(e, c, nodes, comms, seed, find)
         return _q_of(e, now).select(F.round("q", 6).alias("q")).crossJoin(_nmi_of(now, comms).select(F.round("nmi", 6).alias("nmi")))
 
     return until(Problem("cda_eda", "max", pool, _budget(edges, rate), pop, fit, metrics, 0.6, 0.2, batch=batch_of(edges)), generations, seed, path, again, spark)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cutweave.operators import community as C, graph as G
-from cutweave.operators.louvain import louvain
+from cutweave.operators.louvain import louvain, louvain_by_graph
 
 pytestmark = pytest.mark.usefixtures("tiny")
 
@@ -91,10 +91,25 @@ def test_starts_at_what_changed(spark, many):
     assert sorted(map(tuple, same.select("node", "comm").collect())) == sorted(map(tuple, base.collect()))
 
 
+def table_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_a_graph_a_task_finds_the_same(spark, many):
+    """The third graph has no active nodes, and is looked at nevertheless, beside graphs that move."""
+    _, table = many
+    start = spark.createDataFrame([(n, n % 4) for n in range(0, 35, 2)], "node long, comm long")
+    nodes = spark.createDataFrame([(g, n) for g in range(4) for n in range(36)], "g int, node long")
+    few = spark.createDataFrame([(0, 1), (0, 2), (1, 34), (1, 12)], "g int, node long")
+    for began, every, active in [(None, None, None), (start, nodes, few)]:
+        assert table_of(louvain_by_graph(table, 5, began, ("g",), every, active)) == table_of(louvain(table, 5, began, ("g",), every, active))
+
+
 def test_odd_graphs(spark):
     none = spark.createDataFrame([], "src long, dst long")
-    assert louvain(none).count() == 0
     loops = spark.createDataFrame([(3, 3), (4, 4)], "src long, dst long")
-    assert sorted(map(tuple, louvain(loops).collect())) == [(3, 3), (4, 4)]
     one = spark.createDataFrame([(7, 9)], "src long, dst long")
-    assert sorted(map(tuple, louvain(one).collect())) == [(7, 7), (9, 7)]
+    for find in (louvain, louvain_by_graph):
+        assert find(none).count() == 0
+        assert table_of(find(loops)) == [(3, 3), (4, 4)]
+        assert table_of(find(one)) == [(7, 7), (9, 7)]
