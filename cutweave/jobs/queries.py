@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cutweave.functions.rand import u
 from cutweave.jobs import evolution as J
-from cutweave.operators.louvain import louvain as louvain_of
+from cutweave.operators.louvain import louvain as louvain_of, louvain_by_graph
 from cutweave.operators import community as C, evolve as V, graph as G, linkpred as L, nodeclass as N, perturb as P, reach as R, reports as H
 from cutweave.session import materialise, new_path
 from cutweave.sources import readers as A
@@ -456,6 +456,17 @@ def louvain(s, d):
     return louvain_of(disc(s, d), seed=1)
 
 
+@query
+def louvain_candidates(s, d):
+    """Of twenty graphs, each without a tenth of the links, and of the whole one: how many communities, and their modularity."""
+    e = disc(s, d)
+    every = e.join(V.cand_ids(s, 21))
+    left = materialise(every.where((F.col("cand_id") == 0) | (u(5, F.col("cand_id"), F.col("src"), F.col("dst"), "gone") >= 0.1)), "left")
+    found = materialise(louvain_by_graph(left, 1, keys=("cand_id",)), "communities")
+    count = found.groupBy("cand_id").agg(F.countDistinct("comm").alias("n"), F.count("*").alias("nodes"))
+    return count.join(C.modularity(left, found, ("cand_id",)), "cand_id").select("cand_id", "n", "nodes", F.round("q", 6).alias("q"))
+
+
 @query
 def label_propagation(s, d):
     return C.label_propagation(whole(s, d), 3)
