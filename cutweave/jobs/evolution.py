@@ -60,6 +60,8 @@ class Run:
     path: str | None = None
     held: list = field(default_factory=list)
     graph: object = None
+    #: Seeds of runs side by side, whose rows carry their seed under ``run``; none for a run of its own.
+    seeds: tuple[int, ...] = ()
 
     def drop(self) -> None:
         """Delete the tables of this state. What another Run holds stays."""
@@ -98,18 +100,24 @@ def batch_of(edges: DataFrame) -> int:
     return max(1, BATCH_ROWS // max(1, edges.count()))
 
 
-def score(p: Problem, pop: DataFrame) -> DataFrame:
-    """cand_id, fitness. Candidates are scored in batches of ``p.batch``; what a batch writes goes with it."""
-    part = lambda few: p.fitness(decode(few, p.pool)).select("cand_id", F.round(F.col("fitness").cast("double"), 9).alias("fitness"))
-    if p.batch is None or p.batch >= p.pop:
-        return scoped(lambda: part(pop), "fitness")
+def score(p: Problem, pop: DataFrame, seeds: tuple[int, ...] = ()) -> DataFrame:
+    """cand_id, fitness. Candidates, of all runs side by side, are scored in batches of ``p.batch``; what a batch writes goes
+    with it."""
+    flat = V.join_runs(pop, p.pop, seeds) if seeds else pop
+    total = p.pop * max(1, len(seeds))
+
+    def part(few: DataFrame) -> DataFrame:
+        return p.fitness(decode(few, p.pool)).select("cand_id", F.round(F.col("fitness").cast("double"), 9).alias("fitness"))
 
     def every() -> DataFrame:
-        out = None
-        for lo in range(0, p.pop, p.batch):
-            got = scoped(lambda: part(pop.where((F.col("cand_id") >= lo) & (F.col("cand_id") < lo + p.batch))), "fitness")  # noqa: B023
-            out = got if out is None else out.union(got)
-        return out
+        if p.batch is None or p.batch >= total:
+            out = part(flat)
+        else:
+            out = None
+            for lo in range(0, total, p.batch):
+                got = scoped(lambda: part(flat.where((F.col("cand_id") >= lo) & (F.col("cand_id") < lo + p.batch))), "fitness")  # noqa: B023
+                out = got if out is None else out.union(got)
+        return V.split_runs(out, p.pop, seeds) if seeds else out
 
     return scoped(every, "fitness")
 
@@ -120,86 +128,116 @@ def fitness_of(p: Problem, decoded: DataFrame) -> float:
         return p.fitness(decoded).first()["fitness"]
 
 
-def _row(p: Problem, pop: DataFrame, fit: DataFrame, generation: int, seed: int, report: bool) -> tuple:
-    """The history's row of a generation, values of HISTORY: one row in the driver."""
-    by = F.struct(F.col("fitness") if p.side == "min" else (-F.col("fitness")).alias("fitness"), "cand_id")
-    best = fit.agg(F.min_by("cand_id", by).alias("cand_id"), (F.min if p.side == "min" else F.max)("fitness").alias("best_fitness"))
-    genes = pop.join(F.broadcast(best), "cand_id")
-    g = genes.agg(F.first("best_fitness").alias("best_fitness"), F.array_join(F.transform(F.array_sort(F.collect_list("gene")), lambda x: x.cast("string")), ",").alias("best_gene")).first()
-    metrics = None
-    if p.metrics and report:
-        with scope():
-            metrics = p.metrics(decode(genes.select("cand_id", "pos", "gene"), p.pool)).select(F.to_json(F.struct("*")).alias("m")).first()["m"]
-    return f"{p.name}-{seed}", generation, g["best_fitness"], g["best_gene"], metrics
+def _by(seeds: tuple[int, ...]) -> tuple[str, ...]:
+    return ("run",) if seeds else ()
 
 
-def _state(p: Problem, pop: DataFrame, fitness: DataFrame, generation: int, row: tuple, path: str | None, before: Run | None) -> Run:
-    """The run after a generation. With a path the state is written there, under its generation, the history's row last, as a
+def _rows(p: Problem, pop: DataFrame, fit: DataFrame, generation: int, seed: int, report: bool, seeds: tuple[int, ...] = ()) -> list[tuple]:
+    """The history's rows of a generation, values of HISTORY, by run_id: one row a run in the driver."""
+    on = _by(seeds)
+    by = F.struct(F.col("fitness") if p.side == "min" else (-F.col("fitness")).alias("fitness"), "cand_id")
+    best = fit.groupBy(*on).agg(F.min_by("cand_id", by).alias("cand_id"), (F.min if p.side == "min" else F.max)("fitness").alias("best_fitness"))
+    genes = pop.join(F.broadcast(best), [*on, "cand_id"])
+    told = genes.groupBy(*on).agg(F.first("best_fitness").alias("best_fitness"), F.array_join(F.transform(F.array_sort(F.collect_list("gene")), lambda x: x.cast("string")), ",").alias("best_gene")).collect()
+    rows = []
+    for g in told:
+        own = genes.where(F.col("run") == g["run"]) if seeds else genes
+        metrics = None
+        if p.metrics and report:
+            with scope():
+                metrics = p.metrics(decode(own.select("cand_id", "pos", "gene"), p.pool)).select(F.to_json(F.struct("*")).alias("m")).first()["m"]
+        rows.append((run_name(p, g["run"] if seeds else seed), generation, g["best_fitness"], g["best_gene"], metrics))
+    return sorted(rows, key=lambda r: r[0])
+
+
+def run_name(p: Problem, seed: int) -> str:
+    return f"{p.name}-{seed}"
+
+
+def _state(p: Problem, pop: DataFrame, fitness: DataFrame, generation: int, rows: list[tuple], path: str | None, before: Run | None, seeds: tuple[int, ...] = ()) -> Run:
+    """The run after a generation. With a path the state is written there, under its generation, the history's rows last, as a
     sign that it is whole. The run before stays as it is: it may be continued again, otherwise or twice."""
     spark = pop.sparkSession
     if path:
         at = f"{path}/state/{generation}"
         pop.write.mode("overwrite").parquet(f"{at}/population")
         fitness.write.mode("overwrite").parquet(f"{at}/fitness")
-        spark.createDataFrame([row], HISTORY).coalesce(1).write.mode("overwrite").parquet(f"{path}/history/{generation}")
+        spark.createDataFrame(rows, HISTORY).coalesce(1).write.mode("overwrite").parquet(f"{path}/history/{generation}")
         remove(spark, f"{path}/state/{generation - 1}")
-    return Run(p, pop, fitness, generation, [*(before.log if before else []), row], path, [pop, fitness])
+    return Run(p, pop, fitness, generation, [*(before.log if before else []), *rows], path, [pop, fitness], seeds=seeds)
 
 
 def resume(p: Problem, path: str, spark: SparkSession) -> Run:
-    """The last whole generation of the run that was written at ``path``, to be given to ``evolve`` with the run's seed."""
-    log = sorted((tuple(r) for r in spark.read.schema(HISTORY).parquet(f"{path}/history/*").collect()), key=lambda r: r[1])
+    """The last whole generation of the run, or of the runs side by side, that was written at ``path``, to be given to
+    ``evolve`` with the run's seed."""
+    log = sorted((tuple(r) for r in spark.read.schema(HISTORY).parquet(f"{path}/history/*").collect()), key=lambda r: (r[1], r[0]))
     at = f"{path}/state/{log[-1][1]}"
-    return Run(p, spark.read.parquet(f"{at}/population"), spark.read.parquet(f"{at}/fitness"), log[-1][1], log, path)
+    population, fitness = spark.read.parquet(f"{at}/population"), spark.read.parquet(f"{at}/fitness")
+    seeds = tuple(sorted(r["run"] for r in fitness.select("run").distinct().collect())) if "run" in fitness.columns else ()
+    return Run(p, population, fitness, log[-1][1], log, path, seeds=seeds)
 
 
-def _picked(p: Problem, pop: DataFrame, fit: DataFrame, seed: int, generation: int, tag: str) -> DataFrame:
+def _picked(p: Problem, pop: DataFrame, fit: DataFrame, seed, generation: int, tag: str, by: tuple[str, ...]) -> DataFrame:
     if p.select == "rotary":
-        sel = V.rotary_select(V.rotary_table(fit, "inverted" if p.side == "min" else "normal"), p.pop, seed, tag=f"{tag}{generation}")
+        sel = V.rotary_select(V.rotary_table(fit, "inverted" if p.side == "min" else "normal", by), p.pop, seed, f"{tag}{generation}", by)
     else:
-        sel = V.roulette_select(fit, p.side, p.pop, seed, tag=f"{tag}{generation}")
-    return sel.join(pop, "cand_id").select(F.col("draw").alias("cand_id"), "pos", "gene")
+        sel = V.roulette_select(fit, p.side, p.pop, seed, tag=f"{tag}{generation}", by=by)
+    return sel.join(pop, [*by, "cand_id"]).select(*by, F.col("draw").alias("cand_id"), "pos", "gene")
 
 
 def single_step(run: Run, seed: int, report: bool = False) -> Run:
     """Selection, crossover, mutation, repair, score, elitism: one generation; ``report``: with the problem's metrics."""
-    p, g = run.problem, run.generation + 1
+    p, g, seeds = run.problem, run.generation + 1, run.seeds
     if p.propose:
         new = materialise(p.propose(run.population, run.fitness, seed, g), "population")
         return _survivors(run, new, score(p, new), g, seed, report)
+    by, key = _by(seeds), F.col("run") if seeds else seed
     if p.select == "eda":
-        new = V.eda_resample(run.population, run.fitness, p.pop, p.budget, seed * 1000 + g, p.side)
+        new = V.eda_resample(run.population, run.fitness, p.pop, p.budget, key * 1000 + g, p.side, by=by)
     else:
-        new = V.crossover(_picked(p, run.population, run.fitness, seed, g, "a"), _picked(p, run.population, run.fitness, seed, g, "b"), p.cross_rate, seed, g)
-    new = p.mutate(new, seed, g) if p.mutate else V.mutate(new, p.mutation_rate, p.pool.count(), seed, g)
-    new = materialise(V.repair_duplicates(new, p.pool, seed, g) if p.repair and p.pool is not None else new, "population")
-    return _survivors(run, new, score(p, new), g, seed, report)
+        a, b = (_picked(p, run.population, run.fitness, key, g, tag, by) for tag in ("a", "b"))
+        new = V.crossover(a, b, p.cross_rate, key, g, by)
+    new = p.mutate(new, seed, g) if p.mutate else V.mutate(new, p.mutation_rate, p.pool.count(), key, g, by)
+    new = materialise(V.repair_duplicates(new, p.pool, key, g, by) if p.repair and p.pool is not None else new, "population")
+    return _survivors(run, new, score(p, new, seeds), g, seed, report)
 
 
 def _survivors(run: Run, new: DataFrame, fit: DataFrame, g: int, seed: int, report: bool) -> Run:
-    p = run.problem
-    kept = materialise(p.survive(run.fitness, fit, run.population, new) if p.survive else V.elitism(run.fitness, fit, p.side, p.pop), "kept")
-    both = run.population.select(F.lit(0).alias("origin"), "cand_id", "pos", "gene").union(new.select(F.lit(1), "cand_id", "pos", "gene"))
-    pop = materialise(both.join(F.broadcast(kept.select("origin", "cand_id", "rank")), ["origin", "cand_id"]).select(F.col("rank").alias("cand_id"), "pos", "gene"), "population")
-    fitness = materialise(kept.select(F.col("rank").alias("cand_id"), "fitness"), "fitness")
+    p, by = run.problem, _by(run.seeds)
+    kept = materialise(p.survive(run.fitness, fit, run.population, new) if p.survive else V.elitism(run.fitness, fit, p.side, p.pop, by), "kept")
+    both = run.population.select(*by, F.lit(0).alias("origin"), "cand_id", "pos", "gene").union(new.select(*by, F.lit(1), "cand_id", "pos", "gene"))
+    rank = F.col("rank").alias("cand_id")
+    pop = materialise(both.join(F.broadcast(kept.select(*by, "origin", "cand_id", "rank")), [*by, "origin", "cand_id"]).select(*by, rank, "pos", "gene"), "population")
+    fitness = materialise(kept.select(*by, rank, "fitness"), "fitness")
     for table in (new, fit, kept):
         discard(table)
-    return _state(p, pop, fitness, g, _row(p, pop, fitness, g, seed, report), run.path, run)
+    return _state(p, pop, fitness, g, _rows(p, pop, fitness, g, seed, report, run.seeds), run.path, run, run.seeds)
+
 
+def own_steps(p: Problem) -> bool:
+    """Whether a problem brings steps of its own, which know one seed and no runs."""
+    return bool(p.init or p.mutate or p.survive or p.propose)
 
-def init_state(p: Problem, seed: int, path: str | None = None) -> Run:
+
+def init_state(p: Problem, seed: int, path: str | None = None, seeds: tuple[int, ...] = ()) -> Run:
     """Generation 0: distinct genes by permutations of the pool's indexes, which never list population x pool."""
-    pop = scoped(lambda: p.init(seed) if p.init else V.init_population(p.pool, p.pop, p.budget, seed), "population")
-    fit = score(p, pop)
-    return _state(p, pop, fit, 0, _row(p, pop, fit, 0, seed, False), path, None)
+    if seeds and own_steps(p):
+        raise ValueError(f"{p.name} has steps of its own: its runs can't go side by side")
+    pop = scoped(lambda: p.init(seed) if p.init else V.init_population(p.pool, p.pop, p.budget, seed, seeds), "population")
+    fit = score(p, pop, seeds)
+    return _state(p, pop, fit, 0, _rows(p, pop, fit, 0, seed, False, seeds), path, None, seeds)
 
 
-def evolve(p: Problem, generations: int, seed: int = 1024, resume: Run | None = None, path: str | None = None) -> Run:
+def evolve(p: Problem, generations: int, seed: int = 1024, resume: Run | None = None, path: str | None = None, seeds: tuple[int, ...] = ()) -> Run:
     """Run ``generations`` more; from ``resume`` if given. The same seed gives the same candidates, however a run is cut
     up. Metrics are reported every ``report_every`` generations and at the last of a call. ``path``: where the state of every
     generation is written. Tables of the generations between are deleted; the run given, and the one returned, keep theirs,
-    so either can be continued."""
-    run = resume or init_state(p, seed, path)
+    so either can be continued.
+
+    ``seeds``: as many runs side by side, each as it would be alone with its seed. Populations and fitness carry run (its
+    seed), and a generation of all of them is as many Spark jobs as one run's, but for the reports, which are a run's each.
+    ``alone`` takes one out."""
+    run = resume or init_state(p, seed, path, tuple(seeds))
     for left in range(generations, 0, -1):
         new = single_step(run, seed, left == 1 or (run.generation + 1) % p.report_every == 0)
         if run is not resume:
@@ -208,12 +246,18 @@ def evolve(p: Problem, generations: int, seed: int = 1024, resume: Run | None =
     return run
 
 
-def until(p: Problem, generations: int, seed: int, path: str | None, again: bool, spark: SparkSession) -> Run:
+def alone(run: Run, seed: int) -> Run:
+    """One of runs side by side, to be continued by ``evolve`` with its seed. Its tables are those of all."""
+    own = lambda df: df.where(F.col("run") == seed).drop("run")
+    return Run(run.problem, own(run.population), own(run.fitness), run.generation, [r for r in run.log if r[0] == run_name(run.problem, seed)])
+
+
+def until(p: Problem, generations: int, seed: int, path: str | None, again: bool, spark: SparkSession, seeds: tuple[int, ...] = ()) -> Run:
     """The run of a named job up to ``generations``. ``again``: from the last whole generation at ``path``, if there is any."""
     was = resume(p, path, spark) if again and path and exists(spark, f"{path}/history") else None
     if was is not None and was.generation >= generations:
         return was
-    return evolve(p, generations - (was.generation if was else 0), seed, was, path)
+    return evolve(p, generations - (was.generation if was else 0), seed, was, path, seeds)
 
 
 def lasting(spark: SparkSession, path: str | None, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -227,16 +271,19 @@ def lasting(spark: SparkSession, path: str | None, name: str, build: Callable[[]
     return spark.read.parquet(at)
 
 
-def restarts(p: Problem, generations: int, loops: int, seed: int = 1024, path: str | None = None) -> tuple[DataFrame, Run]:
-    """``loops`` runs of a problem, from seeds seed, seed + 1 and so on: (their histories under run_id, the best run)."""
-    best, history = None, None
-    for k in range(loops):
-        run = evolve(p, generations, seed + k, path=f"{path}/run={seed + k}" if path else None)
-        score_of = lambda r: r.fitness.agg((F.min if p.side == "min" else F.max)("fitness")).first()[0]
-        history = run.history if history is None else history.union(run.history)
-        if best is None or (score_of(run) < score_of(best)) == (p.side == "min") and score_of(run) != score_of(best):
-            best = run
-    return history, best
+def restarts(p: Problem, generations: int, loops: int, seed: int = 1024, path: str | None = None, again: bool = False) -> tuple[DataFrame, Run]:
+    """``loops`` runs of a problem, from seeds seed, seed + 1 and so on: (their histories under run_id, the best run; ties:
+    the least seed). They go side by side; those of a problem with steps of its own go one after another, to the same
+    result. ``path`` and ``again`` as for the named jobs."""
+    seeds, spark = tuple(range(seed, seed + loops)), p.pool.sparkSession if p.pool is not None else SparkSession.active()
+    if own_steps(p):
+        runs = [until(p, generations, s, f"{path}/run={s}" if path else None, again, spark) for s in seeds]
+    else:
+        every = until(p, generations, seed, path, again, spark, seeds)
+        runs = [alone(every, s) for s in seeds]
+    sign = 1 if p.side == "min" else -1
+    best = min(runs, key=lambda r: sign * r.log[-1][2])
+    return spark.createDataFrame([row for r in runs for row in r.log], HISTORY), best
 
 
 # problems
@@ -281,16 +328,14 @@ def greedy_pool(edges: DataFrame, pool: DataFrame, k: int, size: int, pop: int,
     return scoped(build, "pool")
 
 
-def searched_pool(edges: DataFrame, p: Problem, size: int, runs: int, generations: int, seed: int) -> DataFrame:
-    """node, idx: as ``greedy_pool``, from the best candidate of each of ``runs`` small searches of the problem."""
+def searched_pool(spark: SparkSession, edges: DataFrame, p: Problem, size: int, runs: int, generations: int, seed: int, path: str | None = None, again: bool = False) -> DataFrame:
+    """node, idx: as ``greedy_pool``, from the best candidate of each of ``runs`` small searches of the problem, side by side."""
+    seeds = tuple(seed + 7919 * (r + 1) for r in range(runs))
 
     def build() -> DataFrame:
-        best = None
-        for r in range(runs):
-            run = evolve(p, generations, seed + 7919 * (r + 1))
-            rows = _best_rows(run.fitness, run.population, p.pool, p.pop, p.side)
-            best = rows if best is None else best.union(rows)
-        return V.gene_pool_cutoff(best, G.degree_rank(edges), size)
+        run = until(p, generations, seed, path, again, spark, seeds)
+        flat = lambda df: V.join_runs(df, p.pop, seeds)
+        return V.gene_pool_cutoff(_best_rows(flat(run.fitness), flat(run.population), p.pool, p.pop, p.side), G.degree_rank(edges), size)
 
     return scoped(build, "pool")
 
@@ -326,9 +371,9 @@ def sixdst(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 8
 
 def cutoff(spark: SparkSession, edges: DataFrame, generations: int, pop: int = 40, rate: float = 0.1, seed: int = 1024, pool_runs: int = 10, pool_generations: int = 100, pool_size: int | None = None, path: str | None = None, again: bool = False) -> Run:
     """Remove nodes; least pairwise connectivity, by rotary selection. The pool comes from the best rows of ``pool_runs`` small
-    searches of ``pool_generations`` over all nodes, and degrees."""
+    searches of ``pool_generations`` over all nodes, side by side, and degrees."""
     whole = cutoff_problem(spark, edges, pop, rate)
-    pool = lasting(spark, path, "pool", lambda: searched_pool(edges, whole, pool_size or 4 * whole.budget, pool_runs, pool_generations, seed))
+    pool = lasting(spark, path, "pool", lambda: searched_pool(spark, edges, whole, pool_size or 4 * whole.budget, pool_runs, pool_generations, seed, f"{path}/searches" if path else None, again))
     return until(cutoff_problem(spark, edges, pop, rate, pool), generations, seed, path, again, spark)
 
 

@@ -3,6 +3,9 @@
 Tables: candidates(cand_id, pos, gene), fitness(cand_id, fitness), pool(idx, ...). Population tables are small, pop x
 budget rows, whatever the graph's size; windows over a whole fitness table run over ``pop`` rows. All draws are hashes of
 their keys, so a retried task draws the same.
+
+Runs side by side: with ``by`` naming columns (the loop's is ``run``) that both tables carry, an operator keeps the runs apart,
+and ``seed`` may be a column of theirs. A run then gets what it would get alone.
 """
 
 from __future__ import annotations
@@ -24,13 +27,31 @@ def places(spark: SparkSession, pop: int, budget: int) -> DataFrame:
     return cand_ids(spark, pop).select("cand_id", F.explode(F.sequence(F.lit(0), F.lit(budget - 1))).alias("pos"))
 
 
-def init_population(pool: DataFrame, pop: int, budget: int, seed: int) -> DataFrame:
+def split_runs(flat: DataFrame, pop: int, runs: tuple[int, ...]) -> DataFrame:
+    """Rows of candidates numbered through all runs (the r-th run's from r x pop) as run, cand_id within it, and the rest."""
+    rest = [c for c in flat.columns if c != "cand_id"]
+    named = F.array(*(F.lit(int(r)).cast("long") for r in runs))
+    return flat.select(F.element_at(named, (F.floor(F.col("cand_id") / pop) + 1).cast("int")).alias("run"), (F.col("cand_id") % pop).cast("int").alias("cand_id"), *rest)
+
+
+def join_runs(rows: DataFrame, pop: int, runs: tuple[int, ...]) -> DataFrame:
+    """``split_runs`` undone: one number for run and candidate, for what is keyed by cand_id alone."""
+    rest = [c for c in rows.columns if c not in ("run", "cand_id")]
+    named = F.array(*(F.lit(int(r)).cast("long") for r in runs))
+    return rows.select(((F.array_position(named, F.col("run")) - 1) * pop + F.col("cand_id")).cast("int").alias("cand_id"), *rest)
+
+
+def init_population(pool: DataFrame, pop: int, budget: int, seed: int, runs: tuple[int, ...] = ()) -> DataFrame:
     """cand_id, pos, gene: ``budget`` distinct genes of the pool (idx from 0 without gaps) a candidate: the first of a
-    permutation of its own, so the pool is counted, not listed. A budget beyond the pool repeats it in the same order."""
+    permutation of its own, so the pool is counted, not listed. A budget beyond the pool repeats it in the same order. With
+    ``runs``, which are seeds, one population for each, under run."""
     n = pool.count()
+    at = places(pool.sparkSession, pop * max(1, len(runs)), budget)
+    if runs:
+        at, seed = split_runs(at, pop, runs), F.col("run")
     if not n:
-        return places(pool.sparkSession, pop, budget).withColumn("gene", F.lit(0).cast("long")).limit(0)
-    return places(pool.sparkSession, pop, budget).withColumn("gene", permuted(F.col("pos") % n, n, seed, F.col("cand_id"), "init"))
+        return at.withColumn("gene", F.lit(0).cast("long")).limit(0)
+    return at.withColumn("gene", permuted(F.col("pos") % n, n, seed, F.col("cand_id"), "init"))
 
 
 def draw_population(spark: SparkSession, n: int, pop: int, budget: int, seed: int) -> DataFrame:
@@ -89,56 +110,79 @@ def init_rewires(adj: DataFrame, non_nbrs: DataFrame, pop: int, budget: int, see
     return c.join(add, ["cand_id", "node"]).join(rem, ["cand_id", "node"]).select("cand_id", "pos", "node", "add_node", "remove_node")
 
 
-def weights(fitness: DataFrame, side: str, shift: bool = True) -> DataFrame:
+def _apart(by: tuple[str, ...]) -> list:
+    """What a window over whole fitness tables is partitioned by: the runs, or nothing."""
+    return list(by) or [F.lit(0)]
+
+
+def _draws(rows: DataFrame, n: int, by: tuple[str, ...]) -> DataFrame:
+    """draw from 0 to n - 1, for each run of ``rows``."""
+    if not by:
+        return rows.sparkSession.range(n).select(F.col("id").cast("int").alias("draw"))
+    return rows.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
+
+
+def _other(rows: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """``rows`` with its run under another name, and the conditions under which it is a draw's."""
+    for c in by:
+        rows = rows.withColumnRenamed(c, f"_{c}")
+    return rows, [F.col(c) == F.col(f"_{c}") for c in by]
+
+
+def weights(fitness: DataFrame, side: str, shift: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """cand_id, w: the fitness (negated to minimise) less its least; raw, with negatives 0, unless ``shift``; all 1 where
     all would be 0."""
     f = F.col("fitness") if side == "max" or not shift else -F.col("fitness")
-    every = W.partitionBy(F.lit(0))
+    every = W.partitionBy(*_apart(by))
     w = fitness.withColumn("w", f - F.min(f).over(every) if shift else F.greatest(f, F.lit(0)))
-    return w.select("cand_id", F.when(F.sum("w").over(every) <= 0, 1.0).otherwise(F.col("w").cast("double")).alias("w"))
+    return w.select(*by, "cand_id", F.when(F.sum("w").over(every) <= 0, 1.0).otherwise(F.col("w").cast("double")).alias("w"))
 
 
-def roulette_select(fitness: DataFrame, side: str, n: int, seed: int, shift: bool = True, tag: str = "sel") -> DataFrame:
+def roulette_select(fitness: DataFrame, side: str, n: int, seed: int, shift: bool = True, tag: str = "sel", by: tuple[str, ...] = ()) -> DataFrame:
     """draw, cand_id: ``n`` draws with chances in proportion to the weight. Intervals of a running sum by cand_id; a
     range join finds each draw's; the last is closed."""
-    c = weights(fitness, side, shift).withColumn("hi", F.sum("w").over(W.partitionBy(F.lit(0)).orderBy("cand_id").rowsBetween(W.unboundedPreceding, 0)))
-    c = c.withColumn("lo", F.col("hi") - F.col("w")).withColumn("total", F.max("hi").over(W.partitionBy(F.lit(0)))).where("w > 0")
-    d = fitness.sparkSession.range(n).select(F.col("id").cast("int").alias("draw")).withColumn("x", u(seed, F.col("draw"), tag))
-    j = d.crossJoin(F.broadcast(c)).where((F.col("x") * F.col("total") >= F.col("lo")) & ((F.col("x") * F.col("total") < F.col("hi")) | (F.col("hi") == F.col("total"))))
-    return j.groupBy("draw").agg(F.min("cand_id").alias("cand_id"))
+    every = W.partitionBy(*_apart(by))
+    c = weights(fitness, side, shift, by).withColumn("hi", F.sum("w").over(every.orderBy("cand_id").rowsBetween(W.unboundedPreceding, 0)))
+    c = c.withColumn("lo", F.col("hi") - F.col("w")).withColumn("total", F.max("hi").over(every)).where("w > 0")
+    d = _draws(fitness, n, by).withColumn("x", u(seed, F.col("draw"), tag))
+    c, same = _other(c, by)
+    at = (F.col("x") * F.col("total") >= F.col("lo")) & ((F.col("x") * F.col("total") < F.col("hi")) | (F.col("hi") == F.col("total")))
+    return d.join(F.broadcast(c), [at, *same]).groupBy(*by, "draw").agg(F.min("cand_id").alias("cand_id"))
 
 
-def rotary_table(fitness: DataFrame, pattern: str = "normal") -> DataFrame:
+def rotary_table(fitness: DataFrame, pattern: str = "normal", by: tuple[str, ...] = ()) -> DataFrame:
     """cand_id, p, cumulative: min-max normalised chances: 'normal' the fitness's, 'inverted' one minus it, 'trans' those of
     one minus the fitness, which are the same; equal fitness gives 1 / pop each."""
     if pattern == "trans":
-        fitness = fitness.select("cand_id", (1 - F.col("fitness")).alias("fitness"))
-    every = W.partitionBy(F.lit(0))
+        fitness = fitness.select(*by, "cand_id", (1 - F.col("fitness")).alias("fitness"))
+    every = W.partitionBy(*_apart(by))
     lo, hi, n = F.min("fitness").over(every), F.max("fitness").over(every), F.count("*").over(every)
     x = (F.col("fitness") - lo) / (hi - lo)
     f = fitness.withColumn("x", F.when(hi == lo, 1.0).otherwise(1 - x if pattern == "inverted" else x)).withColumn("n", n)
     f = f.withColumn("p", F.when(F.sum("x").over(every) == 0, 1 / F.col("n")).otherwise(F.col("x") / F.sum("x").over(every)))
-    return f.select("cand_id", "p", F.sum("p").over(every.orderBy("cand_id").rowsBetween(W.unboundedPreceding, 0)).alias("cumulative"))
+    return f.select(*by, "cand_id", "p", F.sum("p").over(every.orderBy("cand_id").rowsBetween(W.unboundedPreceding, 0)).alias("cumulative"))
 
 
-def rotary_select(table: DataFrame, n: int, seed: int, tag: str = "rot") -> DataFrame:
+def rotary_select(table: DataFrame, n: int, seed: int, tag: str = "rot", by: tuple[str, ...] = ()) -> DataFrame:
     """draw, cand_id: ``n`` draws from a rotary table: the first candidate whose cumulative chance reaches the draw."""
-    d = table.sparkSession.range(n).select(F.col("id").cast("int").alias("draw")).withColumn("x", u(seed, F.col("draw"), tag))
-    last = F.max("cand_id").alias("cand_id")  # where rounding leaves the last chance under 1
-    j = d.join(F.broadcast(table.where("p > 0")), F.col("cumulative") >= F.col("x"), "left").groupBy("draw").agg(F.min("cand_id").alias("cand_id"))
-    return j.crossJoin(F.broadcast(table.where("p > 0").agg(last.alias("last")))).select("draw", F.coalesce("cand_id", "last").alias("cand_id"))
+    d = _draws(table, n, by).withColumn("x", u(seed, F.col("draw"), tag))
+    held, same = _other(table.where("p > 0"), by)
+    j = d.join(F.broadcast(held), [F.col("cumulative") >= F.col("x"), *same], "left").groupBy(*by, "draw").agg(F.min("cand_id").alias("cand_id"))
+    last = table.where("p > 0").groupBy(*by).agg(F.max("cand_id").alias("last"))  # where rounding leaves the last chance under 1
+    j = j.join(F.broadcast(last), list(by)) if by else j.crossJoin(F.broadcast(last))
+    return j.select(*by, "draw", F.coalesce("cand_id", "last").alias("cand_id"))
 
 
-def crossover(a: DataFrame, b: DataFrame, rate: float, seed: int, generation: int = 0) -> DataFrame:
+def crossover(a: DataFrame, b: DataFrame, rate: float, seed: int, generation: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """Uniform: b's gene where the draw falls under ``rate``, a's otherwise; rows meet on (cand_id, pos)."""
-    j = a.join(b.withColumnRenamed("gene", "other"), ["cand_id", "pos"])
-    return j.select("cand_id", "pos", F.when(u(seed, generation, F.col("cand_id"), F.col("pos"), "x") < rate, F.col("other")).otherwise(F.col("gene")).alias("gene"))
+    j = a.join(b.withColumnRenamed("gene", "other"), [*by, "cand_id", "pos"])
+    return j.select(*by, "cand_id", "pos", F.when(u(seed, generation, F.col("cand_id"), F.col("pos"), "x") < rate, F.col("other")).otherwise(F.col("gene")).alias("gene"))
 
 
-def mutate(pop: DataFrame, rate: float, pool_size: int, seed: int, generation: int = 0) -> DataFrame:
+def mutate(pop: DataFrame, rate: float, pool_size: int, seed: int, generation: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """A fresh gene 0..pool_size-1 where the draw falls under ``rate``."""
     key = (seed, generation, F.col("cand_id"), F.col("pos"))
-    return pop.select("cand_id", "pos", F.when(u(*key, "m") < rate, F.floor(u(*key, "g") * pool_size).cast("long")).otherwise(F.col("gene")).alias("gene"))
+    return pop.select(*by, "cand_id", "pos", F.when(u(*key, "m") < rate, F.floor(u(*key, "g") * pool_size).cast("long")).otherwise(F.col("gene")).alias("gene"))
 
 
 def edge_mutation(changes: DataFrame, dels: DataFrame, adds: DataFrame, rate: float, seed: int) -> DataFrame:
@@ -166,27 +210,28 @@ def rewire_mutation(rewires: DataFrame, fresh: DataFrame, rate: float, seed: int
     return j.select("cand_id", "pos", F.when(all3, F.col("n3")).otherwise(F.col("node")).alias("node"), F.when(all3, F.col("a3")).when(is_k(1) & F.col("a2").isNotNull(), F.col("a2")).otherwise(F.col("add_node")).alias("add_node"), F.when(all3, F.col("r3")).when(is_k(2) & F.col("r2").isNotNull(), F.col("r2")).otherwise(F.col("remove_node")).alias("remove_node"))
 
 
-def _unused(wanted: DataFrame, pop: DataFrame, n: int, *key) -> DataFrame:
+def _unused(wanted: DataFrame, pop: DataFrame, n: int, *key, by: tuple[str, ...] = ()) -> DataFrame:
     """cand_id, gene, j: genes of 0..n-1 that a candidate of ``wanted`` (cand_id, k: so many places of its permutation are
     looked at) lacks, j their place. Of the first a + b places at most b are taken by b used genes."""
-    j = wanted.where("k > 0").select("cand_id", F.explode(F.sequence(F.lit(0), F.least(F.col("k"), F.lit(n)).cast("int") - 1)).alias("j"))
-    return j.withColumn("gene", permuted(F.col("j"), n, *key)).join(pop.select("cand_id", "gene").distinct(), ["cand_id", "gene"], "left_anti")
+    at = [*by, "cand_id"]
+    j = wanted.where("k > 0").select(*at, F.explode(F.sequence(F.lit(0), F.least(F.col("k"), F.lit(n)).cast("int") - 1)).alias("j"))
+    return j.withColumn("gene", permuted(F.col("j"), n, *key)).join(pop.select(*at, "gene").distinct(), [*at, "gene"], "left_anti")
 
 
-def repair_duplicates(pop: DataFrame, pool: DataFrame, seed: int, generation: int = 0) -> DataFrame:
+def repair_duplicates(pop: DataFrame, pool: DataFrame, seed: int, generation: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """Distinct genes in a candidate: the i-th repeated one (by pos) is replaced by the i-th unused gene of a permutation of
     the pool (idx from 0 without gaps), of which as many places are looked at as the candidate has genes. A pool with too
     few unused genes leaves the rest repeated. Genes beyond the pool count as used."""
-    n = pool.count()
-    p = pop.withColumn("n", F.row_number().over(W.partitionBy("cand_id", "gene").orderBy("pos")))
+    n, at = pool.count(), [*by, "cand_id"]
+    p = pop.withColumn("n", F.row_number().over(W.partitionBy(*at, "gene").orderBy("pos")))
     if not n:
-        return p.select("cand_id", "pos", "gene")
-    holes = p.where("n > 1").withColumn("i", F.row_number().over(W.partitionBy("cand_id").orderBy("pos")))
-    wanted = p.groupBy("cand_id").agg(F.count("*").alias("k"), F.count_if(F.col("n") > 1).alias("need")).where("need > 0")
-    free = _unused(wanted, pop, n, seed, generation, F.col("cand_id"), "rep")
-    free = free.withColumn("i", F.row_number().over(W.partitionBy("cand_id").orderBy("j")))
-    fixed = holes.select("cand_id", "pos", "gene", "i").join(free.select("cand_id", "i", F.col("gene").alias("g")), ["cand_id", "i"], "left")
-    return p.where("n = 1").select("cand_id", "pos", "gene").union(fixed.select("cand_id", "pos", F.coalesce("g", "gene")))
+        return p.select(*at, "pos", "gene")
+    holes = p.where("n > 1").withColumn("i", F.row_number().over(W.partitionBy(*at).orderBy("pos")))
+    wanted = p.groupBy(*at).agg(F.count("*").alias("k"), F.count_if(F.col("n") > 1).alias("need")).where("need > 0")
+    free = _unused(wanted, pop, n, seed, generation, F.col("cand_id"), "rep", by=by)
+    free = free.withColumn("i", F.row_number().over(W.partitionBy(*at).orderBy("j")))
+    fixed = holes.select(*at, "pos", "gene", "i").join(free.select(*at, "i", F.col("gene").alias("g")), [*at, "i"], "left")
+    return p.where("n = 1").select(*at, "pos", "gene").union(fixed.select(*at, "pos", F.coalesce("g", "gene")))
 
 
 def de_mutation(x: DataFrame, x1: DataFrame, x2: DataFrame, factor: float) -> DataFrame:
@@ -232,21 +277,22 @@ def decode_phenotype(genotypes: DataFrame, minmax: DataFrame) -> DataFrame:
     return taken.join(ranked.select("rank", "node"), "rank").select("cand_id", "pos", "node")
 
 
-def eda_resample(pop: DataFrame, fitness: DataFrame, n: int, budget: int, seed: int, side: str = "max", pick: int = 3) -> DataFrame:
+def eda_resample(pop: DataFrame, fitness: DataFrame, n: int, budget: int, seed: int, side: str = "max", pick: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
     """cand_id, pos, gene: ``n`` new candidates whose genes are drawn, without replacement and in proportion to their
     counts, from those of ``pick`` x n selected ones (keys -ln(1 - u) / count; the least stand)."""
-    sel = roulette_select(fitness, side, pick * n, seed)
-    counts = sel.join(pop, "cand_id").groupBy("gene").agg(F.count("*").alias("w"))
-    new = cand_ids(pop.sparkSession, n).crossJoin(counts)
+    sel = roulette_select(fitness, side, pick * n, seed, by=by)
+    counts = sel.join(pop, [*by, "cand_id"]).groupBy(*by, "gene").agg(F.count("*").alias("w"))
+    new = counts.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("cand_id"), *by, "gene", "w")
     key = -F.log(1 - u(seed, F.col("cand_id"), F.col("gene"), "eda")) / F.col("w")
-    return new.withColumn("pos", F.row_number().over(W.partitionBy("cand_id").orderBy(key, "gene")) - 1).where(F.col("pos") < budget).select("cand_id", "pos", "gene")
+    place = F.row_number().over(W.partitionBy(*by, "cand_id").orderBy(key, "gene")) - 1
+    return new.withColumn("pos", place).where(F.col("pos") < budget).select(*by, "cand_id", "pos", "gene")
 
 
-def elitism(old: DataFrame, new: DataFrame, side: str, pop: int) -> DataFrame:
+def elitism(old: DataFrame, new: DataFrame, side: str, pop: int, by: tuple[str, ...] = ()) -> DataFrame:
     """rank (from 0: the new cand_id), origin, cand_id, fitness of the best ``pop``; ties: old first, then cand_id."""
-    both = old.select(F.lit(0).alias("origin"), "cand_id", "fitness").union(new.select(F.lit(1), "cand_id", "fitness"))
-    by = F.asc("fitness") if side == "min" else F.desc("fitness")
-    return both.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(by, "origin", "cand_id")) - 1).where(F.col("rank") < pop)
+    both = old.select(*by, F.lit(0).alias("origin"), "cand_id", "fitness").union(new.select(*by, F.lit(1), "cand_id", "fitness"))
+    order_by = F.asc("fitness") if side == "min" else F.desc("fitness")
+    return both.withColumn("rank", F.row_number().over(W.partitionBy(*_apart(by)).orderBy(order_by, "origin", "cand_id")) - 1).where(F.col("rank") < pop)
 
 
 def sga_elitism(old: DataFrame, new: DataFrame, side: str, pop: int, genes: DataFrame, homo: DataFrame) -> DataFrame:

@@ -384,6 +384,75 @@ def test_restarts(spark, edges):
     assert [tuple(r) for r in rows if r["run_id"] == "degree-8"] == alone.log
 
 
+def plain(run):
+    return run.log, sorted(map(tuple, run.population.collect())), sorted(map(tuple, run.fitness.collect()))
+
+
+@pytest.mark.parametrize("select, side", [("roulette", "max"), ("rotary", "min"), ("eda", "max")])
+def test_runs_side_by_side_are_those_alone(spark, edges, select, side):
+    p = degree_problem(spark, edges, select)
+    p.side, p.batch = side, 4  # batches that go across runs
+    both = J.evolve(p, 1, seeds=(3, 11))
+    one = J.evolve(p, 1, seed=11)
+    assert plain(J.alone(both, 11)) == plain(one)
+    if select == "rotary":
+        assert plain(J.evolve(p, 1, seed=11, resume=J.alone(both, 11))) == plain(J.evolve(p, 1, seed=11, resume=one))
+
+
+def test_runs_side_by_side_go_on_from_their_path(spark, edges, tmp_path):
+    p = degree_problem(spark, edges)
+    p.metrics = lambda c: c.agg(F.sum("degree").alias("all"))
+    path = f"file://{tmp_path}/runs"
+    J.restarts(p, 1, 3, seed=9, path=path)  # and then the driver is lost
+    history, best = J.restarts(p, 2, 3, seed=9, path=path, again=True)
+    whole, best_whole = J.restarts(p, 2, 3, seed=9)
+    without = lambda rows: sorted(tuple(r)[:4] for r in rows.collect())
+    assert without(history) == without(whole) and len(without(whole)) == 9  # metrics: at the end of each call
+    assert plain(best)[1:] == plain(best_whole)[1:]
+    last = {r["run_id"]: r["metrics"] for r in whole.where("generation = 2").collect()}
+    assert set(last) == {"degree-9", "degree-10", "degree-11"} and all(last.values())
+
+
+def test_runs_with_steps_of_their_own_go_in_turn(spark, edges):
+    p = degree_problem(spark, edges)
+    p.mutate = lambda pop, seed, g: V.mutate(pop, 0.5, 4, seed, g)
+    with pytest.raises(ValueError, match="steps of its own"):
+        J.evolve(p, 1, seeds=(1, 2))
+    history, best = J.restarts(p, 1, 2, seed=1)
+    assert {r["run_id"] for r in history.collect()} == {"degree-1", "degree-2"}
+    assert best.log[-1][2] == max(r["best_fitness"] for r in history.collect())
+
+
+def test_as_many_jobs_for_many_runs_as_for_one(spark, edges):
+    """Spark jobs of a generation don't grow with the runs."""
+    p = degree_problem(spark, edges)
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(group, **how):
+        run = J.evolve(p, 0, **how)
+        spark.sparkContext.setJobGroup(group, group)
+        J.evolve(p, 1, seed=5, resume=run)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(group))
+
+    one, six = jobs("one", seed=5), jobs("six", seeds=range(5, 11))
+    assert 0 < six <= 1.5 * one
+
+
+def test_pool_of_searches_side_by_side(spark, edges):
+    """The pool that small searches in turn would give."""
+    p = J.cutoff_problem(spark, edges, pop=3)
+    got = sorted(map(tuple, J.searched_pool(spark, edges, p, 6, 2, 1, seed=4).select("idx", "node").collect()))
+    best = []
+    for r in (1, 2):
+        run = J.evolve(p, 1, seed=4 + 7919 * r)
+        top = run.fitness.orderBy("fitness", "cand_id").first()["cand_id"]
+        best += [(r, x["node"]) for x in J.decode(run.population.where(f"cand_id = {top}"), p.pool).collect()]
+    rows = spark.createDataFrame(best, "cand_id int, node long")
+    want = V.gene_pool_cutoff(rows, G.degree_rank(edges), 6)
+    assert got == sorted(map(tuple, want.select("idx", "node").collect()))
+
+
 def test_report_has_the_gene_and_metrics_of_the_best(spark):
     import json
 
