@@ -1007,6 +1007,12 @@ def evolve_cnd(s, d):
     return J.evolve(problem, 2, seed=1, resume=first).history
 
 
+@query
+def restarts(s, d):
+    """Three searches for nodes to remove, side by side: all histories."""
+    return J.restarts(J.cutoff_problem(s, sparse(s, d), pop=8), 1, 3, seed=5)[0]
+
+
 @query
 def custom_problem(s, d):
     """A user's own fitness: the sum of degrees, by a pandas function over each candidate's nodes."""
