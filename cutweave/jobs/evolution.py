@@ -235,7 +235,8 @@ def evolve(p: Problem, generations: int, seed: int = 1024, resume: Run | None =
     so either can be continued.
 
     ``seeds``: as many runs side by side, each as it would be alone with its seed. Populations and fitness carry run (its
-    seed), and a generation of all of them is as many Spark jobs as one run's, but for the reports, which are a run's each.
+    seed), and a generation of all of them is about as many Spark jobs as one run's, but for the reports, which are a run's
+    each, and for further batches of scores.
     ``alone`` takes one out."""
     run = resume or init_state(p, seed, path, tuple(seeds))
     for left in range(generations, 0, -1):
