@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cutweave.operators.graph import adjacency, dense_rank_ids, node_set, rank_by
+from cutweave.session import materialise
 
 
 def _wedges(edges: DataFrame, keys: tuple[str, ...] = (), pivots: DataFrame | None = None) -> DataFrame:
@@ -107,20 +108,21 @@ def affected_pairs(edges: DataFrame, scores: DataFrame, changes: DataFrame) -> D
     first) alter, nulls meaning 0. ``edges`` and ``scores`` are the original graph's.
 
     A changed edge alters the wedges about its two ends alone. Only those pivots are joined to the graph, and only their arms
-    and degrees are taken, before and after: new = old - before + after. No candidate's whole graph is made.
+    and degrees are taken, before and after: new = old - before + after. A pivot's arms of both are one list, so that a wedge
+    is met once, and goes at once where it counts the same. No candidate's whole graph is made.
     """
-    both = lambda t: t.select("cand_id", "op", F.explode(F.array(F.struct(F.col("src").alias("w"), F.col("dst").alias("x")), F.struct(F.col("dst").alias("w"), F.col("src").alias("x")))).alias("e")).select("cand_id", "op", "e.w", "e.x").where("w <> x").distinct()
-    moved = both(changes)
+    both = lambda t: t.select("cand_id", "op", F.explode(F.array(F.struct(F.col("src").alias("w"), F.col("dst").alias("x")), F.struct(F.col("dst").alias("w"), F.col("src").alias("x")))).alias("e")).select("cand_id", "op", "e.w", "e.x").where("w <> x")
+    moved = both(changes).groupBy("cand_id", "w", "x").agg(F.max((F.col("op") == "add").cast("int")).alias("add"))
     pivots = moved.select("cand_id", "w").distinct()
-    before = adjacency(edges.where("src <> dst")).select(F.col("src").alias("w"), F.col("dst").alias("x")).join(pivots, "w").select("cand_id", "w", "x")
-    after = before.join(moved.where("op = 'del'").drop("op"), ["cand_id", "w", "x"], "left_anti").union(moved.where("op = 'add'").select("cand_id", "w", "x")).distinct()
-
-    def wedges(arms: DataFrame, sign: int) -> DataFrame:
-        d = arms.groupBy("cand_id", "w").agg((F.lit(float(sign)) / F.count("*")).alias("part"))
-        left = arms.join(d, ["cand_id", "w"]).select("cand_id", "w", F.col("x").alias("src"), "part")
-        return left.join(arms.withColumnRenamed("x", "dst"), ["cand_id", "w"]).where("src < dst").select("cand_id", "src", "dst", "part")
-
-    delta = wedges(before, -1).union(wedges(after, 1)).groupBy("cand_id", "src", "dst").agg(F.sum("part").alias("delta")).where("abs(delta) > 1e-12")
+    before = adjacency(edges.where("src <> dst")).select(F.col("src").alias("w"), F.col("dst").alias("x")).join(pivots, "w").select("cand_id", "w", "x", F.lit(1).alias("b"))
+    arms = before.join(moved, ["cand_id", "w", "x"], "full").select("cand_id", "w", "x", F.coalesce("b", F.lit(0)).alias("b"), F.coalesce("add", "b").alias("a")).where("a + b > 0")
+    of = W.partitionBy("cand_id", "w")
+    arms = materialise(arms.withColumns({"db": F.sum("b").over(of), "da": F.sum("a").over(of)}), "arms")
+    left, right = (arms.select("cand_id", "w", F.col("x").alias(c), F.col("a").alias(f"a_{c}"), F.col("b").alias(f"b_{c}"), *more) for c, more in (("src", ["da", "db"]), ("dst", [])))
+    now = F.when(F.expr("a_src + a_dst = 2"), 1.0 / F.col("da")).otherwise(0.0)
+    part = now - F.when(F.expr("b_src + b_dst = 2"), 1.0 / F.col("db")).otherwise(0.0)
+    wedges = left.join(right, ["cand_id", "w"]).where("src < dst").select("cand_id", "src", "dst", part.alias("part")).where("part <> 0")
+    delta = wedges.groupBy("cand_id", "src", "dst").agg(F.sum("part").alias("delta")).where("abs(delta) > 1e-12")
     return delta.join(scores, ["src", "dst"], "left").select("cand_id", "src", "dst", F.coalesce("score", F.lit(0.0)).alias("old"), (F.coalesce("score", F.lit(0.0)) + F.col("delta")).alias("new"))
 
 
